@@ -31,12 +31,20 @@ def register(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_views(*views) + oracle
+            ORACLES[name] = combine(with_views(*views), oracle)
         return fn
 
     return deco
 
 
+def combine(prefix: str, sql: str) -> str:
+    """Join a fixture ``WITH`` prefix and a query that may have its own ``WITH``."""
+    body = sql.lstrip()
+    if prefix and body[:5].upper() == "WITH ":
+        return prefix.rstrip() + ",\n" + body[5:]
+    return prefix + body
+
+
 def load_all() -> None:
     """Import the catalog modules (each registers its queries on import)."""
     from pagemill.plans import catalog_pages, catalog_relational, catalog_scalars, catalog_jobs  # noqa: F401
