@@ -39,7 +39,7 @@ JSON_SOURCE_PATTERN = r"^(?:__NEXT_DATA__|next|ld\+json|json-ld|id:[A-Za-z0-9_:\
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
     "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d HH:mm:ss", "yyyy/M/d HH:mm", "yyyy/M/d", "yyyy.M.d",
-    "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "EEE, d MMM yyyy HH:mm:ss Z",
+    "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy HH:mm:ss Z",
 ]
 
 

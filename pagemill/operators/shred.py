@@ -173,11 +173,15 @@ class _Shredder(HTMLParser):
     def handle_data(self, data):
         self._add_text(data)
 
+    def _raw_ref(self, prefix: str, name: str) -> str:
+        end = self._offset() + len(prefix) + len(name)
+        return prefix + name + (";" if self.html[end:end + 1] == ";" else "")
+
     def handle_entityref(self, name):
-        self._add_text(unescape("&" + name + ";") if name else "&")
+        self._add_text(unescape(self._raw_ref("&", name)))
 
     def handle_charref(self, name):
-        self._add_text(unescape("&#" + name + ";"))
+        self._add_text(unescape(self._raw_ref("&#", name)))
 
     def finish(self):
         self.close()
