@@ -36,42 +36,74 @@ def _quote_regex(col) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(_c(col), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def find_marker(html, marker, start) -> tuple[Column, Column]:
-    """(1-based position, length) of the first match of ``marker`` at or after
-    ``start`` (1-based): raw, then decoded, then encoded variant (first variant found
-    wins, not the earliest position), then the whitespace-flexible pattern. (0, 0) if none."""
-    h, m = _c(html), _c(marker)
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it (possibly many times) in ``body``: a lambda over
+    a one-element array, which keeps expression trees linear instead of exponential."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _marker_info(marker: Column) -> Column:
+    m = marker
     decoded = unescape_basic(m)
     encoded = encode_entities(m)
-    variants = [(m, F.lit(True)), (decoded, decoded != m), (encoded, (encoded != m) & (encoded != decoded))]
-    pos, length = F.lit(0), F.lit(0)
-    for v, use in reversed(variants):
-        p = F.when(use & (v != ""), F.call_function("locate", v, h, start)).otherwise(F.lit(0))
-        pos = F.when(p > 0, p).otherwise(pos)
-        length = F.when(p > 0, F.length(v)).otherwise(length)
     compact = trim_set(F.regexp_replace(m, r"(?U)\s+", " "))
     pattern = F.replace(_quote_regex(compact), F.lit(" "), F.lit("\\E\\s+\\Q"))
-    tail = F.call_function("substring", h, start)
-    rpos = F.call_function("regexp_instr", tail, pattern)
-    rlen = F.length(F.call_function("regexp_substr", tail, pattern))
-    use_re = (pos == 0) & (compact != "") & (compact != m)
-    pos2 = F.when(use_re & (rpos > 0), rpos + start - 1).otherwise(pos)
-    len2 = F.when(use_re & (rpos > 0), rlen).otherwise(length)
-    return pos2, len2
-
-
-def slice_bounds(html, before, after) -> tuple[Column, Column, Column]:
-    """(ok, start, end): 0-based [start, end) of the slice; ok False -> slice is ''."""
+    return F.struct(m.alias("m"), decoded.alias("dec"), encoded.alias("enc"), compact.alias("compact"),
+                    pattern.alias("pattern"))
+
+
+def find_marker(html, marker, start) -> Column:
+    """STRUCT<p, l>: 1-based position and length of the first match of ``marker`` at or
+    after ``start`` (1-based): raw, then decoded, then encoded variant (the first variant
+    found wins, not the earliest position), then the whitespace-flexible pattern; (0, 0)
+    if none."""
+    h = _c(html)
+
+    def body(mk):
+        variants = F.array(
+            F.struct(mk["m"].alias("v"), F.lit(True).alias("use")),
+            F.struct(mk["dec"].alias("v"), (mk["dec"] != mk["m"]).alias("use")),
+            F.struct(mk["enc"].alias("v"), ((mk["enc"] != mk["m"]) & (mk["enc"] != mk["dec"])).alias("use")))
+        hits = F.filter(F.transform(variants, lambda x: F.struct(
+            F.when(x["use"] & (x["v"] != ""), F.call_function("locate", x["v"], h, start)).otherwise(F.lit(0)).alias("p"),
+            F.length(x["v"]).alias("l"))), lambda x: x["p"] > 0)
+        use_re = (F.size(hits) == 0) & (mk["compact"] != "") & (mk["compact"] != mk["m"])
+
+        def by_regex(tail):
+            rpos = F.call_function("regexp_instr", tail, mk["pattern"])
+            return F.struct(F.when(rpos > 0, rpos + start - 1).otherwise(F.lit(0)).alias("p"),
+                            F.when(rpos > 0, F.length(F.call_function("regexp_substr", tail, mk["pattern"])))
+                            .otherwise(F.lit(0)).alias("l"))
+
+        none = F.struct(F.lit(0).alias("p"), F.lit(0).alias("l"))
+        return (F.when(F.size(hits) > 0, F.get(hits, 0))
+                .when(use_re, let(F.call_function("substring", h, start), by_regex))
+                .otherwise(none))
+
+    return let(_marker_info(_c(marker)), body)
+
+
+def slice_bounds(html, before, after) -> Column:
+    """STRUCT<ok, start, end>: 0-based [start, end) of the slice; ok False -> ''."""
     h = F.coalesce(_c(html), F.lit(""))
     b, a = normalize_marker(before), normalize_marker(after)
-    bpos, blen = find_marker(h, b, F.lit(1))
-    start = F.when(b == "", F.lit(0)).otherwise(bpos - 1 + blen)
-    b_ok = (b == "") | (bpos > 0)
-    apos, _ = find_marker(h, a, start + 1)
-    end = F.when(a == "", F.length(h)).otherwise(apos - 1)
-    a_ok = (a == "") | (apos > 0)
-    ok = b_ok & a_ok & (end > start)
-    return ok, start, end
+
+    def with_b(bm):
+        start = F.when(b == "", F.lit(0)).otherwise(bm["p"] - 1 + bm["l"])
+
+        def with_start(st):
+            def with_a(am):
+                end = F.when(a == "", F.length(h)).otherwise(am["p"] - 1)
+                ok = ((b == "") | (bm["p"] > 0)) & ((a == "") | (am["p"] > 0)) & (end > st)
+                return F.struct(ok.alias("ok"), st.alias("start"), end.alias("end"))
+
+            return let(F.when(a == "", F.struct(F.lit(0).alias("p"), F.lit(0).alias("l")))
+                       .otherwise(find_marker(h, a, st + 1)), with_a)
+
+        return let(start, with_start)
+
+    return let(F.when(b == "", F.struct(F.lit(0).alias("p"), F.lit(0).alias("l"))).otherwise(find_marker(h, b, F.lit(1))),
+               with_b)
 
 
 def slice_between(html, before, after) -> Column:
@@ -79,10 +111,14 @@ def slice_between(html, before, after) -> Column:
     a marker set but not found -> ''."""
     h = F.coalesce(_c(html), F.lit(""))
     b, a = normalize_marker(before), normalize_marker(after)
-    ok, start, end = slice_bounds(h, before, after)
-    return (F.when((b == "") & (a == ""), h)
-            .when(ok & (F.length(h) > 0), F.call_function("substring", h, start + 1, end - start))
-            .otherwise(F.lit("")))
+
+    def body(sb):
+        return (F.when((b == "") & (a == ""), h)
+                .when(sb["ok"] & (F.length(h) > 0),
+                      F.call_function("substring", h, sb["start"] + 1, sb["end"] - sb["start"]))
+                .otherwise(F.lit("")))
+
+    return F.when((b == "") & (a == ""), h).otherwise(let(slice_bounds(h, before, after), body))
 
 
 __all__ = ["slice_between", "slice_bounds", "find_marker", "normalize_marker", "encode_entities"]

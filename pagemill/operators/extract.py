@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions import jsonpage as J
-from pagemill.functions.markers import normalize_marker, slice_between, slice_bounds
+from pagemill.functions.markers import let, normalize_marker, slice_between, slice_bounds
 from pagemill.functions.text import collapse_ws, text_of, trim_set
 from pagemill.functions.urls import absolute_url, is_safe_public_url, normalize_url
 from pagemill.operators.selectors import match_nodes
@@ -31,40 +31,35 @@ def clean_links(raw: Column, base) -> Column:
     return F.array_distinct(F.transform(safe, lambda x: normalize_url(x)))
 
 
-def _within(before, after):
+def _matches(sel, before=None, after=None) -> Column:
+    """Matches of ``sel``; with markers, only elements inside the marker slice (a failed
+    slice selects nothing; two empty markers mean the whole page)."""
     if before is None and after is None:
-        return None
-    ok, start, end = slice_bounds("html", before if before is not None else F.lit(""),
-                                  after if after is not None else F.lit(""))
-    # a failed slice selects nothing
-    return (F.when(ok, start).otherwise(F.lit(1 << 30)), F.when(ok, end).otherwise(F.lit(-1)))
-
-
-def _slice_or_all(before, after):
+        return match_nodes("nodes", sel)
     b = normalize_marker(before if before is not None else F.lit(""))
     a = normalize_marker(after if after is not None else F.lit(""))
-    w = _within(before, after)
-    return F.when((b == "") & (a == ""), F.lit(True)).otherwise(F.lit(False)), w
+    bounds = slice_bounds("html", before if before is not None else F.lit(""), after if after is not None else F.lit(""))
 
+    def inside(sb):
+        return match_nodes("nodes", sel, within=(F.when(sb["ok"], sb["start"]).otherwise(F.lit(1 << 30)),
+                                                 F.when(sb["ok"], sb["end"]).otherwise(F.lit(-1))))
 
-def _matches(sel, before=None, after=None) -> Column:
-    if before is None and after is None:
-        return match_nodes("nodes", sel)
-    all_, w = _slice_or_all(before, after)
-    return F.when(all_, match_nodes("nodes", sel)).otherwise(match_nodes("nodes", sel, within=w))
+    return F.when((b == "") & (a == ""), match_nodes("nodes", sel)).otherwise(let(bounds, inside))
 
 
 def select_text(sel, before=None, after=None) -> Column:
     """Text of the first match, whitespace collapsed and trimmed; '' if none."""
-    m = F.get(_matches(sel, before, after), 0)
-    return F.when(m.isNotNull(), collapse_ws(node_text(m))).otherwise(F.lit(""))
+    return let(F.get(_matches(sel, before, after), 0),
+               lambda m: F.when(m.isNotNull(), collapse_ws(node_text(m))).otherwise(F.lit("")))
 
 
 def select_html(sel, before=None, after=None) -> Column:
     """Inner HTML of the first match (source slice); the element itself if empty."""
-    m = F.get(_matches(sel, before, after), 0)
-    inner = trim_set(node_inner_html(m))
-    return F.when(m.isNull(), F.lit("")).when(inner != "", inner).otherwise(trim_set(node_outer_html(m)))
+    def body(m):
+        inner = trim_set(node_inner_html(m))
+        return F.when(m.isNull(), F.lit("")).when(inner != "", inner).otherwise(trim_set(node_outer_html(m)))
+
+    return let(F.get(_matches(sel, before, after), 0), body)
 
 
 def selector_count(sel, before=None, after=None) -> Column:
@@ -74,8 +69,8 @@ def selector_count(sel, before=None, after=None) -> Column:
 
 def outer_sample(sel, n: int = 1500, before=None, after=None) -> Column:
     """Outer HTML of the first match, cut to max(200, n) characters."""
-    m = F.get(_matches(sel, before, after), 0)
-    return F.when(m.isNull(), F.lit("")).otherwise(F.substring(trim_set(node_outer_html(m)), 1, max(200, int(n))))
+    return let(F.get(_matches(sel, before, after), 0), lambda m: F.when(m.isNull(), F.lit("")).otherwise(
+        F.substring(trim_set(node_outer_html(m)), 1, max(200, int(n)))))
 
 
 def select_links(sel, base, before=None, after=None) -> Column:
@@ -111,22 +106,28 @@ def discover_links(base, json_text, link) -> Column:
 
     ``link`` is the rule's link struct (selector, before, after, json_path,
     json_url_field) plus ``sel`` (its compiled selector)."""
-    jl = json_links(json_text, link["json_path"], link["json_url_field"], base)
-    sliced = slice_between("html", link["before"], link["after"])
     has_sel = trim_set(F.coalesce(link["selector"], F.lit(""))) != ""
-    by_sel = select_links(link["sel"], base, link["before"], link["after"])
-    by_anchor = anchor_links(sliced, base)
-    return F.when(F.size(jl) > 0, jl).when(has_sel, by_sel).otherwise(by_anchor)
+
+    def body(jl):
+        by_sel = select_links(link["sel"], base, link["before"], link["after"])
+        by_anchor = anchor_links(slice_between("html", link["before"], link["after"]), base)
+        return F.when(F.size(jl) > 0, jl).when(has_sel, by_sel).otherwise(by_anchor)
+
+    return let(json_links(json_text, link["json_path"], link["json_url_field"], base), body)
 
 
 def link_match_count(json_text, link) -> Column:
     """X15 (links): same precedence, counting instead of listing."""
-    jl = json_links(json_text, link["json_path"], link["json_url_field"], F.lit("https://example.com/"))
-    sliced = slice_between("html", link["before"], link["after"])
     has_sel = trim_set(F.coalesce(link["selector"], F.lit(""))) != ""
-    return (F.when(F.size(jl) > 0, F.size(jl))
-            .when(has_sel, selector_count(link["sel"], link["before"], link["after"]))
-            .otherwise(F.size(anchor_links(sliced, F.lit("https://example.com/"))))).cast("int")
+    n_json = F.size(json_links(json_text, link["json_path"], link["json_url_field"], F.lit("https://example.com/")))
+
+    def body(nj):
+        sliced = slice_between("html", link["before"], link["after"])
+        return (F.when(nj > 0, nj)
+                .when(has_sel, selector_count(link["sel"], link["before"], link["after"]))
+                .otherwise(F.size(anchor_links(sliced, F.lit("https://example.com/"))))).cast("int")
+
+    return let(n_json, body)
 
 
 def extract_field(json_text, slot, text_only: bool) -> Column:
@@ -135,14 +136,18 @@ def extract_field(json_text, slot, text_only: bool) -> Column:
     tags and collapses whitespace).
 
     ``slot`` is the rule's field struct (selector, before, after, json_path) plus ``sel``."""
-    jv = J.json_field(json_text, slot["json_path"], text_only)
-    jv = F.when(trim_set(F.coalesce(slot["json_path"], F.lit(""))) == "", F.lit("")).otherwise(jv)
+    jv = F.when(trim_set(F.coalesce(slot["json_path"], F.lit(""))) == "", F.lit("")) \
+        .otherwise(J.json_field(json_text, slot["json_path"], text_only))
     has_sel = trim_set(F.coalesce(slot["selector"], F.lit(""))) != ""
-    picked = select_text(slot["sel"], slot["before"], slot["after"]) if text_only else \
-        select_html(slot["sel"], slot["before"], slot["after"])
-    sliced = slice_between("html", slot["before"], slot["after"])
-    whole = text_of(sliced) if text_only else trim_set(sliced)
-    return F.when(jv != "", jv).when(has_sel, picked).otherwise(whole)
+
+    def body(v):
+        picked = select_text(slot["sel"], slot["before"], slot["after"]) if text_only else \
+            select_html(slot["sel"], slot["before"], slot["after"])
+        sliced = slice_between("html", slot["before"], slot["after"])
+        whole = text_of(sliced) if text_only else trim_set(sliced)
+        return F.when(v != "", v).when(has_sel, picked).otherwise(whole)
+
+    return let(jv, body)
 
 
 def field_match_count(json_text, slot) -> Column:
@@ -151,10 +156,14 @@ def field_match_count(json_text, slot) -> Column:
     jc = F.when(trim_set(F.coalesce(slot["json_path"], F.lit(""))) == "", F.lit(0)) \
         .otherwise(J.json_match_count(json_text, slot["json_path"]))
     has_sel = trim_set(F.coalesce(slot["selector"], F.lit(""))) != ""
-    sliced = slice_between("html", slot["before"], slot["after"])
-    return (F.when(jc > 0, jc)
-            .when(has_sel, selector_count(slot["sel"], slot["before"], slot["after"]))
-            .otherwise(F.when(trim_set(F.regexp_replace(sliced, r"<[^\s>][^>]*>", "")) == "", 0).otherwise(1))).cast("int")
+
+    def body(c):
+        sliced = slice_between("html", slot["before"], slot["after"])
+        return (F.when(c > 0, c)
+                .when(has_sel, selector_count(slot["sel"], slot["before"], slot["after"]))
+                .otherwise(F.when(trim_set(F.regexp_replace(sliced, r"<[^\s>][^>]*>", "")) == "", 0).otherwise(1))).cast("int")
+
+    return let(jc, body)
 
 
 def date_wanted(slot) -> Column:
