@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagemill.functions.text import trim_set, unescape_basic
+from pagemill.functions.text import let, trim_set, unescape_basic
 
 # Characters encoded by the 'encoded' marker variant, in order.
 ENCODE_ENTITIES = [("&", "&amp;"), ('"', "&quot;"), ("'", "&apos;"), ("<", "&lt;"), (">", "&gt;")]
@@ -36,12 +36,6 @@ def _quote_regex(col) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(_c(col), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it (possibly many times) in ``body``: a lambda over
-    a one-element array, which keeps expression trees linear instead of exponential."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _marker_info(marker: Column) -> Column:
     m = marker
     decoded = unescape_basic(m)

@@ -47,6 +47,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it (possibly many times) in ``body``: a lambda over
+    a one-element array. Keeps expression trees linear instead of exponential, which keeps
+    analysis time flat for deeply composed URL/marker/selector expressions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim_set(col) -> Column:
     """Trim the PHP whitespace set from both ends (Spark ``trim`` only strips spaces)."""
     return F.btrim(_c(col), F.lit(TRIM_CHARS))

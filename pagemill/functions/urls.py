@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagemill.functions.text import TRIM_CHARS, trim_set, unescape_basic
+from pagemill.functions.text import TRIM_CHARS, let, trim_set, unescape_basic
 
 # Query keys removed by normalisation.
 DROP_QUERY_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "from", "spm"]
@@ -52,17 +52,19 @@ def normalize_url(col, drop_port: bool = False) -> Column:
     """Lower-case host, drop tracking query keys, fragment and user info, strip
     trailing '/'. A URL without scheme or host is returned trimmed, otherwise as is.
     The port is kept unless ``drop_port``; query bytes and order are kept."""
-    u = trim_set(_c(col))
-    p = url_parts(u)
-    items = F.split(p["query"], "&")
-    kept = F.filter(items, lambda x: ~F.split_part(x, F.lit("="), F.lit(1)).isin(DROP_QUERY_KEYS))
-    q = F.array_join(kept, "&")
-    port = F.lit("") if drop_port else F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
-    rebuilt = F.concat(p["scheme"], F.lit("://"), F.lower(p["host"]), port, p["path"],
-                       F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
-    rebuilt = F.regexp_replace(rebuilt, "/+$", "")
-    ok = u.rlike(_URL_RE) & (p["host"] != "")
-    return F.when(ok, rebuilt).otherwise(u)
+
+    def body(u):
+        p = url_parts(u)
+        kept = F.filter(F.split(p["query"], "&"),
+                        lambda x: ~F.split_part(x, F.lit("="), F.lit(1)).isin(DROP_QUERY_KEYS))
+        q = F.array_join(kept, "&")
+        port = F.lit("") if drop_port else F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
+        rebuilt = F.concat(p["scheme"], F.lit("://"), F.lower(p["host"]), port, p["path"],
+                           F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+        rebuilt = F.regexp_replace(rebuilt, "/+$", "")
+        return F.when(u.rlike(_URL_RE) & (p["host"] != ""), rebuilt).otherwise(u)
+
+    return let(trim_set(_c(col)), body)
 
 
 def _ipv4_octets(h: Column) -> Column:
@@ -88,15 +90,18 @@ def is_public_ip(col) -> Column:
     v4 private: 10/8, 172.16/12, 192.168/16; reserved: 0/8, 127/8, 169.254/16, 240/4.
     v6 private: fc00::/7; reserved: ::, ::1, fe80::/10, ::ffff:0:0/96 (mapped), 2001:db8::/32.
     """
-    h = F.lower(_c(col))
-    o = _ipv4_octets(h)
-    a = o.getItem(0).cast("int")
-    b = o.getItem(1).cast("int")
-    v4_public = ~((a == 10) | ((a == 172) & (b >= 16) & (b <= 31)) | ((a == 192) & (b == 168))
-                  | (a == 0) | (a == 127) | ((a == 169) & (b == 254)) | (a >= 240))
-    v6_public = ~(h.isin("::", "::1") | h.rlike("^f[cd]") | h.rlike("^fe[89ab]") | h.startswith("::ffff:")
-                  | h.startswith("2001:db8:") | h.startswith("2001:0db8:"))
-    return F.when(is_ipv4(h), v4_public).when(is_ipv6(h), v6_public).otherwise(F.lit(False))
+
+    def body(h):
+        o = _ipv4_octets(h)
+        a = o.getItem(0).cast("int")
+        b = o.getItem(1).cast("int")
+        v4_public = ~((a == 10) | ((a == 172) & (b >= 16) & (b <= 31)) | ((a == 192) & (b == 168))
+                      | (a == 0) | (a == 127) | ((a == 169) & (b == 254)) | (a >= 240))
+        v6_public = ~(h.isin("::", "::1") | h.rlike("^f[cd]") | h.rlike("^fe[89ab]") | h.startswith("::ffff:")
+                      | h.startswith("2001:db8:") | h.startswith("2001:0db8:"))
+        return F.when(is_ipv4(h), v4_public).when(is_ipv6(h), v6_public).otherwise(F.lit(False))
+
+    return let(F.lower(_c(col)), body)
 
 
 def url_host(col) -> Column:
@@ -105,22 +110,29 @@ def url_host(col) -> Column:
     return F.lower(F.regexp_replace(p["host"], r"^[\[\] \t\n\r\x00\x0b]+|[\[\] \t\n\r\x00\x0b]+$", ""))
 
 
+def _clean_host(host: Column) -> Column:
+    return F.lower(F.regexp_replace(host, r"^[\[\] \t\n\r\x00\x0b]+|[\[\] \t\n\r\x00\x0b]+$", ""))
+
+
 def is_safe_public_url(col) -> Column:
     """http/https with a host, no user info, no whitespace; host not localhost,
     localhost.localdomain or ``*.local``; an IP host must be public (U4). Host-name
     resolution is not done here: join ``safe_hosts`` (K10) for that."""
-    u = trim_set(_c(col))
-    p = url_parts(u)
-    host = url_host(u)
-    return (
-        F.coalesce(
-            (u != "") & u.rlike(_URL_RE) & ~u.rlike(r"\s") & (p["userinfo"] == "") & ~p["authority"].contains("@")
-            & F.lower(p["scheme"]).isin("http", "https") & (host != "")
-            & ~host.isin("localhost", "localhost.localdomain") & ~host.endswith(".local")
-            & F.when(is_ipv4(host) | is_ipv6(host), is_public_ip(host)).otherwise(F.lit(True)),
-            F.lit(False),
-        )
-    )
+
+    def body(u):
+        p = url_parts(u)
+
+        def with_host(host):
+            return F.coalesce(
+                (u != "") & u.rlike(_URL_RE) & ~u.rlike(r"\s") & ~p["authority"].contains("@")
+                & F.lower(p["scheme"]).isin("http", "https") & (host != "")
+                & ~host.isin("localhost", "localhost.localdomain") & ~host.endswith(".local")
+                & F.when(is_ipv4(host) | is_ipv6(host), is_public_ip(host)).otherwise(F.lit(True)),
+                F.lit(False))
+
+        return let(_clean_host(p["host"]), with_host)
+
+    return let(trim_set(_c(col)), body)
 
 
 def absolute_url(src, base) -> Column:
@@ -131,20 +143,23 @@ def absolute_url(src, base) -> Column:
     anything else to the directory of the base path (``../`` is not collapsed). A base
     without scheme or host leaves ``src`` unchanged.
     """
-    s = trim_set(unescape_basic(_c(src)))
-    b = url_parts(_c(base))
-    root = F.concat(b["scheme"], F.lit("://"), b["host"],
-                    F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise(F.lit("")))
-    base_ok = (_c(base).rlike(_URL_RE)) & (b["host"] != "")
-    dir_ = F.regexp_replace(F.regexp_replace(b["path"], "/+$", ""), "/[^/]*$", "")
-    dir_ = F.regexp_replace(dir_, "/+$", "")
-    ltrimmed = F.regexp_replace(s, "^/+", "")
-    return (F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), s)
-            .when(s.startswith("//"), F.concat(F.lit("https:"), s))
-            .when(~base_ok, s)
-            .when(s.startswith("/"), F.concat(root, s))
-            .when(s.rlike(ROOT_RELATIVE_PREFIX), F.concat(root, F.lit("/"), ltrimmed))
-            .otherwise(F.concat(root, dir_, F.lit("/"), ltrimmed)))
+
+    def body(v):
+        s, base_ = v["s"], v["b"]
+        b = url_parts(base_)
+        root = F.concat(b["scheme"], F.lit("://"), b["host"],
+                        F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise(F.lit("")))
+        base_ok = base_.rlike(_URL_RE) & (b["host"] != "")
+        dir_ = F.regexp_replace(F.regexp_replace(F.regexp_replace(b["path"], "/+$", ""), "/[^/]*$", ""), "/+$", "")
+        ltrimmed = F.regexp_replace(s, "^/+", "")
+        return (F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), s)
+                .when(s.startswith("//"), F.concat(F.lit("https:"), s))
+                .when(~base_ok, s)
+                .when(s.startswith("/"), F.concat(root, s))
+                .when(s.rlike(ROOT_RELATIVE_PREFIX), F.concat(root, F.lit("/"), ltrimmed))
+                .otherwise(F.concat(root, dir_, F.lit("/"), ltrimmed)))
+
+    return let(F.struct(trim_set(unescape_basic(_c(src))).alias("s"), _c(base).alias("b")), body)
 
 
 def url_hash(col) -> Column:

@@ -100,7 +100,7 @@ def json_links(json_text, path, url_field, base) -> Column:
         .otherwise(clean_links(F.coalesce(raw, F.array().cast("array<string>")), base))
 
 
-def discover_links(base, json_text, link) -> Column:
+def _discover_links(base, json_text, link) -> Column:
     """X11: JSON links if any; else within the marker slice: the selector's links if a
     selector is set, else all anchors of the slice.
 
@@ -116,7 +116,7 @@ def discover_links(base, json_text, link) -> Column:
     return let(json_links(json_text, link["json_path"], link["json_url_field"], base), body)
 
 
-def link_match_count(json_text, link) -> Column:
+def _link_match_count(json_text, link) -> Column:
     """X15 (links): same precedence, counting instead of listing."""
     has_sel = trim_set(F.coalesce(link["selector"], F.lit(""))) != ""
     n_json = F.size(json_links(json_text, link["json_path"], link["json_url_field"], F.lit("https://example.com/")))
@@ -130,7 +130,7 @@ def link_match_count(json_text, link) -> Column:
     return let(n_json, body)
 
 
-def extract_field(json_text, slot, text_only: bool) -> Column:
+def _extract_field(json_text, slot, text_only: bool) -> Column:
     """JSON value if non-empty; else within the marker slice the selector's first
     match (text or inner HTML); without a selector the whole slice (text mode strips
     tags and collapses whitespace).
@@ -150,7 +150,7 @@ def extract_field(json_text, slot, text_only: bool) -> Column:
     return let(jv, body)
 
 
-def field_match_count(json_text, slot) -> Column:
+def _field_match_count(json_text, slot) -> Column:
     """X15 (fields): JSON count, else selector count in the slice, else 1 if the slice
     has text."""
     jc = F.when(trim_set(F.coalesce(slot["json_path"], F.lit(""))) == "", F.lit(0)) \
@@ -166,6 +166,26 @@ def field_match_count(json_text, slot) -> Column:
     return let(jc, body)
 
 
+def discover_links(base, json_text, link) -> Column:
+    """X11 (see ``_discover_links``); the rule struct and page JSON are bound once."""
+    return let(F.struct(link.alias("l"), _c(json_text).alias("j")), lambda b: _discover_links(base, b["j"], b["l"]))
+
+
+def link_match_count(json_text, link) -> Column:
+    """X15 links (see ``_link_match_count``)."""
+    return let(F.struct(link.alias("l"), _c(json_text).alias("j")), lambda b: _link_match_count(b["j"], b["l"]))
+
+
+def extract_field(json_text, slot, text_only: bool) -> Column:
+    """X12 (see ``_extract_field``); the rule's field struct and page JSON are bound once."""
+    return let(F.struct(slot.alias("s"), _c(json_text).alias("j")), lambda b: _extract_field(b["j"], b["s"], text_only))
+
+
+def field_match_count(json_text, slot) -> Column:
+    """X15 fields (see ``_field_match_count``)."""
+    return let(F.struct(slot.alias("s"), _c(json_text).alias("j")), lambda b: _field_match_count(b["j"], b["s"]))
+
+
 def date_wanted(slot) -> Column:
     """A date is extracted only if its selector, markers or JSON path is set."""
     return (F.coalesce(slot["json_path"], F.lit("")) != "") | (F.coalesce(slot["selector"], F.lit("")) != "") \
