@@ -171,7 +171,7 @@ def _spark_f_pages_img(t: Tables) -> DataFrame:
         F.when(F.col("page_id") % 2 == 0, F.lit('<img src="http://10.0.0.1/p.gif"><img src="/doc/x.svg">'))
         .otherwise(F.lit("")),
         F.lit("<div style=\"background-image:url('/bg/"), (F.col("page_id") % 7).cast("string"),
-        F.lit("'.jpeg')\"></div><p> </p><section>share this</section></article>"),
+        F.lit(".jpeg')\"></div><p> </p><section>share this</section></article>"),
     )
     return t.pages.select("page_id", "url", F.replace(F.col("html"), F.lit("</article>"), insert).alias("html"))
 
