@@ -138,3 +138,28 @@ def q_image_alt(t: Tables):
     title = X.select_text(sel_literal("h1"))
     return sh.select(F.col("page_id").alias("article_id"), I.image_alt(F.lit("Photo: {title} ({source})"), title, F.lit(""))
                      .alias("alt"))
+
+
+def _clean_cfg():
+    k = F.col("article_id") % 3
+    s = lambda sels, unwrap, kws, empty: F.struct(
+        F.array(*[F.lit(x) for x in sels]).cast("array<string>").alias("remove_selectors"), F.lit(unwrap).alias("unwrap_links"),
+        F.array(*[F.lit(x) for x in kws]).cast("array<string>").alias("drop_keywords"), F.lit(empty).alias("drop_empty"))
+    return (F.when(k == 0, s(["section"], True, [], True)).when(k == 1, s([], False, ["SHARE this"], False))
+            .otherwise(s([], False, [], False)))
+
+
+_ARTICLE_SQL = D.trim_set("regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1)")
+_BG_DIV = "<div style=\"background-image:url\\(''/bg/[0-9]+\\.jpeg''\\)\"></div>"
+
+
+@register("clean_html", f"""SELECT page_id AS article_id, CASE page_id % 3
+  WHEN 0 THEN {D.trim_set(f"replace(replace(regexp_replace({_ARTICLE_SQL}, '{_BG_DIV}', '', 'g'), '<p> </p>', ''), '<section>share this</section>', '')")}
+  WHEN 1 THEN {D.trim_set(f"replace({_ARTICLE_SQL}, '<section>share this</section>', '')")}
+  ELSE {_ARTICLE_SQL} END AS clean_content
+FROM f_pages_img""", ("f_pages_img",))
+def q_clean_html(t: Tables):
+    """Remove by selector, unwrap links, drop keyword blocks, drop empty blocks."""
+    from pagemill.operators.clean import clean_content
+    a = _img_articles(t).withColumn("clean", _clean_cfg())
+    return clean_content(a, "content", "clean").select("article_id", "clean_content")
