@@ -1 +1,289 @@
 """Registered queries (see registry)."""
+
+from pyspark.sql import functions as F
+
+from pagemill.fixtures import AS_OF, Tables
+from pagemill.plans.collect import collect
+from pagemill.plans.corpus import corpus_rules, seed_queue
+from pagemill.plans.discover import corpus_list_pages, discover
+from pagemill.plans.registry import register
+
+
+def collect_corpus(t: Tables):
+    """The collect job over the whole page corpus: one rule per host, every page a due
+    item; published articles of the fixture count for duplicate tests."""
+    from pagemill.plans.catalog_content import _assets
+    from pagemill.operators.images import image_candidates
+    rules = corpus_rules(t.pages)
+    queue = seed_queue(t.pages, AS_OF)
+    published = t.f_published_pages.withColumn("title", F.lit("")).withColumn("status", F.lit("publish"))
+    cands = image_candidates(t.pages.select(F.col("page_id").alias("article_id"), F.col("url").alias("source_url"),
+                                            F.col("html").alias("content")))
+    return collect(queue, rules, t.pages, published, AS_OF, assets=_assets(cands))
+
+
+@register("collect_articles")
+def q_collect_articles(t: Tables):
+    """§3.2 end to end: published article records of the corpus collect pass."""
+    a = collect_corpus(t).articles
+    return a.select("article_id", "title", "content", "excerpt", "status", "published_at", "author_id",
+                    F.array_join(F.transform("category_ids", lambda x: x.cast("string")), ",").alias("categories"),
+                    F.array_join("tags", "|").alias("tags"), "source_url",
+                    F.to_json("seo").alias("seo"), "featured_image")
+
+
+@register("collect_transitions")
+def q_collect_transitions(t: Tables):
+    """§3.2 end to end: the queue state written for every processed item."""
+    return collect_corpus(t).transitions
+
+
+@register("discover_links_job")
+def q_discover_links_job(t: Tables):
+    """§3.1 end to end: every page as a list page of its host's rule -> new queue items."""
+    rules = corpus_rules(t.pages)
+    res = discover(rules, t.pages, t.f_queue, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages))
+    return res.new_items
+
+
+# ------------------------------------------------------------------ rewrite hand-off
+
+from pagemill.functions.text import strip_tags  # noqa: E402
+from pagemill.operators import rewrite as W  # noqa: E402
+from pagemill.plans import duck as D  # noqa: E402
+from pagemill.plans.catalog_scalars import _URL_POOL_SQL, _url_pool  # noqa: E402
+from pagemill.plans.catalog_pages import _ALL_HREFS_SQL, _links_sql  # noqa: E402
+
+
+def _parse_sql(resp: str) -> str:
+    m = f"regexp_replace(regexp_replace({D.trim_set(resp)}, '(?i)^```(?:json)?\\s*', ''), '\\s*```$', '')"
+    return f"""p0 AS (SELECT *, {m} AS m FROM src),
+p1 AS (SELECT *, CASE WHEN json_valid(m) AND (starts_with(m, '{{') OR starts_with(m, '[')) THEN m
+                      WHEN regexp_extract(m, '(?s)\\{{.*\\}}', 0) <> '' AND json_valid(regexp_extract(m, '(?s)\\{{.*\\}}', 0))
+                      THEN regexp_extract(m, '(?s)\\{{.*\\}}', 0) END AS js FROM p0),
+p2 AS (SELECT *, {D.trim_set(D.strip_tags("CASE WHEN js IS NOT NULL THEN coalesce(json_extract_string(js, '$.title'), '') ELSE '' END"))} AS new_title,
+              {D.trim_set("CASE WHEN js IS NOT NULL THEN coalesce(json_extract_string(js, '$.content'), '') ELSE m END")} AS new_content FROM p1),
+p3 AS (SELECT *, CASE WHEN new_content = '' THEN {D.q(W.MSG_EMPTY)} WHEN length({D.strip_tags('new_content')}) < 80 THEN {D.q(W.MSG_TOO_SHORT)} END AS error FROM p2)"""
+
+
+@register("parse_rewrites", f"""WITH src AS (SELECT * FROM f_rewrites), {_parse_sql('response')}
+SELECT article_id, new_title AS title, new_content AS content, error FROM p3""", ("f_rewrites",))
+def q_parse_rewrites(t: Tables):
+    """Model responses parsed (fenced JSON / embedded object / plain text)."""
+    r = W.parse_rewrite(F.col("response"))
+    return t.f_rewrites.select("article_id", r["title"].alias("title"), r["content"].alias("content"),
+                               r["error"].alias("error"))
+
+
+@register("rewrite_gate", f"""WITH src AS (SELECT * FROM f_rewrites), {_parse_sql('response')},
+g AS (SELECT *, CASE WHEN error IS NOT NULL THEN error
+        WHEN new_content = '' OR length({D.strip_tags('new_content')}) < greatest(80, CAST(floor(length({D.strip_tags('original')}) * 0.25) AS INTEGER))
+        THEN {D.q(W.MSG_TOO_SHORT)} END AS reason FROM p3)
+SELECT article_id, CASE WHEN reason IS NULL THEN 'rewrite' WHEN on_failure = 'fail' THEN 'fail' ELSE 'fallback' END AS action,
+  reason, CAST(NULL AS VARCHAR) AS warning,
+  CASE WHEN reason IS NULL AND new_title <> '' THEN new_title ELSE '' END AS final_title,
+  CASE WHEN reason IS NULL THEN new_content ELSE original END AS final_content
+FROM g""", ("f_rewrites",))
+def q_rewrite_gate(t: Tables):
+    """Quality gate and failure policy (fail -> item fails, fallback -> original)."""
+    out = W.apply_policy(t.f_rewrites.withColumn("title", F.lit("")), "title", "original", "response", "on_failure")
+    return out.select("article_id", "action", "reason", "warning", "final_title", "final_content")
+
+
+@register("rewrite_requests", f"""SELECT article_id, {D.q(W.DEFAULT_PROMPT)} AS system_prompt,
+  {D.q(W.USER_TITLE_LABEL)} || {D.strip_tags('title')} || {D.q(W.USER_BODY_LABEL)} || substr(content, 1, 1000) AS user_content,
+  0.7 AS temperature FROM f_articles""", ("f_articles",))
+def q_rewrite_requests(t: Tables):
+    """Request rows (prompt precedence, body cut to the clamped input size)."""
+    out = W.rewrite_requests(t.f_articles, max_input_chars=500, temperature=0.7)
+    return out.select("article_id", "system_prompt", "user_content", "temperature")
+
+
+def _responses(t: Tables):
+    d = F.col("doc_id")
+    js = F.to_json(F.struct(F.concat(F.lit("R "), d.cast("string")).alias("title"), F.col("text").alias("content")))
+    resp = F.when(d % 3 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).when(d % 3 == 1, F.lit("")) \
+        .otherwise(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")))
+    return t.documents.select(F.col("doc_id").alias("article_id"), resp.alias("response"))
+
+
+@register("rewrite_published", f"""WITH src AS (SELECT a.article_id, a.title, a.content,
+   CASE d.doc_id % 3 WHEN 0 THEN '```json' || chr(10) || json_object('title', 'R ' || CAST(d.doc_id AS VARCHAR), 'content', d.text) || chr(10) || '```'
+                     WHEN 1 THEN '' ELSE '<p>' || d.text || '</p>' END AS response
+   FROM f_articles a JOIN documents d ON a.article_id = d.doc_id), {_parse_sql('response')},
+g AS (SELECT *, CASE WHEN error IS NOT NULL THEN error
+        WHEN new_content = '' OR length({D.strip_tags('new_content')}) < greatest(80, CAST(floor(length({D.strip_tags('content')}) * 0.25) AS INTEGER))
+        THEN {D.q(W.MSG_TOO_SHORT)} END AS reason FROM p3)
+SELECT article_id, CASE WHEN reason IS NULL AND new_title <> '' THEN new_title ELSE title END AS title,
+  CASE WHEN reason IS NULL THEN new_content ELSE content END AS content, reason IS NULL AS rewritten, reason
+FROM g""", ("f_articles",))
+def q_rewrite_published(t: Tables):
+    """Re-rewrite of published articles; any failure leaves the article untouched."""
+    return W.rewrite_published(t.f_articles, _responses(t))
+
+
+# ------------------------------------------------------------------ validation, previews (V)
+
+from pagemill.sources import rules_io as RIO  # noqa: E402
+from pagemill.operators import preview as PV  # noqa: E402
+
+
+def _absint_sql(x: str) -> str:
+    return f"CAST(abs(CAST(trunc(coalesce(TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE), 0)) AS BIGINT)) AS INTEGER)"
+
+
+_V6 = {
+    "batch_limit": f"least(greatest(1, {_absint_sql('batch_limit')}), 50)",
+    "retry_limit": f"least({_absint_sql('retry_limit')}, 10)",
+    "request_delay": f"least({_absint_sql('request_delay')}, 30)",
+    "page_start": f"greatest(1, {_absint_sql('page_start')})",
+    "page_end": f"greatest(greatest(1, {_absint_sql('page_end')}), greatest(1, {_absint_sql('page_start')}))",
+    "publish_delay_min": _absint_sql("publish_delay_min"),
+    "publish_delay_max": f"greatest({_absint_sql('publish_delay_max')}, {_absint_sql('publish_delay_min')})",
+    "excerpt_length": f"least(greatest(50, {_absint_sql('excerpt_length')}), 500)",
+    "post_status": "CASE WHEN post_status IN ('draft', 'publish', 'future', 'pending') THEN post_status ELSE 'draft' END",
+    "publish_mode": "CASE WHEN publish_mode IN ('immediate', 'random_future') THEN publish_mode ELSE 'immediate' END",
+    "seo_family": "CASE WHEN seo_family IN ('none', 'rank_math', 'yoast', 'aioseo') THEN seo_family ELSE 'none' END",
+    "rewrite_on_failure": "CASE WHEN rewrite_on_failure IN ('fallback', 'fail') THEN rewrite_on_failure ELSE 'fallback' END",
+    "json_source": f"CASE WHEN regexp_matches(substr({D.trim_set('json_source')}, 1, 100), "
+                   f"'^(?:__NEXT_DATA__|next|ld\\+json|json-ld|id:[A-Za-z0-9_:\\-]+|var:[A-Za-z_$][A-Za-z0-9_$.]*)$') "
+                   f"THEN substr({D.trim_set('json_source')}, 1, 100) ELSE '__NEXT_DATA__' END",
+}
+
+
+@register("validate_rules", "SELECT rule_id, " + ", ".join(f"{v} AS {k}" for k, v in _V6.items()) + ", concat_ws(',', "
+          + ", ".join(f"CASE WHEN CAST({k} AS VARCHAR) IS DISTINCT FROM CAST({v} AS VARCHAR) THEN '{k}' END" for k, v in _V6.items())
+          + ") AS violations FROM f_rule_set", ("f_rule_set",))
+def q_validate_rules(t: Tables):
+    """V6: clamps, enum repairs, page/delay ordering, JSON-source pattern; repaired fields listed."""
+    v = RIO.validate_rules(t.f_rule_set)
+    return v.withColumn("violations", F.array_join("violations", ","))
+
+
+@register("preview_links", f"""WITH {_ALL_HREFS_SQL},
+{_links_sql('raw', 'page_id').replace('SELECT page_id, u AS url,', 'SELECT page_id, u AS url, md5(u) AS h,', 1).replace('firsts AS', 'firsts AS', 1)}""".replace(
+    "SELECT page_id, u AS url, md5(u) AS h, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS pos FROM firsts",
+    f"""SELECT page_id, count(*) AS links, count_if(NOT dup) AS ready, count_if(dup) AS duplicates FROM (
+  SELECT page_id, u, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos,
+         md5({D.normalize_url('u')}) IN (SELECT md5({D.normalize_url('source_url')}) FROM f_published_pages) AS dup FROM firsts)
+WHERE pos < 50 GROUP BY page_id"""), ("f_published_pages",))
+def q_preview_links(t: Tables):
+    """V1: list preview per page: first 50 links, ready vs already published."""
+    from pagemill.operators import extract as X
+    links = t.pages.select("page_id", F.posexplode(X.anchor_links(F.col("html"), F.col("url"))).alias("pos", "url"))
+    p = PV.preview_links(links, t.f_published_pages)
+    return p.select("page_id", "links", "ready", "duplicates")
+
+
+def _corpus_preview(t: Tables):
+    from pagemill.functions import jsonpage as J
+    from pagemill.operators.queue import due_items
+    from pagemill.operators.shred import shred
+    from pagemill.plans.corpus import compile_rule_selectors
+    rules = compile_rule_selectors(corpus_rules(t.pages))
+    items = seed_queue(t.pages, AS_OF)
+    due = due_items(items, rules, AS_OF).select("queue_id", "rule_id", "url", "r_title", "r_content", "r_date", "r_clean",
+                                                "r_json_source")
+    pages = t.pages.select(F.md5(F.col("url")).alias("_k"), "html")
+    j = due.withColumn("_k", F.md5("url")).join(t.pages.select(F.col("page_id").alias("queue_id"), "html"), "queue_id") \
+        .drop("_k")
+    sh = shred(j).withColumn("page_json", J.page_json(F.col("html"), F.col("r_json_source"))) \
+        .withColumnRenamed("r_title", "title").withColumnRenamed("r_content", "content") \
+        .withColumnRenamed("r_date", "date").withColumnRenamed("r_clean", "clean")
+    del pages
+    return PV.preview_articles(sh)
+
+
+@register("preview_articles")
+def q_preview_articles(t: Tables):
+    """V2+V3: article preview of every corpus page under its host's rule, with warnings."""
+    p = _corpus_preview(t)
+    return p.select("queue_id", "rule_id", "x_title", "raw_length", "clean_length", "image_count", "anchor_count",
+                    "title_matches", "content_matches", F.array_join("warnings", ",").alias("warnings"))
+
+
+@register("rule_coverage")
+def q_rule_coverage(t: Tables):
+    """V4: per rule share of pages with each warning and mean match counts."""
+    return PV.rule_coverage(_corpus_preview(t))
+
+
+@register("discovery_log")
+def q_discovery_log(t: Tables):
+    """V7: links added per rule by a discovery pass, as log rows."""
+    rules = corpus_rules(t.pages)
+    res = discover(rules, t.pages, t.f_queue, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages))
+    return res.logs
+
+
+# ------------------------------------------------------------------ sources and sinks (S)
+
+from pagemill.plans.collect import page_scan  # noqa: E402
+from pagemill.sources import sinks as SK  # noqa: E402
+
+
+@register("page_scan", f"""WITH {_URL_POOL_SQL},
+items AS (SELECT DISTINCT u AS url FROM pool WHERE NOT starts_with(src, 'r')),
+keys AS (SELECT md5({D.normalize_url('url')}) AS h, min(page_id) AS page_id FROM pages GROUP BY 1)
+SELECT i.url, k.page_id, CASE WHEN NOT {D.is_safe_url('i.url')} THEN 'unsafe URL' WHEN k.page_id IS NULL THEN 'page fetch failed' END AS fetch_error
+FROM items i LEFT JOIN keys k ON md5({D.normalize_url('i.url')}) = k.h""", ("f_rule_set",))
+def q_page_scan(t: Tables):
+    """S1+S2: page URLs and resolved anchor links looked up in the corpus; missing pages
+    and unsafe URLs become fetch failures."""
+    items = _url_pool(t).where(~F.col("src").startswith("r")).select(F.col("u").alias("url")).distinct()
+    return page_scan(items, t.pages).select("url", "page_id", "fetch_error")
+
+
+@register("manual_urls", f"""WITH l AS (SELECT rule_id, {D.lines('list_urls_text')} AS ls FROM f_rule_set),
+x AS (SELECT rule_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
+y AS (SELECT rule_id, {D.normalize_url('line')} AS u, i FROM x),
+z AS (SELECT * FROM y WHERE {D.is_safe_url('u')}),
+firsts AS (SELECT rule_id, u, min(i) AS i FROM z GROUP BY rule_id, u)
+SELECT rule_id, u AS url, CAST(row_number() OVER (PARTITION BY rule_id ORDER BY i) - 1 AS INTEGER) AS pos FROM firsts""", ("f_rule_set",))
+def q_manual_urls(t: Tables):
+    """Manual URL blocks as (rule, position, URL) rows."""
+    return RIO.manual_urls(t.f_rule_set, "list_urls_text")
+
+
+@register("append_logs", f"""SELECT log_id, regexp_replace(lower(CASE WHEN log_id % 3 = 0 THEN upper(level) || ' !' ELSE level END), '[^a-z0-9_\\-]', '', 'g') AS level,
+  {D.strip_tags("CASE WHEN log_id % 2 = 0 THEN '<b>' || message || '</b>' ELSE message END")} AS message, {D.trim_set("' ' || url")} AS url
+FROM f_logs""", ("f_logs",))
+def q_append_logs(t: Tables):
+    """Log rows normalised for the sink (level key, tag-free message, trimmed URL)."""
+    lg = t.f_logs.select("log_id", F.when(F.col("log_id") % 3 == 0, F.concat(F.upper("level"), F.lit(" !"))).otherwise(F.col("level")).alias("level"),
+                         F.when(F.col("log_id") % 2 == 0, F.concat(F.lit("<b>"), F.col("message"), F.lit("</b>"))).otherwise(F.col("message")).alias("message"),
+                         F.concat(F.lit(" "), F.col("url")).alias("url"))
+    return SK.normalize_log_rows(lg)
+
+
+@register("diagnostics")
+def q_diagnostics(t: Tables):
+    """One-row diagnostics JSON (totals, status counts, newest problems, failed samples)."""
+    return SK.diagnostics(t.f_rules, t.f_queue, t.f_logs, AS_OF)
+
+
+@register("conform_queue", """SELECT queue_id, rule_id, url, CAST(NULL AS VARCHAR) AS url_hash, status, attempts, last_error,
+  CAST(NULL AS BIGINT) AS article_id, discovered_at, scheduled_at, started_at, finished_at FROM f_queue""", ("f_queue",))
+def q_conform_queue(t: Tables):
+    """The fixture queue conformed to the queue schema (missing columns added)."""
+    return SK.conform_queue(t.f_queue)
+
+
+@register("import_rules")
+def q_import_rules(t: Tables):
+    """S3+S4: rules exported to JSON (ordered, without ids/timestamps) and imported back
+    with allow-listed keys, defaults and the 200-rule cap."""
+    import os
+    from pyspark.sql import types as T
+    from pagemill.session import scratch_path
+    rs = t.f_rule_set.select("rule_id", "name", "enabled", "pagination_pattern", "page_start", "page_end", "batch_limit",
+                             "retry_limit", "request_delay", "excerpt_length", "post_status", "json_source")
+    path = scratch_path(t.spark, f"rules-export-{abs(hash(t.sf_dir)) % 10**8}")
+    RIO.export_rules(rs, path)
+    schema = T.StructType([f for f in rs.schema.fields if f.name != "rule_id"] + [T.StructField("author_id", T.LongType())])
+    imported = RIO.import_rules(t.spark, path, {"author_id": 0, "enabled": True}, schema)
+    del os
+    return RIO.validate_rules(imported.withColumn("publish_delay_min", F.lit(0)).withColumn("publish_delay_max", F.lit(0))
+                              .withColumn("publish_mode", F.lit("immediate")).withColumn("seo_family", F.lit("none"))
+                              .withColumn("rewrite_on_failure", F.lit("fallback"))) \
+        .withColumn("violations", F.array_join("violations", ","))
