@@ -287,3 +287,33 @@ def q_import_rules(t: Tables):
                               .withColumn("publish_mode", F.lit("immediate")).withColumn("seo_family", F.lit("none"))
                               .withColumn("rewrite_on_failure", F.lit("fallback"))) \
         .withColumn("violations", F.array_join("violations", ","))
+
+
+# ------------------------------------------------------------------ streaming (T)
+
+def _stream_paths(t: Tables, name: str):
+    from pagemill.session import scratch_path
+    tag = f"{name}-{abs(hash(t.sf_dir)) % 10**8}"
+    return scratch_path(t.spark, "out-" + tag), tag
+
+
+@register("stream_daily", """SELECT CAST(event_ts AS DATE) AS day, count(*) AS total_count,
+  count_if(status = 'success') AS success_count, count_if(status = 'failed') AS failed_count
+FROM f_transitions GROUP BY 1""", ("f_transitions",))
+def q_stream_daily(t: Tables):
+    """T5: daily transition counters computed by a watermarked windowed stream over the
+    event files (AvailableNow), identical to the batch aggregate."""
+    from pagemill.streaming.jobs import stream_daily
+    out, tag = _stream_paths(t, "daily")
+    return stream_daily(t.spark, t.sf_dir + "/event[s].parquet", out, AS_OF, name=tag)
+
+
+@register("stream_queue_state", """SELECT queue_id, arg_max(rule_id, (event_ts, seq)) AS rule_id, arg_max(seq, (event_ts, seq)) AS seq,
+  arg_max(status, (event_ts, seq)) AS status, max(event_ts) AS event_ts
+FROM f_transitions GROUP BY queue_id""", ("f_transitions",))
+def q_stream_queue_state(t: Tables):
+    """T4: per-item state held by ``applyInPandasWithState`` over the transition stream;
+    equals the batch fold (Q12) when no timer fires."""
+    from pagemill.streaming.jobs import stream_queue_state
+    out, tag = _stream_paths(t, "qstate")
+    return stream_queue_state(t.spark, t.sf_dir + "/event[s].parquet", out, AS_OF, name=tag)
