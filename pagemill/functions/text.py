@@ -144,33 +144,40 @@ _PLACEHOLDER_SPLIT = r"(?=\{(?:title|excerpt|site|source)\})|(?<=\{(?:title|exce
 
 def render_template(tpl, title, excerpt_, site, source) -> Column:
     """Replace {title} {excerpt} {site} {source} in one simultaneous pass (inserted
-    text is never re-expanded); empty template -> '{title}'."""
+    text is never re-expanded); empty template -> '{title}'. The four values are computed
+    once per row (bound outside the token lambda)."""
     t = F.when(F.coalesce(_c(tpl), F.lit("")) == "", F.lit("{title}")).otherwise(_c(tpl))
-    vals = {"{title}": strip_tags(title), "{excerpt}": strip_tags(excerpt_), "{site}": _c(site),
-            "{source}": trim_set(_c(source))}
+    vals = F.struct(F.coalesce(strip_tags(title), F.lit("")).alias("title"),
+                    F.coalesce(strip_tags(excerpt_), F.lit("")).alias("excerpt"),
+                    F.coalesce(_c(site), F.lit("")).alias("site"),
+                    F.coalesce(trim_set(_c(source)), F.lit("")).alias("source"))
 
-    def tok(x):
-        out = x
-        for k, v in vals.items():
-            out = F.when(x == k, F.coalesce(v, F.lit(""))).otherwise(out)
-        return out
+    def body(v):
+        def tok(x):
+            out = x
+            for k in TEMPLATE_KEYS:
+                out = F.when(x == "{" + k + "}", v[k]).otherwise(out)
+            return out
 
-    return F.array_join(F.transform(F.split(t, _PLACEHOLDER_SPLIT), tok), "")
+        return F.array_join(F.transform(F.split(t, _PLACEHOLDER_SPLIT), tok), "")
+
+    return let(vals, body)
 
 
 def seo_fields(family, title, excerpt_, site, source, title_tpl, desc_tpl) -> dict[str, Column]:
     """C11: SEO meta keys/values of the rule's family; 'none'/unknown -> nulls."""
     fam = _c(family)
-    t = render_template(F.when(F.coalesce(_c(title_tpl), F.lit("")) == "", F.lit("{title}")).otherwise(_c(title_tpl)),
-                        title, excerpt_, site, source)
-    d = render_template(F.when(F.coalesce(_c(desc_tpl), F.lit("")) == "", F.lit("{excerpt}")).otherwise(_c(desc_tpl)),
-                        title, excerpt_, site, source)
+    t_tpl = F.when(F.coalesce(_c(title_tpl), F.lit("")) == "", F.lit("{title}")).otherwise(_c(title_tpl))
+    d_tpl = F.when(F.coalesce(_c(desc_tpl), F.lit("")) == "", F.lit("{excerpt}")).otherwise(_c(desc_tpl))
+    both = let(F.struct(_c(title).alias("t"), _c(excerpt_).alias("e")), lambda v: F.struct(
+        render_template(t_tpl, v["t"], v["e"], site, source).alias("title"),
+        render_template(d_tpl, v["t"], v["e"], site, source).alias("desc")))
     tk, dk = F.lit(None).cast("string"), F.lit(None).cast("string")
     for f, (a, b) in SEO_KEYS.items():
         tk = F.when(fam == f, F.lit(a)).otherwise(tk)
         dk = F.when(fam == f, F.lit(b)).otherwise(dk)
-    return {"seo_title_key": tk, "seo_title": F.when(tk.isNotNull(), t),
-            "seo_desc_key": dk, "seo_desc": F.when(dk.isNotNull(), d)}
+    return {"seo_title_key": tk, "seo_title": F.when(tk.isNotNull(), both["title"]),
+            "seo_desc_key": dk, "seo_desc": F.when(dk.isNotNull(), both["desc"])}
 
 
 def parse_category_rules(text_col) -> Column:
@@ -183,17 +190,21 @@ def parse_category_rules(text_col) -> Column:
 
 def match_category(context, cat_rules) -> Column:
     """Id of the first keyword line found (case-insensitive) with id > 0, else 0."""
-    ctx = F.lower(_c(context))
-    hit = F.filter(F.coalesce(_c(cat_rules), F.array().cast("array<struct<keyword:string,category_id:bigint>>")),
-                   lambda r: (r["keyword"] != "") & (F.instr(ctx, F.lower(r["keyword"])) > 0) & (r["category_id"] > 0))
-    return F.coalesce(F.get(hit, 0)["category_id"], F.lit(0).cast("long"))
+    rules = F.coalesce(_c(cat_rules), F.array().cast("array<struct<keyword:string,category_id:bigint>>"))
+
+    def body(ctx):
+        hit = F.filter(rules, lambda r: (r["keyword"] != "") & (F.instr(ctx, F.lower(r["keyword"])) > 0)
+                       & (r["category_id"] > 0))
+        return F.coalesce(F.get(hit, 0)["category_id"], F.lit(0).cast("long"))
+
+    return let(F.lower(_c(context)), body)
 
 
 def auto_tags(context, keywords) -> Column:
     """Keywords (listed order) that occur case-insensitively; distinct."""
-    ctx = F.lower(_c(context))
     kws = F.coalesce(_c(keywords), F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(kws, lambda k: (k != "") & (F.instr(ctx, F.lower(k)) > 0)))
+    return let(F.lower(_c(context)),
+               lambda ctx: F.array_distinct(F.filter(kws, lambda k: (k != "") & (F.instr(ctx, F.lower(k)) > 0))))
 
 
 def fixed_tags(col) -> Column:

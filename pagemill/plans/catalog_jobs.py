@@ -317,3 +317,24 @@ def q_stream_queue_state(t: Tables):
     from pagemill.streaming.jobs import stream_queue_state
     out, tag = _stream_paths(t, "qstate")
     return stream_queue_state(t.spark, t.sf_dir + "/event[s].parquet", out, AS_OF, name=tag)
+
+
+@register("enrich_articles")
+def q_enrich_articles(t: Tables):
+    """C9–C19 together on every document-derived article: excerpt, category, tags, SEO,
+    status and schedule (the publish record without page extraction)."""
+    from pagemill.functions import text as C
+    # shared per-row values materialised once (Spark keeps non-trivial projections apart)
+    a = t.f_articles.withColumn("_ctx", F.concat(F.col("title"), F.lit("\n"), C.strip_tags(F.col("content")))) \
+        .withColumn("_exc", C.excerpt(F.col("content"), 160))
+    ctx, exc = F.col("_ctx"), F.col("_exc")
+    cats = C.parse_category_rules(F.lit("the=>3\nde=>5\nund=>7\nla=>11"))
+    kws = F.split(F.lit("news\nthe\nde\nund"), "\n")
+    seo = C.seo_fields(F.lit("yoast"), F.col("title"), exc, F.lit("Site"), F.col("source_url"), F.lit("{title} | {site}"), F.lit(""))
+    sched = F.timestamp_add("MINUTE", C.schedule_delay_minutes(F.col("source_url"), F.lit(10), F.lit(90)),
+                            F.lit(AS_OF).cast("timestamp_ntz"))
+    return a.select("article_id", exc.alias("excerpt"),
+                    C.article_category(C.match_category(ctx, cats), F.col("article_id") % 4).alias("category_id"),
+                    F.array_join(C.article_tags(C.fixed_tags(F.lit("corpus, imported")), C.auto_tags(ctx, kws), F.lit(True)), "|")
+                    .alias("tags"), seo["seo_title"].alias("seo_title"), seo["seo_desc"].alias("seo_desc"),
+                    C.article_status(F.lit("future"), sched).alias("status"), sched.alias("published_at"))

@@ -70,8 +70,10 @@ def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
     status, date, author, categories, tags, SEO keys, source URL, featured image)."""
     ts = F.lit(as_of).cast("timestamp_ntz") if not hasattr(as_of, "_jc") else as_of
     content = F.col("clean_content")
-    ctx = F.concat(F.col("x_title"), F.lit("\n"), strip_tags(content))
-    exc = excerpt(content, F.col("r_excerpt_length"))
+    # shared per-row values materialised once
+    df = df.withColumn("_ctx", F.concat(F.col("x_title"), F.lit("\n"), strip_tags(content))) \
+        .withColumn("_exc", excerpt(content, F.col("r_excerpt_length")))
+    ctx, exc = F.col("_ctx"), F.col("_exc")
     scheduled = F.when(F.col("r_publish_mode") == "random_future",
                        F.timestamp_add("MINUTE", schedule_delay_minutes(F.col("url"), F.col("r_publish_delay_min"),
                                                                         F.col("r_publish_delay_max")), ts))
