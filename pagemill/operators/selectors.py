@@ -211,7 +211,9 @@ def with_compiled(rules, selector_col: str, out: str):
     table: compile the distinct selectors Spark-side and join them back by value."""
     distinct = rules.select(F.col(selector_col).alias("_sel")).distinct()
     comp = distinct.select("_sel", compile_selector_udf(F.coalesce(F.col("_sel"), F.lit(""))).alias(out))
-    return rules.join(F.broadcast(comp), rules[selector_col].eqNullSafe(comp["_sel"]), "left").drop("_sel")
+    from pagemill.operators.joins import small
+
+    return rules.join(small(comp), rules[selector_col].eqNullSafe(comp["_sel"]), "left").drop("_sel")
 
 
 def match_nodes(nodes, sel, within=None) -> Column:

@@ -49,9 +49,9 @@ def q_queue_with_rule(t: Tables):
 
 
 _RULE_COUNTS = """SELECT r.rule_id, r.name,
-       CAST(count_if(q.status = 'pending') AS BIGINT) AS pending_count,
-       CAST(count_if(q.status = 'success') AS BIGINT) AS success_count,
-       CAST(count_if(q.status = 'failed') AS BIGINT) AS failed_count,
+       CAST(coalesce(count_if(q.status = 'pending'), 0) AS BIGINT) AS pending_count,
+       CAST(coalesce(count_if(q.status = 'success'), 0) AS BIGINT) AS success_count,
+       CAST(coalesce(count_if(q.status = 'failed'), 0) AS BIGINT) AS failed_count,
        CAST(count(q.queue_id) AS BIGINT) AS total_count
 FROM f_rules r LEFT JOIN f_queue q ON r.rule_id = q.rule_id GROUP BY r.rule_id, r.name"""
 
