@@ -47,6 +47,22 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_COL_CACHE: dict = {}
+
+
+def cached_columns(key: str, build):
+    """Build a fixed set of Column expressions once per Spark context and reuse them.
+    Composite page expressions cost seconds of driver time to construct (thousands of
+    JVM calls); the same expression over the same column names is reused by every run
+    of a job in this process."""
+    from pyspark import SparkContext
+
+    k = (id(SparkContext._active_spark_context), key)
+    if k not in _COL_CACHE:
+        _COL_CACHE[k] = build()
+    return _COL_CACHE[k]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it (possibly many times) in ``body``: a lambda over
     a one-element array. Keeps expression trees linear instead of exponential, which keeps

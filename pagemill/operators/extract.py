@@ -195,9 +195,12 @@ def date_wanted(slot) -> Column:
 def extract_articles(df: DataFrame, json_col: str = "page_json") -> DataFrame:
     """X12–X14 over shredded pages joined to their rule: adds title, content, date and
     ``extract_error`` (non-null -> the item fails with that reason)."""
-    title = extract_field(F.col(json_col), F.col("title"), True)
-    content = extract_field(F.col(json_col), F.col("content"), False)
-    date = F.when(date_wanted(F.col("date")), extract_field(F.col(json_col), F.col("date"), True)).otherwise(F.lit(""))
+    from pagemill.functions.text import cached_columns
+
+    title, content, date = cached_columns("extract_articles:" + json_col, lambda: (
+        extract_field(F.col(json_col), F.col("title"), True),
+        extract_field(F.col(json_col), F.col("content"), False),
+        F.when(date_wanted(F.col("date")), extract_field(F.col(json_col), F.col("date"), True)).otherwise(F.lit(""))))
     out = df.withColumn("x_title", title).withColumn("x_content", content).withColumn("x_date", date)
     return out.withColumn("extract_error", F.when((F.col("x_title") == "") | (F.col("x_content") == ""),
                                                   F.lit("title or content extraction failed")))

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.functions import jsonpage as J
+from pagemill.functions.text import cached_columns
 from pagemill.functions.text import (
     allow_html, apply_replacements, article_category, article_status, article_tags, auto_tags, coerce_date, excerpt,
     match_category, schedule_delay_minutes, seo_fields, strip_tags)
@@ -111,7 +112,7 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
     fetched = page_scan(claimed, pages)
     ok_fetch = fetched.where(F.col("fetch_error").isNull())
     sh = shred(ok_fetch)
-    page_js = J.page_json(F.col("html"), F.col("r_json_source"))
+    page_js = cached_columns("collect_page_json", lambda: J.page_json(F.col("html"), F.col("r_json_source")))
     sh = sh.withColumn("page_json", page_js).withColumn("title", F.col("r_title")) \
         .withColumn("content", F.col("r_content")).withColumn("date", F.col("r_date"))
     ex = X.extract_articles(sh).drop("nodes", "page_text", "html", "page_json", "title", "content", "date")

@@ -16,13 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagemill.functions import jsonpage as J
-from pagemill.functions.text import trim_set
+from pagemill.functions.text import cached_columns, trim_set
 from pagemill.functions.urls import list_page_urls, normalize_url, url_host
 from pagemill.operators import extract as X
 from pagemill.operators import queue as Q
 from pagemill.operators.reports import rules_to_discover
 from pagemill.operators.shred import NODE_TYPE, shred
 from pagemill.plans.corpus import compile_rule_selectors
+from pagemill.session import cut_lineage
 
 
 @dataclass
@@ -55,7 +56,8 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
     no_tree = fetched.where(~needs_tree).withColumn("page_text", F.lit("")) \
         .withColumn("nodes", F.array().cast(T.ArrayType(NODE_TYPE)))
     both = with_tree.unionByName(no_tree)
-    links = X.discover_links(F.col("page_url"), J.page_json(F.col("html"), F.col("json_source")), F.col("link"))
+    links = cached_columns("discover_links", lambda: X.discover_links(
+        F.col("page_url"), J.page_json(F.col("html"), F.col("json_source")), F.col("link")))
     out = both.select("rule_id", "list_pos", F.posexplode(links).alias("link_pos", "url"))
     return out.select("rule_id", (F.col("list_pos").cast("long") * 100000 + F.col("link_pos")).alias("pos"), "url")
 
@@ -68,7 +70,9 @@ def discover(rules: DataFrame, pages: DataFrame, queue: DataFrame, articles: Dat
         listed = list_pages(chosen)
     else:
         listed = listed.join(chosen.select("rule_id"), "rule_id", "left_semi")
-    links = links_of_pages(listed, pages, chosen)
+    # links feed several steps (dedupe, ranking, anti joins): extract them once and cut the
+    # lineage in the shared checkpoint folder
+    links = cut_lineage(links_of_pages(listed, pages, chosen))
     new = Q.enqueue(links, queue, articles, chosen, as_of)
     ts = F.lit(as_of).cast("timestamp_ntz")
     logs = new.groupBy("rule_id").agg(F.count(F.lit(1)).alias("added")).select(
