@@ -57,6 +57,13 @@ def q_image_candidates(t: Tables):
     return I.image_candidates(_img_articles(t)).select("article_id", "pos", "url", "verdict")
 
 
+def _cands(t: Tables):
+    """Image candidates of the fixture, extracted once (the asset table is derived from
+    them, so they are read twice)."""
+    from pagemill.session import cut_lineage
+    return cut_lineage(I.image_candidates(_img_articles(t)))
+
+
 def _assets(cands):
     """Asset table standing in for downloads, derived from the candidate URLs: one URL
     pattern is missing, one is oversized, PNGs carry a non-image MIME type."""
@@ -79,7 +86,7 @@ gated AS (SELECT c.*, CASE WHEN c.verdict <> 'candidate' THEN c.verdict
 @register("image_gate", f"WITH {_CANDS_SQL},\n{_ASSETS_SQL}\nSELECT article_id, pos, url, v2 AS verdict FROM gated", ("f_pages_img",))
 def q_image_gate(t: Tables):
     """I4: asset gate (exists, size within the cap, image MIME type)."""
-    c = I.image_candidates(_img_articles(t))
+    c = _cands(t)
     return I.image_gate(c, _assets(c)).select("article_id", "pos", "url", "verdict")
 
 
@@ -91,14 +98,14 @@ _CAP_SQL = f"""capd AS (SELECT *, CASE WHEN coalesce(sum(CASE WHEN v2 = 'ok' THE
 @register("image_cap", f"WITH {_CANDS_SQL},\n{_ASSETS_SQL},\n{_CAP_SQL}\nSELECT article_id, pos, status FROM capd", ("f_pages_img",))
 def q_image_cap(t: Tables):
     """At most 2 successful images per article; later sources are not processed."""
-    c = I.image_candidates(_img_articles(t))
+    c = _cands(t)
     return I.image_cap(I.image_gate(c, _assets(c)), 2).select("article_id", "pos", "status")
 
 
 @register("image_cap_zero", f"WITH {_CANDS_SQL}\nSELECT article_id, pos, 'skipped' AS status FROM cands", ("f_pages_img",))
 def q_image_cap_zero(t: Tables):
     """A cap of 0 skips every source."""
-    c = I.image_candidates(_img_articles(t))
+    c = _cands(t)
     return I.image_cap(I.image_gate(c, _assets(c)), 0).select("article_id", "pos", "status")
 
 
@@ -110,7 +117,7 @@ SELECT article_id, count(*) AS found, count_if(status = 'downloaded') AS downloa
 FROM capd GROUP BY article_id""", ("f_pages_img",))
 def q_image_stats(t: Tables):
     """I6+I9: per article found/downloaded/failed/skipped and the featured image."""
-    c = I.image_candidates(_img_articles(t))
+    c = _cands(t)
     f = I.fold_images(I.image_cap(I.image_gate(c, _assets(c)), 2))
     return f.select("article_id", "found", "downloaded", "failed", "skipped", "featured_image")
 

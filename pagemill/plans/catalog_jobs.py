@@ -338,3 +338,30 @@ def q_enrich_articles(t: Tables):
                     F.array_join(C.article_tags(C.fixed_tags(F.lit("corpus, imported")), C.auto_tags(ctx, kws), F.lit(True)), "|")
                     .alias("tags"), seo["seo_title"].alias("seo_title"), seo["seo_desc"].alias("seo_desc"),
                     C.article_status(F.lit("future"), sched).alias("status"), sched.alias("published_at"))
+
+
+@register("stream_discovery")
+def q_stream_discovery(t: Tables):
+    """T1+T3: the discovery stream over the page files (AvailableNow): new queue items,
+    exact duplicate suppression against the queue table across batches."""
+    from pagemill.streaming.jobs import stream_discovery
+    out, tag = _stream_paths(t, "sdisc")
+    stream_discovery(t.spark, t.sf_dir + "/page[s].parquet", out, corpus_rules(t.pages), t.f_published_pages, AS_OF,
+                     name=tag)
+    return t.spark.read.parquet(out).drop("batch_id").dropDuplicates(["rule_id", "url_hash"])
+
+
+@register("stream_collect")
+def q_stream_collect(t: Tables):
+    """T2+T6+T7: the collect stream: each batch of new queue files runs a collect pass
+    (per-rule FIFO batches); articles, transitions and logs per batch, logs retained."""
+    import os
+    from pagemill.streaming.jobs import stream_collect
+    from pagemill.schema import QUEUE, conform
+    out, tag = _stream_paths(t, "scoll")
+    qsrc = os.path.join(out, "queue_src")
+    if not os.path.isdir(qsrc):
+        conform(seed_queue(t.pages, AS_OF), QUEUE).write.mode("overwrite").parquet(qsrc)
+    stream_collect(t.spark, qsrc, os.path.join(out, "sink"), corpus_rules(t.pages), t.pages, t.f_published_pages, AS_OF,
+                   name=tag)
+    return t.spark.read.parquet(os.path.join(out, "sink", "transitions"))

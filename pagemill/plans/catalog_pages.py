@@ -267,13 +267,12 @@ def _count_sql(sel: str) -> str:
 @register("selector_count", "\nUNION ALL\n".join(
     f"SELECT page_id, {D.q(s)} AS selector, {_count_sql(s)} AS n FROM pages" for s in SELECTORS))
 def q_selector_count(t: Tables):
-    """X4+X7: match counts of CSS/XPath selectors (unsupported -> 0, never 'everything')."""
-    sh = shred(t.pages).select("page_id", "html", "page_text", "nodes")
-    parts = [sh.select("page_id", F.lit(s).alias("selector"), X.selector_count(sel_literal(s)).alias("n")) for s in SELECTORS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """X4+X7: match counts of CSS/XPath selectors (unsupported -> 0, never 'everything'),
+    all selectors evaluated in one pass over each shredded page."""
+    sh = shred(t.pages)
+    counts = sh.select("page_id", *[X.selector_count(sel_literal(s)).alias(f"c{i}") for i, s in enumerate(SELECTORS)])
+    pairs = ", ".join(f"'{s.replace(chr(39), chr(39) * 2)}', c{i}" for i, s in enumerate(SELECTORS))
+    return counts.selectExpr("page_id", f"stack({len(SELECTORS)}, {pairs}) AS (selector, n)")
 
 
 @register("outer_sample", """SELECT page_id, substr(regexp_extract(html, '(?s)<h1[^>]*>.*?</h1>', 0), 1, 200) AS h1_sample,
@@ -404,3 +403,14 @@ def q_field_match_count(t: Tables):
     cs = _strategy("page_id", [field_slot(*s) for s in CONTENT_STRATEGIES])
     return sh.select("page_id", X.field_match_count(F.col("page_json"), ts).alias("title_n"),
                      X.field_match_count(F.col("page_json"), cs).alias("content_n"))
+
+
+@register("shred", """SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*')) AS INTEGER) AS elements,
+  CAST(len(regexp_extract_all(html, '<(?:img|br|meta|hr|input|link)\\b')) AS INTEGER) AS void_elements FROM pages""")
+def q_shred(t: Tables):
+    """The page shred: one element row per start tag (void elements included)."""
+    from pagemill.operators.shred import explode_nodes
+    n = explode_nodes(shred(t.pages))
+    return n.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("elements"),
+                                    F.count_if(F.col("tag").isin("img", "br", "meta", "hr", "input", "link"))
+                                    .cast("int").alias("void_elements"))

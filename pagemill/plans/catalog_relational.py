@@ -457,3 +457,37 @@ def q_mark_discovered(t: Tables):
     """Q13: stamp discovery time on the processed (enabled) rules."""
     processed = t.f_rules.where(F.col("enabled")).select("rule_id")
     return Q.mark_discovered(t.f_rules, processed, AS_OF).select("rule_id", "last_discovered_at")
+
+
+# ------------------------------------------------------------------ enqueue (Q1+Q2)
+
+_ANCHOR_SPARK = r"""(?is)<a\b[^>]*\shref\s*=\s*(["'])(.*?)\1"""
+_ANCHOR_DUCK = r"""(?is)<a\b[^>]*\shref\s*=\s*("[^"]*"|'[^']*')"""
+
+
+def _page_links(t: Tables):
+    """Discovered links: every anchor of every page, resolved against the page URL, under
+    rule ``page_id % 27 + 1`` in (page, anchor) order."""
+    from pagemill.functions.urls import absolute_url
+    a = t.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(_ANCHOR_SPARK), F.lit(2)))
+                       .alias("p", "href"))
+    return a.select((F.col("page_id") % 27 + 1).alias("rule_id"), absolute_url(F.col("href"), F.col("url")).alias("url"),
+                    (F.col("page_id") * 100000 + F.col("p")).alias("pos"))
+
+
+@register("enqueue", f"""WITH a AS (SELECT page_id, url AS base, unnest(l) AS raw, unnest(range(len(l))) AS p
+    FROM (SELECT page_id, url, regexp_extract_all(html, {D.q(_ANCHOR_DUCK)}, 1) AS l FROM pages)),
+lk AS (SELECT page_id % 27 + 1 AS rule_id, {D.absolute_url("substr(raw, 2, length(raw) - 2)", 'base')} AS u0, page_id * 100000 + p AS pos FROM a),
+n AS (SELECT rule_id, {D.normalize_url('u0')} AS url, pos FROM lk),
+s AS (SELECT rule_id, url, md5(url) AS url_hash, pos FROM n WHERE {D.is_safe_url('url')}),
+f AS (SELECT * FROM s QUALIFY pos = min(pos) OVER (PARTITION BY rule_id, url_hash)),
+e AS (SELECT * FROM f WHERE (rule_id, url_hash) NOT IN (SELECT (rule_id, md5({D.normalize_url('url')})) FROM f_queue)
+      AND md5({D.normalize_url('url')}) NOT IN (SELECT md5({D.normalize_url('source_url')}) FROM f_published_pages)),
+o AS (SELECT e.*, row_number() OVER (PARTITION BY e.rule_id ORDER BY pos, url_hash) - 1 AS off FROM e)
+SELECT o.rule_id, o.url, o.url_hash, 'pending' AS status, 0 AS attempts, {TS} AS discovered_at,
+  {TS} + to_seconds(least(greatest(coalesce(r.request_delay, 0), 0), 30) * off) AS scheduled_at, off AS "offset", o.pos
+FROM o LEFT JOIN f_rules r ON o.rule_id = r.rule_id""", ("f_queue", "f_rules", "f_published_pages"))
+def q_enqueue(t: Tables):
+    """Q1+Q2: discovered links -> new pending items: normalised, safe, first per (rule,
+    URL), not already queued, not published; spaced by the rule's request delay."""
+    return Q.enqueue(_page_links(t), t.f_queue, t.f_published_pages, t.f_rules, AS_OF)

@@ -54,3 +54,21 @@ def test_discovery_stream_restart_adds_nothing(spark):
     batch = discover(rules, t.pages, empty, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages)).new_items
     assert sorted(r.url_hash for r in spark.read.parquet(qpath).select("url_hash").distinct().collect()) == \
         sorted(r.url_hash for r in batch.select("url_hash").distinct().collect())
+
+
+def test_collect_stream_equals_batch(spark):
+    from pagemill.plans.collect import collect
+    from pagemill.plans.corpus import corpus_rules, seed_queue
+    from pagemill.schema import QUEUE, conform
+    from pagemill.streaming.jobs import stream_collect
+    t = Tables(spark, SF_SMALL)
+    base = tempfile.mkdtemp(prefix="pm-coll-")
+    qsrc = os.path.join(base, "queue")
+    conform(seed_queue(t.pages, AS_OF), QUEUE).write.parquet(qsrc)
+    rules = corpus_rules(t.pages)
+    stream_collect(spark, qsrc, os.path.join(base, "sink"), rules, t.pages, t.f_published_pages, AS_OF,
+                   name="t-coll-" + os.path.basename(base))
+    got = spark.read.parquet(os.path.join(base, "sink", "transitions")).select("queue_id", "status").collect()
+    want = collect(seed_queue(t.pages, AS_OF), rules, t.pages, t.f_published_pages, AS_OF, per_rule_batch=True) \
+        .transitions.select("queue_id", "status").collect()
+    assert sorted(got) == sorted(want) and len(got) > 0
