@@ -38,11 +38,18 @@ def status_counts(queue: DataFrame) -> DataFrame:
 def today_counts(queue: DataFrame, logs: DataFrame, as_of) -> DataFrame:
     """A2: today's discovered / success / failed items and error logs (one row)."""
     day = F.date_trunc("day", _ts(as_of)).cast("timestamp_ntz")
-    q = queue.agg(_cnt(F.col("discovered_at") >= day).alias("today_discovered"),
-                  _cnt((F.col("status") == "success") & (F.col("finished_at") >= day)).alias("today_success"),
-                  _cnt((F.col("status") == "failed") & (F.col("finished_at") >= day)).alias("today_failed"))
-    lg = logs.agg(_cnt((F.col("level") == "error") & (F.col("created_at") >= day)).alias("today_logs_error"))
-    return q.crossJoin(lg)
+    # one conditional aggregation over both tables (tagged union): one pass, no join
+    u = queue.select(F.lit("q").alias("_src"), "discovered_at", "status", "finished_at",
+                     F.lit(None).cast("string").alias("level"), F.lit(None).cast("timestamp_ntz").alias("created_at")) \
+        .unionByName(logs.select(F.lit("l").alias("_src"), F.lit(None).cast("timestamp_ntz").alias("discovered_at"),
+                                 F.lit(None).cast("string").alias("status"),
+                                 F.lit(None).cast("timestamp_ntz").alias("finished_at"), "level", "created_at"))
+    q = F.col("_src") == "q"
+    return u.agg(_cnt(q & (F.col("discovered_at") >= day)).alias("today_discovered"),
+                 _cnt(q & (F.col("status") == "success") & (F.col("finished_at") >= day)).alias("today_success"),
+                 _cnt(q & (F.col("status") == "failed") & (F.col("finished_at") >= day)).alias("today_failed"),
+                 _cnt((F.col("_src") == "l") & (F.col("level") == "error") & (F.col("created_at") >= day))
+                 .alias("today_logs_error"))
 
 
 def daily_trend(queue: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -95,7 +102,13 @@ def health(queue: DataFrame, logs: DataFrame, as_of, running_timeout_minutes: in
         F.max_by(F.struct("created_at", "message", "url"), F.col("log_id")).alias("e"))
     e = e.select(F.col("e.created_at").alias("last_error_at"), F.col("e.message").alias("last_error_message"),
                  F.col("e.url").alias("last_error_url"))
-    return q.crossJoin(e)
+    return attach_one_row(q, e)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate to every row of ``df`` (equi-join on a
+    constant key; the one-row side is broadcast)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def fail_rate(queue: DataFrame) -> DataFrame:
@@ -132,9 +145,10 @@ def topic_counts(logs: DataFrame, terms: list[str], as_of) -> DataFrame:
 
 def table_totals(rules: DataFrame, queue: DataFrame, logs: DataFrame) -> DataFrame:
     """Row totals of the three tables (one row)."""
-    return (rules.agg(F.count(F.lit(1)).alias("rules_total"))
-            .crossJoin(queue.agg(F.count(F.lit(1)).alias("queue_total")))
-            .crossJoin(logs.agg(F.count(F.lit(1)).alias("logs_total"))))
+    u = rules.select(F.lit("r").alias("_s")).unionByName(queue.select(F.lit("q").alias("_s"))) \
+        .unionByName(logs.select(F.lit("l").alias("_s")))
+    return u.agg(F.count_if(F.col("_s") == "r").alias("rules_total"), F.count_if(F.col("_s") == "q").alias("queue_total"),
+                 F.count_if(F.col("_s") == "l").alias("logs_total"))
 
 
 def next_batch(due: DataFrame, limit: int | None = None, per_rule: bool = False,
@@ -146,7 +160,9 @@ def next_batch(due: DataFrame, limit: int | None = None, per_rule: bool = False,
         return due.orderBy("queue_id").limit(n)
     cap = F.least(F.greatest(F.coalesce(F.col(rule_limit_col), F.lit(5)), F.lit(1)), F.lit(50))
     w = Window.partitionBy("rule_id").orderBy("queue_id")
-    return due.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+    # the literal bound lets Spark plan a map-side group limit (at most 50 rows per rule
+    # leave each partition), so a rule with a third of the queue stays cheap
+    return due.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= 50) & (F.col("_rn") <= cap)).drop("_rn")
 
 
 def rules_to_discover(rules: DataFrame, n: int = 20) -> DataFrame:
@@ -201,7 +217,7 @@ def list_queue(queue: DataFrame, rules: DataFrame, page: int = 1, per_page: int
     total = q.agg(F.count(F.lit(1)).alias("total"))
     rows = q.orderBy(F.col("queue_id").desc()).offset((max(1, page) - 1) * per_page).limit(per_page)
     rows = rows.join(small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id", "left")
-    return rows.crossJoin(total)
+    return attach_one_row(rows, total)
 
 
 def list_logs(logs: DataFrame, rules: DataFrame, page: int = 1, per_page: int = 80, level: str | None = None,
@@ -221,7 +237,7 @@ def list_logs(logs: DataFrame, rules: DataFrame, page: int = 1, per_page: int =
     total = lg.agg(F.count(F.lit(1)).alias("total"))
     rows = lg.orderBy(F.col("log_id").desc()).offset((max(1, page) - 1) * per_page).limit(per_page)
     rows = rows.join(small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id", "left")
-    return rows.crossJoin(total)
+    return attach_one_row(rows, total)
 
 
 def item_logs(logs: DataFrame, term: str = "AI", k: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from pagemill.functions.text import sanitize_json_source
 from pagemill.functions.urls import parse_urls
@@ -61,24 +61,32 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 
 def export_rules(rules: DataFrame, path: str) -> None:
-    """All rules ordered by id, without id and timestamps, as one JSON document
-    ``{"version": 1, "rules": [...]}``. The rule table is configuration (bounded by
-    import size), so one output file is written."""
-    body = rules.orderBy("rule_id").drop(*[c for c in EXPORT_DROP if c in rules.columns])
-    doc = body.agg(F.collect_list(F.struct(*body.columns)).alias("rules")).select(F.lit(1).alias("version"), "rules")
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    """All rules without id and timestamps as JSON lines, one rule per line, written in
+    rule-id order (range-partitioned, so no task gathers the whole table). ``import_rules``
+    reads this form as well as a single ``{"version", "rules": [...]}`` document."""
+    body = rules.drop(*[c for c in EXPORT_DROP if c in rules.columns and c != "rule_id"])
+    body.repartitionByRange("rule_id").sortWithinPartitions("rule_id") \
+        .withColumnRenamed("rule_id", "_export_order").write.mode("overwrite").json(path)
 
 
 def import_rules(spark: SparkSession, path: str, defaults: dict, schema: T.StructType) -> DataFrame:
-    """S3: read ``{version, rules:[...]}``; files over 2 MiB are refused; the first 200
-    rules; only known keys (``schema``), missing ones from ``defaults``; then V6."""
+    """S3: rules from JSON lines (``export_rules``) or one ``{version, rules:[...]}``
+    document; more than 2 MiB is refused; the first 200 rules (in export order) are kept;
+    only known keys (``schema``), missing ones from ``defaults``. Validate with V6."""
     files = [os.path.join(dp, f) for dp, _, fs in os.walk(path) for f in fs if f.endswith(".json")] \
         if os.path.isdir(path) else [path]
     if sum(os.path.getsize(f) for f in files) > MAX_IMPORT_BYTES:
         raise ValueError("rule import larger than 2 MiB")
-    doc_schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("rules", T.ArrayType(schema))])
-    doc = spark.read.schema(doc_schema).json(path)
-    rows = doc.select(F.posexplode("rules").alias("pos", "r")).where(F.col("pos") < MAX_IMPORT_RULES)
+    probe = spark.read.json(path)
+    if "rules" in probe.columns:
+        doc_schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("rules", T.ArrayType(schema))])
+        rows = spark.read.schema(doc_schema).json(path).select(F.posexplode("rules").alias("pos", "r"))
+    else:
+        line_schema = T.StructType(list(schema.fields) + [T.StructField("_export_order", T.LongType())])
+        lines = spark.read.schema(line_schema).json(path)
+        rows = lines.select(F.struct(*[F.col(f.name) for f in schema.fields]).alias("r"), "_export_order") \
+            .withColumn("pos", F.row_number().over(Window.orderBy("_export_order")) - 1)
+    rows = rows.where(F.col("pos") < MAX_IMPORT_RULES)
     cols = []
     for fld in schema.fields:
         c = F.col("r." + fld.name)

@@ -74,7 +74,7 @@ def diagnostics(rules: DataFrame, queue: DataFrame, logs: DataFrame, as_of, k: i
         .agg(F.collect_list(F.struct("created_at", "rule_id", "queue_id", "level", "message", "url")).alias("recent_errors"))
     fails = R.failed_samples(queue, k).agg(F.collect_list(F.struct("queue_id", "rule_id", "url", "attempts", "last_error",
                                                                    "finished_at")).alias("failed_samples"))
-    doc = counts.crossJoin(totals).crossJoin(errs).crossJoin(fails)
+    doc = R.attach_one_row(R.attach_one_row(R.attach_one_row(counts, totals), errs), fails)
     return doc.select(F.lit(as_of).cast("timestamp_ntz").alias("generated_at"), F.to_json(F.struct(
         F.lit(as_of).alias("generated_at"),
         F.struct(F.col("rules_total").alias("rules"), F.col("queue").alias("queue"), F.col("logs_total").alias("logs"))
