@@ -25,7 +25,6 @@ script/style bodies are raw text (never tokenised), as in the stdlib parser.
 
 from __future__ import annotations
 
-import bisect
 from html import unescape
 from html.parser import HTMLParser
 
@@ -242,6 +241,14 @@ def shred(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.mapInArrow(lambda it: _shred_batches(it, html_col), schema)
 
 
+def write_shredded(pages: DataFrame, path: str, buckets: int = 64, key: str = "page_id") -> None:
+    """Persist the shred for reuse by several jobs: parquet partitioned by
+    ``pmod(xxhash64(key), buckets)`` so a job reading one page set prunes partitions, and
+    the nested ``nodes`` column is read only by jobs that select from it."""
+    shred(pages).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(buckets))) \
+        .repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def explode_nodes(shredded: DataFrame, key: str = "page_id") -> DataFrame:
     """The flat node table: one row per (page, element)."""
     return shredded.select(key, F.explode("nodes").alias("n")).select(key, "n.*")
@@ -276,5 +283,5 @@ def offsets_nest(nodes: list[dict]) -> bool:
     return True
 
 
-__all__ = ["shred", "shred_html", "explode_nodes", "node_text", "node_inner_html", "node_outer_html", "NODE_TYPE",
-           "escape_token", "offsets_nest", "bisect"]
+__all__ = ["shred", "shred_html", "write_shredded", "explode_nodes", "node_text", "node_inner_html", "node_outer_html", "NODE_TYPE",
+           "escape_token", "offsets_nest"]

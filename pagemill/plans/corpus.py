@@ -27,10 +27,16 @@ def _slot(selector: str, before: str = "", after: str = "", json_path: str = "")
 
 def corpus_rules(pages: DataFrame) -> DataFrame:
     """One enabled rule per host, rule_id = xxhash64(host) (stable, no global numbering)."""
+    from pagemill.functions.text import cached_columns
+
     hosts = pages.select(url_host(F.col("url")).alias("host")).where(F.col("host") != "").distinct()
+    return hosts.select(*cached_columns("corpus_rules", _rule_columns))
+
+
+def _rule_columns() -> list:
     k = F.pmod(F.xxhash64("host"), F.lit(1000))
     lines = lambda txt: F.split(F.lit(txt), "\n")
-    rules = hosts.select(
+    return [
         F.xxhash64("host").alias("rule_id"), F.col("host").alias("name"), F.lit(True).alias("enabled"),
         F.lit("").alias("pagination_pattern"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"),
         F.struct(F.lit("").alias("selector"), F.lit("").alias("before"), F.lit("").alias("after"),
@@ -59,8 +65,7 @@ def corpus_rules(pages: DataFrame) -> DataFrame:
         F.lit("{title}").alias("image_alt_template"),
         F.lit(False).alias("rewrite"), F.lit("").alias("rewrite_prompt"), F.lit("fallback").alias("rewrite_on_failure"),
         F.lit(None).cast("timestamp_ntz").alias("last_discovered_at"),
-    )
-    return rules
+    ]
 
 
 def compile_rule_selectors(rules: DataFrame) -> DataFrame:

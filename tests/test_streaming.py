@@ -72,3 +72,23 @@ def test_collect_stream_equals_batch(spark):
     want = collect(seed_queue(t.pages, AS_OF), rules, t.pages, t.f_published_pages, AS_OF, per_rule_batch=True) \
         .transitions.select("queue_id", "status").collect()
     assert sorted(got) == sorted(want) and len(got) > 0
+
+
+def test_state_stream_stuck_timer_fires(spark):
+    import datetime as dt
+    from pagemill.streaming.jobs import queue_state_stream, _ckpt
+    src = tempfile.mkdtemp(prefix="pm-ev-")
+    schema = "queue_id long, rule_id long, seq int, status string, event_ts timestamp"
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    spark.createDataFrame([(1, 1, 1, "pending", t0), (1, 1, 2, "running", t0 + dt.timedelta(minutes=1))], schema) \
+        .coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(2, 1, 1, "pending", t0 + dt.timedelta(hours=5))], schema).coalesce(1).write.mode("append") \
+        .parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = tempfile.mkdtemp(prefix="pm-evout-")
+    q = (queue_state_stream(stream, stuck_minutes=30, watermark="1 minute").writeStream.outputMode("update")
+         .foreachBatch(lambda df, b: df.write.mode("append").parquet(out))
+         .option("checkpointLocation", _ckpt(spark, "t-timer-" + os.path.basename(out))).trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(out).where("queue_id = 1").collect()
+    assert any(r.timer == "stuck_release" and r.status == "pending" for r in rows)
