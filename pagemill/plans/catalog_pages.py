@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.fixtures import Tables
 from pagemill.functions import jsonpage as J
-from pagemill.functions.text import excerpt
+from pagemill.functions.text import BASIC_ENTITIES, excerpt
 from pagemill.functions.urls import normalize_url
 from pagemill.operators import extract as X
 from pagemill.operators.selectors import sel_literal
@@ -60,7 +60,7 @@ def q_minimal_articles(t: Tables):
     return minimal_articles(t.pages)
 
 
-__all__ = ["minimal_articles", "J"]
+__all__ = ["minimal_articles"]
 
 
 # ------------------------------------------------------------------ JSON in pages
@@ -176,14 +176,13 @@ MARKERS = [("<article>", "</article>"), ("<h1>", "</h1>"), ("&lt;h1&gt;", "&lt;/
 
 def _marker_sql(html: str, before: str, after: str) -> str:
     """DuckDB: slice between constant markers, variants computed here in Python."""
-    import html as _h
     import re as _re
 
     def variants(m: str):
         m = m.replace("\r\n", "\n").replace("\r", "\n").strip()
         out = [m]
         dec = m
-        for ent, ch in __import__("pagemill.functions.text", fromlist=["x"]).BASIC_ENTITIES:
+        for ent, ch in BASIC_ENTITIES:
             dec = dec.replace(ent, ch)
         if dec != m:
             out.append(dec)
@@ -194,11 +193,11 @@ def _marker_sql(html: str, before: str, after: str) -> str:
         rx = None
         if compact and compact != m:
             rx = "\\s+".join(_re.escape(p) for p in compact.split(" "))
-        return m, out, rx, _h
+        return m, out, rx
 
     def find(m: str, frm: str):
         """(pos, len) SQL: 1-based position at/after frm (1-based), 0 if none."""
-        m, vs, rx, _ = variants(m)
+        m, vs, rx = variants(m)
         pos_expr, len_expr = "0", "0"
         for v in reversed(vs):
             p = f"(CASE WHEN instr(substr({html}, {frm}), {D.q(v)}) > 0 THEN instr(substr({html}, {frm}), {D.q(v)}) + {frm} - 1 ELSE 0 END)"

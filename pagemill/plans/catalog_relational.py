@@ -17,10 +17,6 @@ QR = ("f_queue", "f_rules")
 LR = ("f_logs", "f_rules")
 
 
-def _q_rule_cols():
-    return ["queue_id", "rule_id", "url", "status", "attempts", "scheduled_at"]
-
-
 # ------------------------------------------------------------------ joins
 
 @register("due_items", f"""SELECT q.queue_id, q.rule_id, q.url, q.attempts, r.name AS r_name, r.batch_limit AS r_batch_limit,
@@ -319,9 +315,6 @@ def q_item_logs(t: Tables):
 
 # ------------------------------------------------------------------ transitions
 
-_QCOLS = "queue_id, rule_id, status, attempts, last_error, scheduled_at, started_at, finished_at"
-
-
 def _sel(df):
     return df.select("queue_id", "rule_id", "status", "attempts", "last_error", "scheduled_at", "started_at",
                      "finished_at")

@@ -29,7 +29,6 @@ from pagemill.operators import extract as X
 from pagemill.operators import queue as Q
 from pagemill.operators.clean import clean_content
 from pagemill.operators.images import localize_images
-from pagemill.operators.joins import small
 from pagemill.operators.shred import shred
 from pagemill.plans.corpus import compile_rule_selectors
 from pagemill.schema import Settings

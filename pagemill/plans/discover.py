@@ -48,8 +48,11 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
     """S1 + X3 + X11: (rule_id, pos, url) links of every fetched list page. ``pos`` orders
     links by list page, then position within the page."""
     rules_c = compile_rule_selectors(rules).select("rule_id", "link", "json_source")
-    keyed = pages.select(F.md5(normalize_url(F.col("url"))).alias("_h"), F.col("url").alias("page_url"), "html")
-    fetched = listed.withColumn("_h", F.md5(normalize_url(F.col("url")))).join(keyed, "_h").drop("_h") \
+    # one page per normalised URL (smallest id): keys first, HTML joins in once by page id
+    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_h"), "page_id") \
+        .groupBy("_h").agg(F.min("page_id").alias("page_id"))
+    fetched = listed.withColumn("_h", F.md5(normalize_url(F.col("url")))).join(keys, "_h").drop("_h") \
+        .join(pages.select("page_id", F.col("url").alias("page_url"), "html"), "page_id").drop("page_id") \
         .join(rules_c, "rule_id")
     needs_tree = trim_set(F.coalesce(F.col("link.selector"), F.lit(""))) != ""
     with_tree = shred(fetched.where(needs_tree))

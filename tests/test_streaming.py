@@ -9,9 +9,12 @@ from pagemill.operators.queue import queue_state
 
 
 def _split_pages(spark, n=5):
+    """Pages split into ``n`` files; pages sharing a normalised URL stay in one file, so a
+    micro-batch's "one page per URL" choice equals the whole-corpus choice."""
+    from pagemill.functions.urls import normalize_url
     d = tempfile.mkdtemp(prefix="pm-pages-")
     pages = spark.read.parquet(os.path.join(SF_SMALL, "pages.parquet"))
-    pages.repartition(n, "page_id").write.mode("overwrite").parquet(d)
+    pages.repartition(n, F.md5(normalize_url(F.col("url")))).write.mode("overwrite").parquet(d)
     return d
 
 
