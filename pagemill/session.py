@@ -36,10 +36,44 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 
 
 def ensure_defaults(spark: SparkSession) -> None:
-    """Apply ``SESSION_DEFAULTS`` only where the session leaves them unset."""
+    """Apply ``SESSION_DEFAULTS`` only where the session leaves them unset, and make the
+    package importable on the executors' Python workers."""
     for k, v in SESSION_DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the Python workers (``addPyFile`` of a zip built once
+    per Spark context under the checkpoint folder). Arrow passes and pandas UDFs pickle
+    functions by module reference, so workers must be able to import ``pagemill``."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    ckpt = checkpoint_dir(spark)
+    if "://" in ckpt and not ckpt.startswith("file:"):
+        # shared storage is not a local path: stage the zip on the driver; Spark serves it
+        target = tempfile.mkdtemp(prefix="pagemill-pyfiles-")
+    else:
+        target = os.path.join(ckpt.replace("file:", ""), "pyfiles")
+        os.makedirs(target, exist_ok=True)
+    zpath = os.path.join(target, f"pagemill-{key}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
