@@ -148,9 +148,14 @@ def enqueue(links: DataFrame, queue: DataFrame, articles: DataFrame, rules: Data
     n = links.select("rule_id", normalize_url(F.col("url")).alias("url"), "pos") \
         .where(is_safe_public_url(F.col("url"))).withColumn("url_hash", F.md5("url"))
     first = first_in_group(n, ["rule_id", "url_hash"], "pos", "_k").where(F.col("_k")).drop("_k")
-    existing = queue.select("rule_id", F.md5(normalize_url(F.col("url"))).alias("url_hash"))
+    # queue rows carry their url_hash (U6); only a queue without it is re-hashed
+    existing = queue.select("rule_id", (F.col("url_hash") if "url_hash" in queue.columns
+                                        else F.md5(normalize_url(F.col("url")))).alias("url_hash"))
     new = not_published(first.join(existing, ["rule_id", "url_hash"], "left_anti"), articles)
-    ranked = rank_in_group(new, ["rule_id"], ["pos", "url_hash"], "_off")
+    # the ranking reads its input three times (range sample, counts, rows): cut it once
+    from pagemill.session import cut_lineage
+
+    ranked = rank_in_group(cut_lineage(new), ["rule_id"], ["pos", "url_hash"], "_off")
     delay = F.least(F.greatest(F.coalesce(F.col("request_delay"), F.lit(0)), F.lit(0)), F.lit(30))
     out = ranked.join(small(rules.select("rule_id", "request_delay")), "rule_id", "left")
     return out.select(
