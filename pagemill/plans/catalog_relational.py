@@ -484,3 +484,13 @@ def q_enqueue(t: Tables):
     """Q1+Q2: discovered links -> new pending items: normalised, safe, first per (rule,
     URL), not already queued, not published; spaced by the rule's request delay."""
     return Q.enqueue(_page_links(t), t.f_queue, t.f_published_pages, t.f_rules, AS_OF)
+
+
+@register("resolve_safe", f"""WITH h AS (SELECT lower(host) AS host, bool_and({D.is_public_ip('ip')}) AS safe FROM f_host_ips GROUP BY lower(host)),
+u AS (SELECT page_id, url, lower(regexp_replace({D.host_of(D.trim_set('url'))}, '^[\\[\\] ]+|[\\[\\] ]+$', '', 'g')) AS host FROM pages
+      WHERE {D.is_safe_url('url')})
+SELECT page_id, url FROM u WHERE host IN (SELECT host FROM h WHERE safe)""", ("f_host_ips",))
+def q_resolve_safe(t: Tables):
+    """K10 end to end: page URLs kept only if public-URL safe and their host resolves to
+    public addresses only (host -> IP table instead of live DNS)."""
+    return Q.resolve_safe(t.pages.select("page_id", "url"), t.f_host_ips)

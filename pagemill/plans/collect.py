@@ -111,7 +111,10 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
     fetched = page_scan(claimed, pages)
     ok_fetch = fetched.where(F.col("fetch_error").isNull())
     sh = shred(ok_fetch)
-    page_js = cached_columns("collect_page_json", lambda: J.page_json(F.col("html"), F.col("r_json_source")))
+    # the page JSON is parsed only for rules that read a JSON path
+    page_js = cached_columns("collect_page_json", lambda: F.when(
+        (F.coalesce(F.col("r_title.json_path"), F.lit("")) != "") | (F.coalesce(F.col("r_content.json_path"), F.lit("")) != "")
+        | (F.coalesce(F.col("r_date.json_path"), F.lit("")) != ""), J.page_json(F.col("html"), F.col("r_json_source"))))
     sh = sh.withColumn("page_json", page_js).withColumn("title", F.col("r_title")) \
         .withColumn("content", F.col("r_content")).withColumn("date", F.col("r_date"))
     ex = X.extract_articles(sh).drop("nodes", "page_text", "html", "page_json", "title", "content", "date")

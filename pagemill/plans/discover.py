@@ -59,8 +59,10 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
     no_tree = fetched.where(~needs_tree).withColumn("page_text", F.lit("")) \
         .withColumn("nodes", F.array().cast(T.ArrayType(NODE_TYPE)))
     both = with_tree.unionByName(no_tree)
+    # the page JSON is parsed only for rules that read links from a JSON path
     links = cached_columns("discover_links", lambda: X.discover_links(
-        F.col("page_url"), J.page_json(F.col("html"), F.col("json_source")), F.col("link")))
+        F.col("page_url"), F.when(F.coalesce(F.col("link.json_path"), F.lit("")) != "",
+                                  J.page_json(F.col("html"), F.col("json_source"))), F.col("link")))
     out = both.select("rule_id", "list_pos", F.posexplode(links).alias("link_pos", "url"))
     return out.select("rule_id", (F.col("list_pos").cast("long") * 100000 + F.col("link_pos")).alias("pos"), "url")
 
