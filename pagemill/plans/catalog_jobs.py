@@ -265,7 +265,16 @@ def q_conform_queue(t: Tables):
     return SK.conform_queue(t.f_queue)
 
 
-@register("import_rules")
+_IMPORT_SQL = ("WITH imp AS (SELECT rule_id, name, enabled, pagination_pattern, page_start, page_end, batch_limit, retry_limit, "
+               "request_delay, excerpt_length, post_status, json_source, 0 AS publish_delay_min, 0 AS publish_delay_max, "
+               "'immediate' AS publish_mode, 'none' AS seo_family, 'fallback' AS rewrite_on_failure FROM f_rule_set "
+               "WHERE rule_id <= 200)\nSELECT rule_id, " + ", ".join(f"{v} AS {k}" for k, v in _V6.items())
+               + ", concat_ws(',', " + ", ".join(
+                   f"CASE WHEN CAST({k} AS VARCHAR) IS DISTINCT FROM CAST({v} AS VARCHAR) THEN '{k}' END" for k, v in _V6.items())
+               + ") AS violations FROM imp")
+
+
+@register("import_rules", _IMPORT_SQL, ("f_rule_set",))
 def q_import_rules(t: Tables):
     """S3+S4: rules exported to JSON (ordered, without ids/timestamps) and imported back
     with allow-listed keys, defaults and the 200-rule cap."""
