@@ -103,14 +103,18 @@ def clean_html(content: str | None, remove_selectors=None, unwrap_links: bool =
                     t = current_text(i).strip(" \t\n\r\x00\x0b").lower()
                     if any(k in t for k in kws):
                         remove(i)
-    # C4
+    # C4 (removed blocks hold no live <img>, so one prefix count of live images taken
+    # here stays valid for every test below: O(1) per block instead of a subtree scan)
     if drop_empty:
+        live_img = [0] * (len(nodes) + 1)
+        for k, n in enumerate(nodes):
+            live_img[k + 1] = live_img[k] + (1 if n["tag"] == "img" and not removed[k] else 0)
         for tag in ("p", "div"):
             for n in reversed(nodes):
                 i = n["pre"]
                 if n["tag"] == tag and not removed[i]:
-                    if current_text(i).strip(" \t\n\r\x00\x0b") == "" and not any(
-                            nodes[k]["tag"] == "img" and not removed[k] for k in range(i + 1, n["last"] + 1)):
+                    if live_img[n["last"] + 1] - live_img[i + 1] == 0 and \
+                            current_text(i).strip(" \t\n\r\x00\x0b") == "":
                         remove(i)
     # cut
     cuts = [(nodes[i]["src_start"], nodes[i]["src_end"]) for i in range(len(nodes))
@@ -129,7 +133,9 @@ def clean_html(content: str | None, remove_selectors=None, unwrap_links: bool =
 
 
 def _clean_batches(batches, content_col: str, clean_col: str, out_col: str):
-    for batch in batches:
+    from pagemill.operators.shred import _slices
+
+    for batch in _slices(batches):
         contents = batch.column(batch.schema.get_field_index(content_col)).to_pylist()
         cfgs = batch.column(batch.schema.get_field_index(clean_col)).to_pylist()
         res = []

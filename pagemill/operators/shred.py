@@ -215,9 +215,18 @@ def _arrow_node_type() -> pa.DataType:
     ])
 
 
+SLICE_ROWS = 32  # pages per yielded Arrow batch: bounds worker memory for 5 MiB pages
+
+
+def _slices(batches, rows: int = SLICE_ROWS):
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _shred_batches(batches, html_col: str):
     node_list_type = pa.list_(_arrow_node_type())
-    for batch in batches:
+    for batch in _slices(batches):
         htmls = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
         texts, node_lists = [], []
         for h in htmls:
