@@ -63,8 +63,10 @@ def stream_discovery(spark: SparkSession, pages_src: str, queue_path: str, rules
     def batch(df: DataFrame, batch_id: int):
         existing = _read_batches(spark, queue_path)
         if existing is None:
-            existing = spark.createDataFrame([], "rule_id long, url string")
-        res = discover(rules, df, existing.select("rule_id", "url"), articles, as_of, listed=corpus_list_pages(df))
+            existing = spark.createDataFrame([], "rule_id long, url string, url_hash string")
+        # queue rows carry url_hash: the anti join reads two narrow columns, no re-hashing
+        existing = existing.select(*[c for c in ("rule_id", "url", "url_hash") if c in existing.columns])
+        res = discover(rules, df, existing, articles, as_of, listed=corpus_list_pages(df))
         res.new_items.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .parquet(os.path.join(queue_path, f"batch={batch_id}"))
 
@@ -121,17 +123,20 @@ def _state_fn(stuck_minutes: int | None, retry_after_seconds: int | None):
             state.remove()
             if status == "running":
                 yield pd.DataFrame([{"queue_id": qid, "rule_id": rule_id, "seq": seq + 1, "status": "pending",
-                                     "event_ts": ts + pd.Timedelta(minutes=stuck_minutes or 0), "timer": "stuck_release"}])
+                                     "event_ts": ts + pd.Timedelta(minutes=max(5, stuck_minutes or 0)),
+                                     "timer": "stuck_release"}])
             elif status == "pending":
                 yield pd.DataFrame([{"queue_id": qid, "rule_id": rule_id, "seq": seq, "status": "pending",
                                      "event_ts": ts, "timer": "retry_due"}])
             return
-        best = state.get if state.exists else None
-        for pdf in pdfs:
-            for row in pdf.itertuples(index=False):
-                cand = (row.rule_id, int(row.seq), row.status, row.event_ts)
-                if best is None or (pd.Timestamp(cand[3]), cand[1]) > (pd.Timestamp(best[3]), best[1]):
-                    best = cand
+        # latest event of this batch (vectorised), compared with the stored state
+        ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_ts", "seq"], kind="stable")
+        last = ev.iloc[-1]
+        best = (int(last["rule_id"]), int(last["seq"]), last["status"], last["event_ts"])
+        if state.exists:
+            old = state.get
+            if (pd.Timestamp(old[3]), old[1]) > (pd.Timestamp(best[3]), best[1]):
+                best = old
         state.update(best)
         ts = pd.Timestamp(best[3])
         if best[2] == "running" and stuck_minutes:
