@@ -282,7 +282,8 @@ def q_import_rules(t: Tables):
     from pagemill.session import scratch_path
     rs = t.f_rule_set.select("rule_id", "name", "enabled", "pagination_pattern", "page_start", "page_end", "batch_limit",
                              "retry_limit", "request_delay", "excerpt_length", "post_status", "json_source")
-    path = scratch_path(t.spark, f"rules-export-{abs(hash(t.sf_dir)) % 10**8}")
+    import zlib
+    path = scratch_path(t.spark, f"rules-export-{zlib.crc32(t.sf_dir.encode()):08x}")
     RIO.export_rules(rs, path)
     schema = T.StructType([f for f in rs.schema.fields if f.name != "rule_id"] + [T.StructField("author_id", T.LongType())])
     imported = RIO.import_rules(t.spark, path, {"author_id": 0, "enabled": True}, schema)
@@ -295,8 +296,12 @@ def q_import_rules(t: Tables):
 # ------------------------------------------------------------------ streaming (T)
 
 def _stream_paths(t: Tables, name: str):
+    """Output and checkpoint names per query, data folder and code version, so a rerun
+    resumes its own stream (adding nothing) and never reads another version's output."""
+    import zlib
+    from pagemill import __version__
     from pagemill.session import scratch_path
-    tag = f"{name}-{abs(hash(t.sf_dir)) % 10**8}"
+    tag = f"{name}-{__version__}-{zlib.crc32(t.sf_dir.encode()):08x}"
     return scratch_path(t.spark, "out-" + tag), tag
 
 
