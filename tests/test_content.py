@@ -71,3 +71,24 @@ def test_preview_links_counts(spark):
     p = preview_links(links, arts).collect()[0]
     assert (p.links, p.ready, p.duplicates) == (50, 49, 1)
     assert len(p.ready_sample) == 20 and len(p.duplicate_sample) == 1
+
+
+def test_sinks_idempotent_and_queue_fold(spark):
+    import datetime as dt
+    import tempfile
+    from pagemill.sources.sinks import read_queue, write_articles, write_queue
+    d = tempfile.mkdtemp(prefix="pm-sink-")
+    arts = spark.createDataFrame([(1, "T", "publish"), (2, "U", "draft")], "article_id long, title string, status string")
+    write_articles(arts, d + "/articles", batch_id=7)
+    write_articles(arts, d + "/articles", batch_id=7)          # replayed batch: overwritten, not appended
+    assert spark.read.parquet(d + "/articles").count() == 2
+    t0 = dt.datetime(2024, 1, 1)
+    ev1 = spark.createDataFrame([(1, 1, "pending", 1, t0), (2, 1, "pending", 1, t0)],
+                                "queue_id long, rule_id long, status string, seq int, event_ts timestamp_ntz")
+    ev2 = spark.createDataFrame([(1, 1, "running", 2, t0 + dt.timedelta(minutes=1)),
+                                 (1, 1, "success", 3, t0 + dt.timedelta(minutes=2))],
+                                "queue_id long, rule_id long, status string, seq int, event_ts timestamp_ntz")
+    write_queue(ev1, d + "/queue", batch_id=0)
+    write_queue(ev2, d + "/queue", batch_id=1)
+    state = {r.queue_id: r.status for r in read_queue(spark, d + "/queue").collect()}
+    assert state == {1: "success", 2: "pending"}
