@@ -445,11 +445,11 @@ def q_queue_state(t: Tables):
 
 
 @register("mark_discovered", f"""SELECT rule_id, CASE WHEN enabled THEN {TS} ELSE last_discovered_at END AS last_discovered_at
-FROM f_rules""", ("f_rules",))
+FROM f_rule_set""", ("f_rule_set",))
 def q_mark_discovered(t: Tables):
     """Q13: stamp discovery time on the processed (enabled) rules."""
-    processed = t.f_rules.where(F.col("enabled")).select("rule_id")
-    return Q.mark_discovered(t.f_rules, processed, AS_OF).select("rule_id", "last_discovered_at")
+    processed = t.f_rule_set.where(F.col("enabled")).select("rule_id")
+    return Q.mark_discovered(t.f_rule_set, processed, AS_OF).select("rule_id", "last_discovered_at")
 
 
 # ------------------------------------------------------------------ enqueue (Q1+Q2)
