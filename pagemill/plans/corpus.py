@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions.text import parse_category_rules, parse_pairs
 from pagemill.functions.urls import normalize_url, url_host
-from pagemill.operators.selectors import SEL_TYPE, with_compiled
+from pagemill.operators.selectors import SEL_TYPE
 
 # Texts of the derived rules' enrichment settings.
 REPLACE_TEXT = "&amp;&amp;&amp; => &amp;\n%%% =>\n### => #"
@@ -69,14 +69,24 @@ def _rule_columns() -> list:
 
 
 def compile_rule_selectors(rules: DataFrame) -> DataFrame:
-    """Attach compiled selectors (``sel``) to the link/title/content/date slots. Selector
-    strings are compiled once per distinct value (Spark-side) and joined back."""
+    """Attach compiled selectors (``sel``) to the link/title/content/date slots. The
+    distinct selector strings of all four slots are compiled in one Spark-side pass and
+    joined back per slot (a small, size-checked table)."""
+    from pagemill.operators.joins import small
+    from pagemill.operators.selectors import compile_selector_udf
+
+    slots = ["link", "title", "content", "date"]
+    sels = None
+    for slot in slots:
+        part = rules.select(F.coalesce(F.col(f"{slot}.selector"), F.lit("")).alias("_sel"))
+        sels = part if sels is None else sels.unionByName(part)
+    comp = small(sels.distinct().select("_sel", compile_selector_udf(F.col("_sel")).alias("_c")))
     out = rules
-    for slot in ["link", "title", "content", "date"]:
-        tmp = f"_{slot}_sel"
-        out = with_compiled(out.withColumn(f"_{slot}_s", F.col(f"{slot}.selector")), f"_{slot}_s", tmp)
-        out = out.withColumn(slot, F.col(slot).withField("sel", F.coalesce(F.col(tmp), F.lit(None).cast(SEL_TYPE))))
-        out = out.drop(tmp, f"_{slot}_s")
+    for slot in slots:
+        c = comp.select(F.col("_sel").alias(f"_{slot}_k"), F.col("_c").alias(f"_{slot}_c"))
+        out = out.join(c, F.coalesce(F.col(f"{slot}.selector"), F.lit("")) == F.col(f"_{slot}_k"), "left")
+        out = out.withColumn(slot, F.col(slot).withField("sel", F.coalesce(F.col(f"_{slot}_c"), F.lit(None).cast(SEL_TYPE))))
+        out = out.drop(f"_{slot}_k", f"_{slot}_c")
     return out
 
 
