@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pagemill.llm import substring_dedup
+from pagemill.llm import line_dedup, near_dup, substring_dedup
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_near_dup": near_dup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
+}
