@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pagemill.llm import line_dedup, near_dup, substring_dedup
+from pagemill.llm import hilbert_ann, line_dedup, near_dup, packing, secret_scan, substring_dedup, warc_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op4_packing": packing.query,
+    "op5_secret_scan": secret_scan.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_near_dup": near_dup.query,
+    "op9_hilbert_ann": hilbert_ann.query,
+    "op10_warc_store": warc_store.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op10_warc_store": warc_store.SQL,
 }

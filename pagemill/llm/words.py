@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -82,6 +83,25 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return buf, offsets - offsets[0]
 
 
+def slices(t, column: str = "text", most: int = 1 << 19):
+    """Consecutive slices of a record batch or table with about ``most`` bytes of text each, and
+    one row at least: work arrays take some forty bytes for each byte of text."""
+    if not t.num_rows:
+        return
+    if isinstance(t, pa.Table):
+        for b in t.to_batches():
+            yield from slices(b, column, most)
+        return
+    size = pc.binary_length(t.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    total = np.cumsum(size)
+    start = 0
+    while start < len(total):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield t.slice(start, end - start)
+        start = end
+
+
 def split_words(col: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     """Words of each text of a string column (null: none), with A-Z lower-cased if asked."""
     buf, offsets = text_bytes(col)
