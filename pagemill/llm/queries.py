@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pagemill.llm import hilbert_ann, line_dedup, near_dup, packing, secret_scan, substring_dedup, warc_store
+from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, packing, quality, secret_scan, substring_dedup, warc_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_quality": quality.query,
     "op4_packing": packing.query,
     "op5_secret_scan": secret_scan.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_near_dup": near_dup.query,
+    "op8_lm_score": lm_score.query,
     "op9_hilbert_ann": hilbert_ann.query,
     "op10_warc_store": warc_store.query,
 }
