@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagemill.llm.common import (U64, doc_shard, doc_shard_np, groups, hash_shard_np, i64, ids_of, n_partitions, pack,
                                  rows_to_batches, u64)
-from pagemill.llm.words import Words, ngrams, split_words
+from pagemill.llm.words import Words, ngrams, slices, split_words
 
 ROUTE = "shard int, h binary, doc binary, kind binary"
 FLAGGED = "shard int, h binary, doc binary"
 ROUTE_ARROW = pa.schema([("shard", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("kind", pa.binary())])
 FLAGGED_ARROW = pa.schema([("shard", pa.int32()), ("h", pa.binary()), ("doc", pa.binary())])
-FLUSH = 4_000_000   # pairs held by a task before they are settled and sent
+FLUSH = 1_000_000   # pairs held by a task before they are settled and sent
 
 
 def window_anchors(words: Words, min_words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +134,6 @@ def _isin(h: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     return allowed[at] == h
 
 
-SLICE = 512   # texts handled at once
-
-
-def _slices(t: pa.Table):
-    t = t.combine_chunks()
-    for i in range(0, t.num_rows, SLICE):
-        yield t.slice(i, SLICE)
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13,
                     seed: int = 7) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text, repeats (array of word ranges that were
@@ -153,7 +144,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def anchors(batches):
         def pairs():
-            for b in batches:
+            for b in (x for batch in batches for x in slices(batch)):
                 ids, null = ids_of(b.column("doc_id"))
                 w = split_words(b.column("text"))
                 at, h = window_anchors(w, min_words, seed)
@@ -169,8 +160,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = _flags(flags)
 
         def pairs():
-            for t in _slices(texts):
-                ids, null = ids_of(t.column("doc_id").combine_chunks())
+            for t in slices(texts):
+                ids, null = ids_of(t.column("doc_id"))
                 w = split_words(t.column("text"))
                 at, anchor = window_anchors(w, min_words, seed)
                 first, whole = ngrams(w, min_words)
@@ -193,8 +184,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         repeated = _flags(flags)
 
         def rows():
-            for t in _slices(texts):
-                ids, null = ids_of(t.column("doc_id").combine_chunks())
+            for t in slices(texts):
+                ids, null = ids_of(t.column("doc_id"))
                 w = split_words(t.column("text"))
                 first, whole = ngrams(w, min_words)
                 bounds = np.searchsorted(first, w.first)
