@@ -143,8 +143,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = cut_lineage(src.select("text", "place", "no_id", "doc_id").mapInArrow(
         suspects, "key string, h long, place long, no_id boolean, doc_id long"))
-    confirmed = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-                 .filter(F.col("n") >= min_docs).select("key", "last"))
+    # written, so that the join below has a shuffle of its own, whose hot keys Spark can split
+    confirmed = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+                            .filter(F.col("n") >= min_docs).select("key", "last"))
     dropped = (found.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
                .groupBy("no_id", "place").agg(F.collect_set("h").alias("gone")))
 
@@ -166,8 +167,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = src.select("doc", "doc_id").schema
     for name, kind in (("n_lines", "long"), ("n_dropped", "long"), ("kept_text", "string")):
         schema = schema.add(name, kind)
-    return (src.join(dropped.hint("shuffle_hash"), ["no_id", "place"], "left")
-            .select("doc", "doc_id", "text", "gone").mapInArrow(cut, schema))
+    return (src.drop("text").join(dropped.hint("shuffle_hash"), ["no_id", "place"], "left")
+            .select("doc", "doc_id", F.col("doc")[text_col].cast("string").alias("text"), "gone").mapInArrow(cut, schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
