@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, packing, quality, secret_scan, substring_dedup, warc_store
+from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, packing, quality, secret_scan, sentence_pieces, substring_dedup, warc_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_quality": quality.query,
+    "op3_sentence_pieces": sentence_pieces.query,
     "op4_packing": packing.query,
     "op5_secret_scan": secret_scan.query,
     "op6_substring_dedup": substring_dedup.query,
