@@ -31,14 +31,19 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[Column | str], ou
     partitions, number rows locally, then add the counts of the group's rows in earlier
     partitions (a table of at most partitions + groups rows).
 
-    ``order`` must make rows unique within a group (add a key as the last column)."""
+    ``order`` must make rows unique within a group (add a key as the last column). The
+    partitioned rows are written to the shared checkpoint folder once, with their partition
+    and local number, and both the counts and the rows are read from there: two range
+    exchanges of one frame would sample different bounds."""
+    from pagemill.session import cut_lineage
+
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    r = (df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols)
-         .sortWithinPartitions(*[F.col(g) for g in group], *order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mono", F.monotonically_increasing_id()))
+    r = cut_lineage(df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols)
+                    .sortWithinPartitions(*[F.col(g) for g in group], *order_cols)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mono", F.monotonically_increasing_id()))
     firsts = r.groupBy("_pid", *group).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = firsts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))

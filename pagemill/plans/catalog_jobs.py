@@ -373,7 +373,7 @@ def q_stream_discovery(t: Tables):
     out, tag = _stream_paths(t, "sdisc")
     stream_discovery(t.spark, t.sf_dir + "/page[s].parquet", out, corpus_rules(t.pages), t.f_published_pages, AS_OF,
                      name=tag)
-    return t.spark.read.parquet(out).drop("batch_id").dropDuplicates(["rule_id", "url_hash"])
+    return t.spark.read.parquet(out).select("rule_id", "url", "url_hash", "status")
 
 
 @register("stream_collect")
@@ -381,12 +381,13 @@ def q_stream_collect(t: Tables):
     """T2+T6+T7: the collect stream: each batch of new queue files runs a collect pass
     (per-rule FIFO batches); articles, transitions and logs per batch, logs retained."""
     import os
+    from pagemill.session import path_exists
     from pagemill.streaming.jobs import stream_collect
     from pagemill.schema import QUEUE, conform
     out, tag = _stream_paths(t, "scoll")
     qsrc = os.path.join(out, "queue_src")
-    if not os.path.isdir(qsrc):
+    if not path_exists(t.spark, qsrc):
         conform(seed_queue(t.pages, AS_OF), QUEUE).write.mode("overwrite").parquet(qsrc)
-    stream_collect(t.spark, qsrc, os.path.join(out, "sink"), corpus_rules(t.pages), t.pages, t.f_published_pages, AS_OF,
-                   name=tag)
-    return t.spark.read.parquet(os.path.join(out, "sink", "transitions"))
+    rules = corpus_rules(t.pages).withColumn("batch_limit", F.lit(50))
+    stream_collect(t.spark, qsrc, os.path.join(out, "sink"), rules, t.pages, t.f_published_pages, AS_OF, name=tag)
+    return t.spark.read.parquet(os.path.join(out, "sink", "transitions")).drop("batch")

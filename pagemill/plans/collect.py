@@ -29,13 +29,12 @@ from pagemill.operators import extract as X
 from pagemill.operators import queue as Q
 from pagemill.operators.clean import clean_content
 from pagemill.operators.images import localize_images
+from pagemill.operators.joins import small
 from pagemill.operators.shred import shred
 from pagemill.plans.corpus import compile_rule_selectors
 from pagemill.schema import Settings
 from pagemill.session import cut_lineage
 
-PAGE_BYTES_CAP = 5242880
-
 # Failure and log messages.
 MSG_FETCH = "page fetch failed"
 MSG_EXTRACT = "title or content extraction failed"
@@ -48,21 +47,37 @@ class CollectResult:
     articles: DataFrame     # published records (C20)
     transitions: DataFrame  # new queue state of processed items
     logs: DataFrame         # log rows
+    last_collected: DataFrame   # per rule with a success: last_collected_at (Q6)
+
+
+def cut_bytes(text, most: int):
+    """The first ``most`` bytes of a text; a character that the cut splits becomes U+FFFD."""
+    return F.when(F.octet_length(text) > most,
+                  F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))).otherwise(text)
 
 
-def page_scan(items: DataFrame, pages: DataFrame) -> DataFrame:
+def page_scan(items: DataFrame, pages: DataFrame, page_bytes: int | None = None) -> DataFrame:
     """S1+S2: attach page HTML by normalised-URL hash; ``fetch_error`` when the page is
-    missing, empty, or the URL is not a safe public URL. HTML is capped at 5 MiB."""
-    # one page per normalised URL (the smallest page id): keys only, then HTML by id
-    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_ph"), "page_id") \
-        .groupBy("_ph").agg(F.min("page_id").alias("page_id"))
-    j = items.withColumn("_ph", F.md5(normalize_url(F.col("url")))).join(keys, "_ph", "left").drop("_ph")
-    j = j.join(pages.select("page_id", F.col("html").alias("_html")), "page_id", "left")
-    capped = F.when(F.octet_length("_html") > PAGE_BYTES_CAP,
-                    F.decode(F.substring(F.encode("_html", "UTF-8"), 1, PAGE_BYTES_CAP), "UTF-8")).otherwise(F.col("_html"))
-    err = (F.when(~is_safe_public_url(F.col("url")), F.lit("unsafe URL"))
-           .when(F.col("_html").isNull() | (F.col("_html") == ""), F.lit(MSG_FETCH)))
-    return j.withColumn("html", capped).withColumn("fetch_error", err).drop("_html")
+    missing, empty, or the URL is not a safe public URL. HTML is whole unless ``page_bytes``
+    is given. Unsafe items are set aside first; keys decide which page an item reads, and
+    HTML joins only to items that read one, so few due items never move the corpus."""
+    gated = items.withColumn("_safe", is_safe_public_url(F.col("url"))) \
+        .withColumn("_ph", F.when(F.col("_safe"), F.md5(normalize_url(F.col("url")))))
+    asked = gated.where("_safe").select("_ph").distinct()
+    # one page per normalised URL: the smallest page id
+    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_ph"), "page_id",
+                        (F.coalesce(F.col("html"), F.lit("")) != "").alias("_has")) \
+        .join(small(asked), "_ph", "left_semi") \
+        .groupBy("_ph").agg(F.min(F.struct("page_id", "_has")).alias("_p"))
+    keyed = gated.join(keys, "_ph", "left").drop("_ph") \
+        .withColumn("page_id", F.col("_p.page_id")).withColumn("_has", F.coalesce(F.col("_p._has"), F.lit(False))).drop("_p")
+    found = keyed.where(F.col("_safe") & F.col("_has"))
+    html = pages.select("page_id", F.col("html") if page_bytes is None else cut_bytes(F.col("html"), page_bytes).alias("html"))
+    cols = ["page_id", *items.columns]
+    ok = html.join(small(found), "page_id").select(*cols, "html", F.lit(None).cast("string").alias("fetch_error"))
+    err = F.when(~F.col("_safe"), F.lit("unsafe URL")).otherwise(F.lit(MSG_FETCH))
+    bad = keyed.where(~(F.col("_safe") & F.col("_has"))).select(*cols, F.lit(None).cast("string").alias("html"), err.alias("fetch_error"))
+    return ok.unionByName(bad)
 
 
 def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
@@ -99,9 +114,12 @@ def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
 
 def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: DataFrame, as_of,
             assets: DataFrame | None = None, settings: Settings = Settings(), per_rule_batch: bool = False) -> CollectResult:
-    """Run one collect pass over every due item (or each rule's FIFO batch)."""
+    """Run one collect pass over every due item (or each rule's FIFO batch). Items that hang
+    in ``running`` are released first (Q4) and take part if they are due."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     rules_c = compile_rule_selectors(rules)
+    if "started_at" in queue.columns:
+        queue = Q.release_stuck(queue, as_of, settings.running_timeout_minutes)
     due = Q.due_items(queue, rules_c, as_of)
     if per_rule_batch:
         from pagemill.operators.reports import next_batch
@@ -124,16 +142,20 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
     ex = ex.withColumn("x_title", apply_replacements(F.col("x_title"), F.col("r_replacements"))) \
         .withColumn("x_content", apply_replacements(F.col("x_content"), F.col("r_replacements")))
     good = ex.where(F.col("extract_error").isNull())
-    # duplicates: source already published, title equal to a live article, or an earlier
-    # item of the batch with the same title
+    # duplicates: source already published or title equal to a live article; of the items
+    # that are left, those whose title an earlier one publishes in this batch
     published = Q.not_published(good.select("queue_id", "url"), articles).select("queue_id").withColumn("_new", F.lit(True))
     titles = Q.live_titles(articles).withColumn("_dup_title", F.lit(True))
     good = good.join(published, "queue_id", "left").withColumn("_t", strip_tags(F.col("x_title"))) \
         .join(titles, "_t", "left")
-    good = Q.first_of_equal_titles(good, "x_title", "queue_id")
-    dup = F.col("r_dedupe_title") & (F.col("_new").isNull() | F.coalesce(F.col("_dup_title"), F.lit(False))
-                                     | F.col("batch_duplicate"))
-    good = good.withColumn("skip", dup).drop("_new", "_dup_title", "_t")
+    known = F.col("r_dedupe_title") & (F.col("_new").isNull() | F.coalesce(F.col("_dup_title"), F.lit(False)))
+    good = cut_lineage(good.withColumn("_known", known).drop("_new", "_dup_title", "_t"))
+    # titles and ids only: content does not travel on the title, which may be a hot key
+    later = Q.first_of_equal_titles(good.where(~F.col("_known")).select("queue_id", "x_title"), "x_title", "queue_id") \
+        .where("batch_duplicate").select("queue_id", F.lit(True).alias("_later"))
+    good = good.join(later, "queue_id", "left") \
+        .withColumn("skip", F.col("_known") | (F.col("r_dedupe_title") & F.coalesce(F.col("_later"), F.lit(False)))) \
+        .drop("_known", "_later")
     keep = good.where(~F.col("skip")).withColumn("clean", F.col("r_clean"))
     cleaned = cut_lineage(clean_content(keep, "x_content", "clean", "clean_content").drop("clean"))
     if assets is not None:
@@ -158,17 +180,21 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
         .withColumn("last_error", F.lit(None).cast("string")).withColumn("scheduled_at", F.lit(None).cast("timestamp_ntz")) \
         .withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))
     failed_t = Q.mark_failed(failed, as_of, F.col("error")).select("queue_id", "rule_id", "url", "status", "attempts",
-                                                          F.col("last_error"), "scheduled_at", "finished_at")
+                                                          F.col("last_error"), "scheduled_at", "finished_at",
+                                                          F.lit(None).cast("long").alias("article_id"))
     skipped_t = good.where(F.col("skip")).select("queue_id", "rule_id", "url", F.lit("skipped").alias("status"), "attempts",
                                                  F.lit(Q.MSG_DUPLICATE).alias("last_error"),
-                                                 F.lit(None).cast("timestamp_ntz").alias("scheduled_at"), ts.alias("finished_at"))
+                                                 F.lit(None).cast("timestamp_ntz").alias("scheduled_at"), ts.alias("finished_at"),
+                                                 F.lit(None).cast("long").alias("article_id"))
     success_t = cleaned.select("queue_id", "rule_id", "url", F.lit("success").alias("status"),
                                "attempts", F.lit(None).cast("string").alias("last_error"),
-                            F.lit(None).cast("timestamp_ntz").alias("scheduled_at"), ts.alias("finished_at"))
+                               F.lit(None).cast("timestamp_ntz").alias("scheduled_at"), ts.alias("finished_at"),
+                               F.col("queue_id").alias("article_id"))
     transitions = failed_t.unionByName(skipped_t).unionByName(success_t)
     logs = transitions.select(
         F.col("queue_id").alias("log_id"), "rule_id", "queue_id",
         F.when(F.col("status") == "success", "success").when(F.col("status") == "skipped", "warning")
         .otherwise("error").alias("level"),
         F.coalesce(F.col("last_error"), F.lit(MSG_SUCCESS)).alias("message"), "url", ts.alias("created_at"))
-    return CollectResult(items=transitions, articles=arts, transitions=transitions, logs=logs)
+    return CollectResult(items=transitions, articles=arts, transitions=transitions, logs=logs,
+                         last_collected=Q.last_collected(transitions))

@@ -25,8 +25,14 @@ def _slot(selector: str, before: str = "", after: str = "", json_path: str = "")
                     F.lit(json_path).alias("json_path"))
 
 
+def host_rule_id(host: Column) -> Column:
+    """Rule id of a host: the first 15 hex digits of its MD5 (stable, no global numbering,
+    and the same in any SQL engine)."""
+    return F.conv(F.substring(F.md5(host), 1, 15), 16, 10).cast("long")
+
+
 def corpus_rules(pages: DataFrame) -> DataFrame:
-    """One enabled rule per host, rule_id = xxhash64(host) (stable, no global numbering)."""
+    """One enabled rule per host, its id from :func:`host_rule_id`."""
     from pagemill.functions.text import cached_columns
 
     hosts = pages.select(url_host(F.col("url")).alias("host")).where(F.col("host") != "").distinct()
@@ -34,10 +40,10 @@ def corpus_rules(pages: DataFrame) -> DataFrame:
 
 
 def _rule_columns() -> list:
-    k = F.pmod(F.xxhash64("host"), F.lit(1000))
+    k = F.pmod(host_rule_id(F.col("host")), F.lit(1000))
     lines = lambda txt: F.split(F.lit(txt), "\n")
     return [
-        F.xxhash64("host").alias("rule_id"), F.col("host").alias("name"), F.lit(True).alias("enabled"),
+        host_rule_id(F.col("host")).alias("rule_id"), F.col("host").alias("name"), F.lit(True).alias("enabled"),
         F.lit("").alias("pagination_pattern"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"),
         F.struct(F.lit("").alias("selector"), F.lit("").alias("before"), F.lit("").alias("after"),
                  F.lit("").alias("json_path"), F.lit("").alias("json_url_field")).alias("link"),
@@ -94,7 +100,7 @@ def seed_queue(pages: DataFrame, as_of) -> DataFrame:
     """Every page URL as a pending item of its host's rule (queue_id = page_id)."""
     u = normalize_url(F.col("url"))
     return pages.select(
-        F.col("page_id").alias("queue_id"), F.xxhash64(url_host(F.col("url"))).alias("rule_id"), u.alias("url"),
+        F.col("page_id").alias("queue_id"), host_rule_id(url_host(F.col("url"))).alias("rule_id"), u.alias("url"),
         F.md5(u).alias("url_hash"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"),
         F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("long").alias("article_id"),
         F.lit(as_of).cast("timestamp_ntz").alias("discovered_at"), F.lit(None).cast("timestamp_ntz").alias("scheduled_at"),

@@ -20,9 +20,10 @@ from pagemill.functions.text import cached_columns, trim_set
 from pagemill.functions.urls import list_page_urls, normalize_url, url_host
 from pagemill.operators import extract as X
 from pagemill.operators import queue as Q
+from pagemill.operators.joins import small
 from pagemill.operators.reports import rules_to_discover
 from pagemill.operators.shred import NODE_TYPE, shred
-from pagemill.plans.corpus import compile_rule_selectors
+from pagemill.plans.corpus import compile_rule_selectors, host_rule_id
 from pagemill.session import cut_lineage
 
 
@@ -41,19 +42,20 @@ def list_pages(rules: DataFrame) -> DataFrame:
 
 def corpus_list_pages(pages: DataFrame) -> DataFrame:
     """Corpus mode: every page is a list page of its host's rule, in page order."""
-    return pages.select(F.xxhash64(url_host(F.col("url"))).alias("rule_id"), F.col("page_id").alias("list_pos"), "url")
+    return pages.select(host_rule_id(url_host(F.col("url"))).alias("rule_id"), F.col("page_id").alias("list_pos"), "url")
 
 
 def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
     """S1 + X3 + X11: (rule_id, pos, url) links of every fetched list page. ``pos`` orders
     links by list page, then position within the page."""
     rules_c = compile_rule_selectors(rules).select("rule_id", "link", "json_source")
-    # one page per normalised URL (smallest id): keys first, HTML joins in once by page id
+    # one page per normalised URL (smallest id): keys and rules first, HTML last, once, to
+    # the rows that need it; only pages that are listed leave the scan if those are few
     keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_h"), "page_id") \
         .groupBy("_h").agg(F.min("page_id").alias("page_id"))
-    fetched = listed.withColumn("_h", F.md5(normalize_url(F.col("url")))).join(keys, "_h").drop("_h") \
-        .join(pages.select("page_id", F.col("url").alias("page_url"), "html"), "page_id").drop("page_id") \
-        .join(rules_c, "rule_id")
+    wanted = listed.withColumn("_h", F.md5(normalize_url(F.col("url")))).drop("url").join(keys, "_h").drop("_h") \
+        .join(small(rules_c), "rule_id")
+    fetched = pages.select("page_id", F.col("url").alias("page_url"), "html").join(wanted, "page_id").drop("page_id")
     needs_tree = trim_set(F.coalesce(F.col("link.selector"), F.lit(""))) != ""
     with_tree = shred(fetched.where(needs_tree))
     no_tree = fetched.where(~needs_tree).withColumn("page_text", F.lit("")) \

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pagemill.functions.text import sanitize_json_source
 from pagemill.functions.urls import parse_urls
+from pagemill.operators.joins import rank_in_group
+from pagemill.session import path_bytes
 
 MAX_IMPORT_BYTES = 2 * 1024 * 1024
 MAX_IMPORT_RULES = 200
@@ -69,14 +69,15 @@ def export_rules(rules: DataFrame, path: str) -> None:
         .withColumnRenamed("rule_id", "_export_order").write.mode("overwrite").json(path)
 
 
-def import_rules(spark: SparkSession, path: str, defaults: dict, schema: T.StructType) -> DataFrame:
+def import_rules(spark: SparkSession, path: str, defaults: dict, schema: T.StructType, max_bytes: int | None = None,
+                 max_rules: int | None = None) -> DataFrame:
     """S3: rules from JSON lines (``export_rules``) or one ``{version, rules:[...]}``
-    document; more than 2 MiB is refused; the first 200 rules (in export order) are kept;
-    only known keys (``schema``), missing ones from ``defaults``. Validate with V6."""
-    files = [os.path.join(dp, f) for dp, _, fs in os.walk(path) for f in fs if f.endswith(".json")] \
-        if os.path.isdir(path) else [path]
-    if sum(os.path.getsize(f) for f in files) > MAX_IMPORT_BYTES:
-        raise ValueError("rule import larger than 2 MiB")
+    document; only known keys (``schema``), missing ones from ``defaults``. Validate with V6.
+    ``max_bytes`` refuses a larger import and ``max_rules`` keeps the first rules in export
+    order; both are unbounded unless given (an upload form would pass MAX_IMPORT_BYTES and
+    MAX_IMPORT_RULES)."""
+    if max_bytes is not None and path_bytes(spark, path) > max_bytes:
+        raise ValueError(f"rule import larger than {max_bytes} bytes")
     probe = spark.read.json(path)
     if "rules" in probe.columns:
         doc_schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("rules", T.ArrayType(schema))])
@@ -84,9 +85,11 @@ def import_rules(spark: SparkSession, path: str, defaults: dict, schema: T.Struc
     else:
         line_schema = T.StructType(list(schema.fields) + [T.StructField("_export_order", T.LongType())])
         lines = spark.read.schema(line_schema).json(path)
-        rows = lines.select(F.struct(*[F.col(f.name) for f in schema.fields]).alias("r"), "_export_order") \
-            .withColumn("pos", F.row_number().over(Window.orderBy("_export_order")) - 1)
-    rows = rows.where(F.col("pos") < MAX_IMPORT_RULES)
+        rows = lines.select(F.struct(*[F.col(f.name) for f in schema.fields]).alias("r"), "_export_order")
+        rows = rank_in_group(rows.withColumn("_g", F.lit(0)), ["_g"], ["_export_order"], "pos") \
+            .withColumn("pos", F.col("pos") - 1).drop("_g")
+    if max_rules is not None:
+        rows = rows.where(F.col("pos") < max_rules)
     cols = []
     for fld in schema.fields:
         c = F.col("r." + fld.name)

@@ -23,21 +23,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagemill.operators import reports as R
-from pagemill.session import checkpoint_dir
+from pagemill.session import checkpoint_dir, cut_lineage, path_exists
 
 TRANSITION_SCHEMA = T.StructType([
     T.StructField("queue_id", T.LongType()), T.StructField("rule_id", T.LongType()), T.StructField("seq", T.IntegerType()),
     T.StructField("status", T.StringType()), T.StructField("event_ts", T.TimestampType())])
 
 
+QUEUE_KEYS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("url", T.StringType()),
+                           T.StructField("url_hash", T.StringType())])
+
+
 def _ckpt(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", name)
 
 
-def _read_batches(spark: SparkSession, path: str) -> DataFrame | None:
-    if not os.path.isdir(path) or not any(n.startswith("batch=") for n in os.listdir(path)):
-        return None
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def _read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """Rows of the batch folders under ``path``, of earlier batches than ``before`` if given (a
+    replayed batch must not see what its first try wrote). No folder gives no rows; the file
+    system is the one that the path names."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)     # prunes folders
+    return rows.drop("batch")
 
 
 def _run(writer, trigger_once: bool):
@@ -61,11 +71,8 @@ def stream_discovery(spark: SparkSession, pages_src: str, queue_path: str, rules
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pages_src)
 
     def batch(df: DataFrame, batch_id: int):
-        existing = _read_batches(spark, queue_path)
-        if existing is None:
-            existing = spark.createDataFrame([], "rule_id long, url string, url_hash string")
-        # queue rows carry url_hash: the anti join reads two narrow columns, no re-hashing
-        existing = existing.select(*[c for c in ("rule_id", "url", "url_hash") if c in existing.columns])
+        # queue rows carry url_hash: the anti join reads narrow columns, no re-hashing
+        existing = _read_batches(spark, queue_path, QUEUE_KEYS, batch_id)
         res = discover(rules, df, existing, articles, as_of, listed=corpus_list_pages(df))
         res.new_items.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .parquet(os.path.join(queue_path, f"batch={batch_id}"))
@@ -81,29 +88,77 @@ def dedupe_within_watermark(stream: DataFrame, delay: str = "1 day") -> DataFram
 
 # ---------------------------------------------------------------- T2 collect
 
+TRANSITIONS = T.StructType([
+    T.StructField("queue_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()),
+    T.StructField("last_error", T.StringType()), T.StructField("scheduled_at", T.TimestampNTZType()),
+    T.StructField("finished_at", T.TimestampNTZType()), T.StructField("article_id", T.LongType()),
+    T.StructField("pass_no", T.LongType())])
+PUBLISHED = T.StructType([T.StructField("source_url", T.StringType()), T.StructField("title", T.StringType()),
+                          T.StructField("status", T.StringType())])
+
+
+def _current(seeds: DataFrame, done: DataFrame) -> DataFrame:
+    """Queue rows with their latest transition applied."""
+    last = done.groupBy("queue_id").agg(F.max_by(F.struct(*[c for c in done.columns if c != "queue_id"]), "pass_no").alias("_l"))
+    hit = F.col("_l").isNotNull()
+    new = {"status": "status", "attempts": "attempts", "last_error": "last_error", "scheduled_at": "scheduled_at",
+           "finished_at": "finished_at", "article_id": "article_id"}
+    return seeds.join(last, "queue_id", "left").select(
+        *[F.when(hit, F.col("_l." + new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in seeds.columns])
+
+
 def stream_collect(spark: SparkSession, queue_src: str, out_path: str, rules: DataFrame, pages: DataFrame,
                    articles: DataFrame, as_of: str, name: str = "collect", per_rule_batch: bool = True,
-                   log_retention: int = 2000, trigger_once: bool = True, queue_schema: T.StructType | None = None):
-    """T2+T6+T7: each micro-batch of new queue rows runs a collect pass over them (each
-    rule's FIFO batch when ``per_rule_batch``) and appends articles, transitions and
-    logs; logs are then trimmed to the newest ``log_retention`` rows."""
+                   log_retention: int = 2000, trigger_once: bool = True, queue_schema: T.StructType | None = None,
+                   max_files: int = 16):
+    """T2+T6+T7: each micro-batch adds its queue rows to the queue table and runs collect
+    passes until no item is due: a pass takes each rule's FIFO batch (``per_rule_batch``), the
+    others stay pending for the next pass. A pass reads the queue with all earlier transitions
+    applied, so retried items come back once their time has come, and tests duplicates
+    against the given articles and those of all earlier passes. Articles, transitions and
+    logs are written per batch and pass; logs are then trimmed to the newest rows."""
     from pagemill.plans.collect import collect
-    from pagemill.schema import QUEUE
+    from pagemill.schema import LOGS, QUEUE, conform
 
-    stream = spark.readStream.schema(queue_schema or QUEUE).parquet(queue_src)
+    stream = spark.readStream.schema(queue_schema or QUEUE).option("maxFilesPerTrigger", max_files).parquet(queue_src)
+    if "title" not in articles.columns:
+        articles = articles.withColumn("title", F.lit(""))
+    if "status" not in articles.columns:
+        articles = articles.withColumn("status", F.lit("publish"))
+    given = articles.select("source_url", "title", "status")
+
+    def folder(part: str, number: int) -> str:
+        return os.path.join(out_path, part, f"batch={number}")
 
     def batch(df: DataFrame, batch_id: int):
-        res = collect(df, rules, pages, articles, as_of, per_rule_batch=per_rule_batch)
-        for part, frame in (("articles", res.articles), ("transitions", res.transitions), ("logs", res.logs)):
-            frame.write.mode("overwrite").parquet(os.path.join(out_path, part, f"batch={batch_id}"))
-        logs = _read_batches(spark, os.path.join(out_path, "logs"))
-        if logs is not None:
-            R.retain_logs(logs, log_retention).write.mode("overwrite").parquet(os.path.join(out_path, "logs_retained"))
+        conform(df, QUEUE).write.mode("overwrite").parquet(folder("queue", batch_id))
+        seeds = _read_batches(spark, os.path.join(out_path, "queue"), QUEUE, batch_id + 1)
+        # passes are numbered through all batches: batch b has b * PASSES and so on
+        number = batch_id * PASSES
+        while True:
+            done = _read_batches(spark, os.path.join(out_path, "transitions"), TRANSITIONS, number)
+            state = _current(seeds, done)
+            before = _read_batches(spark, os.path.join(out_path, "articles"), PUBLISHED, number)
+            res = collect(state, rules, pages, given.unionByName(before), as_of, per_rule_batch=per_rule_batch)
+            rows = cut_lineage(res.transitions)
+            if rows.isEmpty():
+                break
+            rows.withColumn("pass_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(folder("transitions", number))
+            res.articles.write.mode("overwrite").parquet(folder("articles", number))
+            conform(res.logs, LOGS).write.mode("overwrite").parquet(folder("logs", number))
+            number += 1
+            if number == (batch_id + 1) * PASSES:
+                raise RuntimeError("a batch needs more passes than its numbers allow")
+        logs = _read_batches(spark, os.path.join(out_path, "logs"), LOGS, (batch_id + 1) * PASSES)
+        R.retain_logs(logs, log_retention).write.mode("overwrite").parquet(os.path.join(out_path, "logs_retained"))
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, name))
     return _run(w, trigger_once)
 
 
+PASSES = 1_000_000      # numbers set aside for the passes of one micro-batch
+
+
 # ---------------------------------------------------------------- T4 per-item state
 
 STATE_OUT = T.StructType([
@@ -220,8 +275,3 @@ def stream_daily(spark: SparkSession, events_path: str, out_path: str, as_of: st
          trigger_once)
     out = spark.read.parquet(out_path)
     return out.select(F.to_date(F.col("w.start")).alias("day"), "total_count", "success_count", "failed_count")
-
-
-def retain_logs_batch(df: DataFrame, path: str, keep: int = 2000) -> None:
-    """After each batch keep only the newest ``keep`` log rows (by id)."""
-    R.retain_logs(df, keep).write.mode("overwrite").parquet(path)

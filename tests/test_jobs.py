@@ -42,3 +42,37 @@ def test_collect_semantics(spark):
             assert "%%%" not in a.title and "###" not in a.title and "%%%" not in a.content
             replaced_checked += 1
     assert checked > 0 and replaced_checked > 0
+
+
+def _items(spark, rows):
+    return spark.createDataFrame(rows, "queue_id long, url string")
+
+
+def test_page_scan_gates_and_cuts(spark):
+    from pagemill.plans.collect import MSG_FETCH, page_scan
+    big = "é" * 50
+    pages = spark.createDataFrame([(1, "https://a.example.com/x", big), (2, "https://a.example.com/y", ""), (3, "https://a.example.com/x/", "later")],
+                                  "page_id long, url string, html string")
+    items = _items(spark, [(10, "https://a.example.com/x"), (11, "https://a.example.com/y"), (12, "http://127.0.0.1/z"), (13, "https://a.example.com/none")])
+    whole = {r.queue_id: r for r in page_scan(items, pages).collect()}
+    assert whole[10].html == big and whole[10].fetch_error is None
+    assert whole[11].fetch_error == MSG_FETCH and whole[13].fetch_error == MSG_FETCH and whole[12].fetch_error == "unsafe URL"
+    cut = {r.queue_id: r for r in page_scan(items, pages, page_bytes=51).collect()}   # splits a two-byte character
+    assert cut[10].html.startswith("é" * 25) and len(cut[10].html) <= 26
+
+
+def test_skipped_item_does_not_hide_its_title(spark):
+    """Of two pages with one title the first is already published under another title: the
+    second publishes."""
+    page = "<html><body><h1>Same title</h1><article><p>" + "word " * 60 + "</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "https://a.example.com/one", page), (2, "https://a.example.com/two", page),
+                                   (3, "https://a.example.com/three", page)], "page_id long, url string, html string")
+    rules = corpus_rules(pages).withColumn("dedupe_title", F.lit(True)) \
+        .withColumn("title", F.col("title").withField("selector", F.lit("//h1")).withField("before", F.lit("")).withField("after", F.lit(""))) \
+        .withColumn("content", F.col("content").withField("selector", F.lit("//article")).withField("before", F.lit("")).withField("after", F.lit("")))
+    published = spark.createDataFrame([("https://a.example.com/one", "Other title", "publish")], "source_url string, title string, status string")
+    res = collect(seed_queue(pages, AS_OF), rules, pages, published, AS_OF)
+    got = {r.queue_id: r.status for r in res.transitions.collect()}
+    assert got == {1: "skipped", 2: "success", 3: "skipped"}
+    assert {r.queue_id: r.article_id for r in res.transitions.collect()} == {1: None, 2: 2, 3: None}
+    assert res.last_collected.count() == 1

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pagemill.operators import queue as Q
 from pagemill.operators.joins import rank_in_group
@@ -31,11 +31,18 @@ def test_queue_state_order_independent(spark):
 
 
 def test_rank_in_group_exact_under_skew(spark):
-    rows = [(0, i) for i in range(3000)] + [(k, i) for k in range(1, 40) for i in range(20)]
-    df = spark.createDataFrame(rows, "g long, pos long")
-    got = rank_in_group(df, ["g"], ["pos"], "r", partitions=8)
-    bad = got.where(F.col("r") != F.col("pos") + 1).count()
-    assert bad == 0 and got.count() == len(rows)
+    """Payload columns, a hot group, inputs above the range sample: contiguous ranks and all
+    rows at any number of partitions."""
+    rows = spark.range(0, 6000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40).alias("g"), F.hash("id").alias("pos"), "id",
+        F.md5(F.col("id").cast("string")).alias("payload"))
+    for n in (2, 4, 8, 200):
+        got = rank_in_group(rows, ["g"], ["pos", "id"], "r", partitions=n)
+        per = got.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"),
+                                   F.countDistinct("r").alias("d")).collect()
+        assert sum(r.n for r in per) == 6000 and all(r.lo == 1 and r.hi == r.n == r.d for r in per)
+        w = Window.partitionBy("g").orderBy("pos", "id")
+        assert got.withColumn("want", F.row_number().over(w)).where("want <> r").isEmpty()
 
 
 def test_enqueue_dedupes_and_spaces(spark):
