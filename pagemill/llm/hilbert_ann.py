@@ -28,7 +28,7 @@ from pagemill.llm.words import U64
 CURVES = 8
 DIMS, BITS = 4, 15      # of a curve's key: 60 bits
 SAMPLE, FIT = 200, 0.97
-BLOCK = 1024            # curve positions a task compares at once
+BLOCK = 4096            # curve positions a task compares at once
 K = 20
 QUERY_EVERY = 20
 
@@ -77,25 +77,36 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(np.float64) if blobs else np.zeros((0, 1))
 
 
-def _pairs(ids_col, cids, scores, k):
-    """The k best (score, id) of some classes, ids expanded."""
-    flat = [(-s, i) for c, s in zip(cids, scores) for i in ids_col[c]]
-    flat.sort()
-    return flat[:k]
-
-
-def _best(queries: np.ndarray, vectors: np.ndarray, ids: list, allowed, k: int):
-    """For each query the k nearest ids among the classes ``vectors``: lists of (-score, id)."""
-    near = queries @ vectors.T
-    if allowed is not None:
-        near[~allowed] = -np.inf
-    keep = min(k + 12, near.shape[1])   # room for the last bits of the product
-    top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-    for i in range(len(queries)):
-        at = top[i][np.isfinite(near[i][top[i]])]
+SLACK = 12      # classes beyond k that are scored again, for the last bits of the first product
+QUERIES_AT_ONCE = 256
+
+
+def _best(queries: np.ndarray, vectors: np.ndarray, ids, k: int):
+    """The k nearest ids of each query among the classes ``vectors``, whose ids are a list
+    array: (query number, score, id), by query, then nearest first, then smaller id."""
+    bounds, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
+    bounds = bounds - bounds[0]
+    single = vectors.astype(np.float32)
+    out = []
+    for s in range(0, len(queries), QUERIES_AT_ONCE):
+        q = queries[s:s + QUERIES_AT_ONCE]
+        near = q.astype(np.float32) @ single.T
+        keep = min(k + SLACK, near.shape[1])
+        top = np.argpartition(near, near.shape[1] - keep, axis=1)[:, -keep:] if keep < near.shape[1] \
+            else np.broadcast_to(np.arange(keep), near.shape)
+        row, cls = np.repeat(np.arange(len(q)), keep), top.ravel()
         # one order of summation, so that a pair has the same score wherever it is met
-        scores = (vectors[at] * queries[i]).sum(axis=1)
-        yield _pairs(ids, at, scores, k)
+        score = (vectors[cls] * q[row]).sum(axis=1)
+        n = bounds[cls + 1] - bounds[cls]
+        begin = np.cumsum(n) - n
+        own = flat[np.repeat(bounds[cls] - begin, n) + np.arange(n.sum())]
+        row, score = np.repeat(row, n), np.repeat(score, n)
+        order = np.lexsort((own, -score, row))
+        row, score, own = row[order], score[order], own[order]
+        first = np.searchsorted(row, np.arange(len(q)))
+        ok = np.arange(len(row)) - first[row] < k
+        out.append((row[ok] + s, score[ok], own[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def classes_of(vectors: DataFrame, k: int) -> DataFrame:
@@ -192,20 +203,16 @@ def positions(classes: DataFrame, centre: np.ndarray, spread: float) -> DataFram
 def fitted_window(placed: DataFrame, classes: DataFrame, sample: list, k: int) -> int:
     """The smallest window that holds a ``FIT`` share of the sample's true neighbours."""
     queries = np.stack([np.frombuffer(r.vec, np.float32).astype(np.float64) for r in sample])
-    names = [r.cid for r in sample]
+    names = np.array([r.cid for r in sample])
 
     def run(batches):
-        best = [[] for _ in names]
         for b in batches:
             m = _matrix(b.column("vec"))
-            if not len(m):
-                continue
-            cids = b.column("cid").to_pylist()
-            for i, got in enumerate(_best(queries, m, [[x] for x in cids], None, k + 1)):
-                best[i] = sorted(best[i] + got)[:k + 1]
-        rows = [(names[i], c, -s) for i, got in enumerate(best) for s, c in got]
-        if rows:
-            yield pa.RecordBatch.from_pydict(dict(zip(("q", "cid", "score"), map(list, zip(*rows)))))
+            if len(m):
+                cid = b.column("cid").to_numpy()
+                one = pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32), pa.array(cid))
+                row, score, near = _best(queries, m, one, k + 1)
+                yield pa.RecordBatch.from_pydict({"q": names[row], "cid": near, "score": score})
 
     found = classes.select("cid", "vec").mapInArrow(run, "q long, cid long, score double").filter("q <> cid")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
@@ -247,13 +254,13 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     schema = pa.schema([("cid", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))])
 
     def compare(key, cand, q):
-        done = []
-        if cand.num_rows and q.num_rows:
-            m, x = _matrix(cand.column("vec")), _matrix(q.column("vec"))
-            ids = cand.column("ids").to_pylist()
-            for cid, got in zip(q.column("cid").to_pylist(), _best(x, m, ids, None, k + 1)):
-                done.append((cid, [{"s": s, "i": i} for s, i in got]))
-        return pa.Table.from_batches(rows_to_batches(done, schema), schema)
+        if not cand.num_rows or not q.num_rows:
+            return pa.Table.from_batches([], schema)
+        m, x = _matrix(cand.column("vec")), _matrix(q.column("vec"))
+        row, score, near = _best(x, m, cand.column("ids").combine_chunks(), k + 1)
+        bounds = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(-score), pa.array(near)], names=["s", "i"])
+        return pa.Table.from_arrays([q.column("cid"), pa.ListArray.from_arrays(bounds, found)], schema=schema)
 
     met = (candidates.groupBy("c", "block").cogroup(queries.groupBy("c", "block"))
            .applyInArrow(compare, "cid long, found array<struct<s: double, i: long>>"))
