@@ -38,14 +38,6 @@ def q_collect_transitions(t: Tables):
     return collect_corpus(t).transitions
 
 
-@register("discover_links_job")
-def q_discover_links_job(t: Tables):
-    """§3.1 end to end: every page as a list page of its host's rule -> new queue items."""
-    rules = corpus_rules(t.pages)
-    res = discover(rules, t.pages, t.f_queue, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages))
-    return res.new_items
-
-
 # ------------------------------------------------------------------ rewrite hand-off
 
 from pagemill.operators import rewrite as W  # noqa: E402
@@ -54,6 +46,36 @@ from pagemill.plans.catalog_scalars import _URL_POOL_SQL, _url_pool  # noqa: E40
 from pagemill.plans.catalog_pages import _ALL_HREFS_SQL, _links_sql  # noqa: E402
 
 
+def _discover_sql(queued: bool) -> str:
+    """Discovery in SQL: every page is a list page of its host's rule; links in page order,
+    first occurrence per rule, without published (and already queued) ones."""
+    rid = f"CAST('0x' || substr(md5(lower({D.host_of('url')})), 1, 15) AS BIGINT)"
+    seen = "AND NOT EXISTS (SELECT 1 FROM f_queue q WHERE q.rule_id = f.rule_id AND md5(" + D.normalize_url("q.url") + ") = f.h)" if queued else ""
+    page_links = _links_sql("raw", "page_id").replace("\nSELECT page_id,", ",\npage_links AS (SELECT page_id,")
+    return f"""WITH {_ALL_HREFS_SQL},
+{page_links}),
+keys AS (SELECT md5({D.normalize_url('url')}) AS h, min(page_id) AS src FROM pages GROUP BY 1),
+listed AS (SELECT page_id AS list_pos, {rid} AS rule_id, md5({D.normalize_url('url')}) AS h FROM pages WHERE {D.host_of('url')} <> ''),
+found AS (SELECT l.rule_id, l.list_pos * 100000 + p.pos AS pos, {D.normalize_url('p.url')} AS u
+  FROM listed l JOIN keys k ON l.h = k.h JOIN page_links p ON p.page_id = k.src),
+one AS (SELECT rule_id, u AS url, md5(u) AS h, min(pos) AS pos FROM found WHERE {D.is_safe_url('u')} GROUP BY rule_id, u),
+fresh AS (SELECT * FROM one f WHERE h NOT IN (SELECT md5({D.normalize_url('source_url')}) FROM f_published_pages) {seen})
+"""
+
+
+_DISCOVER_COLS = f"""SELECT rule_id, url, h AS url_hash, 'pending' AS status, 0 AS attempts,
+  CAST('{AS_OF}' AS TIMESTAMP) AS discovered_at, CAST('{AS_OF}' AS TIMESTAMP) AS scheduled_at,
+  row_number() OVER (PARTITION BY rule_id ORDER BY pos, h) - 1 AS "offset", pos FROM fresh"""
+
+
+@register("discover_links_job", _discover_sql(True) + _DISCOVER_COLS, ("f_queue", "f_published_pages"))
+def q_discover_links_job(t: Tables):
+    """§3.1 end to end: every page as a list page of its host's rule -> new queue items."""
+    rules = corpus_rules(t.pages)
+    res = discover(rules, t.pages, t.f_queue, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages))
+    return res.new_items
+
+
 def _parse_sql(resp: str) -> str:
     m = f"regexp_replace(regexp_replace({D.trim_set(resp)}, '(?i)^```(?:json)?\\s*', ''), '\\s*```$', '')"
     return f"""p0 AS (SELECT *, {m} AS m FROM src),
@@ -204,7 +226,9 @@ def q_rule_coverage(t: Tables):
     return PV.rule_coverage(_corpus_preview(t))
 
 
-@register("discovery_log")
+@register("discovery_log", _discover_sql(True) + f"""SELECT rule_id, 'info' AS level,
+  'links discovered: ' || CAST(count(*) AS VARCHAR) AS message, CAST('{AS_OF}' AS TIMESTAMP) AS created_at, count(*) AS added
+FROM fresh GROUP BY rule_id""", ("f_queue", "f_published_pages"))
 def q_discovery_log(t: Tables):
     """V7: links added per rule by a discovery pass, as log rows."""
     rules = corpus_rules(t.pages)
@@ -365,7 +389,8 @@ def q_enrich_articles(t: Tables):
                     .alias("schedule_in_bounds"))
 
 
-@register("stream_discovery")
+@register("stream_discovery", _discover_sql(False) + "SELECT rule_id, url, h AS url_hash, 'pending' AS status FROM fresh",
+          ("f_published_pages",))
 def q_stream_discovery(t: Tables):
     """T1+T3: the discovery stream over the page files (AvailableNow): new queue items,
     exact duplicate suppression against the queue table across batches."""
