@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-AS_OF = "2024-01-30 12:00:00"
+AS_OF = "2024-01-30 23:59:59"     # the last second that the event table reaches
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -82,7 +82,7 @@ def _fixture_url():
 def _spark_f_queue(t: Tables) -> DataFrame:
     e, ts = F.col("event_id"), F.col("ts")
     et = F.col("event_type")
-    return t.events.where(ts <= as_of_col()).select(
+    return t.events.select(
         (e + 1).alias("queue_id"),
         (F.col("user_id") % 27 + 1).alias("rule_id"),
         _fixture_url().alias("url"),
@@ -101,7 +101,7 @@ def _spark_f_queue(t: Tables) -> DataFrame:
 
 def _spark_f_logs(t: Tables) -> DataFrame:
     e, et = F.col("event_id"), F.col("event_type")
-    return t.events.where(F.col("ts") <= as_of_col()).select(
+    return t.events.select(
         (e + 1).alias("log_id"),
         (F.col("user_id") % 27 + 1).alias("rule_id"),
         (e + 1).alias("queue_id"),
@@ -254,13 +254,13 @@ FROM nation""",
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts + (event_id % 7200) * INTERVAL '1' SECOND END AS scheduled_at,
        CASE WHEN event_type IN ('view', 'purchase', 'error') THEN ts + INTERVAL '60' SECOND END AS started_at,
        CASE WHEN event_type IN ('purchase', 'error', 'signup') THEN ts + INTERVAL '120' SECOND END AS finished_at
-FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'""",
+FROM events""",
     "f_logs": """SELECT event_id + 1 AS log_id, user_id % 27 + 1 AS rule_id, event_id + 1 AS queue_id,
        CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' WHEN 'purchase' THEN 'success' ELSE 'info' END AS level,
        CASE event_id % 4 WHEN 0 THEN 'AI rewrite done' WHEN 1 THEN 'image stats' WHEN 2 THEN 'selector failed' ELSE 'collected' END AS message,
        'https://site' || CAST(user_id % 40 AS VARCHAR) || '.example.com/a/' || CAST(event_id AS VARCHAR) AS url,
        ts AS created_at
-FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'""",
+FROM events""",
     "f_transitions": """SELECT queue_id, rule_id, 1 AS seq, 'pending' AS status, discovered_at AS event_ts FROM f_queue
 UNION ALL SELECT queue_id, rule_id, 2, 'running', started_at FROM f_queue WHERE started_at IS NOT NULL
 UNION ALL SELECT queue_id, rule_id, 3, status, finished_at FROM f_queue WHERE finished_at IS NOT NULL""",

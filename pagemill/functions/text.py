@@ -257,18 +257,25 @@ def article_status(status, scheduled_at) -> Column:
 
 
 def schedule_delay_minutes(key, dmin, dmax, seed: int = 17) -> Column:
-    """Reproducible pseudo-random delay in [min, max] minutes (min >= 0, max >= min)."""
+    """Reproducible pseudo-random delay in [min, max] minutes (min >= 0, max >= min),
+    from the MD5 of seed and key, so that any SQL engine gives the same minutes."""
     lo = F.greatest(F.lit(0), F.coalesce(_c(dmin), F.lit(0)))
     hi = F.greatest(lo, F.coalesce(_c(dmax), lo))
-    r = F.pmod(F.xxhash64(_c(key), F.lit(seed)), (hi - lo + 1).cast("long"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _c(key))), 1, 15), 16, 10).cast("long")
+    r = F.pmod(number, (hi - lo + 1).cast("long"))
     return F.when(hi > lo, r + lo).otherwise(lo).cast("int")
 
 
+# What a redacted excerpt masks.
+REDACT_KEY = r"sk-[A-Za-z0-9_\-]{12,}"
+REDACT_BEARER = r"(?i)Bearer\s+[A-Za-z0-9._\-]+"
+
+
 def redact_excerpt(col, n: int = 300) -> Column:
     """Strip tags, mask 'sk-…' keys and 'Bearer …' tokens, collapse, cut to >= 80."""
     s = strip_tags(col)
-    s = F.regexp_replace(s, r"sk-[A-Za-z0-9_\-]{12,}", "sk-***")
-    s = F.regexp_replace(s, r"(?i)Bearer\s+[A-Za-z0-9._\-]+", "Bearer ***")
+    s = F.regexp_replace(s, REDACT_KEY, "sk-***")
+    s = F.regexp_replace(s, REDACT_BEARER, "Bearer ***")
     return F.substring(collapse_ws(s), 1, max(80, int(n)))
 
 

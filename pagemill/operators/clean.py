@@ -2,7 +2,8 @@
 
 Steps, in order, on the element tree of the content (``shred_html``):
   C1  remove every element matching a selector; script, style, noscript always;
-  C2  unwrap links: every <a> loses its tags, its children stay;
+  C2  unwrap links: every <a> loses its tags, its children stay (mode ``external``: only
+      links whose address names another host than the page);
   C3  remove p, then div, then section elements whose current text contains a keyword
       (case-insensitive), innermost first;
   C4  remove p, then div elements without text and without an <img>, innermost first.
@@ -17,6 +18,7 @@ the Arrow batches carry the content and the rule's ``clean`` struct.
 from __future__ import annotations
 
 import re
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -51,8 +53,18 @@ def _matches(nodes, sel: str) -> list[int]:
     return out
 
 
+def _external(href: str | None, base_url: str | None) -> bool:
+    """Whether an address names a host, and another one than its page."""
+    try:
+        host = urlsplit((href or "").strip()).hostname
+        own = urlsplit(base_url or "").hostname
+    except ValueError:
+        return False
+    return bool(host) and host != own
+
+
 def clean_html(content: str | None, remove_selectors=None, unwrap_links: bool = False, drop_keywords=None,
-               drop_empty: bool = True) -> str:
+               drop_empty: bool = True, unwrap_mode: str = "all", base_url: str | None = None) -> str:
     """C1–C4 on one content string (see module doc)."""
     if not content:
         return "" if content is None else content
@@ -89,7 +101,7 @@ def clean_html(content: str | None, remove_selectors=None, unwrap_links: bool =
     unwrap: list[tuple[int, int]] = []
     if unwrap_links:
         for n in nodes:
-            if n["tag"] == "a" and not removed[n["pre"]]:
+            if n["tag"] == "a" and not removed[n["pre"]] and (unwrap_mode != "external" or _external(n["attrs"].get("href"), base_url)):
                 unwrap.append((n["src_start"], n["inner_start"]))
                 if n["inner_end"] < n["src_end"]:
                     unwrap.append((n["inner_end"], n["src_end"]))
@@ -132,27 +144,30 @@ def clean_html(content: str | None, remove_selectors=None, unwrap_links: bool =
     return "".join(out).strip(" \t\n\r\x00\x0b")
 
 
-def _clean_batches(batches, content_col: str, clean_col: str, out_col: str):
+def _clean_batches(batches, content_col: str, clean_col: str, out_col: str, base_col: str | None):
     from pagemill.operators.shred import _slices
 
     for batch in _slices(batches):
         contents = batch.column(batch.schema.get_field_index(content_col)).to_pylist()
         cfgs = batch.column(batch.schema.get_field_index(clean_col)).to_pylist()
+        bases = batch.column(batch.schema.get_field_index(base_col)).to_pylist() if base_col else [None] * len(contents)
         res = []
-        for c, cfg in zip(contents, cfgs):
+        for c, cfg, base in zip(contents, cfgs, bases):
             cfg = cfg or {}
             res.append(clean_html(c, cfg.get("remove_selectors"), bool(cfg.get("unwrap_links")),
-                                  cfg.get("drop_keywords"), cfg.get("drop_empty") is not False))
+                                  cfg.get("drop_keywords"), cfg.get("drop_empty") is not False,
+                                  cfg.get("unwrap_mode") or "all", base))
         yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(res, pa.string())],
                                          names=list(batch.schema.names) + [out_col])
 
 
 def clean_content(df: DataFrame, content_col: str = "content", clean_col: str = "clean",
-                  out_col: str = "clean_content") -> DataFrame:
+                  out_col: str = "clean_content", base_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = C1–C4 applied to ``content_col`` with the row's ``clean_col``
-    struct (remove_selectors, unwrap_links, drop_keywords, drop_empty). Narrow."""
+    struct (remove_selectors, unwrap_links, drop_keywords, drop_empty and optionally
+    unwrap_mode, which reads the page's address from ``base_col``). Narrow."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.StringType())])
-    return df.mapInArrow(lambda it: _clean_batches(it, content_col, clean_col, out_col), schema)
+    return df.mapInArrow(lambda it: _clean_batches(it, content_col, clean_col, out_col, base_col), schema)
 
 
 __all__ = ["clean_html", "clean_content", "ALWAYS_REMOVE"]

@@ -27,8 +27,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 from pagemill.operators.shred import escape_token
 
-MAX_STEPS = 8
-
 SEL_TYPE = T.StructType([
     T.StructField("regex", T.StringType()),
     T.StructField("attr_eq", T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))),
@@ -39,7 +37,6 @@ SEL_TYPE = T.StructType([
 
 _DESC = r"(?:/[^/]*)*"
 _NAME = r"[A-Za-z][A-Za-z0-9_-]*"
-_CSS_SIMPLE = re.compile(r"^(" + _NAME + r"|\*)?((?:[#.][A-Za-z0-9_-]+)*)$")
 
 
 @dataclass
@@ -73,25 +70,45 @@ def _segment(tag: str | None, ident: str | None = None, classes=(), class_has=()
 
 def compile_css(selector: str) -> Sel:
     """CSS subset: tag, *, #id, .class (compounded), descendant (space), child (>)."""
-    parts = [p for p in re.split(r"\s*(>)\s*|\s+", selector.strip()) if p]
-    if not parts or len([p for p in parts if p != ">"]) > MAX_STEPS:
-        return Sel()
-    regex, axis, first = "^", _DESC, True
-    for part in parts:
+    regex, axis, steps = "^", _DESC, 0
+    for part in selector.replace(">", " > ").split():
         if part == ">":
             axis = ""
             continue
-        m = _CSS_SIMPLE.match(part)
-        if not m or (not m.group(1) and not m.group(2)):
-            return Sel()
-        ids = re.findall(r"#([A-Za-z0-9_-]+)", m.group(2) or "")
-        classes = re.findall(r"\.([A-Za-z0-9_-]+)", m.group(2) or "")
-        if len(ids) > 1:
+        step = _compound(part)
+        if step is None:
             return Sel()
+        tag, ident, classes = step
         # a leading child axis ("> a") is taken as a child of any element
-        regex += (_DESC if first else axis) + _segment(m.group(1), ids[0] if ids else None, classes)
-        axis, first = _DESC, False
-    return Sel(regex=regex + "$", supported=True)
+        regex += (axis if steps else _DESC) + _segment(tag, ident, classes)
+        axis, steps = _DESC, steps + 1
+    return Sel(regex=regex + "$", supported=True) if steps else Sel()
+
+
+def _name_char(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c in "-_")
+
+
+def _compound(text: str) -> tuple[str | None, str | None, list[str]] | None:
+    """(tag or '*', id, classes) of one compound selector; None if it is none of the subset:
+    a tag or '*' first, then '#id' at most once and any number of '.class'."""
+    pieces: list[str] = []          # the first is the tag, the others begin with their sign
+    for c in text:
+        if c in "#.":
+            pieces.append(c)
+        elif c == "*" or _name_char(c):
+            if not pieces:
+                pieces.append("")
+            pieces[-1] += c
+        else:
+            return None
+    tag = pieces.pop(0) if pieces and pieces[0][0] not in "#." else None
+    if tag is not None and tag != "*" and ("*" in tag or not tag[0].isalpha()):
+        return None
+    names = {sign: [p[1:] for p in pieces if p[0] == sign] for sign in "#."}
+    if any(not n or "*" in n for group in names.values() for n in group) or len(names["#"]) > 1:
+        return None
+    return (tag, names["#"][0] if names["#"] else None, names["."]) if tag or pieces else None
 
 
 _XSTEP = re.compile(r"^(" + _NAME + r"|\*)((?:\[[^\]]*\])*)$")
@@ -131,7 +148,7 @@ def compile_xpath(xpath: str) -> Sel:
     if m:
         x, doc_nth = m.group(1).strip(), int(m.group(2))
     steps = _split_xpath_steps(x)
-    if not steps or len(steps) > MAX_STEPS:
+    if not steps:
         return Sel()
     regex = "^"
     attr_eq, attr_has = [], []

@@ -48,7 +48,9 @@ SELF_CLOSING_GROUPS = {
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
 }
 
-MAX_DEPTH = 256
+# Elements nested deeper keep their text and are siblings of each other; the page says so
+# in ``page_error``. Paths hold all ancestors, so their size grows with the square.
+MAX_DEPTH = 1024
 
 NODE_TYPE = T.StructType([
     T.StructField("pre", T.IntegerType()), T.StructField("last", T.IntegerType()),
@@ -84,6 +86,7 @@ class _Shredder(HTMLParser):
         self.child_tag_counts: list[dict] = [{}]  # per open element (+ document root)
         self.text: list[str] = []
         self.text_len = 0
+        self.error: str | None = None
 
     # -- positions
     def _offset(self) -> int:
@@ -118,6 +121,7 @@ class _Shredder(HTMLParser):
             self._close_until(group[0], group[1], start)
         if len(self.stack) >= MAX_DEPTH:
             empty = True
+            self.error = f"elements nested deeper than {MAX_DEPTH}"
         amap: dict[str, str] = {}
         for k, v in attrs:
             if k not in amap:
@@ -192,17 +196,22 @@ class _Shredder(HTMLParser):
 
 def shred_html(html: str | None) -> tuple[str, list[dict]]:
     """Parse one page (a small helper run inside the Arrow pass)."""
+    return shred_page(html)[:2]
+
+
+def shred_page(html: str | None) -> tuple[str, list[dict], str | None]:
+    """(text, nodes, error) of one page; the error says what of the page is not in them."""
     if not html:
-        return "", []
+        return "", [], None
     p = _Shredder(html)
     try:
         p.feed(html)
-        return p.finish()
-    except Exception:  # malformed beyond repair: keep what was built
+        return *p.finish(), p.error
+    except Exception as e:  # malformed beyond repair: keep what was built, and say so
         n = len(html)
         while p.stack:
             p._close_top(n)
-        return "".join(p.text), p.nodes
+        return "".join(p.text), p.nodes, f"page parsed in part: {type(e).__name__}: {e}"
 
 
 def _arrow_node_type() -> pa.DataType:
@@ -228,25 +237,28 @@ def _shred_batches(batches, html_col: str):
     node_list_type = pa.list_(_arrow_node_type())
     for batch in _slices(batches):
         htmls = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
-        texts, node_lists = [], []
+        texts, node_lists, errors = [], [], []
         for h in htmls:
-            text, nodes = shred_html(h)
+            text, nodes, error = shred_page(h)
             texts.append(text)
+            errors.append(error)
             for n in nodes:
                 n["attrs"] = list(n["attrs"].items())
             node_lists.append(nodes)
-        cols = list(batch.columns) + [pa.array(texts, pa.string()), pa.array(node_lists, node_list_type)]
-        names = list(batch.schema.names) + ["page_text", "nodes"]
+        cols = list(batch.columns) + [pa.array(texts, pa.string()), pa.array(node_lists, node_list_type), pa.array(errors, pa.string())]
+        names = list(batch.schema.names) + ["page_text", "nodes", "page_error"]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def shred(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add ``page_text`` and ``nodes`` to every page row (narrow; no shuffle).
+    """Add ``page_text``, ``nodes`` and ``page_error`` (null for a page that was read whole)
+    to every page row (narrow; no shuffle).
 
     Persist the result (parquet, partitioned like ``pages``) when several jobs read it.
     """
     schema = T.StructType(list(pages.schema.fields) + [
-        T.StructField("page_text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE_TYPE))])
+        T.StructField("page_text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE_TYPE)),
+        T.StructField("page_error", T.StringType())])
     return pages.mapInArrow(lambda it: _shred_batches(it, html_col), schema)
 
 

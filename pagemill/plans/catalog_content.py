@@ -160,13 +160,16 @@ _ARTICLE_SQL = D.trim_set("regexp_extract(html, '(?s)<article[^>]*>(.*)</article
 _BG_DIV = "<div style=\"background-image:url\\(''/bg/[0-9]+\\.jpeg''\\)\"></div>"
 
 
+_LEAD = '<p><a href="/r/1">lead</a> tail</p>'     # a link to unwrap before every article
+
+
 @register("clean_html", f"""SELECT page_id AS article_id, CASE page_id % 3
-  WHEN 0 THEN {D.trim_set(f"replace(replace(regexp_replace({_ARTICLE_SQL}, '{_BG_DIV}', '', 'g'), '<p> </p>', ''), '<section>share this</section>', '')")}
-  WHEN 1 THEN {D.trim_set(f"replace({_ARTICLE_SQL}, '<section>share this</section>', '')")}
-  ELSE {_ARTICLE_SQL} END AS clean_content
+  WHEN 0 THEN {D.trim_set(f"'<p>lead tail</p>' || replace(replace(regexp_replace({_ARTICLE_SQL}, '{_BG_DIV}', '', 'g'), '<p> </p>', ''), '<section>share this</section>', '')")}
+  WHEN 1 THEN {D.trim_set(f"{D.q(_LEAD)} || replace({_ARTICLE_SQL}, '<section>share this</section>', '')")}
+  ELSE {D.q(_LEAD)} || {_ARTICLE_SQL} END AS clean_content
 FROM f_pages_img""", ("f_pages_img",))
 def q_clean_html(t: Tables):
     """Remove by selector, unwrap links, drop keyword blocks, drop empty blocks."""
     from pagemill.operators.clean import clean_content
-    a = _img_articles(t).withColumn("clean", _clean_cfg())
+    a = _img_articles(t).withColumn("clean", _clean_cfg()).withColumn("content", F.concat(F.lit(_LEAD), "content"))
     return clean_content(a, "content", "clean").select("article_id", "clean_content")

@@ -42,7 +42,7 @@ def q_collect_transitions(t: Tables):
 
 from pagemill.operators import rewrite as W  # noqa: E402
 from pagemill.plans import duck as D  # noqa: E402
-from pagemill.plans.catalog_scalars import _URL_POOL_SQL, _url_pool  # noqa: E402
+from pagemill.plans.catalog_scalars import _URL_POOL_SQL, _url_pool, schedule_minutes_sql  # noqa: E402
 from pagemill.plans.catalog_pages import _ALL_HREFS_SQL, _links_sql  # noqa: E402
 
 
@@ -96,18 +96,33 @@ def q_parse_rewrites(t: Tables):
                                r["error"].alias("error"))
 
 
-@register("rewrite_gate", f"""WITH src AS (SELECT * FROM f_rewrites), {_parse_sql('response')},
+# Articles with an even id have two images; of their plain-text rewrites those with an id
+# divisible by four keep one and the others none.
+_TWO_IMAGES = '<img src="https://a.example.com/1.png"><img src="https://a.example.com/2.png">'
+_ONE_IMAGE = '<img src="https://a.example.com/1.png">'
+_IMAGES_SQL = "((length({0}) - length(replace({0}, '<img', ''))) // 4)"
+
+
+@register("rewrite_gate", f"""WITH src AS (SELECT article_id, on_failure,
+  CASE WHEN article_id % 2 = 0 THEN {D.q(_TWO_IMAGES)} ELSE '' END || original AS original,
+  CASE WHEN article_id % 4 = 0 AND response <> '' AND NOT starts_with(response, '```') THEN {D.q(_ONE_IMAGE)} ELSE '' END || response AS response
+  FROM f_rewrites), {_parse_sql('response')},
+c AS (SELECT *, {_IMAGES_SQL.format('original')} AS n_old, {_IMAGES_SQL.format('new_content')} AS n_new FROM p3),
 g AS (SELECT *, CASE WHEN error IS NOT NULL THEN error
         WHEN new_content = '' OR length({D.strip_tags('new_content')}) < greatest(80, CAST(floor(length({D.strip_tags('original')}) * 0.25) AS INTEGER))
-        THEN {D.q(W.MSG_TOO_SHORT)} END AS reason FROM p3)
+        THEN {D.q(W.MSG_TOO_SHORT)} WHEN n_old > 0 AND n_new = 0 THEN {D.q(W.MSG_IMAGES_LOST)} END AS reason FROM c)
 SELECT article_id, CASE WHEN reason IS NULL THEN 'rewrite' WHEN on_failure = 'fail' THEN 'fail' ELSE 'fallback' END AS action,
-  reason, CAST(NULL AS VARCHAR) AS warning,
+  reason, CASE WHEN reason IS NULL AND n_old > n_new THEN {D.q(W.MSG_IMAGES_FEWER)} END AS warning,
   CASE WHEN reason IS NULL AND new_title <> '' THEN new_title ELSE '' END AS final_title,
   CASE WHEN reason IS NULL THEN new_content ELSE original END AS final_content
 FROM g""", ("f_rewrites",))
 def q_rewrite_gate(t: Tables):
     """Quality gate and failure policy (fail -> item fails, fallback -> original)."""
-    out = W.apply_policy(t.f_rewrites.withColumn("title", F.lit("")), "title", "original", "response", "on_failure")
+    i = F.col("article_id")
+    plain = (F.col("response") != "") & ~F.col("response").startswith("```")
+    rows = t.f_rewrites.withColumn("original", F.concat(F.when(i % 2 == 0, _TWO_IMAGES).otherwise(""), "original")) \
+        .withColumn("response", F.concat(F.when((i % 4 == 0) & plain, _ONE_IMAGE).otherwise(""), "response"))
+    out = W.apply_policy(rows.withColumn("title", F.lit("")), "title", "original", "response", "on_failure")
     return out.select("article_id", "action", "reason", "warning", "final_title", "final_content")
 
 
@@ -357,11 +372,11 @@ def _enrich_sql() -> str:
     cat = (f"CASE WHEN contains(ctx, 'the') THEN 3 WHEN contains(ctx, 'de') THEN 5 WHEN contains(ctx, 'und') THEN 7 "
            f"WHEN contains(ctx, 'la') THEN 11 ELSE 0 END")
     auto = ", ".join(f"CASE WHEN contains(ctx, '{w}') THEN '{w}' END" for w in ["news", "the", "de", "und"])
-    return f"""WITH a AS (SELECT article_id, title, content, {ctx} AS ctx, {exc} AS exc FROM f_articles)
+    return f"""WITH a AS (SELECT article_id, title, content, source_url, {ctx} AS ctx, {exc} AS exc FROM f_articles)
 SELECT article_id, exc AS excerpt, CAST(coalesce(nullif({cat}, 0), nullif(article_id % 4, 0)) AS BIGINT) AS category_id,
   array_to_string(['corpus', 'imported'] || list_filter([{auto}], lambda x: x IS NOT NULL), '|') AS tags,
   {D.strip_tags('title')} || ' | Site' AS seo_title, {D.strip_tags('exc')} AS seo_desc, 'future' AS status,
-  true AS schedule_in_bounds
+  CAST('{AS_OF}' AS TIMESTAMP) + {schedule_minutes_sql('source_url', '10', '90')} * INTERVAL '1' MINUTE AS scheduled_at
 FROM a"""
 
 
@@ -383,10 +398,7 @@ def q_enrich_articles(t: Tables):
                     C.article_category(C.match_category(ctx, cats), F.col("article_id") % 4).alias("category_id"),
                     F.array_join(C.article_tags(C.fixed_tags(F.lit("corpus, imported")), C.auto_tags(ctx, kws), F.lit(True)), "|")
                     .alias("tags"), seo["seo_title"].alias("seo_title"), seo["seo_desc"].alias("seo_desc"),
-                    C.article_status(F.lit("future"), sched).alias("status"),
-                    ((sched >= F.timestamp_add("MINUTE", F.lit(10), F.lit(AS_OF).cast("timestamp_ntz")))
-                     & (sched <= F.timestamp_add("MINUTE", F.lit(90), F.lit(AS_OF).cast("timestamp_ntz"))))
-                    .alias("schedule_in_bounds"))
+                    C.article_status(F.lit("future"), sched).alias("status"), sched.alias("scheduled_at"))
 
 
 @register("stream_discovery", _discover_sql(False) + "SELECT rule_id, url, h AS url_hash, 'pending' AS status FROM fresh",

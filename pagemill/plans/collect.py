@@ -135,7 +135,7 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
         | (F.coalesce(F.col("r_date.json_path"), F.lit("")) != ""), J.page_json(F.col("html"), F.col("r_json_source"))))
     sh = sh.withColumn("page_json", page_js).withColumn("title", F.col("r_title")) \
         .withColumn("content", F.col("r_content")).withColumn("date", F.col("r_date"))
-    ex = X.extract_articles(sh).drop("nodes", "page_text", "html", "page_json", "title", "content", "date")
+    ex = X.extract_articles(sh).drop("nodes", "page_text", "page_error", "html", "page_json", "title", "content", "date")
     # several outputs read the extracted items: run the Arrow pass once and cut the
     # lineage in the shared checkpoint folder (survives executor loss, keeps plans small)
     ex = cut_lineage(ex)

@@ -59,7 +59,7 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
     needs_tree = trim_set(F.coalesce(F.col("link.selector"), F.lit(""))) != ""
     with_tree = shred(fetched.where(needs_tree))
     no_tree = fetched.where(~needs_tree).withColumn("page_text", F.lit("")) \
-        .withColumn("nodes", F.array().cast(T.ArrayType(NODE_TYPE)))
+        .withColumn("nodes", F.array().cast(T.ArrayType(NODE_TYPE))).withColumn("page_error", F.lit(None).cast("string"))
     both = with_tree.unionByName(no_tree)
     # the page JSON is parsed only for rules that read links from a JSON path
     links = cached_columns("discover_links", lambda: X.discover_links(
