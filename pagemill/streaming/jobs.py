@@ -170,7 +170,12 @@ STATE_SCHEMA = T.StructType([
     T.StructField("event_ts", T.TimestampType())])
 
 
+DONE = ("success", "skipped")
+
+
 def _state_fn(stuck_minutes: int | None, retry_after_seconds: int | None):
+    timers = bool(stuck_minutes or retry_after_seconds)
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         qid = key[0]
         if state.hasTimedOut:
@@ -198,6 +203,9 @@ def _state_fn(stuck_minutes: int | None, retry_after_seconds: int | None):
             state.setTimeoutTimestamp(int((ts + pd.Timedelta(minutes=max(5, stuck_minutes))).timestamp() * 1000))
         elif best[2] == "pending" and retry_after_seconds:
             state.setTimeoutTimestamp(int((ts + pd.Timedelta(seconds=retry_after_seconds)).timestamp() * 1000))
+        elif best[2] in DONE and not timers:
+            # a finished item keeps no state; with timers its state holds off older events
+            state.remove()
         yield pd.DataFrame([{"queue_id": qid, "rule_id": best[0], "seq": best[1], "status": best[2],
                              "event_ts": best[3], "timer": None}])
     return fn
@@ -205,7 +213,8 @@ def _state_fn(stuck_minutes: int | None, retry_after_seconds: int | None):
 
 def queue_state_stream(events: DataFrame, stuck_minutes: int | None = None, retry_after_seconds: int | None = None,
                        watermark: str = "1 hour") -> DataFrame:
-    """T4: latest state per item as a stateful stream. With ``stuck_minutes`` a running
+    """T4: latest state per item as a stateful stream; without timers, finished items are
+    forgotten (readers take the latest emitted row per item). With ``stuck_minutes`` a running
     item whose watermark passes start + max(5, minutes) emits a release to pending; with
     ``retry_after_seconds`` a pending item emits 'retry_due' when its back-off elapses."""
     timeout = "EventTimeTimeout" if (stuck_minutes or retry_after_seconds) else "NoTimeout"
@@ -263,15 +272,23 @@ def daily_counts_stream(transitions: DataFrame, watermark: str = "1 day") -> Dat
                  F.count_if(F.col("status") == "failed").alias("failed_count")))
 
 
+def late_rows(query) -> int:
+    """Rows that the watermark has dropped so far, from the query's progress."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def stream_daily(spark: SparkSession, events_path: str, out_path: str, as_of: str, name: str = "daily",
-                 trigger_once: bool = True) -> DataFrame:
-    """T5 end to end (complete mode; the window table is small: one row per day)."""
-    agg = daily_counts_stream(transitions_stream(spark, events_path, as_of))
+                 trigger_once: bool = True, watermark: str = "1 day") -> DataFrame:
+    """T5 end to end, in update mode: a batch writes the windows that it changed, the engine
+    forgets windows that the watermark has passed, and a window's row is that of its latest
+    batch."""
+    agg = daily_counts_stream(transitions_stream(spark, events_path, as_of), watermark)
 
     def batch(df: DataFrame, batch_id: int):
-        df.write.mode("overwrite").parquet(out_path)
+        df.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
 
-    _run(agg.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", _ckpt(spark, name)),
+    _run(agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", _ckpt(spark, name)),
          trigger_once)
-    out = spark.read.parquet(out_path)
-    return out.select(F.to_date(F.col("w.start")).alias("day"), "total_count", "success_count", "failed_count")
+    out = spark.read.parquet(out_path).groupBy(F.to_date(F.col("w.start")).alias("day")).agg(
+        F.max_by(F.struct("total_count", "success_count", "failed_count"), "batch").alias("c"))
+    return out.select("day", "c.*")

@@ -120,3 +120,19 @@ def test_state_stream_stuck_timer_fires(spark):
     q.awaitTermination()
     rows = spark.read.parquet(out).where("queue_id = 1").collect()
     assert any(r.timer == "stuck_release" and r.status == "pending" for r in rows)
+
+
+def test_daily_stream_watermark_drops_and_counts_late_rows(spark):
+    import datetime as dt
+    from pagemill.streaming.jobs import _ckpt, daily_counts_stream, late_rows
+    src, out = tempfile.mkdtemp(prefix="pm-late-"), tempfile.mkdtemp(prefix="pm-lateout-")
+    schema = "queue_id long, rule_id long, seq int, status string, event_ts timestamp"
+    for i, day in enumerate((10, 20, 20, 10)):      # the last file is ten days late
+        spark.createDataFrame([(i, 1, 1, "success", dt.datetime(2024, 1, day, 5))], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (daily_counts_stream(stream, "1 day").writeStream.outputMode("update")
+         .foreachBatch(lambda df, b: df.write.mode("append").parquet(os.path.join(out, f"batch={b}")))
+         .option("checkpointLocation", _ckpt(spark, "t-late-" + os.path.basename(out))).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out).groupBy(F.to_date("w.start").alias("d")).agg(F.max("total_count").alias("n")).collect()
+    assert {(r.d.day, r.n) for r in got} == {(10, 1), (20, 2)} and late_rows(q) == 1
