@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op7_near_dup": near_dup.SQL,
     "op10_warc_store": warc_store.SQL,
 }

@@ -226,3 +226,19 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+dup AS (SELECT win.doc_id, win.i FROM win JOIN firsts ON win.k = firsts.k WHERE firsts.f < win.doc_id),
+words AS (SELECT doc_id, j, ws[j] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
+marked AS (
+  SELECT words.doc_id, words.j, words.word,
+         max(CASE WHEN dup.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY words.doc_id ORDER BY words.j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN dup ON dup.doc_id = words.doc_id AND dup.i = words.j)
+SELECT d.doc_id, count(m.j) AS n_words, CAST(coalesce(sum(m.gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.j) FILTER (WHERE m.gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""

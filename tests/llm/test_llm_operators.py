@@ -206,6 +206,7 @@ def test_substring_dedup(spark, docs):
     want = sorted((i, n, g, brute.sha(t)) for i, n, g, t in brute.substring_dedup(docs))
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert sum(r[2] for r in want) > 0
+    assert sorted(sql_rows(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({substring_dedup.SQL})", "documents")) == want
 
 
 def test_near_dup(spark, docs):
@@ -213,6 +214,8 @@ def test_near_dup(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.query(spark, SF).collect()}
     assert got == want
     assert any(i != c for i, (_, c) in want.items())
+    rows = sql_rows(f"SELECT doc_id, n_shingles, component_id FROM ({near_dup.SQL})", "documents")
+    assert {i: (n, c) for i, n, c in rows} == want
 
 
 def test_near_dup_large_mixed_groups(spark):
