@@ -32,18 +32,13 @@ def q_collect_articles(t: Tables):
                     F.to_json("seo").alias("seo"), "featured_image")
 
 
-@register("collect_transitions")
-def q_collect_transitions(t: Tables):
-    """§3.2 end to end: the queue state written for every processed item."""
-    return collect_corpus(t).transitions
-
-
 # ------------------------------------------------------------------ rewrite hand-off
 
 from pagemill.operators import rewrite as W  # noqa: E402
 from pagemill.plans import duck as D  # noqa: E402
 from pagemill.plans.catalog_scalars import _URL_POOL_SQL, _url_pool, schedule_minutes_sql  # noqa: E402
-from pagemill.plans.catalog_pages import _ALL_HREFS_SQL, _links_sql  # noqa: E402
+from pagemill.operators.queue import MSG_DUPLICATE  # noqa: E402
+from pagemill.plans.catalog_pages import _ALL_HREFS_SQL, _links_sql, article_html_sql, h1_text_sql  # noqa: E402
 
 
 def _discover_sql(queued: bool) -> str:
@@ -76,6 +71,50 @@ def q_discover_links_job(t: Tables):
     return res.new_items
 
 
+def _collect_sql() -> str:
+    """The collect job in SQL, up to each item's outcome: page by address, title and article by
+    the host's rule, replacements, published sources, titles within the batch."""
+    url = D.normalize_url("url")
+    return f"""WITH items AS (
+  SELECT page_id AS queue_id, CAST('0x' || substr(md5(lower({D.host_of('url')})), 1, 15) AS BIGINT) AS rule_id, {url} AS url FROM pages),
+rules AS (SELECT *, rule_id % 1000 AS k FROM items),
+keys AS (SELECT md5({url}) AS h, min(page_id) AS src FROM pages GROUP BY 1),
+fetched AS (
+  SELECT r.*, p.html, CASE WHEN NOT {D.is_safe_url('r.url')} THEN 'unsafe URL'
+    WHEN p.html IS NULL OR p.html = '' THEN 'page fetch failed' END AS fetch_error
+  FROM rules r LEFT JOIN keys ON md5(r.url) = keys.h LEFT JOIN pages p ON p.page_id = keys.src),
+cut AS (
+  SELECT *, CASE WHEN k % 4 = 3 THEN {D.text_of("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} ELSE {h1_text_sql()} END AS t0,
+    CASE WHEN k % 5 = 4 THEN {D.trim_set("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} ELSE {article_html_sql()} END AS c0
+  FROM fetched),
+got AS (
+  SELECT *, coalesce(fetch_error, CASE WHEN t0 = '' OR c0 = '' THEN 'title or content extraction failed' END) AS error,
+    CASE WHEN k % 2 = 0 THEN replace(replace(replace(t0, '&amp;&amp;&amp;', '&amp;'), '%%%', ''), '###', '#') ELSE t0 END AS title
+  FROM cut),
+known AS (
+  SELECT *, k % 5 <> 2 AND md5(url) IN (SELECT md5({D.normalize_url('source_url')}) FROM f_published_pages) AS published,
+    {D.strip_tags('title')} AS bare
+  FROM got WHERE error IS NULL),
+firsts AS (SELECT bare, min(queue_id) AS q FROM known WHERE NOT published GROUP BY bare),
+judged AS (
+  SELECT n.*, n.published OR (n.k % 5 <> 2 AND n.queue_id <> f.q) AS skip FROM known n LEFT JOIN firsts f ON n.bare = f.bare)
+"""
+
+
+_COLLECT_OUTCOMES = f"""SELECT queue_id, rule_id, url, CASE WHEN skip THEN 'skipped' ELSE 'success' END AS status, 1 AS attempts,
+  CASE WHEN skip THEN '{MSG_DUPLICATE}' END AS last_error, CAST(NULL AS TIMESTAMP) AS scheduled_at, CAST('{AS_OF}' AS TIMESTAMP) AS finished_at,
+  CASE WHEN NOT skip THEN queue_id END AS article_id FROM judged
+UNION ALL SELECT queue_id, rule_id, url, CASE WHEN 1 >= k % 4 THEN 'failed' ELSE 'pending' END, 1, error,
+  CAST('{AS_OF}' AS TIMESTAMP) + CASE WHEN 1 >= k % 4 THEN 0 ELSE 300 END * INTERVAL '1' SECOND, CAST('{AS_OF}' AS TIMESTAMP), NULL
+  FROM got WHERE error IS NOT NULL"""
+
+
+@register("collect_transitions", _collect_sql() + _COLLECT_OUTCOMES, ("f_published_pages",))
+def q_collect_transitions(t: Tables):
+    """§3.2 end to end: the queue state written for every processed item."""
+    return collect_corpus(t).transitions
+
+
 def _parse_sql(resp: str) -> str:
     m = f"regexp_replace(regexp_replace({D.trim_set(resp)}, '(?i)^```(?:json)?\\s*', ''), '\\s*```$', '')"
     return f"""p0 AS (SELECT *, {m} AS m FROM src),
