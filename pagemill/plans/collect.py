@@ -8,6 +8,7 @@
   C8     replacements
   K5/K6/K6b  duplicate source / title (against live articles and within the batch) -> skipped
   C1-C4  cleaning (Arrow)          I1-I9  image localisation (asset table)
+  W2-W5  rewrite responses: gate, policy (where responses are given)
   C20    publish record            Q5/Q6  failure / success / skip transitions + logs
 
 Only keys travel through the joins; page HTML joins in once, right before the shred.
@@ -27,6 +28,7 @@ from pagemill.functions.text import (
 from pagemill.functions.urls import is_safe_public_url, normalize_url
 from pagemill.operators import extract as X
 from pagemill.operators import queue as Q
+from pagemill.operators import rewrite as W
 from pagemill.operators.clean import clean_content
 from pagemill.operators.images import localize_images
 from pagemill.operators.joins import small
@@ -113,9 +115,12 @@ def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
 
 
 def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: DataFrame, as_of,
-            assets: DataFrame | None = None, settings: Settings = Settings(), per_rule_batch: bool = False) -> CollectResult:
+            assets: DataFrame | None = None, settings: Settings = Settings(), per_rule_batch: bool = False,
+            responses: DataFrame | None = None) -> CollectResult:
     """Run one collect pass over every due item (or each rule's FIFO batch). Items that hang
-    in ``running`` are released first (Q4) and take part if they are due."""
+    in ``running`` are released first (Q4) and take part if they are due. With ``responses``
+    (queue_id, response) articles of rules with ``rewrite`` are replaced by their response if it
+    passes the gate (W2-W5); otherwise the rule's policy keeps the original or fails the item."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     rules_c = compile_rule_selectors(rules)
     if "started_at" in queue.columns:
@@ -170,12 +175,22 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
     else:
         cleaned = cleaned.withColumn("featured_image", F.lit(None).cast("string")) \
             .withColumn("images_found", F.lit(None).cast("long")).withColumn("images_failed", F.lit(None).cast("long"))
+    lost = None
+    if responses is not None:
+        todo = cleaned.where(F.coalesce(F.col("r_rewrite"), F.lit(False))).join(responses.select("queue_id", "response"), "queue_id", "left")
+        done = cut_lineage(W.apply_policy(todo, "x_title", "clean_content", "response", "r_rewrite_on_failure"))
+        lost = done.where(F.col("action") == "fail")
+        kept = done.where(F.col("action") != "fail").withColumn("x_title", F.col("final_title")) \
+            .withColumn("clean_content", F.col("final_content")).select(*cleaned.columns)
+        cleaned = cleaned.where(~F.coalesce(F.col("r_rewrite"), F.lit(False))).unionByName(kept)
     arts = build_articles(cleaned, as_of, settings.site_name)
 
     # outcomes per item
     base_cols = ["queue_id", "rule_id", "url", "attempts", "r_retry_limit"]
     failed = (fetched.where(F.col("fetch_error").isNotNull()).select(*base_cols, F.col("fetch_error").alias("error"))
               .unionByName(ex.where(F.col("extract_error").isNotNull()).select(*base_cols, F.col("extract_error").alias("error"))))
+    if lost is not None:
+        failed = failed.unionByName(lost.select(*base_cols, F.col("reason").alias("error")))
     failed = failed.withColumnRenamed("r_retry_limit", "retry_limit").withColumn("status", F.lit("running")) \
         .withColumn("last_error", F.lit(None).cast("string")).withColumn("scheduled_at", F.lit(None).cast("timestamp_ntz")) \
         .withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))

@@ -76,3 +76,24 @@ def test_skipped_item_does_not_hide_its_title(spark):
     assert got == {1: "skipped", 2: "success", 3: "skipped"}
     assert {r.queue_id: r.article_id for r in res.transitions.collect()} == {1: None, 2: 2, 3: None}
     assert res.last_collected.count() == 1
+
+
+def test_collect_applies_rewrites_by_policy(spark):
+    import json
+    from pagemill.operators.rewrite import MSG_EMPTY
+    body = "word " * 60
+    pages = spark.createDataFrame(
+        [(i, f"https://h{i}.example.com/p", f"<html><body><h1>Title {i}</h1><article><p>{body}{i}</p></article></body></html>") for i in range(1, 5)],
+        "page_id long, url string, html string")
+    rules = corpus_rules(pages).withColumn("rewrite", F.col("name") != "h4.example.com").withColumn("replacements", F.expr("slice(replacements, 1, 0)")) \
+        .withColumn("retry_limit", F.lit(1)).withColumn("rewrite_on_failure", F.when(F.col("name") == "h3.example.com", "fail").otherwise("fallback")) \
+        .withColumn("title", F.col("title").withField("selector", F.lit("//h1")).withField("before", F.lit("")).withField("after", F.lit(""))) \
+        .withColumn("content", F.col("content").withField("selector", F.lit("//article")).withField("before", F.lit("")).withField("after", F.lit("")))
+    good = json.dumps({"title": "New", "content": "<p>" + "fresh " * 60 + "</p>"})
+    responses = spark.createDataFrame([(1, good), (2, "")], "queue_id long, response string")
+    none = spark.createDataFrame([], "source_url string, title string, status string")
+    res = collect(seed_queue(pages, AS_OF), rules, pages, none, AS_OF, responses=responses)
+    got = {r.queue_id: (r.status, r.last_error) for r in res.transitions.collect()}
+    assert got == {1: ("success", None), 2: ("success", None), 3: ("failed", MSG_EMPTY), 4: ("success", None)}
+    arts = {r.article_id: r for r in res.articles.collect()}
+    assert arts[1].title == "New" and "fresh" in arts[1].content and arts[2].title == "Title 2" and arts[4].title == "Title 4"
