@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 from pagemill.fixtures import BASE_TABLES
 
 # A representative subset (every operator family); the full set runs with
@@ -16,7 +16,8 @@ SUBSET = ["select_text", "minimal_articles", "due_items", "rule_counts", "latest
           "top_rules", "health", "next_batch", "list_queue", "mark_failed", "throttle", "queue_state", "normalize_url",
           "is_safe_public_url", "absolute_url", "list_pages", "strip_tags", "render_template", "coerce_date", "page_json",
           "json_links", "slice_between", "selector_count", "discover_links", "extract_field", "image_stats",
-          "localize_content", "clean_html", "parse_rewrites", "validate_rules", "page_scan", "conform_queue"]
+          "localize_content", "clean_html", "parse_rewrites", "rewrite_gate", "validate_rules", "page_scan", "conform_queue", "enqueue",
+          "schedule_publish", "discover_links_job", "collect_transitions"]
 
 
 def _norm(v):
@@ -52,10 +53,22 @@ def test_entry_runs(spark):
 NAMES = list(E.queries()) if os.environ.get("PAGEMILL_FULL_ORACLE") else SUBSET
 
 
+@pytest.mark.parametrize("name", ["enqueue", "throttle"])
+def test_ranking_oracles_above_the_range_sample(spark, name):
+    con = duckdb.connect()
+    for t in BASE_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_MID}/{t}.parquet')")
+    _compare(spark, con, name, SF_MID)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_oracle(spark, duck, name):
+    _compare(spark, duck, name, SF_SMALL)
+
+
+def _compare(spark, duck, name, sf_dir):
     q, o = E.queries(), E.oracle_sql()
-    df = q[name](spark, SF_SMALL)
+    df = q[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in o:
