@@ -370,6 +370,10 @@ CONTENT_STRATEGIES = [("", "", "", "props.pageProps.items"), ("article", "<body>
                       ("//h2", "", "", ""), ("", "<article>", "</article>", "")]
 
 
+# by JSON path, none, by selector, between markers
+DATE_STRATEGIES = [("", "", "", "props.pageProps.created"), ("", "", "", ""), ("//h1", "", "", ""), ("", "<h1>", "</h1>", "")]
+
+
 @register("extract_field", f"""WITH j AS (SELECT page_id, html, {_next_json_sql()} AS js FROM f_pages_json),
 x AS (SELECT page_id,
   CASE page_id % 4 WHEN 0 THEN {D.text_of("coalesce(json_extract_string(js, '$.props.pageProps.title'), '')")}
@@ -377,22 +381,26 @@ x AS (SELECT page_id,
        ELSE {h1_text_sql()} END AS title,
   CASE page_id % 4 WHEN 0 THEN {D.trim_set("coalesce(json_extract_string(js, '$.props.pageProps.items'), '')")}
        WHEN 1 THEN CASE WHEN contains(html, '</body>') THEN {article_html_sql()} ELSE '' END WHEN 2 THEN ''
-       ELSE {D.trim_set("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} END AS content
+       ELSE {D.trim_set("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} END AS content,
+  CASE page_id % 4 WHEN 0 THEN coalesce(json_extract_string(js, '$.props.pageProps.created'), '')
+       WHEN 2 THEN {h1_text_sql()} WHEN 3 THEN {D.text_of("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} ELSE '' END AS date
   FROM j)
-SELECT page_id, title, content, CASE WHEN title = '' OR content = '' THEN 'title or content extraction failed' END AS extract_error
+SELECT page_id, title, content, date, CASE WHEN title = '' OR content = '' THEN 'title or content extraction failed' END AS extract_error
 FROM x""", ("f_pages_json",))
 def q_extract_field(t: Tables):
     """title/content with JSON > slice > selector precedence; empty -> failed."""
     sh = shred(t.f_pages_json).withColumn("page_json", J.page_json(F.col("html"), F.lit("__NEXT_DATA__")))
     sh = sh.withColumn("title", _strategy("page_id", [field_slot(*s) for s in TITLE_STRATEGIES])) \
         .withColumn("content", _strategy("page_id", [field_slot(*s) for s in CONTENT_STRATEGIES])) \
-        .withColumn("date", field_slot("", "", "", ""))
+        .withColumn("date", _strategy("page_id", [field_slot(*s) for s in DATE_STRATEGIES]))
     out = X.extract_articles(sh)
-    return out.select("page_id", F.col("x_title").alias("title"), F.col("x_content").alias("content"), "extract_error")
+    return out.select("page_id", F.col("x_title").alias("title"), F.col("x_content").alias("content"), F.col("x_date").alias("date"), "extract_error")
 
 
 @register("field_match_count", f"""WITH j AS (SELECT page_id, html, {_next_json_sql()} AS js FROM f_pages_json)
-SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN 1 ELSE 1 END AS INTEGER) AS title_n,
+SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN CASE WHEN json_extract(js, '$.props.pageProps.title') IS NULL THEN 0 ELSE 1 END
+    WHEN 3 THEN CASE WHEN {D.text_of("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} = '' THEN 0 ELSE 1 END
+    ELSE len(regexp_extract_all(html, '<h1[ >]')) END AS INTEGER) AS title_n,
   CAST(CASE page_id % 4 WHEN 0 THEN 3 WHEN 1 THEN CASE WHEN contains(html, '</body>') THEN 1 ELSE 0 END WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS content_n
 FROM j""", ("f_pages_json",))
 def q_field_match_count(t: Tables):
