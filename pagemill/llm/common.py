@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -68,6 +72,22 @@ def pack(dest: np.ndarray, *columns: np.ndarray):
         yield int(dest[a]), *(c[a:b].tobytes() for c in columns)
 
 
+def tidy(task: Callable) -> Callable:
+    """A map over batches that, when it ends, returns its freed memory to the system: workers
+    live on between tasks, and their idle memory counts against the executor's."""
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def rows_to_batches(rows, schema: pa.Schema, size: int = 2048):
     """Record batches of at most ``size`` rows from an iterator of tuples."""
     buffer = []

@@ -10,8 +10,9 @@ one of the highest sum of scores. For a BPE model sums of scores do not give the
 merges: there a piece may follow another only if merging both texts gives just these two, which
 leaves one back pointer for each position, that of the merges of everything up to it.
 
-No piece holds a space after another character, nor a line end, so paths always meet there: these
-segments are encoded on their own, each distinct one once in a worker.
+Paths always meet between two characters that no piece holds side by side, such as a letter and a
+space or a line end: the segments between are encoded on their own, each distinct one once in a
+worker while it is met again.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; characters without
 a piece become their bytes; ids of incomplete bytes decode to U+FFFD; U+2581 is the space sign of
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import table
+from pagemill.llm.common import table, tidy
 from pagemill.llm.segment_ids import SegmentIds
 from pagemill.llm.words import hash_spans, slices, text_bytes
 
@@ -64,6 +65,21 @@ class Pieces:
         self.unknown_score = min(p.score for p in model.pieces if p.type == NORMAL) - 10
         self.longest = max(map(len, self.id))
         self.chars = set("".join(self.id))
+        # pieces by their characters from the last to the first, and the ASCII pairs that some
+        # piece holds
+        self.trie: dict = {}
+        self.pairs = np.zeros((256, 256), bool)
+        self.pairs[128:] = self.pairs[:, 128:] = True
+        for p, number in self.id.items():
+            node = self.trie
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = number
+            plain = p.replace(SIGN, " ")
+            for x, y in zip(plain, plain[1:]):
+                if x.isascii() and y.isascii():
+                    self.pairs[ord(x), ord(y)] = True
+        self.pairs[128:, [ord(" "), ord("\n")]] = self.pairs[ord("\n"), :] = False
         if any(SIGN in p.lstrip(SIGN) or "\n" in p for p in self.id):
             raise ValueError("a piece crosses a space or a line end")
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SIGN, " ").encode() if p.type in (NORMAL, USER)
@@ -93,59 +109,67 @@ class Pieces:
             found = self._fits[key] = self.merged("".join(parts)) == parts
         return found
 
-    def _step_bpe(self, text: str, j: int, start: int, nodes: dict) -> tuple:
-        for length in range(min(self.longest, j - start), 0, -1):
-            i = j - length
-            piece = self.id.get(text[i:j])
-            if piece is not None and i in nodes and self.fits(nodes[i][1], piece):
-                return (i, piece)
-        raise AssertionError("a known character is a piece of its own")
-
-    def _step_unigram(self, text: str, j: int, start: int, nodes: dict) -> tuple:
-        best = None
-        for length in range(min(self.longest, j - start), 0, -1):
-            i = j - length
-            piece = self.id.get(text[i:j])
-            if piece is not None:
-                score = nodes[i][2] + self.score[piece]
-            elif length == 1:
-                piece, score = self.unknown, nodes[i][2] + self.unknown_score
-            else:
-                continue
-            if best is None or score > best[2]:
-                best = (i, piece, score)
-        return best
-
     def stream(self, text: str):
-        """Yield (piece id, start, end) of a text as they are committed."""
-        step = self._step_bpe if self.kind == BPE else self._step_unigram
-        start, nodes = 0, {0: (0, -1, 0.0)}
+        """Yield (piece id, start, end) of a text as they are committed.
+
+        ``piece[p]`` and ``back[p]`` are the last piece of the path to position ``base + p`` and
+        where it starts; ``best`` the path's score (unigram)."""
+        fits, known, score = self.fits, self._fits.get, self.score
+        bpe = self.kind == BPE
+        base, piece, back, best = 0, [-1], [0], [0.0]
         for j in range(1, len(text) + 1):
-            nodes[j] = step(text, j, start, nodes)
-            if j - start >= COMMIT_EVERY and j % COMMIT_EVERY == 0:
-                low = self._common(nodes, j, start)
-                if low > start:
-                    yield from self._path(nodes, low, start)
+            ends = []       # pieces that end here, the shortest first
+            node, i = self.trie, j
+            while i > base:
+                i -= 1
+                node = node.get(text[i])
+                if node is None:
+                    break
+                if "" in node:
+                    ends.append((node[""], i))
+            top = None
+            if bpe:
+                for found, i in reversed(ends):
+                    last = piece[i - base]
+                    ok = known((last + 1) << 24 | found)
+                    if ok or ok is None and fits(last, found):
+                        top = (found, i, 0.0)
+                        break
+            else:
+                if not ends or ends[0][1] != j - 1:
+                    ends.insert(0, (self.unknown, j - 1))
+                for found, i in reversed(ends):
+                    s = best[i - base] + (self.unknown_score if found == self.unknown else score[found])
+                    if top is None or s > top[2]:
+                        top = (found, i, s)
+            piece.append(top[0])
+            back.append(top[1])
+            best.append(top[2])
+            if (j - base) % COMMIT_EVERY == 0:
+                low = self._common(back, base, j)
+                if low > base:
+                    yield from self._path(piece, back, base, low)
                     # what lies before the boundary is decided; its last piece still binds
-                    nodes = {i: n for i, n in nodes.items() if i >= low}
-                    start = low
-        yield from self._path(nodes, len(text), start)
+                    cut = low - base
+                    del piece[:cut], back[:cut], best[:cut]
+                    base = low
+        yield from self._path(piece, back, base, len(text))
 
-    def _common(self, nodes: dict, j: int, start: int) -> int:
+    def _common(self, back: list, base: int, j: int) -> int:
         """The last boundary that the paths of all positions a piece can still start at share."""
-        heads = set(range(max(start, j - self.longest), j + 1))
+        heads = set(range(max(base, j - self.longest), j + 1))
         while len(heads) > 1:
             last = max(heads)
             heads.remove(last)
-            heads.add(max(start, nodes[last][0]))
+            heads.add(max(base, back[last - base]))
         return heads.pop()
 
     @staticmethod
-    def _path(nodes: dict, j: int, start: int):
+    def _path(piece: list, back: list, base: int, j: int):
         out = []
-        while j > start:
-            i = nodes[j][0]
-            out.append((nodes[j][1], i, j))
+        while j > base:
+            i = back[j - base]
+            out.append((piece[j - base], i, j))
             j = i
         return reversed(out)
 
@@ -193,8 +217,7 @@ class Encoder:
             return np.zeros(0, self.known.kind), np.zeros(len(texts) + 1, np.int64)
         cut = np.zeros(n + 1, bool)     # a segment begins here
         cut[offsets] = True
-        space, line = buf == ord(" "), buf == ord("\n")
-        cut[1:n] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        cut[1:n] |= ~self.pieces.pairs[buf[:-1], buf[1:]]
         cut[n] = True
         bounds = np.flatnonzero(cut)
         start, end = bounds[:-1], bounds[1:]
@@ -217,6 +240,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or model_path()
     schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
 
+    @tidy
     def run(batches):
         for b in (x for batch in batches for x in slices(batch)):
             ids, bounds = encoder(path)(b.column("text"))
