@@ -20,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import rows_to_batches, table
-from pagemill.llm.words import slices, split_words
+from pagemill.llm.common import rows_to_batches, table, tidy
+from pagemill.llm.segment_ids import SegmentIds
+from pagemill.llm.words import hash_spans, slices, split_words
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 19
 CHARS_PER_TOKEN = 3.5       # only sets the number of groups
 LINEAR, QUADRATIC = 12 * 1024, 1    # cost of n tokens: LINEAR * n + QUADRATIC * n * n
-CACHE_WORDS = 200_000       # words whose ids a worker keeps
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -40,36 +40,34 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Ids of whole texts from the ids of their words. It needs a tokenizer that drops white
-    space and works within words, so that the ids of a text are those of its words in turn."""
+    """Ids of whole texts from the ids of their words. It needs a tokenizer that lower-cases,
+    drops white space, works within words and parts letters from punctuation, so that the ids of a
+    text are those of its words in turn, and those of a word the ones without and of its last full
+    stop or comma. A worker keeps the ids of words that it has met."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[bytes, bytes] = {}
+        self.known = SegmentIds(lambda words: [x.ids for x in encode([x.decode() for x in words], add_special_tokens=False)], self.kind)
 
     def __call__(self, col) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's ids)."""
-        w = split_words(col)
-        uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        data = w.buf.tobytes()
-        words = [data[s:e] for s, e in zip(w.start[first].tolist(), w.end[first].tolist())]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [x for x in words if x not in cache]
-        for x, got in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)):
-            cache[x] = np.array(got.ids, self.kind).tobytes()
-        parts = [cache[x] for x in words]
-        pool = np.frombuffer(b"".join(parts), self.kind)
-        size = np.array([len(x) for x in parts], np.int64) // np.dtype(self.kind).itemsize
-        begin = np.cumsum(size) - size
-        n = size[inverse]
-        at = np.cumsum(n) - n
-        ids = pool[np.repeat(begin[inverse] - at, n) + np.arange(n.sum())] if len(n) else pool
-        return ids, np.r_[0, np.cumsum(n)][w.first]
+        # names of special tokens count as such only as they are written
+        w = split_words(col, lower=True)
+        if (w.buf == ord("<")).any():
+            w = split_words(col)
+        last, before = w.buf[w.end - 1], w.buf[np.maximum(w.end - 2, 0)] | 0x20
+        tail = np.flatnonzero(((last == ord(".")) | (last == ord(","))) & (w.end - w.start > 1) & (before >= ord("a")) & (before <= ord("z")))
+        start = np.sort(np.concatenate([w.start, w.end[tail] - 1]))
+        end = w.end.copy()
+        end[tail] -= 1
+        end = np.sort(np.concatenate([end, w.end[tail]]))
+        first = w.first + np.searchsorted(tail, w.first)
+        ids, n = self.known.ids(w.buf, start, end, hash_spans(w.buf, start, end))
+        return ids, np.r_[0, np.cumsum(n)][first]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -89,6 +87,7 @@ _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_
 def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Documents as pieces of at most ``sequence`` ids (unsigned, in the tokenizer's width)."""
 
+    @tidy
     def run(batches):
         def rows():
             for b in (x for batch in batches for x in slices(batch)):
