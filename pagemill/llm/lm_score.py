@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import U64, groups, i64, n_partitions, rows_to_batches, table, u64
+from pagemill.llm.common import U64, groups, i64, n_partitions, rows_to_batches, table, tidy, u64
 from pagemill.llm.kneser_ney import count_of_counts, discounted, discounts, find, left_over
 from pagemill.llm.words import mix, slices, split_words
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 END = U64(0)            # the word number of a text's end; no word hash is 0
 HEAVY = 1024            # at most so many heavy words, each with more than 1 / HEAVY of a task's tokens
-TASK_TOKENS = 4_000_000     # tokens that a map task holds before it sends them on
+TASK_TOKENS = 2_000_000     # tokens that a map task holds before it sends them on
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -150,7 +150,7 @@ def _send(part: int, shards: int, heavy: np.ndarray):
             ids.append(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             flags.append(out.astype(np.uint8) | b.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << 1)
             sizes.append(n)
-            held.append((doc + seen, context, token, ~out[doc]))
+            held.append(((doc + seen).astype(np.int32), context, token, ~out[doc]))
             seen += len(n)
             tokens += len(doc)
             if tokens >= TASK_TOKENS:
@@ -362,6 +362,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(did.alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
     heavy = heavy_words(src)
 
+    @tidy
     def send(batches):
         yield from rows_to_batches(_send(TaskContext.get().partitionId(), shards, heavy)(batches), ROW_ARROW, 64)
 
