@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import cut_lineage, pack, rows_to_batches, table
+from pagemill.llm.common import cut_lineage, pack, rows_to_batches, table, tidy
 from pagemill.llm.words import LOWER_BYTES, SPACES, U64, mix
 
 FILTER_BITS = 1 << 28       # 32 MB for each filter
@@ -68,6 +68,7 @@ def _task_bits(min_chars: int):
             b, k = np.frombuffer(b, np.uint32), np.frombuffer(k, np.uint8)
             yield segment, b[k == 0].tobytes(), b[k == 1].tobytes()
 
+    @tidy
     def run(batches):
         def rows():
             parts, held = [], 0
@@ -122,6 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       place.alias("place"), idc.isNull().alias("no_id"))
     filter_ = spark.sparkContext.broadcast(twice_seen(src, min_chars))
 
+    @tidy
     def suspects(batches):
         schema = pa.schema([("key", pa.string()), ("h", pa.int64()), ("place", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64())])
         twice = filter_.value

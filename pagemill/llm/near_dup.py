@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import U64, cut_lineage, groups, ids_of, n_partitions, table, u64
+from pagemill.llm.common import U64, cut_lineage, groups, ids_of, n_partitions, table, tidy, u64
 from pagemill.llm.components import components
 from pagemill.llm.words import mix, multipliers, ngrams, slices, split_words
 
@@ -76,6 +76,7 @@ _SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", p
                            ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
 
+@tidy
 def _sketches(batches):
     for whole in batches:
         for b in slices(whole):
@@ -111,6 +112,7 @@ def _sketches(batches):
             ], schema=_SKETCH_ARROW)
 
 
+@tidy
 def _sets(batches):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
     for whole in batches:
@@ -125,6 +127,7 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+@tidy
 def _confirm(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for t in batches:

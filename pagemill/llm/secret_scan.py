@@ -23,7 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import cut_lineage, table
+from pagemill.llm.common import cut_lineage, table, tidy
 from pagemill.llm.words import slices
 
 SCOPE = 400     # code points between the parts of one credential
@@ -70,6 +70,7 @@ _SCAN_ARROW = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n
 _SPAN_SQL = "array<struct<start: long, kind: int, end: long>>"
 
 
+@tidy
 def _scan(batches):
     for b in (x for batch in batches for x in slices(batch)):
         rows = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.llm.common import (U64, doc_shard, doc_shard_np, groups, hash_shard_np, i64, ids_of, n_partitions, pack,
-                                 rows_to_batches, u64)
+                                 rows_to_batches, tidy, u64)
 from pagemill.llm.words import Words, ngrams, slices, split_words
 
 ROUTE = "shard int, h binary, doc binary, kind binary"
@@ -84,6 +84,7 @@ def _meet(shards: int, later_only: bool):
     """Per partition: the (hash, document) pairs whose hash another document has too, or, with
     ``later_only``, a smaller document."""
 
+    @tidy
     def run(batches):
         hs, ds, ks = [], [], []
         for b in batches:
@@ -142,6 +143,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = n_partitions(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    @tidy
     def anchors(batches):
         def pairs():
             for b in (x for batch in batches for x in slices(batch)):
