@@ -109,3 +109,30 @@ def test_marker_vectors(spark):
     assert sb("&lt;h1&gt;", "&lt;/h1&gt;") == "Title"
     assert sb("</h1>  <p>", "</p>") == "body &amp; more"   # flexible whitespace
     assert sb("</h1> <p>", "</p>") == ""                  # single-spaced marker: no fallback
+
+
+def test_persisted_shred_prunes_and_reports(spark, tmp_path):
+    from pagemill.operators.shred import MAX_DEPTH, shred, write_shredded
+    deep = "<div>" * (MAX_DEPTH + 5) + "x" + "</div>" * (MAX_DEPTH + 5)
+    pages = spark.createDataFrame([(i, f"<p id='a{i}'>t{i}</p>") for i in range(20)] + [(99, deep)], "page_id long, html string")
+    write_shredded(pages, str(tmp_path / "shred"), buckets=4)
+    back = spark.read.parquet(str(tmp_path / "shred"))
+    assert back.count() == 21 and back.select("shard").distinct().count() <= 4
+    errors = {r.page_id: r.page_error for r in shred(pages).select("page_id", "page_error").collect()}
+    assert "deeper" in errors.pop(99) and not any(errors.values())
+
+
+def test_selectors_of_any_length(spark):
+    from pagemill.operators.selectors import compile_css, compile_xpath
+    long_css = " > ".join(["div"] * 12) + " a.b#c"
+    assert compile_css(long_css).supported and compile_xpath("/div" * 12 + "//a").supported
+    for bad in ("", ">", "a[b]", "a:hover", "a,b", "#", ".", "a..b", "1a", "a#b#c", "**"):
+        assert not compile_css(bad).supported, bad
+
+
+def test_unwrap_external_links_only():
+    from pagemill.operators.clean import clean_html
+    html = '<p><a href="/x">in</a> <a href="https://h.example.com/y">own</a> <a href="//o.example.org/z">out</a> <a href="https://[bad">odd</a></p>'
+    got = clean_html(html, unwrap_links=True, unwrap_mode="external", base_url="https://h.example.com/p")
+    assert got == html.replace('<a href="//o.example.org/z">out</a>', "out")
+    assert "<a" not in clean_html(html, unwrap_links=True)

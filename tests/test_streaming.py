@@ -136,3 +136,17 @@ def test_daily_stream_watermark_drops_and_counts_late_rows(spark):
     q.awaitTermination()
     got = spark.read.parquet(out).groupBy(F.to_date("w.start").alias("d")).agg(F.max("total_count").alias("n")).collect()
     assert {(r.d.day, r.n) for r in got} == {(10, 1), (20, 2)} and late_rows(q) == 1
+
+
+def test_discovered_rows_dedupe_within_the_watermark(spark):
+    import datetime as dt
+    from pagemill.streaming.jobs import _ckpt, dedupe_within_watermark
+    src, out = tempfile.mkdtemp(prefix="pm-dd-"), tempfile.mkdtemp(prefix="pm-ddout-")
+    schema = "rule_id long, url_hash string, discovered_at timestamp"
+    for rows in ([(1, "a"), (1, "b"), (1, "a")], [(1, "a"), (2, "a")]):
+        spark.createDataFrame([(*r, dt.datetime(2024, 1, 1, 5)) for r in rows], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (dedupe_within_watermark(stream).writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", _ckpt(spark, "t-dd-" + os.path.basename(out))).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted((r.rule_id, r.url_hash) for r in spark.read.parquet(out).collect()) == [(1, "a"), (1, "b"), (2, "a")]
