@@ -9,7 +9,7 @@ import numpy as np
 from pagemill.llm.kneser_ney import find
 from pagemill.llm.words import U64
 
-CACHE_SEGMENTS = 1_000_000    # that a worker holds before it lets go of those it met only once
+CACHE_SEGMENTS = 1_500_000    # that a worker holds before it lets go of those it met only once
 
 
 class SegmentIds:
