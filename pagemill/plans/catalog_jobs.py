@@ -174,6 +174,15 @@ def q_rewrite_requests(t: Tables):
     return out.select("article_id", "system_prompt", "user_content", "temperature")
 
 
+@register("rewrite_requests_whole", f"""SELECT article_id, {D.q(W.DEFAULT_PROMPT)} AS system_prompt,
+  {D.q(W.USER_TITLE_LABEL)} || {D.strip_tags('title')} || {D.q(W.USER_BODY_LABEL)} || content AS user_content,
+  0.7 AS temperature FROM f_articles""", ("f_articles",))
+def q_rewrite_requests_whole(t: Tables):
+    """Request rows with the whole body of every article."""
+    out = W.rewrite_requests(t.f_articles, temperature=0.7)
+    return out.select("article_id", "system_prompt", "user_content", "temperature")
+
+
 def _responses(t: Tables):
     d = F.col("doc_id")
     js = F.to_json(F.struct(F.concat(F.lit("R "), d.cast("string")).alias("title"), F.col("text").alias("content")))
