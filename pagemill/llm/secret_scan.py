@@ -4,12 +4,12 @@ Strong patterns (an assignment, an access identifier, a long hex run) are report
 match. Weak candidates - a free-standing forty-character secret, an endpoint address - are
 common in clean text and are reported only where complementary parts of one credential meet: a
 secret within ``SCOPE`` code points of an access identifier, and an endpoint within ``SCOPE`` of
-both.
+both, where an assignment is a secret too.
 
 Texts are scanned once; counts, spans and parts go on without the text. Linking is an interval
 join in Spark: the text is cut into blocks of ``SCOPE`` code points, spans are placed in every block
-that they touch, identifiers widened by the scope, and parts meet within a block. Disjoint spans of twenty characters or more
-limit a block to a fixed number of parts, so no document makes it quadratic.
+that they touch, identifiers widened by the scope, and parts meet within a block. Spans of one kind are disjoint and of nine characters
+or more, which limits a block to a fixed number of parts, so no document makes it quadratic.
 
 Defined cases: null and empty texts have no spans; each row is reported, and rows equal in id and
 text share their links; ids may be null.
@@ -34,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")      # as every run of these characters of 24 or more
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(r"\b(?:https?|s3|wss?|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%@:/?#&=+-]{4,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -92,13 +92,13 @@ def link_parts(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFra
         return F.explode(F.sequence(F.floor(low / scope).cast("long"), F.floor(high / scope).cast("long"))).alias("block")
 
     weak = parts.filter("kind in (3, 4)").select(*keys, "kind", "start", "end", blocks(F.col("start"), F.col("end")))
-    other = parts.filter("kind in (1, 3)").select(
+    other = parts.filter("kind in (0, 1, 3)").select(
         *keys, F.col("kind").alias("okind"), F.col("start").alias("ostart"), F.col("end").alias("oend"),
         blocks(F.col("start") - scope, F.col("end") + scope))
     gap = F.greatest(F.col("ostart") - F.col("end"), F.col("start") - F.col("oend"), F.lit(0))
     met = (weak.join(other, [*keys, "block"]).filter((gap <= scope) & (F.col("kind") != F.col("okind")))
            .groupBy(*keys, "kind", "start", "end")
-           .agg(F.max((F.col("okind") == 1).cast("int")).alias("access"), F.max((F.col("okind") == 3).cast("int")).alias("secret")))
+           .agg(F.max((F.col("okind") == 1).cast("int")).alias("access"), F.max(F.col("okind").isin(0, 3).cast("int")).alias("secret")))
     return met.filter("access = 1 and (kind = 3 or secret = 1)").select(*keys, "kind", "start", "end")
 
 
@@ -110,7 +110,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = cut_lineage(src.mapInArrow(
         _scan, f"doc_id long, h long, n_assign long, n_access long, n_hex long, base_sha256 string, base {_SPAN_SQL}, weak {_SPAN_SQL}"))
     parts = (scanned.filter(F.size("weak") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
-                                                       "h", F.explode(F.concat(F.filter("base", lambda s: s["kind"] == 1), "weak")).alias("s"))
+                                                       "h", F.explode(F.concat(F.filter("base", lambda s: s["kind"] <= 1), "weak")).alias("s"))
              .select("doc_id", "no_id", "h", "s.*").distinct())
     keys = ["doc_id", "no_id", "h"]
     linked = (link_parts(parts, keys, scope).groupBy(*keys)

@@ -201,6 +201,40 @@ def test_secret_links(spark):
     assert kinds[0] == ["access", "secret", "endpoint"] and kinds[1] == [] and kinds[2] == ["access"]
 
 
+def test_secret_forms(spark):
+    """Spans written out by hand: env, ini, quoted and URL forms, assignments as secrets."""
+    access, weak = "AKIA" + "ABCDEFGH12345678", "aB3" * 13 + "x"
+    url, far = "https://db.example.org/x", " " * (secret_scan.SCOPE + 50)
+
+    def at(text, **parts):
+        return {f"{k}:{text.index(p)}:{text.index(p) + len(p)}" for k, p in parts.items()}
+
+    env = f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={weak}\n"
+    ini = f"[default]\naws_access_key_id = {access}\naws_secret_access_key = {weak}\n"
+    quoted = f'{{"id": "{access}", "key": "{weak}"}}'
+    query = f"{access} https://db.example.org/x?sig={weak}"
+    named = f"{access} secret: abcdef99 {url}"
+    apart = f"{access}{far}secret: abcdef99 {url}"
+    alone = f"AWS_SECRET_ACCESS_KEY={weak} {url}"
+    long = f"{access} k={weak}Z"
+    want = {
+        env: at(env, access=access, secret=weak),
+        ini: at(ini, access=access, secret=weak),
+        quoted: at(quoted, access=access, secret=weak),
+        query: at(query, access=access, secret=weak, endpoint=f"https://db.example.org/x?sig={weak}"),
+        named: at(named, access=access, assign="secret: abcdef99", endpoint=url),
+        apart: at(apart, access=access, assign="secret: abcdef99"),
+        alone: set(),
+        long: at(long, access=access),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: {x for x in r.s.split(",") if x}
+           for r in secret_scan.secret_spans(df).select("doc_id", secret_scan.spans_text().alias("s")).collect()}
+    assert got == dict(enumerate(want.values()))
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
+    assert not any(weak in masked[i] for i in range(4)) and url not in masked[4]
+
+
 def test_substring_dedup(spark, docs):
     got = substring_dedup.query(spark, SF).collect()
     want = sorted((i, n, g, brute.sha(t)) for i, n, g, t in brute.substring_dedup(docs))
