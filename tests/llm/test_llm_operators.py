@@ -59,6 +59,15 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert all(r.kept == (not r.base_failed) for i, r in rows.items() if i < 100)
 
 
+def test_quality_bands_against_labels(spark):
+    """Of the labelled documents past the base rules, most bad ones leave and nearly all clean ones stay."""
+    mid = "/root/testdata/sf0.01"
+    rows = (quality.query(spark, mid).join(spark.read.parquet(f"{mid}/labels.parquet"), "doc_id").filter("not base_failed")
+            .groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect())
+    kept = {r.quality: r.kept for r in rows}
+    assert kept[0] < 0.35 and kept[1] > 0.98
+
+
 def test_quality_shuffled_models_give_the_same(spark, monkeypatch):
     want = {r.doc_id: r for r in quality.query(spark, SF).collect()}
     monkeypatch.setattr(quality, "MODEL_BYTES", 0)
