@@ -15,10 +15,11 @@ PREVIEW_READY = 20
 PREVIEW_DUPLICATES = 10
 
 
-def preview_links(links: DataFrame, articles: DataFrame, key: str = "page_id") -> DataFrame:
-    """V1: per list page the first 50 discovered links split into ready (<= 20 shown) and
-    already published (<= 10 shown), with counts. ``links`` = (key, pos, url)."""
-    first = links.where(F.col("pos") < PREVIEW_LINKS)
+def preview_links(links: DataFrame, articles: DataFrame, key: str = "page_id", most: int | None = PREVIEW_LINKS) -> DataFrame:
+    """V1: per list page the first ``most`` discovered links (None: all of them) split into
+    ready (<= 20 shown) and already published (<= 10 shown), with counts. ``links`` = (key,
+    pos, url)."""
+    first = links if most is None else links.where(F.col("pos") < most)
     flagged = split_ready(first, articles)
     return flagged.groupBy(key).agg(
         F.count(F.lit(1)).alias("links"),

@@ -259,6 +259,20 @@ def q_preview_links(t: Tables):
     return p.select("page_id", "links", "ready", "duplicates")
 
 
+@register("preview_links_whole", f"""WITH {_ALL_HREFS_SQL},
+{_links_sql('raw', 'page_id').replace('SELECT page_id, u AS url,', 'SELECT page_id, u AS url, md5(u) AS h,', 1)}""".replace(
+    "SELECT page_id, u AS url, md5(u) AS h, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS pos FROM firsts",
+    f"""SELECT page_id, count(*) AS links, count_if(NOT dup) AS ready, count_if(dup) AS duplicates FROM (
+  SELECT page_id, md5({D.normalize_url('u')}) IN (SELECT md5({D.normalize_url('source_url')}) FROM f_published_pages) AS dup FROM firsts)
+GROUP BY page_id"""), ("f_published_pages",))
+def q_preview_links_whole(t: Tables):
+    """V1: list preview per page: all links, ready vs already published."""
+    from pagemill.operators import extract as X
+    links = t.pages.select("page_id", F.posexplode(X.anchor_links(F.col("html"), F.col("url"))).alias("pos", "url"))
+    p = PV.preview_links(links, t.f_published_pages, most=None)
+    return p.select("page_id", "links", "ready", "duplicates")
+
+
 def _corpus_preview(t: Tables):
     from pagemill.functions import jsonpage as J
     from pagemill.operators.queue import due_items

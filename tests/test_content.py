@@ -73,6 +73,14 @@ def test_preview_links_counts(spark):
     assert len(p.ready_sample) == 20 and len(p.duplicate_sample) == 1
 
 
+def test_preview_links_counts_all_links(spark):
+    links = spark.createDataFrame([(1, i, f"https://s.example.com/a/{i}") for i in range(300)], "page_id long, pos int, url string")
+    arts = spark.createDataFrame([("https://s.example.com/a/3",), ("https://s.example.com/a/255",)], "source_url string")
+    p = preview_links(links, arts, most=None).collect()[0]
+    assert (p.links, p.ready, p.duplicates) == (300, 298, 2)
+    assert len(p.ready_sample) == 20 and [x.pos for x in p.duplicate_sample] == [3, 255]
+
+
 def test_sinks_idempotent_and_queue_fold(spark):
     import datetime as dt
     import tempfile
