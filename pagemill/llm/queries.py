@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, packing, quality, secret_scan, sentence_pieces, substring_dedup, warc_store
+from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, order_minhash, packing, quality, secret_scan, sentence_pieces, substring_dedup, warc_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_score": lm_score.query,
     "op9_hilbert_ann": hilbert_ann.query,
     "op10_warc_store": warc_store.query,
+    "op11_order_minhash": order_minhash.query,
 }
 
 ORACLES: dict[str, str] = {
