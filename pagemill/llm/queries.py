@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, order_minhash, packing, phrase_mining, quality, secret_scan, sentence_pieces, substring_dedup, warc_store
+from pagemill.llm import hilbert_ann, line_dedup, lm_score, near_dup, order_minhash, packing, phrase_mining, quality, secret_scan, sentence_pieces, spelling, substring_dedup, warc_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc_store": warc_store.query,
     "op11_order_minhash": order_minhash.query,
     "op12_phrase_mining": phrase_mining.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_near_dup": near_dup.SQL,
     "op10_warc_store": warc_store.SQL,
     "op12_phrase_mining": phrase_mining.SQL,
+    "op13_spelling": spelling.SQL,
 }
