@@ -25,10 +25,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pagemill.llm.common import cut_lineage, table
+from pagemill.llm.common import cut_lineage, n_partitions, table
 from pagemill.operators.joins import rank_in_group
 
 K, TUPLES, SIZE = 3, 32, 2
+PARTS = 4
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOL = r"(?:[^\x20\x09-\x0D⺀-￿]{1,16}|[⺀-￿])"
 # Never null, so that joins, windows and groups of a document share one partitioning.
@@ -48,7 +49,8 @@ def signatures(texts: DataFrame, by: list[str], k: int = K, tuples: int = TUPLES
     slots = tuples * size
     rows = texts.select(*by, F.posexplode(k_mers(F.col("text"), k)).alias("pos", "k_mer")) \
         .select(*by, "pos", F.xxhash64("k_mer").alias("h"))
-    seen = Window.partitionBy(*by, "h").orderBy("pos")
+    # sorted by the hash first, one number that tells most k-mers apart
+    seen = Window.partitionBy("h", *by).orderBy("pos")
     g = F.xxhash64("h", F.row_number().over(seen))
     numbered = rows.select(*by, "pos", g.alias("g"))
     # smallest of each slot: 34 bits of the hash, then the place in the text
@@ -83,33 +85,39 @@ def fingerprint(tuples):
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """Each document (``KEY``), the key of the next one and ``need``, the code points to take of it."""
-    keys = docs.groupBy("doc_id", *KEY).agg(F.max(F.length("text")).alias("n_chars")).withColumn("_all", F.lit(0))
+    """Each document (doc_id, ``KEY``) of ``docs`` (doc_id, ``KEY``, n), the key of the next one and ``need``, the code points to take of it."""
+    keys = docs.groupBy("doc_id", *KEY).agg(F.max("n").alias("n_chars")).withColumn("_all", F.lit(0))
     ranked = rank_in_group(keys, ["_all"], [F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc()], "place")
-    of = cut_lineage(ranked.select(*KEY, "n_chars", "place"))
+    of = cut_lineage(ranked.select("doc_id", *KEY, "n_chars", "place"))
     # the last one is followed by the first: one aggregated row names its place
     after = of.select((F.col("place") - 1).alias("place"), *[F.col(c).alias(f"next_{c}") for c in KEY])
     last = of.agg(F.max("place").alias("n"))
     after = after.join(F.broadcast(last)).select(
         F.when(F.col("place") == 0, F.col("n")).otherwise(F.col("place")).alias("place"), *[f"next_{c}" for c in KEY])
-    return of.join(after, "place").select(*KEY, *[f"next_{c}" for c in KEY],
+    return of.join(after, "place").select("doc_id", *KEY, *[f"next_{c}" for c in KEY],
                                           F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
     the signatures (tuples, edited_tuples) of ``docs`` (doc_id, text)."""
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"),
-                      F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("text_hash"),
-                      F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("doc_id", text).alias("text_hash"),
+                        text.alias("text"), F.length(text).alias("n"))
     at = [f"next_{c}" for c in KEY]
-    follow = next_documents(own)
+    follow = next_documents(keyed.drop("text"))
+    # one shuffle of the texts serves all joins below: they read the same columns. A text gives
+    # some thirty times its bytes as k-mer rows, so a task gets a part of a usual partition
+    parts = PARTS * n_partitions(docs.sparkSession)
+    own = keyed.select(*KEY, "text").repartition(parts, *KEY)
     # the start of the next text travels back to the document before it
-    asked = follow.select(*[F.col(c).alias(f"for_{c}") for c in KEY], *[F.col(n).alias(c) for n, c in zip(at, KEY)], "need")
-    gift = own.join(asked, KEY).select(*[F.col(f"for_{c}").alias(c) for c in KEY],
-                                       *[F.col(c).alias(n) for n, c in zip(at, KEY)], F.expr("left(text, need)").alias("gift")) \
-        .groupBy(*KEY, *at).agg(F.first("gift").alias("gift"))
-    joined = own.join(gift, KEY)
+    asked = follow.select(*[F.col(c).alias(f"for_{c}") for c in KEY], *[F.col(n).alias(c) for n, c in zip(at, KEY)], "doc_id", "need")
+    # sorted joins on both sides' partitioning: whatever the sizes, nothing below moves a text again
+    gift = own.join(asked.repartition(parts, *KEY).hint("merge"), KEY) \
+        .select(*[F.col(f"for_{c}").alias(c) for c in KEY], *[F.col(c).alias(n) for n, c in zip(at, KEY)], "doc_id",
+                F.expr("left(text, need)").alias("gift")) \
+        .repartition(parts, *KEY).groupBy(*KEY).agg(F.first(F.struct("doc_id", *at, "gift")).alias("g")).select(*KEY, "g.*")
+    joined = own.join(gift.hint("merge"), KEY)
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.col("gift"))
     kinds = joined.dropDuplicates(KEY).select(*KEY, F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), edited.alias("text")))).alias("of")) \
@@ -119,7 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == 1, F.col("tuples"))).alias("edited_tuples"))
     facts = joined.select("doc_id", *KEY, *at, F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
     none = F.array().cast("array<bigint>")
-    done = cut_lineage(facts.join(signed, KEY, "left").withColumns(
+    done = cut_lineage(facts.join(signed.hint("merge"), KEY, "left").withColumns(
         {c: F.coalesce(c, none) for c in ("tuples", "edited_tuples")}))
     following = done.select(*[F.col(c).alias(n) for n, c in zip(at, KEY)], F.col("tuples").alias("next_tuples")).dropDuplicates(at)
     return done.join(following, at) \
