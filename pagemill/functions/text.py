@@ -89,8 +89,10 @@ def _unescape_udf(s: pd.Series) -> pd.Series:
 
 
 def html_unescape(col) -> Column:
-    """Full HTML5 entity decode (Arrow-batched; Spark has no built-in)."""
-    return _unescape_udf(_c(col))
+    """Full HTML5 entity decode (Arrow-batched; Spark has no built-in). Texts without '&' stay
+    in the JVM: the Python side gets a null for them."""
+    c = _c(col)
+    return F.coalesce(_unescape_udf(F.when(c.contains("&"), c)), c)
 
 
 def strip_tags(col) -> Column:
@@ -121,13 +123,58 @@ ALLOWED_TAGS = ["p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li",
                 "caption", "video", "audio", "source", "picture"]
 
 
+# Attributes that the publish filter keeps on every tag, and as tag.attribute on single ones; of
+# those that hold addresses, only the ones that name no scheme or one of these.
+ALLOWED_ATTRIBUTES = ["class", "id", "title", "lang", "dir"]
+ALLOWED_ON_TAG = ["a.href", "a.rel", "a.target", "a.name", "img.src", "img.alt", "img.width", "img.height", "video.src", "video.poster",
+                  "video.controls", "video.width", "video.height", "audio.src", "audio.controls", "source.src", "source.type",
+                  "td.colspan", "td.rowspan", "th.colspan", "th.rowspan", "th.scope", "ol.start", "ol.type", "blockquote.cite",
+                  "del.cite", "ins.cite"]
+ADDRESS_ATTRIBUTES = ["href", "src", "poster", "cite"]
+ALLOWED_SCHEMES = ["http", "https", "mailto", "tel"]
+
+# A tag with its quoted values whole, text without '<', or a '<' that begins no whole tag.
+TAG_TOKENS = r"""</?[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<"""
+ATTRIBUTE = r"""[A-Za-z_:][-A-Za-z0-9_:.]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
+def safe_address(value) -> Column:
+    """Whether an attribute's address is relative or of an allowed scheme. Blanks and control
+    characters do not hide a scheme, and what stands before the first '/', '?' or '#' may hold
+    no entity, which could."""
+    u = F.regexp_replace(value, r"[\x00-\x20\"']", "")
+    head = F.regexp_extract(u, r"^[^/?#]*", 0)
+    return u.rlike("(?i)^(?:" + "|".join(ALLOWED_SCHEMES) + "):") | ~head.rlike("[:&]")
+
+
+def _kept_tag(tag: Column, tags: list[str]) -> Column:
+    """A tag token with its allowed attributes, or nothing if the tag itself is not allowed."""
+    name = F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+
+    def attributes(n: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_replace(tag, r"^<[A-Za-z][A-Za-z0-9]*", ""), F.lit(ATTRIBUTE), F.lit(0))
+
+        def keep(x):
+            a = F.lower(F.regexp_extract(x, r"^[^\s=]+", 0))
+            known = a.isin(*ALLOWED_ATTRIBUTES) | F.concat(n, F.lit("."), a).isin(*ALLOWED_ON_TAG)
+            return known & (~a.isin(*ADDRESS_ATTRIBUTES) | safe_address(F.regexp_extract(x, r"(?s)=\s*(.*)$", 1)))
+
+        return F.concat(F.lit("<"), n, F.array_join(F.transform(F.filter(found, keep), lambda x: F.concat(F.lit(" "), x)), ""), F.lit(">"))
+
+    return let(name, lambda n: F.when(~n.isin(*tags), F.lit("")).when(tag.startswith("</"), F.concat(F.lit("</"), n, F.lit(">")))
+               .otherwise(attributes(n)))
+
+
 def allow_html(col, tags: list[str] | None = None) -> Column:
-    """Remove script/style with bodies and every tag not in the allow-list."""
+    """The publish filter. Script and style elements go with their bodies, comments go, tags
+    outside the allow-list go and their text stays; kept tags are written anew with their allowed
+    attributes only, so event attributes, styles and script addresses never pass. A '<' that begins
+    no whole tag becomes ``&lt;``."""
     tags = tags or ALLOWED_TAGS
     s = F.regexp_replace(_c(col), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     s = F.regexp_replace(s, r"(?s)<!--.*?-->", "")
-    keep = "|".join(tags)
-    return F.regexp_replace(s, rf"(?i)</?(?!(?:{keep})\b)[a-z][^>]*>", "")
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(TAG_TOKENS), F.lit(0)), lambda x: F.when(x == "<", F.lit("&lt;"))
+                                    .when(x.rlike("^</?[A-Za-z]"), _kept_tag(x, tags)).otherwise(x)), "")
 
 
 def parse_pairs(text_col) -> Column:

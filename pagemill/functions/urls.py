@@ -173,11 +173,18 @@ def parse_urls(col) -> Column:
     return F.array_distinct(F.filter(urls, lambda x: is_safe_public_url(x)))
 
 
-def list_page_urls(list_urls_text, pattern, page_start, page_end) -> Column:
-    """U8: static list URLs, then ``{page}`` pattern pages start..end with start >= 1,
-    end clamped to [start, start + 500]; safe, normalised, distinct, in order."""
+def list_pages_cut(page_start, page_end, most: int = 500) -> Column:
+    """U8: how many pattern pages ``list_page_urls`` leaves out because of ``most``."""
     start = F.greatest(F.lit(1), _c(page_start).cast("int"))
-    end = F.greatest(start, F.least(start + 500, _c(page_end).cast("int")))
+    return F.greatest(F.lit(0), _c(page_end).cast("int") - start - most)
+
+
+def list_page_urls(list_urls_text, pattern, page_start, page_end, most: int | None = 500) -> Column:
+    """U8: static list URLs, then ``{page}`` pattern pages start..end with start >= 1 and at most
+    ``most`` pages after the first (None: all); safe, normalised, distinct, in order."""
+    start = F.greatest(F.lit(1), _c(page_start).cast("int"))
+    last = _c(page_end).cast("int")
+    end = F.greatest(start, last if most is None else F.least(start + most, last))
     pat = trim_set(F.coalesce(_c(pattern), F.lit("")))
     pages = F.transform(F.sequence(start, end),
                         lambda i: normalize_url(F.replace(pat, F.lit("{page}"), i.cast("string"))))

@@ -22,7 +22,8 @@ IMAGE_EXTS = ["jpg", "jpeg", "png", "gif", "webp"]
 MAX_BYTES_DEFAULT = 5 * 1024 * 1024
 
 _IMG_TAG = r"(?i)<img\b[^>]*>"
-_BG = r"(?i)background(?:-image)?\s*:\s*url\(([^)]+)\)"
+# Style declarations whose value begins with url(...): property name and address.
+_URL_DECLARATION = r"([A-Za-z-]+)\s*:\s*[uU][rR][lL]\(([^)]+)\)"
 
 
 def _c(c) -> Column:
@@ -47,9 +48,10 @@ def image_sources(content) -> Column:
 
     tags = F.regexp_extract_all(_c(content), F.lit(_IMG_TAG), F.lit(0))
     from_tags = F.flatten(F.transform(tags, per_tag))
-    bg = F.transform(F.regexp_extract_all(_c(content), F.lit(_BG), F.lit(1)),
-                     lambda u: F.btrim(u, F.lit(" \t\n\r\x00\x0b\"'")))
-    bg = F.filter(bg, lambda u: u != "")
+    part = lambda n: F.regexp_extract_all(_c(content), F.lit(_URL_DECLARATION), F.lit(n))
+    declared = F.zip_with(part(1), part(2), lambda p, u: F.struct(
+        F.lower(p).alias("name"), F.btrim(u, F.lit(" \t\n\r\x00\x0b\"'")).alias("url")))
+    bg = F.transform(F.filter(declared, lambda d: d["name"].isin("background", "background-image") & (d["url"] != "")), lambda d: d["url"])
     return F.array_distinct(F.concat(from_tags, bg))
 
 
@@ -81,9 +83,10 @@ def image_gate(cands: DataFrame, assets: DataFrame, max_bytes: int = MAX_BYTES_D
 
 
 def image_cap(gated: DataFrame, max_images: int = 10, key: str = "article_id") -> DataFrame:
-    """Sources are handled in order until ``max_images`` (clamped 0..50) succeeded;
-    later sources are not processed ('unprocessed'). A cap of 0 skips every source."""
-    n = max(0, min(50, int(max_images)))
+    """Sources are handled in order until ``max_images`` succeeded; later sources are not
+    processed ('unprocessed': their number is what the cap cut). A cap of 0 skips every source; the
+    settings form allows up to 50, the operator any number."""
+    n = max(0, int(max_images))
     if n == 0:
         return gated.withColumn("status", F.lit("skipped")).withColumn("local_url", F.lit(None).cast("string"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

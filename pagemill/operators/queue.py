@@ -7,6 +7,8 @@ events back into the current state per item. ``as_of`` is always an explicit lit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions.text import strip_tags
@@ -137,24 +139,30 @@ def resolve_safe(urls: DataFrame, host_ips: DataFrame, url_col: str = "url") ->
 
 # ---------------------------------------------------------------- transitions
 
-def enqueue(links: DataFrame, queue: DataFrame, articles: DataFrame, rules: DataFrame, as_of,
+def enqueue(links: DataFrame, queue: DataFrame | Callable[[DataFrame], DataFrame], articles: DataFrame, rules: DataFrame, as_of,
             start_id: Column | int = 0) -> DataFrame:
     """Q1+Q2: new queue rows for discovered links ``(rule_id, url, pos)``.
 
     Normalise; keep safe URLs; first occurrence per (rule, url_hash); drop those already
     queued for the rule or published; then pending, attempts 0, discovered now, and
     scheduled ``now + clamp(request_delay, 0, 30) * offset`` where offset counts the
-    rule's inserted rows before this one (in ``pos`` order)."""
+    rule's inserted rows before this one (in ``pos`` order). ``queue`` is a table of the rows
+    already queued, or a function that is given (rule_id, url_hash) rows and returns those it
+    knows, so that a long queue need not be read."""
     n = links.select("rule_id", normalize_url(F.col("url")).alias("url"), "pos") \
         .where(is_safe_public_url(F.col("url"))).withColumn("url_hash", F.md5("url"))
     first = first_in_group(n, ["rule_id", "url_hash"], "pos", "_k").where(F.col("_k")).drop("_k")
     # queue rows carry their url_hash (U6); only a queue without it is re-hashed
-    existing = queue.select("rule_id", (F.col("url_hash") if "url_hash" in queue.columns
-                                        else F.md5(normalize_url(F.col("url")))).alias("url_hash"))
-    new = not_published(first.join(existing, ["rule_id", "url_hash"], "left_anti"), articles)
-    # the ranking reads its input three times (range sample, counts, rows): cut it once
     from pagemill.session import cut_lineage
 
+    if callable(queue):
+        first = cut_lineage(first)
+        existing = queue(first.select("rule_id", "url_hash"))
+    else:
+        existing = queue.select("rule_id", (F.col("url_hash") if "url_hash" in queue.columns
+                                            else F.md5(normalize_url(F.col("url")))).alias("url_hash"))
+    new = not_published(first.join(existing, ["rule_id", "url_hash"], "left_anti"), articles)
+    # the ranking reads its input three times (range sample, counts, rows): cut it once
     ranked = rank_in_group(cut_lineage(new), ["rule_id"], ["pos", "url_hash"], "_off")
     delay = F.least(F.greatest(F.coalesce(F.col("request_delay"), F.lit(0)), F.lit(0)), F.lit(30))
     out = ranked.join(small(rules.select("rule_id", "request_delay")), "rule_id", "left")

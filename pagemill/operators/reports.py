@@ -152,29 +152,38 @@ def table_totals(rules: DataFrame, queue: DataFrame, logs: DataFrame) -> DataFra
 
 
 def next_batch(due: DataFrame, limit: int | None = None, per_rule: bool = False,
-               rule_limit_col: str = "r_batch_limit") -> DataFrame:
-    """O1: FIFO batch by queue id. Global form: first clamp(limit, 1, 50) items.
-    All-rules form: per rule the first clamp(batch_limit, 1, 50) items."""
+               rule_limit_col: str = "r_batch_limit", most: int | None = 50) -> DataFrame:
+    """O1: FIFO batch by queue id. Global form: first ``limit`` items. All-rules form: per rule
+    the first ``batch_limit`` items. Limits are at least 1 and at most ``most`` (None: any); what is
+    not taken stays due for the next batch."""
     if not per_rule:
-        n = max(1, min(50, int(limit if limit is not None else 10)))
-        return due.orderBy("queue_id").limit(n)
-    cap = F.least(F.greatest(F.coalesce(F.col(rule_limit_col), F.lit(5)), F.lit(1)), F.lit(50))
+        n = max(1, int(limit if limit is not None else 10))
+        return due.orderBy("queue_id").limit(n if most is None else min(most, n))
+    cap = F.greatest(F.coalesce(F.col(rule_limit_col), F.lit(5)), F.lit(1))
+    if most is None:
+        from pagemill.operators.joins import rank_in_group
+
+        # without a literal bound a hot rule is ranked in parts
+        return rank_in_group(due, ["rule_id"], ["queue_id"], "_rn").where(F.col("_rn") <= cap).select(*due.columns)
+    cap = F.least(cap, F.lit(most))
     w = Window.partitionBy("rule_id").orderBy("queue_id")
-    # the literal bound lets Spark plan a map-side group limit (at most 50 rows per rule
+    # the literal bound lets Spark plan a map-side group limit (at most ``most`` rows per rule
     # leave each partition), so a rule with a third of the queue stays cheap
-    return due.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= 50) & (F.col("_rn") <= cap)).drop("_rn")
+    return due.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= most) & (F.col("_rn") <= cap)).drop("_rn")
 
 
 def rules_to_discover(rules: DataFrame, n: int = 20) -> DataFrame:
-    """O2: enabled rules, stalest discovery first (never-discovered first), rule id tie-break."""
-    n = max(1, min(100, int(n)))
+    """O2: the ``n`` enabled rules of stalest discovery (never-discovered first), rule id
+    tie-break. The settings form allows up to 100, the operator any number."""
+    n = max(1, int(n))
     key = F.coalesce(F.col("last_discovered_at"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     return rules.where(F.col("enabled")).orderBy(key, F.col("rule_id")).limit(n)
 
 
 def retain_logs(logs: DataFrame, keep: int = 2000) -> DataFrame:
-    """O3: keep the newest clamp(keep, 100, 20000) log rows by id."""
-    n = max(100, min(20000, int(keep)))
+    """O3: keep the newest ``keep`` log rows by id, 100 at least. The settings form allows up to
+    20,000, the operator any number (a top-k per task, then one merge)."""
+    n = max(100, int(keep))
     return logs.orderBy(F.col("log_id").desc()).limit(n)
 
 

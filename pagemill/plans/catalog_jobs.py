@@ -22,16 +22,6 @@ def collect_corpus(t: Tables):
     return collect(queue, rules, t.pages, published, AS_OF, assets=_assets(cands))
 
 
-@register("collect_articles")
-def q_collect_articles(t: Tables):
-    """§3.2 end to end: published article records of the corpus collect pass."""
-    a = collect_corpus(t).articles
-    return a.select("article_id", "title", "content", "excerpt", "status", "published_at", "author_id",
-                    F.array_join(F.transform("category_ids", lambda x: x.cast("string")), ",").alias("categories"),
-                    F.array_join("tags", "|").alias("tags"), "source_url",
-                    F.to_json("seo").alias("seo"), "featured_image")
-
-
 # ------------------------------------------------------------------ rewrite hand-off
 
 from pagemill.operators import rewrite as W  # noqa: E402
@@ -51,7 +41,7 @@ def _discover_sql(queued: bool) -> str:
 {page_links}),
 keys AS (SELECT md5({D.normalize_url('url')}) AS h, min(page_id) AS src FROM pages GROUP BY 1),
 listed AS (SELECT page_id AS list_pos, {rid} AS rule_id, md5({D.normalize_url('url')}) AS h FROM pages WHERE {D.host_of('url')} <> ''),
-found AS (SELECT l.rule_id, l.list_pos * 100000 + p.pos AS pos, {D.normalize_url('p.url')} AS u
+found AS (SELECT l.rule_id, row(l.list_pos, p.pos) AS pos, {D.normalize_url('p.url')} AS u
   FROM listed l JOIN keys k ON l.h = k.h JOIN page_links p ON p.page_id = k.src),
 one AS (SELECT rule_id, u AS url, md5(u) AS h, min(pos) AS pos FROM found WHERE {D.is_safe_url('u')} GROUP BY rule_id, u),
 fresh AS (SELECT * FROM one f WHERE h NOT IN (SELECT md5({D.normalize_url('source_url')}) FROM f_published_pages) {seen})
@@ -60,7 +50,7 @@ fresh AS (SELECT * FROM one f WHERE h NOT IN (SELECT md5({D.normalize_url('sourc
 
 _DISCOVER_COLS = f"""SELECT rule_id, url, h AS url_hash, 'pending' AS status, 0 AS attempts,
   CAST('{AS_OF}' AS TIMESTAMP) AS discovered_at, CAST('{AS_OF}' AS TIMESTAMP) AS scheduled_at,
-  row_number() OVER (PARTITION BY rule_id ORDER BY pos, h) - 1 AS "offset", pos FROM fresh"""
+  row_number() OVER (PARTITION BY rule_id ORDER BY pos, h) - 1 AS "offset", pos[1] AS list_pos, pos[2] AS link_pos FROM fresh"""
 
 
 @register("discover_links_job", _discover_sql(True) + _DISCOVER_COLS, ("f_queue", "f_published_pages"))
@@ -68,7 +58,7 @@ def q_discover_links_job(t: Tables):
     """§3.1 end to end: every page as a list page of its host's rule -> new queue items."""
     rules = corpus_rules(t.pages)
     res = discover(rules, t.pages, t.f_queue, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages))
-    return res.new_items
+    return res.new_items.select("*", "pos.*").drop("pos")
 
 
 def _collect_sql() -> str:
@@ -109,6 +99,39 @@ UNION ALL SELECT queue_id, rule_id, url, CASE WHEN 1 >= k % 4 THEN 'failed' ELSE
   FROM got WHERE error IS NOT NULL"""
 
 
+def _collect_articles_sql() -> str:
+    """The publish record of every successful item. The corpus's articles hold nothing that the
+    rules' cleaning removes, and no images."""
+    from pagemill.plans.catalog_scalars import allow_sql
+
+    category = ("CASE WHEN contains(ctx, 'the') THEN 3 WHEN contains(ctx, 'de') THEN 5 WHEN contains(ctx, 'und') THEN 7 "
+                "WHEN contains(ctx, 'la') THEN 11 ELSE k % 4 END")
+    auto = ", ".join(f"CASE WHEN k % 3 <> 1 AND contains(ctx, '{w}') THEN '{w}' END" for w in ["news", "the", "de", "und"])
+    seo = "CASE k % 4 WHEN 0 THEN json_object('_yoast_wpseo_title', seo_title, '_yoast_wpseo_metadesc', seo_desc) " \
+          "WHEN 1 THEN json_object('rank_math_title', seo_title, 'rank_math_description', seo_desc) END"
+    return _collect_sql() + f""",
+bodies AS (SELECT *, {D.trim_set("CASE WHEN k % 2 = 0 THEN replace(replace(replace(c0, '&amp;&amp;&amp;', '&amp;'), '%%%', ''), '###', '#') ELSE c0 END")} AS body
+  FROM judged WHERE NOT skip),
+texts AS (SELECT *, lower(title || chr(10) || {D.strip_tags('body')}) AS ctx, substr({D.text_of('body')}, 1, CAST(60 + k % 200 AS INTEGER)) AS exc FROM bodies),
+ready AS (SELECT *, bare || ' | ' AS seo_title, {D.strip_tags('exc')} AS seo_desc FROM texts)
+SELECT queue_id AS article_id, bare AS title, {allow_sql('body')} AS content, exc AS excerpt,
+  CASE WHEN k % 7 = 0 THEN 'future' WHEN k % 6 = 0 THEN 'publish' ELSE 'draft' END AS status,
+  CASE WHEN k % 7 = 0 THEN CAST('{AS_OF}' AS TIMESTAMP) + {schedule_minutes_sql('url', '10', '90')} * INTERVAL '1' MINUTE END AS published_at,
+  CAST(1 AS BIGINT) AS author_id, coalesce(CAST(nullif({category}, 0) AS VARCHAR), '') AS categories,
+  array_to_string(['corpus', 'imported'] || list_filter([{auto}], lambda x: x IS NOT NULL), '|') AS tags, url AS source_url,
+  CAST({seo} AS VARCHAR) AS seo, CAST(NULL AS VARCHAR) AS featured_image FROM ready"""
+
+
+@register("collect_articles", _collect_articles_sql(), ("f_published_pages",))
+def q_collect_articles(t: Tables):
+    """§3.2 end to end: published article records of the corpus collect pass."""
+    a = collect_corpus(t).articles
+    return a.select("article_id", "title", "content", "excerpt", "status", "published_at", "author_id",
+                    F.array_join(F.transform("category_ids", lambda x: x.cast("string")), ",").alias("categories"),
+                    F.array_join("tags", "|").alias("tags"), "source_url",
+                    F.to_json("seo").alias("seo"), "featured_image")
+
+
 @register("collect_transitions", _collect_sql() + _COLLECT_OUTCOMES, ("f_published_pages",))
 def q_collect_transitions(t: Tables):
     """§3.2 end to end: the queue state written for every processed item."""
@@ -353,10 +376,27 @@ def q_append_logs(t: Tables):
     return SK.normalize_log_rows(lg)
 
 
-@register("diagnostics")
+_DIAGNOSTICS = ("struct<generated_at:string,counts:struct<rules:bigint,queue:map<string,bigint>,logs:bigint>,recent_errors:array<struct<"
+                "rule_id:bigint,queue_id:bigint,level:string,message:string,url:string>>,failed_samples:array<struct<"
+                "queue_id:bigint,rule_id:bigint,url:string,attempts:int,last_error:string>>>")
+
+
+@register("diagnostics", f"""SELECT CAST('{AS_OF}' AS TIMESTAMP) AS generated_at, (SELECT count(*) FROM f_rules) AS rules, (SELECT count(*) FROM f_logs) AS logs,
+  (SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM f_queue GROUP BY status)) AS queue,
+  (SELECT string_agg(concat_ws('|', rule_id, queue_id, level, message, url), ';' ORDER BY log_id DESC) FROM
+    (SELECT * FROM f_logs WHERE level IN ('error', 'warning') ORDER BY log_id DESC LIMIT 20)) AS recent_errors,
+  (SELECT string_agg(concat_ws('|', queue_id, rule_id, url, attempts, last_error), ';' ORDER BY queue_id DESC) FROM
+    (SELECT * FROM f_queue WHERE status = 'failed' ORDER BY queue_id DESC LIMIT 20)) AS failed_samples""", ("f_rules", "f_queue", "f_logs"))
 def q_diagnostics(t: Tables):
-    """One-row diagnostics JSON (totals, status counts, newest problems, failed samples)."""
-    return SK.diagnostics(t.f_rules, t.f_queue, t.f_logs, AS_OF)
+    """The diagnostics JSON (totals, status counts, newest problems, failed samples), read back
+    into columns."""
+    d = SK.diagnostics(t.f_rules, t.f_queue, t.f_logs, AS_OF).select("generated_at", F.from_json("report", _DIAGNOSTICS).alias("r"))
+    text = lambda items: F.array_join(F.transform(items, lambda x: F.concat_ws("|", x)), ";")
+    fields = lambda name, keys: text(F.transform(F.col(f"r.{name}"), lambda x: F.array_compact(F.array(*[x[k].cast("string") for k in keys]))))
+    counts = F.transform(F.array_sort(F.map_entries("r.counts.queue")), lambda e: F.concat(e.key, F.lit("="), e.value))
+    return d.select("generated_at", F.col("r.counts.rules").alias("rules"), F.col("r.counts.logs").alias("logs"), F.array_join(counts, ",").alias("queue"),
+                    fields("recent_errors", ["rule_id", "queue_id", "level", "message", "url"]).alias("recent_errors"),
+                    fields("failed_samples", ["queue_id", "rule_id", "url", "attempts", "last_error"]).alias("failed_samples"))
 
 
 @register("conform_queue", """SELECT queue_id, rule_id, url, CAST(NULL AS VARCHAR) AS url_hash, status, attempts, last_error,
@@ -368,8 +408,7 @@ def q_conform_queue(t: Tables):
 
 _IMPORT_SQL = ("WITH imp AS (SELECT rule_id, name, enabled, pagination_pattern, page_start, page_end, batch_limit, retry_limit, "
                "request_delay, excerpt_length, post_status, json_source, 0 AS publish_delay_min, 0 AS publish_delay_max, "
-               "'immediate' AS publish_mode, 'none' AS seo_family, 'fallback' AS rewrite_on_failure FROM f_rule_set "
-               "WHERE rule_id <= 200)\nSELECT rule_id, " + ", ".join(f"{v} AS {k}" for k, v in _V6.items())
+               "'immediate' AS publish_mode, 'none' AS seo_family, 'fallback' AS rewrite_on_failure FROM f_rule_set)\nSELECT rule_id, " + ", ".join(f"{v} AS {k}" for k, v in _V6.items())
                + ", concat_ws(',', " + ", ".join(
                    f"CASE WHEN CAST({k} AS VARCHAR) IS DISTINCT FROM CAST({v} AS VARCHAR) THEN '{k}' END" for k, v in _V6.items())
                + ") AS violations FROM imp")
@@ -378,7 +417,7 @@ _IMPORT_SQL = ("WITH imp AS (SELECT rule_id, name, enabled, pagination_pattern,
 @register("import_rules", _IMPORT_SQL, ("f_rule_set",))
 def q_import_rules(t: Tables):
     """S3+S4: rules exported to JSON (ordered, without ids/timestamps) and imported back
-    with allow-listed keys, defaults and the 200-rule cap."""
+    with allow-listed keys and defaults."""
     from pyspark.sql import types as T
     from pagemill.session import scratch_path
     rs = t.f_rule_set.select("rule_id", "name", "enabled", "pagination_pattern", "page_start", "page_end", "batch_limit",
@@ -397,12 +436,10 @@ def q_import_rules(t: Tables):
 # ------------------------------------------------------------------ streaming (T)
 
 def _stream_paths(t: Tables, name: str):
-    """Output and checkpoint names per query, data folder and code version, so a rerun
-    resumes its own stream (adding nothing) and never reads another version's output."""
-    import zlib
-    from pagemill import __version__
+    """Output folder and checkpoint name of one run: every call streams its data anew."""
+    import uuid
     from pagemill.session import scratch_path
-    tag = f"{name}-{__version__}-{zlib.crc32(t.sf_dir.encode()):08x}"
+    tag = f"{name}-{uuid.uuid4().hex}"
     return scratch_path(t.spark, "out-" + tag), tag
 
 
@@ -468,25 +505,38 @@ def q_enrich_articles(t: Tables):
 def q_stream_discovery(t: Tables):
     """T1+T3: the discovery stream over the page files (AvailableNow): new queue items,
     exact duplicate suppression against the queue table across batches."""
-    from pagemill.streaming.jobs import stream_discovery
+    from pagemill.streaming.jobs import discovered_items, stream_discovery
     out, tag = _stream_paths(t, "sdisc")
     stream_discovery(t.spark, t.sf_dir + "/page[s].parquet", out, corpus_rules(t.pages), t.f_published_pages, AS_OF,
                      name=tag)
-    return t.spark.read.parquet(out).select("rule_id", "url", "url_hash", "status")
+    return discovered_items(t.spark, out).select("rule_id", "url", "url_hash", "status")
 
 
-@register("stream_collect")
+_PER_PASS = 50
+
+_STREAM_COLLECT_SQL = _collect_sql().replace("firsts AS (SELECT bare, min(queue_id) AS q FROM known WHERE NOT published GROUP BY bare)",
+    f"""turns AS (SELECT queue_id, 1 + (row_number() OVER (PARTITION BY rule_id ORDER BY queue_id) - 1) // {_PER_PASS} AS pass_no FROM items),
+firsts AS (SELECT bare, arg_min(queue_id, (pass_no, queue_id)) AS q FROM known JOIN turns USING (queue_id) WHERE NOT published GROUP BY bare)""") \
+    + f"SELECT o.*, pass_no FROM ({_COLLECT_OUTCOMES}) o JOIN turns USING (queue_id)"
+
+
+@register("stream_collect", _STREAM_COLLECT_SQL.replace("SELECT queue_id, rule_id, url, CASE WHEN skip", "SELECT queue_id, rule_id, CASE WHEN skip")
+          .replace("UNION ALL SELECT queue_id, rule_id, url,", "UNION ALL SELECT queue_id, rule_id,"), ("f_published_pages",))
 def q_stream_collect(t: Tables):
-    """T2+T6+T7: the collect stream: each batch of new queue files runs a collect pass
-    (per-rule FIFO batches); articles, transitions and logs per batch, logs retained."""
+    """T2+T6+T7: the collect stream: each batch of new queue files runs collect passes (per-rule
+    FIFO batches) with images; articles, transitions and logs are committed per pass."""
     import os
-    from pagemill.session import path_exists
-    from pagemill.streaming.jobs import stream_collect
+    from pagemill.operators.images import image_candidates
+    from pagemill.plans.catalog_content import _assets
+    from pagemill.streaming.jobs import CollectTables, stream_collect
     from pagemill.schema import QUEUE, conform
     out, tag = _stream_paths(t, "scoll")
     qsrc = os.path.join(out, "queue_src")
-    if not path_exists(t.spark, qsrc):
-        conform(seed_queue(t.pages, AS_OF), QUEUE).write.mode("overwrite").parquet(qsrc)
-    rules = corpus_rules(t.pages).withColumn("batch_limit", F.lit(50))
-    stream_collect(t.spark, qsrc, os.path.join(out, "sink"), rules, t.pages, t.f_published_pages, AS_OF, name=tag)
-    return t.spark.read.parquet(os.path.join(out, "sink", "transitions")).drop("batch")
+    # one file: the oracle counts passes over one micro-batch
+    conform(seed_queue(t.pages, AS_OF), QUEUE).coalesce(1).write.parquet(qsrc)
+    rules = corpus_rules(t.pages).withColumn("batch_limit", F.lit(_PER_PASS))
+    cands = image_candidates(t.pages.select(F.col("page_id").alias("article_id"), F.col("url").alias("source_url"),
+                                            F.col("html").alias("content")))
+    sink = os.path.join(out, "sink")
+    stream_collect(t.spark, qsrc, sink, rules, t.pages, t.f_published_pages, AS_OF, name=tag, assets=_assets(cands))
+    return CollectTables(t.spark, sink).transitions.read().drop("batch")

@@ -179,20 +179,38 @@ def q_collapse_ws(t: Tables):
     return t.documents.select("doc_id", C.collapse_ws(F.col("text")).alias("text"))
 
 
-def _allow_sql(x: str) -> str:
-    keep = "|".join(C.ALLOWED_TAGS)
+def allow_sql(x: str) -> str:
+    """The publish filter in SQL: tokens, then each tag's allowed attributes."""
     s = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')"
     s = f"regexp_replace({s}, '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
     s = f"regexp_replace({s}, '(?s)<!--.*?-->', '', 'g')"
-    s = f"regexp_replace({s}, '(?i)<(/?(?:{keep})\\b[^>]*)>', chr(1) || '\\1' || chr(2), 'g')"
-    s = f"regexp_replace({s}, '(?i)</?[a-z][^>]*>', '', 'g')"
-    return f"replace(replace({s}, chr(1), '<'), chr(2), '>')"
-
-
-@register("allow_html", f"SELECT page_id, {_allow_sql('html')} AS content FROM pages")
+    names = lambda v: ", ".join(D.q(i) for i in v)
+    attr = "lower(regexp_extract(a, '^[^\\s=]+', 0))"
+    bare = "regexp_replace(regexp_extract(a, '(?s)=\\s*(.*)$', 1), '[\\x00-\\x20\"'']', '', 'g')"
+    safe = f"(regexp_matches({bare}, '(?i)^(?:{'|'.join(C.ALLOWED_SCHEMES)}):') OR NOT regexp_matches(regexp_extract({bare}, '^[^/?#]*', 0), '[:&]'))"
+    name = "lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
+    kept = (f"list_filter(regexp_extract_all(regexp_replace(t, '^<[A-Za-z][A-Za-z0-9]*', ''), {D.q(C.ATTRIBUTE)}), "
+            f"lambda a: ({attr} IN ({names(C.ALLOWED_ATTRIBUTES)}) OR {name} || '.' || {attr} IN ({names(C.ALLOWED_ON_TAG)})) "
+            f"AND ({attr} NOT IN ({names(C.ADDRESS_ATTRIBUTES)}) OR {safe}))")
+    return (f"array_to_string(list_transform(regexp_extract_all({s}, {D.q(C.TAG_TOKENS)}), lambda t: CASE WHEN t = '<' THEN '&lt;' "
+            f"WHEN NOT regexp_matches(t, '^</?[A-Za-z]') THEN t WHEN {name} NOT IN ({names(C.ALLOWED_TAGS)}) THEN '' "
+            f"WHEN starts_with(t, '</') THEN '</' || {name} || '>' "
+            f"ELSE '<' || {name} || array_to_string(list_transform({kept}, lambda a: ' ' || a), '') || '>' END), '')")
+
+
+# Pages with attributes that must not pass, by page id.
+_HOSTILE = [("<p>", """<p onclick="steal('>')" title='a > b' style=color:red>"""), ('<a href="', '<a HREF=" java\tscript:x" href="&#106;avascript:y" rel=me href="'),
+            ("<b>", "<B oNmouseover = x class=k data-x='1' id><img src=x onerror=go() alt=\"<i>\"><svg/onload=z>"), ("<h1>", "<h1 lang=de>1 < 2 <unclosed title=\"")]
+
+
+@register("allow_html", "SELECT page_id, " + allow_sql("CASE page_id % 5 " + " ".join(
+    f"WHEN {k} THEN replace(html, {D.q(a)}, {D.q(b)})" for k, (a, b) in enumerate(_HOSTILE)) + " ELSE html END") + " AS content FROM pages")
 def q_allow_html(t: Tables):
-    """Pages filtered to the allowed publishing tags."""
-    return t.pages.select("page_id", C.allow_html(F.col("html")).alias("content"))
+    """Pages, most of them with hostile attributes put in, as the publish filter leaves them."""
+    html = F.col("html")
+    for k, (a, b) in enumerate(_HOSTILE):
+        html = F.when(F.col("page_id") % 5 == k, F.replace(F.col("html"), F.lit(a), F.lit(b))).otherwise(html)
+    return t.pages.select("page_id", C.allow_html(html).alias("content"))
 
 
 REPL_TEXT = "the => THE\nTHE=>x\r\nde =>\nno arrow here\n=>y\nund=>&amp;"

@@ -36,11 +36,27 @@ from pagemill.operators.shred import shred
 from pagemill.plans.corpus import compile_rule_selectors
 from pagemill.schema import Settings
 from pagemill.session import cut_lineage
+from pagemill.sources.key_index import KeyIndex
 
 # Failure and log messages.
 MSG_FETCH = "page fetch failed"
 MSG_EXTRACT = "title or content extraction failed"
 MSG_SUCCESS = "collected"
+MSG_PART = "page read in part"
+
+
+@dataclass
+class Seen:
+    """Sources and titles published by earlier passes, as key indexes that a pass asks for its own
+    keys only; ``before`` is the number of the pass."""
+
+    sources: KeyIndex
+    titles: KeyIndex
+    before: int
+
+    def add(self, articles: DataFrame) -> None:
+        self.sources.add(self.before, articles.select(Q.source_hash(F.col("source_url")).alias("key")))
+        self.titles.add(self.before, Q.live_titles(articles).select(F.md5("_t").alias("key")))
 
 
 @dataclass
@@ -116,9 +132,11 @@ def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
 
 def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: DataFrame, as_of,
             assets: DataFrame | None = None, settings: Settings = Settings(), per_rule_batch: bool = False,
-            responses: DataFrame | None = None) -> CollectResult:
+            responses: DataFrame | None = None, seen: Seen | None = None) -> CollectResult:
     """Run one collect pass over every due item (or each rule's FIFO batch). Items that hang
-    in ``running`` are released first (Q4) and take part if they are due. With ``responses``
+    in ``running`` are released first (Q4) and take part if they are due. Duplicates are tested
+    against ``articles`` and against what ``seen`` knows of earlier passes. A page that could be
+    read in part only fails its item. With ``responses``
     (queue_id, response) articles of rules with ``rewrite`` are replaced by their response if it
     passes the gate (W2-W5); otherwise the rule's policy keeps the original or fails the item."""
     ts = F.lit(as_of).cast("timestamp_ntz")
@@ -140,7 +158,9 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
         | (F.coalesce(F.col("r_date.json_path"), F.lit("")) != ""), J.page_json(F.col("html"), F.col("r_json_source"))))
     sh = sh.withColumn("page_json", page_js).withColumn("title", F.col("r_title")) \
         .withColumn("content", F.col("r_content")).withColumn("date", F.col("r_date"))
-    ex = X.extract_articles(sh).drop("nodes", "page_text", "page_error", "html", "page_json", "title", "content", "date")
+    ex = X.extract_articles(sh).withColumn("extract_error", F.coalesce(
+        F.concat(F.lit(MSG_PART + ": "), F.col("page_error")), F.col("extract_error"))) \
+        .drop("nodes", "page_text", "page_error", "html", "page_json", "title", "content", "date")
     # several outputs read the extracted items: run the Arrow pass once and cut the
     # lineage in the shared checkpoint folder (survives executor loss, keeps plans small)
     ex = cut_lineage(ex)
@@ -149,20 +169,28 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
     good = ex.where(F.col("extract_error").isNull())
     # duplicates: source already published or title equal to a live article; of the items
     # that are left, those whose title an earlier one publishes in this batch
-    published = Q.not_published(good.select("queue_id", "url"), articles).select("queue_id").withColumn("_new", F.lit(True))
-    titles = Q.live_titles(articles).withColumn("_dup_title", F.lit(True))
-    good = good.join(published, "queue_id", "left").withColumn("_t", strip_tags(F.col("x_title"))) \
-        .join(titles, "_t", "left")
-    known = F.col("r_dedupe_title") & (F.col("_new").isNull() | F.coalesce(F.col("_dup_title"), F.lit(False)))
-    good = cut_lineage(good.withColumn("_known", known).drop("_new", "_dup_title", "_t"))
-    # titles and ids only: content does not travel on the title, which may be a hot key
-    later = Q.first_of_equal_titles(good.where(~F.col("_known")).select("queue_id", "x_title"), "x_title", "queue_id") \
+    # names only: content does not travel on the title, which may be a hot key
+    names = cut_lineage(good.select("queue_id", "url", "r_dedupe_title", strip_tags(F.col("x_title")).alias("_t")))
+    source = F.md5(normalize_url(F.col("url")))
+    fresh = Q.not_published(names.select("queue_id", "url"), articles)
+    if seen is not None:
+        old = seen.sources.known(names.select(source.alias("key")), seen.before)
+        fresh = fresh.withColumn("key", source).join(old, "key", "left_anti")
+    repeat = names.join(Q.live_titles(articles), "_t", "left_semi").select("queue_id")
+    if seen is not None:
+        old = seen.titles.known(names.select(F.md5("_t").alias("key")), seen.before)
+        repeat = repeat.unionByName(names.withColumn("key", F.md5("_t")).join(old, "key", "left_semi").select("queue_id")).distinct()
+    judged = names.join(fresh.select("queue_id", F.lit(True).alias("_new")), "queue_id", "left") \
+        .join(repeat.withColumn("_dup", F.lit(True)), "queue_id", "left") \
+        .withColumn("_known", F.col("r_dedupe_title") & (F.col("_new").isNull() | F.coalesce(F.col("_dup"), F.lit(False))))
+    judged = cut_lineage(judged.select("queue_id", "r_dedupe_title", "_t", "_known"))
+    later = Q.first_of_equal_titles(judged.where(~F.col("_known")), "_t", "queue_id") \
         .where("batch_duplicate").select("queue_id", F.lit(True).alias("_later"))
-    good = good.join(later, "queue_id", "left") \
-        .withColumn("skip", F.col("_known") | (F.col("r_dedupe_title") & F.coalesce(F.col("_later"), F.lit(False)))) \
-        .drop("_known", "_later")
+    skipped = judged.join(later, "queue_id", "left").select("queue_id", (
+        F.col("_known") | (F.col("r_dedupe_title") & F.coalesce(F.col("_later"), F.lit(False)))).alias("skip"))
+    good = good.join(skipped, "queue_id")
     keep = good.where(~F.col("skip")).withColumn("clean", F.col("r_clean"))
-    cleaned = cut_lineage(clean_content(keep, "x_content", "clean", "clean_content").drop("clean"))
+    cleaned = cut_lineage(clean_content(keep, "x_content", "clean", "clean_content", base_col="url").drop("clean"))
     if assets is not None:
         loc_in = cleaned.where(F.col("r_localize_images"))
         loc = localize_images(loc_in.select(F.col("queue_id").alias("article_id"), F.col("url").alias("source_url"),

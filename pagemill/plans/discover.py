@@ -46,8 +46,8 @@ def corpus_list_pages(pages: DataFrame) -> DataFrame:
 
 
 def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """S1 + X3 + X11: (rule_id, pos, url) links of every fetched list page. ``pos`` orders
-    links by list page, then position within the page."""
+    """S1 + X3 + X11: (rule_id, pos, url) links of every fetched list page. ``pos`` is the list
+    page's position and that within the page, however many links a page has."""
     rules_c = compile_rule_selectors(rules).select("rule_id", "link", "json_source")
     # one page per normalised URL (smallest id): keys and rules first, HTML last, once, to
     # the rows that need it; only pages that are listed leave the scan if those are few
@@ -66,7 +66,7 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
         F.col("page_url"), F.when(F.coalesce(F.col("link.json_path"), F.lit("")) != "",
                                   J.page_json(F.col("html"), F.col("json_source"))), F.col("link")))
     out = both.select("rule_id", "list_pos", F.posexplode(links).alias("link_pos", "url"))
-    return out.select("rule_id", (F.col("list_pos").cast("long") * 100000 + F.col("link_pos")).alias("pos"), "url")
+    return out.select("rule_id", F.struct(F.col("list_pos").cast("long").alias("list_pos"), F.col("link_pos").cast("long").alias("link_pos")).alias("pos"), "url")
 
 
 def discover(rules: DataFrame, pages: DataFrame, queue: DataFrame, articles: DataFrame, as_of,

@@ -61,42 +61,61 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 
 def export_rules(rules: DataFrame, path: str) -> None:
-    """All rules without id and timestamps as JSON lines, one rule per line, written in
-    rule-id order (range-partitioned, so no task gathers the whole table). ``import_rules``
-    reads this form as well as a single ``{"version", "rules": [...]}`` document."""
-    body = rules.drop(*[c for c in EXPORT_DROP if c in rules.columns and c != "rule_id"])
-    body.repartitionByRange("rule_id").sortWithinPartitions("rule_id") \
-        .withColumnRenamed("rule_id", "_export_order").write.mode("overwrite").json(path)
+    """All rules without id and timestamps as JSON lines, one rule per line, in rule-id order:
+    range-partitioned, so no task gathers the whole table, and the order is that of file names and
+    lines. ``import_rules`` reads this form as well as ``{"version", "rules": [...]}`` documents."""
+    body = rules.repartitionByRange("rule_id").sortWithinPartitions("rule_id")
+    body.drop(*[c for c in {*EXPORT_DROP, "rule_id"} if c in rules.columns]).write.mode("overwrite").json(path)
+
+
+def read_rules(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """S3: (pos, r, reason) of the rules of an import, in file, line and list order from 0. ``r``
+    has the keys of ``schema``; ``reason`` says why a rule cannot be used, or is null: a line that is
+    no JSON object, a rule that is none, a value that does not fit its key's type."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_line"), F.col("value"))
+    lines = lines.where(F.trim("value") != "")
+    listed = F.from_json("value", "rules array<variant>")["rules"]
+    one = F.array(F.col("value"))
+    raw = lines.select("_file", "_at", "_line", F.posexplode(F.when(listed.isNotNull(), F.transform(listed, lambda x: F.to_json(x))).otherwise(one)).alias("_item", "_raw"))
+    marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    r = F.from_json("_raw", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = raw.withColumn("r", r)
+    reason = F.when(~F.coalesce(F.col("_raw").rlike(r"^\s*\{"), F.lit(False)), "not an object") \
+        .when(F.try_parse_json("_raw").isNull(), "not valid JSON").when(F.col("r._bad").isNotNull(), "a value does not fit its key")
+    order = ["_file", "_at", "_line", "_item"]
+    ranked = rank_in_group(parsed.withColumn("reason", reason).withColumn("_g", F.lit(0)), ["_g"], order, "pos")
+    return ranked.select((F.col("pos") - 1).alias("pos"), F.struct(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields]).alias("r"),
+                         "reason", F.col("_raw").alias("raw"))
+
+
+def refused_rules(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """S3: (pos, reason, raw) of the rules that an import leaves out."""
+    return read_rules(spark, path, schema).where(F.col("reason").isNotNull()).select("pos", "reason", "raw")
 
 
 def import_rules(spark: SparkSession, path: str, defaults: dict, schema: T.StructType, max_bytes: int | None = None,
                  max_rules: int | None = None) -> DataFrame:
-    """S3: rules from JSON lines (``export_rules``) or one ``{version, rules:[...]}``
-    document; only known keys (``schema``), missing ones from ``defaults``. Validate with V6.
+    """S3: rules from JSON lines (``export_rules``) or ``{version, rules:[...]}`` documents (one a
+    line); only known keys (``schema``), missing ones from ``defaults``. Validate with V6. Rules that
+    cannot be read are left out, and ``refused_rules`` lists them; the others are numbered in order.
     ``max_bytes`` refuses a larger import and ``max_rules`` keeps the first rules in export
     order; both are unbounded unless given (an upload form would pass MAX_IMPORT_BYTES and
     MAX_IMPORT_RULES)."""
     if max_bytes is not None and path_bytes(spark, path) > max_bytes:
         raise ValueError(f"rule import larger than {max_bytes} bytes")
-    probe = spark.read.json(path)
-    if "rules" in probe.columns:
-        doc_schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("rules", T.ArrayType(schema))])
-        rows = spark.read.schema(doc_schema).json(path).select(F.posexplode("rules").alias("pos", "r"))
-    else:
-        line_schema = T.StructType(list(schema.fields) + [T.StructField("_export_order", T.LongType())])
-        lines = spark.read.schema(line_schema).json(path)
-        rows = lines.select(F.struct(*[F.col(f.name) for f in schema.fields]).alias("r"), "_export_order")
-        rows = rank_in_group(rows.withColumn("_g", F.lit(0)), ["_g"], ["_export_order"], "pos") \
-            .withColumn("pos", F.col("pos") - 1).drop("_g")
+    rows = read_rules(spark, path, schema)
     if max_rules is not None:
         rows = rows.where(F.col("pos") < max_rules)
+    rows = rank_in_group(rows.where(F.col("reason").isNull()).withColumn("_g", F.lit(0)), ["_g"], ["pos"], "rule_id")
     cols = []
     for fld in schema.fields:
         c = F.col("r." + fld.name)
         if fld.name in defaults:
             c = F.coalesce(c, F.lit(defaults[fld.name]).cast(fld.dataType))
         cols.append(c.alias(fld.name))
-    return rows.select((F.col("pos") + 1).cast("long").alias("rule_id"), *cols)
+    return rows.select(F.col("rule_id").cast("long").alias("rule_id"), *cols)
 
 
 def manual_urls(rules: DataFrame, text_col: str = "manual_urls_text") -> DataFrame:

@@ -2,16 +2,16 @@
 
   T1 stream_discovery   new list pages (file stream) -> links -> queue (foreachBatch)
   T2 stream_collect     new queue rows trigger a collect pass -> articles/transitions/logs
-  T3                    duplicates across batches: exact anti join with the queue table, or
-                        ``dedupe_within_watermark`` for bounded state
+  T3                    duplicates across batches: a key index (Bloom filter per hash bucket, then an
+                        exact join with the buckets in question), or ``dedupe_within_watermark``
   T4 stream_queue_state per-item state with event-time timers (stuck release, retry due)
   T5 stream_daily       watermark + 1-day windows of transition counts
   T6                    ``maxFilesPerTrigger`` + a per-rule FIFO limit inside the batch
   T7                    log retention applied after every batch
 
-Every sink writes one folder per batch id and overwrites it on retry, so a replayed batch
-(after a failure or executor loss) never duplicates rows; checkpoints live under the
-session's ``spark.checkpoint.dir``.
+Every sink commits batch by batch (``sources/batches``): a reader never sees half a batch, and a
+replayed batch (after a failure or executor loss) takes the place of its first try; checkpoints
+live under the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -20,36 +20,24 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pagemill.operators import reports as R
-from pagemill.session import checkpoint_dir, cut_lineage, path_exists
+from pagemill.operators import queue as Q
+from pagemill.session import checkpoint_dir, cut_lineage
+from pagemill.sources.batches import BatchTable, retain
+from pagemill.sources.key_index import KeyIndex, key_of
+from pagemill.sources.queue_table import QueueTable
 
 TRANSITION_SCHEMA = T.StructType([
     T.StructField("queue_id", T.LongType()), T.StructField("rule_id", T.LongType()), T.StructField("seq", T.IntegerType()),
     T.StructField("status", T.StringType()), T.StructField("event_ts", T.TimestampType())])
 
 
-QUEUE_KEYS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("url", T.StringType()),
-                           T.StructField("url_hash", T.StringType())])
-
-
 def _ckpt(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", name)
 
 
-def _read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Rows of the batch folders under ``path``, of earlier batches than ``before`` if given (a
-    replayed batch must not see what its first try wrote). No folder gives no rows; the file
-    system is the one that the path names."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)     # prunes folders
-    return rows.drop("batch")
-
-
 def _run(writer, trigger_once: bool):
     q = (writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="10 minutes")).start()
     if trigger_once:
@@ -59,11 +47,25 @@ def _run(writer, trigger_once: bool):
 
 # ---------------------------------------------------------------- T1 discovery
 
+DISCOVERED = T.StructType([
+    T.StructField("rule_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("url_hash", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()),
+    T.StructField("discovered_at", T.TimestampNTZType()), T.StructField("scheduled_at", T.TimestampNTZType()),
+    T.StructField("offset", T.LongType()),
+    T.StructField("pos", T.StructType([T.StructField("list_pos", T.LongType()), T.StructField("link_pos", T.LongType())]))])
+
+
+def discovered_items(spark: SparkSession, queue_path: str) -> DataFrame:
+    """The committed rows of the discovery stream, with their batch."""
+    return BatchTable(spark, queue_path, DISCOVERED).read()
+
+
 def stream_discovery(spark: SparkSession, pages_src: str, queue_path: str, rules: DataFrame, articles: DataFrame,
                      as_of: str, name: str = "discovery", max_files: int = 1, trigger_once: bool = True,
                      pages_schema: T.StructType | None = None):
     """T1+T3+T6: each micro-batch of new page files is discovered as list pages; new
-    (rule, url) items are appended to the queue table unless already present there."""
+    (rule, url) items are appended to the queue table unless already present there. What is
+    present is asked of a key index: a batch reads only the buckets that its links repeat."""
     from pagemill.plans.discover import corpus_list_pages, discover
 
     schema = pages_schema or T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -71,11 +73,18 @@ def stream_discovery(spark: SparkSession, pages_src: str, queue_path: str, rules
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pages_src)
 
     def batch(df: DataFrame, batch_id: int):
-        # queue rows carry url_hash: the anti join reads narrow columns, no re-hashing
-        existing = _read_batches(spark, queue_path, QUEUE_KEYS, batch_id)
-        res = discover(rules, df, existing, articles, as_of, listed=corpus_list_pages(df))
-        res.new_items.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(os.path.join(queue_path, f"batch={batch_id}"))
+        index = KeyIndex(spark, os.path.join(queue_path, "_keys"))
+        key = key_of(F.col("rule_id"), F.col("url_hash"))
+
+        def queued(links: DataFrame) -> DataFrame:
+            asked = links.withColumn("key", key)
+            return asked.join(index.known(asked, batch_id), "key", "left_semi").drop("key")
+
+        res = discover(rules, df, queued, articles, as_of, listed=corpus_list_pages(df))
+        table = BatchTable(spark, queue_path, DISCOVERED)
+        folder = table.stage(batch_id, res.new_items)
+        index.add(batch_id, spark.read.parquet(f"{queue_path}/{folder}").select(key.alias("key")))
+        table.commit(batch_id, folder)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, name))
     return _run(w, trigger_once)
@@ -89,36 +98,58 @@ def dedupe_within_watermark(stream: DataFrame, delay: str = "1 day") -> DataFram
 # ---------------------------------------------------------------- T2 collect
 
 TRANSITIONS = T.StructType([
-    T.StructField("queue_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()),
-    T.StructField("last_error", T.StringType()), T.StructField("scheduled_at", T.TimestampNTZType()),
-    T.StructField("finished_at", T.TimestampNTZType()), T.StructField("article_id", T.LongType()),
-    T.StructField("pass_no", T.LongType())])
-PUBLISHED = T.StructType([T.StructField("source_url", T.StringType()), T.StructField("title", T.StringType()),
-                          T.StructField("status", T.StringType())])
+    T.StructField("queue_id", T.LongType()), T.StructField("rule_id", T.LongType()), T.StructField("status", T.StringType()),
+    T.StructField("attempts", T.IntegerType()), T.StructField("last_error", T.StringType()),
+    T.StructField("scheduled_at", T.TimestampNTZType()), T.StructField("finished_at", T.TimestampNTZType()),
+    T.StructField("article_id", T.LongType()), T.StructField("pass_no", T.LongType())])
+STAMPS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("last_collected_at", T.TimestampNTZType())])
+PASSES = 1_000_000      # numbers set aside for the passes of one micro-batch
+COMPACT_EVERY = 8       # passes of one micro-batch after which changes are folded
+
+
+class CollectTables:
+    """What the collect stream writes under one path; every part commits by pass number."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        from pagemill.schema import ARTICLES, LOGS
 
-def _current(seeds: DataFrame, done: DataFrame) -> DataFrame:
-    """Queue rows with their latest transition applied."""
-    last = done.groupBy("queue_id").agg(F.max_by(F.struct(*[c for c in done.columns if c != "queue_id"]), "pass_no").alias("_l"))
-    hit = F.col("_l").isNotNull()
-    new = {"status": "status", "attempts": "attempts", "last_error": "last_error", "scheduled_at": "scheduled_at",
-           "finished_at": "finished_at", "article_id": "article_id"}
-    return seeds.join(last, "queue_id", "left").select(
-        *[F.when(hit, F.col("_l." + new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in seeds.columns])
+        articles = T.StructType([*ARTICLES.fields, T.StructField("queue_id", T.LongType()), T.StructField("rule_id", T.LongType())])
+        part = lambda name, schema: BatchTable(spark, os.path.join(path, name), schema)
+        self.queue = QueueTable(spark, os.path.join(path, "queue"))
+        self.transitions, self.articles = part("transitions", TRANSITIONS), part("articles", articles)
+        self.logs, self.stamps = part("logs", LOGS), part("stamps", STAMPS)
+        self.sources, self.titles = KeyIndex(spark, os.path.join(path, "_sources")), KeyIndex(spark, os.path.join(path, "_titles"))
+
+    def forget(self, first: int, end: int) -> None:
+        """Take out what an earlier try of the passes ``first`` up to before ``end`` committed."""
+        for t in (self.queue.changes, self.queue.snapshots, self.queue.archive, self.transitions, self.articles, self.logs, self.stamps,
+                  self.sources.keys, self.sources.filters, self.titles.keys, self.titles.filters):
+            for n in t.commits():
+                if first <= n < end:
+                    t.drop(n)
+
+    def stamped(self, rules: DataFrame) -> DataFrame:
+        """Q6: rules with the time of their latest success."""
+        last = self.stamps.read().groupBy("rule_id").agg(F.max("last_collected_at").alias("_at"))
+        if "last_collected_at" not in rules.columns:
+            rules = rules.withColumn("last_collected_at", F.lit(None).cast("timestamp_ntz"))
+        return rules.join(last, "rule_id", "left").withColumn("last_collected_at", F.greatest("last_collected_at", "_at")).drop("_at")
 
 
 def stream_collect(spark: SparkSession, queue_src: str, out_path: str, rules: DataFrame, pages: DataFrame,
                    articles: DataFrame, as_of: str, name: str = "collect", per_rule_batch: bool = True,
                    log_retention: int = 2000, trigger_once: bool = True, queue_schema: T.StructType | None = None,
-                   max_files: int = 16):
+                   max_files: int = 16, assets: DataFrame | None = None, responses: DataFrame | None = None):
     """T2+T6+T7: each micro-batch adds its queue rows to the queue table and runs collect
     passes until no item is due: a pass takes each rule's FIFO batch (``per_rule_batch``), the
-    others stay pending for the next pass. A pass reads the queue with all earlier transitions
-    applied, so retried items come back once their time has come, and tests duplicates
-    against the given articles and those of all earlier passes. Articles, transitions and
-    logs are written per batch and pass; logs are then trimmed to the newest rows."""
-    from pagemill.plans.collect import collect
+    others stay pending for the next pass. A pass reads the open items, so retried ones come back
+    once their time has come, and asks key indexes whether earlier passes published a source or
+    title; neither grows with what is finished. Articles, transitions, logs and the rules' stamps
+    are committed pass by pass, the queue's change last: a pass that is cut off leaves nothing
+    that a reader or its replay would see. Logs are then trimmed to the newest rows."""
+    from pagemill.plans.collect import Seen, collect
     from pagemill.schema import LOGS, QUEUE, conform
+    from pagemill.sources.sinks import normalize_log_rows
 
     stream = spark.readStream.schema(queue_schema or QUEUE).option("maxFilesPerTrigger", max_files).parquet(queue_src)
     if "title" not in articles.columns:
@@ -127,38 +158,43 @@ def stream_collect(spark: SparkSession, queue_src: str, out_path: str, rules: Da
         articles = articles.withColumn("status", F.lit("publish"))
     given = articles.select("source_url", "title", "status")
 
-    def folder(part: str, number: int) -> str:
-        return os.path.join(out_path, part, f"batch={number}")
-
     def batch(df: DataFrame, batch_id: int):
-        conform(df, QUEUE).write.mode("overwrite").parquet(folder("queue", batch_id))
-        seeds = _read_batches(spark, os.path.join(out_path, "queue"), QUEUE, batch_id + 1)
-        # passes are numbered through all batches: batch b has b * PASSES and so on
-        number = batch_id * PASSES
+        out = CollectTables(spark, out_path)
+        first = batch_id * PASSES
+        out.forget(first, first + PASSES)
+        out.queue.append(first, conform(df, QUEUE))
+        number = first + 1
         while True:
-            done = _read_batches(spark, os.path.join(out_path, "transitions"), TRANSITIONS, number)
-            state = _current(seeds, done)
-            before = _read_batches(spark, os.path.join(out_path, "articles"), PUBLISHED, number)
-            res = collect(state, rules, pages, given.unionByName(before), as_of, per_rule_batch=per_rule_batch)
+            state = cut_lineage(out.queue.open_items(number))
+            if Q.due_items(Q.release_stuck(state, as_of), rules.select("rule_id", "enabled"), as_of).isEmpty():
+                break
+            seen = Seen(out.sources, out.titles, number)
+            res = collect(state, rules, pages, given, as_of, assets=assets, per_rule_batch=per_rule_batch,
+                          responses=responses, seen=seen)
             rows = cut_lineage(res.transitions)
             if rows.isEmpty():
                 break
-            rows.withColumn("pass_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(folder("transitions", number))
-            res.articles.write.mode("overwrite").parquet(folder("articles", number))
-            conform(res.logs, LOGS).write.mode("overwrite").parquet(folder("logs", number))
+            folder = out.articles.stage(number, res.articles)
+            written = spark.read.schema(out.articles.schema).parquet(f"{out.articles.path}/{folder}")
+            seen.add(written)
+            out.transitions.write(number, rows.withColumn("pass_no", F.lit(number).cast("long")))
+            # one log row for each transition
+            out.logs.write(number, conform(normalize_log_rows(res.logs), LOGS), {"rows": rows.count()})
+            out.stamps.write(number, res.last_collected)
+            out.articles.commit(number, folder)
+            out.queue.append(number, rows)
             number += 1
-            if number == (batch_id + 1) * PASSES:
+            if number % COMPACT_EVERY == 0:
+                out.queue.compact(number)
+            if number == first + PASSES:
                 raise RuntimeError("a batch needs more passes than its numbers allow")
-        logs = _read_batches(spark, os.path.join(out_path, "logs"), LOGS, (batch_id + 1) * PASSES)
-        R.retain_logs(logs, log_retention).write.mode("overwrite").parquet(os.path.join(out_path, "logs_retained"))
+        out.queue.compact(number)
+        retain(out.logs, log_retention)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, name))
     return _run(w, trigger_once)
 
 
-PASSES = 1_000_000      # numbers set aside for the passes of one micro-batch
-
-
 # ---------------------------------------------------------------- T4 per-item state
 
 STATE_OUT = T.StructType([
@@ -167,60 +203,107 @@ STATE_OUT = T.StructType([
     T.StructField("timer", T.StringType())])
 STATE_SCHEMA = T.StructType([
     T.StructField("rule_id", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("status", T.StringType()),
-    T.StructField("event_ts", T.TimestampType())])
-
-
-DONE = ("success", "skipped")
-
-
-def _state_fn(stuck_minutes: int | None, retry_after_seconds: int | None):
-    timers = bool(stuck_minutes or retry_after_seconds)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        qid = key[0]
-        if state.hasTimedOut:
-            rule_id, seq, status, ts = state.get
-            state.remove()
-            if status == "running":
-                yield pd.DataFrame([{"queue_id": qid, "rule_id": rule_id, "seq": seq + 1, "status": "pending",
-                                     "event_ts": ts + pd.Timedelta(minutes=max(5, stuck_minutes or 0)),
-                                     "timer": "stuck_release"}])
-            elif status == "pending":
-                yield pd.DataFrame([{"queue_id": qid, "rule_id": rule_id, "seq": seq, "status": "pending",
-                                     "event_ts": ts, "timer": "retry_due"}])
+    T.StructField("event_ts", T.TimestampType()), T.StructField("attempts", T.IntegerType())])
+DONE = ("success", "skipped", "failed")
+
+
+def _ms(ts: pd.Timestamp) -> int:
+    return int(ts.timestamp() * 1000)
+
+
+class ItemState(StatefulProcessor):
+    """The latest transition of each item, with event-time timers.
+
+    An event takes effect if it is newer, by (event time, sequence), than the state; older ones
+    are late and change nothing. ``running`` sets a timer at start + max(5, ``stuck_minutes``): when
+    the watermark passes it without another event the item is released (Q4). ``failed_try`` events
+    count attempts and, with ``retry_limit``, become ``pending`` again after Q5's back-off or
+    ``failed``. A pending item with ``retry_after_seconds`` or a back-off reports 'retry_due' at its
+    time. A finished item keeps its state for ``keep_minutes`` of event time, so that late events
+    find it finished, and is then forgotten; an item that is heard of after that counts as new."""
+
+    def __init__(self, stuck_minutes: int | None = None, retry_after_seconds: int | None = None,
+                 retry_limit: int | None = None, keep_minutes: int | None = None):
+        self.stuck, self.retry_after, self.retry_limit, self.keep = stuck_minutes, retry_after_seconds, retry_limit, keep_minutes
+        self.timers = any(x is not None for x in (stuck_minutes, retry_after_seconds, retry_limit, keep_minutes))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("latest", STATE_SCHEMA)
+
+    def _set(self, best: tuple, due: int | None) -> None:
+        self.state.update(best)
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def _due(self, status: str, ts: pd.Timestamp, attempts: int, backing_off: bool) -> int | None:
+        if status == "running" and self.stuck:
+            return _ms(ts + pd.Timedelta(minutes=max(5, self.stuck)))
+        if status == "pending" and backing_off:
+            return _ms(ts + pd.Timedelta(seconds=min(3600, max(60, 300 * attempts))))
+        if status == "pending" and self.retry_after:
+            return _ms(ts + pd.Timedelta(seconds=self.retry_after))
+        if status in DONE and self.keep is not None:
+            return _ms(ts + pd.Timedelta(minutes=self.keep))
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ev = pd.concat(list(rows), ignore_index=True).sort_values(["event_ts", "seq"], kind="stable")
+        old = self.state.get() if self.state.exists() else None
+        attempts = int(old[4] or 0) if old is not None else 0
+        best = (pd.Timestamp(old[3]), int(old[1]), old[2], int(old[0])) if old is not None else None
+        backing_off = False
+        for r in ev.itertuples(index=False):
+            if best is not None and (r.event_ts, r.seq) < best[:2]:
+                continue
+            status, backing_off = r.status, False
+            if status == "failed_try" or status == "failed" and self.retry_limit is not None:
+                attempts += 1
+                backing_off = attempts < (self.retry_limit or 0)
+                status = "pending" if backing_off else "failed"
+            elif status in ("success", "skipped"):
+                attempts = 0
+            best = (r.event_ts, int(r.seq), status, int(r.rule_id))
+        ts, seq, status, rule_id = best
+        if status in DONE and not self.timers:
+            self.state.clear()      # nothing will ask for it
+        elif old is None or (ts, seq) != (pd.Timestamp(old[3]), int(old[1])):
+            self._set((rule_id, seq, status, ts.to_pydatetime(), attempts), self._due(status, ts, attempts, backing_off))
+        yield pd.DataFrame([{"queue_id": key[0], "rule_id": rule_id, "seq": seq, "status": status, "event_ts": ts, "timer": None}])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
             return
-        # latest event of this batch (vectorised), compared with the stored state
-        ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_ts", "seq"], kind="stable")
-        last = ev.iloc[-1]
-        best = (int(last["rule_id"]), int(last["seq"]), last["status"], last["event_ts"])
-        if state.exists:
-            old = state.get
-            if (pd.Timestamp(old[3]), old[1]) > (pd.Timestamp(best[3]), best[1]):
-                best = old
-        state.update(best)
-        ts = pd.Timestamp(best[3])
-        if best[2] == "running" and stuck_minutes:
-            state.setTimeoutTimestamp(int((ts + pd.Timedelta(minutes=max(5, stuck_minutes))).timestamp() * 1000))
-        elif best[2] == "pending" and retry_after_seconds:
-            state.setTimeoutTimestamp(int((ts + pd.Timedelta(seconds=retry_after_seconds)).timestamp() * 1000))
-        elif best[2] in DONE and not timers:
-            # a finished item keeps no state; with timers its state holds off older events
-            state.remove()
-        yield pd.DataFrame([{"queue_id": qid, "rule_id": best[0], "seq": best[1], "status": best[2],
-                             "event_ts": best[3], "timer": None}])
-    return fn
+        rule_id, seq, status, ts, attempts = self.state.get()
+        ts, at = pd.Timestamp(ts), pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        if status == "running":
+            self._set((rule_id, seq + 1, "pending", at.to_pydatetime(), attempts), self._due("pending", at, attempts, False))
+            yield pd.DataFrame([{"queue_id": key[0], "rule_id": rule_id, "seq": seq + 1, "status": "pending", "event_ts": at, "timer": "stuck_release"}])
+        elif status == "pending":
+            yield pd.DataFrame([{"queue_id": key[0], "rule_id": rule_id, "seq": seq, "status": "pending", "event_ts": ts, "timer": "retry_due"}])
+        else:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def queue_state_stream(events: DataFrame, stuck_minutes: int | None = None, retry_after_seconds: int | None = None,
-                       watermark: str = "1 hour") -> DataFrame:
-    """T4: latest state per item as a stateful stream; without timers, finished items are
-    forgotten (readers take the latest emitted row per item). With ``stuck_minutes`` a running
-    item whose watermark passes start + max(5, minutes) emits a release to pending; with
-    ``retry_after_seconds`` a pending item emits 'retry_due' when its back-off elapses."""
-    timeout = "EventTimeTimeout" if (stuck_minutes or retry_after_seconds) else "NoTimeout"
-    return (events.withWatermark("event_ts", watermark).groupBy("queue_id")
-            .applyInPandasWithState(_state_fn(stuck_minutes, retry_after_seconds), STATE_OUT, STATE_SCHEMA,
-                                    "update", timeout))
+                       watermark: str = "1 hour", retry_limit: int | None = None, keep_minutes: int | None = None) -> DataFrame:
+    """T4: latest state per item as a stateful stream over typed RocksDB state (see
+    :class:`ItemState`); readers take the latest emitted row per item. With timers, finished items
+    stay for ``keep_minutes`` (the watermark's hour unless given); without, they are forgotten at once."""
+    spark = events.sparkSession
+    # this operator keeps its state in RocksDB; the setting holds for streams started from now on
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if keep_minutes is None and any(x is not None for x in (stuck_minutes, retry_after_seconds, retry_limit)):
+        keep_minutes = 60
+    item = ItemState(stuck_minutes, retry_after_seconds, retry_limit, keep_minutes)
+    return events.withWatermark("event_ts", watermark).groupBy("queue_id").transformWithStateInPandas(
+        item, STATE_OUT, "Update", "EventTime" if item.timers else "None")
 
 
 def transitions_stream(spark: SparkSession, events_path: str, as_of: str, max_files: int = 1) -> DataFrame:

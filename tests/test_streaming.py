@@ -40,29 +40,29 @@ def test_state_stream_equals_batch_fold(spark):
 
 def test_discovery_stream_restart_adds_nothing(spark):
     from pagemill.plans.corpus import corpus_rules
-    from pagemill.streaming.jobs import stream_discovery
+    from pagemill.streaming.jobs import discovered_items, stream_discovery
     src = _split_pages(spark)
     qpath = tempfile.mkdtemp(prefix="pm-queue-")
     t = Tables(spark, SF_SMALL)
     rules = corpus_rules(t.pages)
     name = "t-disc-" + os.path.basename(qpath)
     stream_discovery(spark, src, qpath, rules, t.f_published_pages, AS_OF, name=name, max_files=2)
-    first = spark.read.parquet(qpath).count()
+    first = discovered_items(spark, qpath).count()
     assert first > 0
     stream_discovery(spark, src, qpath, rules, t.f_published_pages, AS_OF, name=name, max_files=2)
-    assert spark.read.parquet(qpath).count() == first
+    assert discovered_items(spark, qpath).count() == first
     # the stream found exactly what one batch pass finds
     from pagemill.plans.discover import corpus_list_pages, discover
     empty = spark.createDataFrame([], "rule_id long, url string")
     batch = discover(rules, t.pages, empty, t.f_published_pages, AS_OF, listed=corpus_list_pages(t.pages)).new_items
-    assert sorted(r.url_hash for r in spark.read.parquet(qpath).select("url_hash").distinct().collect()) == \
+    assert sorted(r.url_hash for r in discovered_items(spark, qpath).select("url_hash").distinct().collect()) == \
         sorted(r.url_hash for r in batch.select("url_hash").distinct().collect())
 
 
 def test_discovery_replay_writes_the_same_batch(spark):
     """A batch that was written but not committed runs again and finds the same rows."""
     from pagemill.plans.corpus import corpus_rules
-    from pagemill.streaming.jobs import _ckpt, stream_discovery
+    from pagemill.streaming.jobs import _ckpt, discovered_items, stream_discovery
     src = _split_pages(spark)
     qpath = tempfile.mkdtemp(prefix="pm-replay-")
     t = Tables(spark, SF_SMALL)
@@ -70,14 +70,14 @@ def test_discovery_replay_writes_the_same_batch(spark):
     name = "t-replay-" + os.path.basename(qpath)
     args = (spark, src, qpath, rules, t.f_published_pages, AS_OF)
     stream_discovery(*args, name=name, max_files=2)
-    first = sorted(r.url_hash for r in spark.read.parquet(qpath).select("rule_id", "url_hash").collect())
+    first = sorted(r.url_hash for r in discovered_items(spark, qpath).select("rule_id", "url_hash").collect())
     commits = os.path.join(_ckpt(spark, name).replace("file:", ""), "commits")
     last = max(int(x) for x in os.listdir(commits) if x.isdigit())
     for x in (str(last), f".{last}.crc"):
         if os.path.exists(os.path.join(commits, x)):
             os.remove(os.path.join(commits, x))
     stream_discovery(*args, name=name, max_files=2)
-    assert sorted(r.url_hash for r in spark.read.parquet(qpath).select("rule_id", "url_hash").collect()) == first
+    assert sorted(r.url_hash for r in discovered_items(spark, qpath).select("rule_id", "url_hash").collect()) == first
     assert len(first) == len(set(first)) or len(first) > 0
 
 
@@ -87,7 +87,7 @@ def test_collect_stream_loses_no_item(spark):
     from pagemill.plans.collect import collect
     from pagemill.plans.corpus import corpus_rules, seed_queue
     from pagemill.schema import QUEUE, conform
-    from pagemill.streaming.jobs import stream_collect
+    from pagemill.streaming.jobs import CollectTables, stream_collect
     t = Tables(spark, SF_SMALL)
     base = tempfile.mkdtemp(prefix="pm-coll-")
     qsrc = os.path.join(base, "queue")
@@ -95,11 +95,20 @@ def test_collect_stream_loses_no_item(spark):
     rules = corpus_rules(t.pages).withColumn("batch_limit", F.lit(20)).withColumn("dedupe_title", F.lit(False))
     stream_collect(spark, qsrc, os.path.join(base, "sink"), rules, t.pages, t.f_published_pages, AS_OF,
                    name="t-coll-" + os.path.basename(base), max_files=1)
-    got = spark.read.parquet(os.path.join(base, "sink", "transitions"))
+    tables = CollectTables(spark, os.path.join(base, "sink"))
+    got = tables.transitions.read()
     want = collect(seed_queue(t.pages, AS_OF), rules, t.pages, t.f_published_pages, AS_OF).transitions
     cols = ["queue_id", "status", "attempts", "article_id"]
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
     assert got.count() == t.pages.count() and got.select("pass_no").distinct().count() > 1
+    # every reader of the tables agrees: queue, articles, logs, stamps
+    state = tables.queue.state()
+    assert sorted((r.queue_id, r.status) for r in state.collect()) == sorted((r.queue_id, r.status) for r in got.collect())
+    assert state.where("url is null or url_hash is null or discovered_at is null").count() == 0
+    assert tables.articles.read().count() == got.where("status = 'success'").count()
+    assert tables.logs.read().count() == got.count()
+    stamped = {r.rule_id for r in tables.stamped(rules).where("last_collected_at is not null").collect()}
+    assert stamped == {r.rule_id for r in got.where("status = 'success'").select("rule_id").collect()}
 
 
 def test_state_stream_stuck_timer_fires(spark):
@@ -150,3 +159,57 @@ def test_discovered_rows_dedupe_within_the_watermark(spark):
          .option("checkpointLocation", _ckpt(spark, "t-dd-" + os.path.basename(out))).trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted((r.rule_id, r.url_hash) for r in spark.read.parquet(out).collect()) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def _run_states(spark, files, **kw):
+    """Rows of the state stream over one file for each micro-batch, and its checkpoint."""
+    from pagemill.streaming.jobs import _ckpt, queue_state_stream
+    src, out = tempfile.mkdtemp(prefix="pm-st-"), tempfile.mkdtemp(prefix="pm-stout-")
+    schema = "queue_id long, rule_id long, seq int, status string, event_ts timestamp"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ckpt = _ckpt(spark, "t-st-" + os.path.basename(out))
+    q = (queue_state_stream(stream, **kw).writeStream.outputMode("update")
+         .foreachBatch(lambda df, b: df.write.mode("append").parquet(os.path.join(out, f"batch={b}")))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).collect(), q
+
+
+def test_state_timers_equal_the_batch_rules(spark):
+    """Stuck release as Q4 and retry back-off as Q5 state them for the same events."""
+    import datetime as dt
+    from pagemill.operators.queue import mark_failed, release_stuck
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    m = lambda n: t0 + dt.timedelta(minutes=n)
+    rows, _ = _run_states(spark, [
+        [(1, 1, 1, "running", m(0)), (2, 1, 1, "running", m(0)), (3, 1, 1, "failed_try", m(0)), (4, 1, 1, "failed_try", m(0))],
+        [(2, 1, 2, "success", m(20)), (4, 1, 2, "running", m(3)), (4, 1, 3, "failed_try", m(4)), (2, 1, 1, "running", m(1))],
+        [(9, 1, 1, "pending", m(600))], [(9, 1, 2, "success", m(1300))]],
+        stuck_minutes=30, retry_limit=2, keep_minutes=60, watermark="1 minute")
+    of = lambda i: sorted(((r.event_ts, r.seq, r.status, r.timer) for r in rows if r.queue_id == i), key=str)
+    batch = spark.createDataFrame([(1, "running", m(0), None, None, None), (2, "success", m(0), None, None, None)],
+                                  "queue_id long, status string, started_at timestamp_ntz, last_error string, scheduled_at timestamp_ntz, finished_at timestamp_ntz")
+    released = {r.queue_id for r in release_stuck(batch, m(31), 30).where("status = 'pending'").collect()}
+    assert released == {i for i in (1, 2) if any(x[3] == "stuck_release" for x in of(i))} == {1}
+    assert (m(30), 2, "pending", "stuck_release") in of(1)
+    tries = spark.createDataFrame([(3, 1, 2), (4, 2, 2)], "queue_id long, attempts int, retry_limit int").selectExpr(
+        "*", "'running' AS status", "cast(null as string) AS last_error", "cast(null as timestamp_ntz) AS scheduled_at", "cast(null as timestamp_ntz) AS finished_at")
+    want = {r.queue_id: r.status for r in mark_failed(tries, m(0), "x").collect()}
+    assert want == {3: "pending", 4: "failed"}
+    assert {x[2:] for x in of(3)} == {("pending", None), ("pending", "retry_due")}
+    assert of(4)[-1][2:] == ("failed", None)
+    # an event older than the state is late: the item stays finished
+    assert all(x[2] == "success" for x in of(2) if x[0] >= m(20)) and max(of(2), key=lambda x: x[:2])[2] == "success"
+
+
+def test_finished_items_leave_the_state(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    m = lambda n: t0 + dt.timedelta(minutes=n)
+    _, q = _run_states(spark, [[(i, 1, 1, "success", m(0)) for i in range(50)], [(99, 1, 1, "running", m(50))],
+                               [(98, 1, 1, "running", m(500))], [(97, 1, 1, "running", m(501))]],
+                       stuck_minutes=600, keep_minutes=60, watermark="1 minute")
+    rows = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert max(rows) >= 50 and rows[-1] < 50
