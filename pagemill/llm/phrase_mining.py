@@ -67,12 +67,13 @@ def scan(batches):
 
 
 def _joined(columns) -> np.ndarray:
-    """Hash of the words of each row."""
+    """Hash of the words of each row, 40 bits wide, which shuffles narrower. It only steers: two
+    prefixes with one hash may pass a filter or be extended together; nodes are told apart by words."""
     acc = np.zeros(len(columns[0]), U64)
     with np.errstate(over="ignore"):
         for m, c in zip(multipliers(DEPTH, 77), columns):
             acc += c * m
-    return mix(acc)
+    return mix(acc) >> U64(24)
 
 
 def _added(h, n):
@@ -288,7 +289,7 @@ def _subtrees(sent: DataFrame, heavy: list, min_count: int, depth: int) -> DataF
 
 
 def _names(docs: DataFrame, words) -> DataFrame:
-    """(h, lang, word) of the frequent words, and of each language's mark with an empty word."""
+    """(h, lang, word) of the words in the filter, and of each language's mark with an empty word."""
     @tidy
     def run(batches):
         seen: set[int] = set()
@@ -309,7 +310,8 @@ def _names(docs: DataFrame, words) -> DataFrame:
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(words as hashes, n) of all phrases of 1 to ``depth`` words that occur ``min_count`` times
-    within pieces, and (h, lang, word) of their words; a language's mark counts its words."""
+    within pieces, and (h, lang, word) of the words of those of two and more; a language's mark
+    counts its words."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     one = _frequent(_word_counts(docs), min_count)
@@ -331,7 +333,9 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, gro
     bins = max(2 * parts, 2 * total // budget, 1)
     nodes = _subtrees(_sent(docs, words, pairs, heavy, bins, depth), heavy, min_count, depth)
     counted = cut_lineage(nodes.unionByName(one.select(F.array("h").alias("words"), "n")))
-    return counted, cut_lineage(_names(docs, words))
+    # only words of a phrase need their strings
+    used = counted.filter(F.size("words") >= 2).select(F.explode("words").alias("h")).distinct()
+    return counted, cut_lineage(_names(docs, sc.broadcast(bloom(used))))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, top: int | None = TOP,
