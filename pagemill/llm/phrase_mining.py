@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagemill.llm.common import cut_lineage, groups, n_partitions, pack, table, tidy
@@ -112,14 +113,29 @@ def _bits(h):
     return np.concatenate([h, mix(h ^ U64(0x5DEECE66D))]) % U64(FILTER_BITS)
 
 
-def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+class Filter:
+    """A filter's packed bits, compressed on their way to the workers: most are zero while it is
+    far from full, and each machine keeps a copy of what is sent on disk."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __reduce__(self):
+        return _unpacked, (zstandard.ZstdCompressor(level=1).compress(self.bits.tobytes()),)
+
+
+def _unpacked(packed: bytes) -> Filter:
+    return Filter(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8))
+
+
+def holds(known: Filter, h: np.ndarray) -> np.ndarray:
     """Which hashes a filter lets through."""
     b = _bits(h)
-    return ((bitmap[(b >> U64(3)).astype(np.int64)] >> (b & U64(7)).astype(np.uint8)) & 1).reshape(2, -1).all(axis=0)
+    return ((known.bits[(b >> U64(3)).astype(np.int64)] >> (b & U64(7)).astype(np.uint8)) & 1).reshape(2, -1).all(axis=0)
 
 
-def bloom(hashes: DataFrame) -> np.ndarray:
-    """Filter of the column ``h``: FILTER_BITS bits, packed; segments are merged in Spark."""
+def bloom(hashes: DataFrame) -> Filter:
+    """Filter of the column ``h``: FILTER_BITS bits; segments are merged in Spark."""
     @tidy
     def send(batches):
         for b in batches:
@@ -140,7 +156,7 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     out, size = np.zeros(FILTER_BITS // 8, np.uint8), SEGMENT_BITS // 8
     for row in merged.toLocalIterator():
         out[row.segment * size:(row.segment + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return out
+    return Filter(out)
 
 
 def _frequent(counts: DataFrame, min_count: int) -> DataFrame:
