@@ -243,8 +243,10 @@ def _sent(docs: DataFrame, words, pairs, heavy: list, bins: int, depth: int) ->
     """Suffix rows (bin, w1 to w``depth``, n), equal ones of a task added up."""
     names = ["bin", *(f"w{d + 1}" for d in range(depth)), "n"]
 
-    def send(parts):
-        s, n = _distinct([np.concatenate(c) for c in zip(*parts)], np.ones(sum(len(p[0]) for p in parts), np.int64))
+    def added(parts):
+        return _distinct([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts]))
+
+    def send(s, n):
         prefix = _joined(s[:2])
         for d, known in enumerate(heavy):       # heavy prefixes of d + 2 words are extended by a word
             more = np.isin(prefix, known.value) & (s[d + 2] != 0) if d + 2 < depth else np.zeros(len(n), bool)
@@ -259,13 +261,17 @@ def _sent(docs: DataFrame, words, pairs, heavy: list, bins: int, depth: int) ->
         parts, held = [], 0
         for _, _, _, h, _, piece, _, _ in scan(batches):
             s = _suffixes(h, piece, words.value, pairs.value, depth)
-            parts.append(s)
+            parts.append((s, np.ones(len(s[0]), np.int64)))
             held += len(s[0])
             if held >= HELD:
-                yield from send(parts)
-                parts, held = [], 0
+                s, n = added(parts)
+                if 4 * len(n) <= 3 * held:          # equal ones were many: go on adding up
+                    parts, held = [(s, n)], len(n)
+                else:
+                    yield from send(s, n)
+                    parts, held = [], 0
         if held:
-            yield from send(parts)
+            yield from send(*added(parts))
 
     return docs.mapInArrow(run, "bin int, " + ", ".join(f"w{d + 1} long" for d in range(depth)) + ", n long")
 
