@@ -229,9 +229,15 @@ def list_queue(queue: DataFrame, rules: DataFrame, page: int = 1, per_page: int
     return attach_one_row(rows, total)
 
 
-def list_logs(logs: DataFrame, rules: DataFrame, page: int = 1, per_page: int = 80, level: str | None = None,
-              rule_id: int | None = None, text: str | None = None, queue_id: int | None = None) -> DataFrame:
-    """One page of filtered logs (level, rule, substring of message or URL, item)."""
+def list_queue_after(listing, rules: DataFrame, after: int | None = None, per_page: int = 50, **filters) -> DataFrame:
+    """O6 by key: the next page of a queue listing (``sources.listing.Listing``) below the id
+    ``after``, newest first, with rule names. Deep pages cost what the first one does."""
+    rows = listing.page(after, per_page, queue_filter(**filters))
+    return rows.join(small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id", "left")
+
+
+def log_filter(level: str | None = None, rule_id: int | None = None, text: str | None = None, queue_id: int | None = None) -> Column:
+    """O7 predicate: level, rule, substring of message or URL, item."""
     c = F.lit(True)
     if level:
         c = c & (F.col("level") == level)
@@ -242,7 +248,19 @@ def list_logs(logs: DataFrame, rules: DataFrame, page: int = 1, per_page: int =
         c = c & (F.lower(F.col("message")).contains(t) | F.lower(F.col("url")).contains(t))
     if queue_id:
         c = c & (F.col("queue_id") == queue_id)
-    lg = logs.where(c)
+    return c
+
+
+def list_logs_after(listing, rules: DataFrame, after: int | None = None, per_page: int = 80, **filters) -> DataFrame:
+    """O7 by key: the next page of a log listing below the id ``after``, newest first."""
+    rows = listing.page(after, per_page, log_filter(**filters))
+    return rows.join(small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id", "left")
+
+
+def list_logs(logs: DataFrame, rules: DataFrame, page: int = 1, per_page: int = 80, level: str | None = None,
+              rule_id: int | None = None, text: str | None = None, queue_id: int | None = None) -> DataFrame:
+    """One page of filtered logs (level, rule, substring of message or URL, item)."""
+    lg = logs.where(log_filter(level, rule_id, text, queue_id))
     total = lg.agg(F.count(F.lit(1)).alias("total"))
     rows = lg.orderBy(F.col("log_id").desc()).offset((max(1, page) - 1) * per_page).limit(per_page)
     rows = rows.join(small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id", "left")

@@ -202,6 +202,44 @@ def compile_selector(selector: str | None) -> Sel:
     return compile_css(s)
 
 
+def refusal(selector: str | None) -> str | None:
+    """Why a selector matches nothing by its form, or null for a usable or empty one."""
+    s = (selector or "").strip()
+    if not s or compile_selector(s).supported:
+        return None
+    if s[0] not in "/(":
+        bad = [p for p in s.replace(">", " > ").split() if p != ">" and _compound(p) is None]
+        return f"not a tag, #id or .class: {bad[0]}" if bad else "no element named"
+    m = re.match(r"^\((.*)\)\s*\[\s*([0-9]+)\s*\]$", s)
+    if s[0] == "(" and not m:
+        return "brackets without a position"
+    steps = _split_xpath_steps(m.group(1).strip() if m else s)
+    if not steps:
+        return "not a path of / and // steps"
+    bad = [step for axis, step in steps if not compile_xpath(axis + step).supported]
+    return f"step not supported: {bad[0]}" if bad else "attribute test before the last step"
+
+
+@F.pandas_udf(T.StringType())
+def refusal_udf(s: pd.Series) -> pd.Series:
+    """:func:`refusal` of a column of selector strings (run on the distinct ones of the rules)."""
+    return s.map(refusal)
+
+
+def refused_selectors(rules, slots: dict[str, Column]):
+    """(rule_id, slot, selector, reason) of the selectors of a rule table that the engine
+    refuses, so that they match nothing. ``slots`` names selector columns; an array column holds
+    several selectors."""
+    from pagemill.operators.joins import small
+
+    types = dict(rules.select(*[c.alias(k) for k, c in slots.items()]).dtypes)
+    each = [c if types[k].startswith("array") else F.array(c) for k, c in slots.items()]
+    rows = rules.select("rule_id", F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), c.cast("array<string>").alias("l")) for k, c in zip(slots, each)])).alias("s")) \
+        .select("rule_id", "s.slot", F.explode("s.l").alias("selector")).where(F.col("selector").isNotNull())
+    reasons = rows.select("selector").distinct().withColumn("reason", refusal_udf("selector")).where(F.col("reason").isNotNull())
+    return rows.join(small(reasons), "selector").select("rule_id", "slot", "selector", "reason")
+
+
 def sel_literal(selector: str) -> Column:
     """A compiled selector as a literal struct column (for a selector fixed in the job)."""
     r = compile_selector(selector).as_row()
@@ -256,4 +294,4 @@ def first_match(nodes, sel, within=None) -> Column:
 
 
 __all__ = ["compile_selector", "compile_css", "compile_xpath", "sel_literal", "compile_selector_udf",
-           "with_compiled", "match_nodes", "first_match", "SEL_TYPE", "Sel"]
+           "with_compiled", "refusal", "refused_selectors", "match_nodes", "first_match", "SEL_TYPE", "Sel"]

@@ -47,4 +47,4 @@ def combine(prefix: str, sql: str) -> str:
 
 def load_all() -> None:
     """Import the catalog modules (each registers its queries on import)."""
-    from pagemill.plans import catalog_pages, catalog_relational, catalog_scalars, catalog_content, catalog_jobs  # noqa: F401
+    from pagemill.plans import catalog_pages, catalog_relational, catalog_scalars, catalog_content, catalog_jobs, catalog_lists  # noqa: F401
