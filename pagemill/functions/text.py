@@ -287,14 +287,17 @@ def article_category(matched, default) -> Column:
     return F.coalesce(F.nullif(_c(matched), F.lit(0)), F.nullif(_c(default), F.lit(0)))
 
 
-def coerce_date(col) -> Column:
-    """C17: 13 digits = epoch ms, 10 digits = epoch s, else the declared formats; else null."""
+def coerce_date(col, as_of: Column | None = None) -> Column:
+    """C17: 13 digits = epoch ms, 10 digits = epoch s, else the declared formats, else the free forms
+    of ``functions.dates`` (relative ones if ``as_of`` is given); else null."""
+    from pagemill.functions.dates import free_date
+
     s = trim_set(F.coalesce(_c(col), F.lit("")))
     parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
     return (F.when(s.rlike(r"^[0-9]{13}$"), F.timestamp_seconds(F.floor(s.cast("long") / 1000)))
             .when(s.rlike(r"^[0-9]{10}$"), F.timestamp_seconds(s.cast("long")))
             .when(s == "", F.lit(None))
-            .otherwise(parsed)).cast("timestamp_ntz")
+            .otherwise(F.coalesce(parsed.cast("timestamp_ntz"), free_date(s, as_of))).cast("timestamp_ntz"))
 
 
 def article_status(status, scheduled_at) -> Column:

@@ -1,5 +1,5 @@
-"""Registered queries on long keyword lists (C12, C13), keyset listings (O6, O7) and refused
-selectors (X4b)."""
+"""Registered queries on long keyword lists (C12, C13), free-form dates (C17), listings by key (O6,
+O7), refused selectors (X4b) and the status gate (S2)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagemill.fixtures import AS_OF, Tables
+from pagemill.functions.dates import date_coverage
+from pagemill.functions.text import coerce_date
+from pagemill.functions.urls import normalize_url
 from pagemill.operators import keywords as K
 from pagemill.operators import reports as R
 from pagemill.operators.joins import rank_in_group
 from pagemill.operators.selectors import refused_selectors
 from pagemill.plans import duck as D
+from pagemill.plans.collect import page_scan
 from pagemill.plans.registry import register
 from pagemill.session import scratch_path
 from pagemill.sources.listing import Listing
@@ -105,3 +109,63 @@ def q_refused_selectors(t: Tables):
 
     rules = t.part.select(F.col("p_partkey").alias("rule_id"), pick(_SELECTORS).alias("title"), F.array(pick(_REMOVE), F.lit("div")).alias("remove"))
     return refused_selectors(rules, {"title": F.col("title"), "remove": F.col("remove")})
+
+
+# ------------------------------------------------------------------ free-form dates
+
+# (raw text, time it names): Spark format of the time, or a template; and DuckDB's of the same.
+_TS = f"TIMESTAMP '{AS_OF}'"
+_DATES = [
+    ("date_format(d, 'd MMMM yyyy')", "strftime(d, '%-d %B %Y')", "date_trunc('day', d)"),
+    ("date_format(d, 'EEE, dd MMM yyyy HH:mm:ss') || ' +0800'", "strftime(d, '%a, %d %b %Y %H:%M:%S') || ' +0800'", "d - INTERVAL 8 HOUR"),
+    ("date_format(d, 'MMM d, yyyy') || ' at ' || date_format(d, 'h:mm a')", "strftime(d, '%b %-d, %Y at %-I:%M %p')", "date_trunc('minute', d)"),
+    ("date_format(d, 'M/d/yyyy HH:mm')", "strftime(d, '%-m/%-d/%Y %H:%M')", "date_trunc('minute', d)"),
+    ("date_format(d, 'd.M.yyyy')", "strftime(d, '%-d.%-m.%Y')", "date_trunc('day', d)"),
+    ("date_format(d, 'MMMM yyyy')", "strftime(d, '%B %Y')", "date_trunc('month', d)"),
+    ("cast(n % 90 as string) || ' days ago'", "CAST(n % 90 AS VARCHAR) || ' days ago'", f"{_TS} - to_days(CAST(n % 90 AS INTEGER))"),
+    ("'yesterday ' || date_format(d, 'HH:mm')", "'yesterday ' || strftime(d, '%H:%M')",
+     f"date_trunc('day', {_TS}) - INTERVAL 1 DAY + (date_trunc('minute', d) - date_trunc('day', d))"),
+    ("'day ' || cast(n as string)", "'day ' || CAST(n AS VARCHAR)", "CAST(NULL AS TIMESTAMP)"),
+    ("''", "''", "CAST(NULL AS TIMESTAMP)"),
+]
+_DATES_SQL = f"""WITH e AS (SELECT doc_id AS n, source, TIMESTAMP '2021-03-04 05:06:07' + to_seconds(doc_id * 98765) AS d FROM documents),
+r AS (SELECT n AS doc_id, source, CASE n % {len(_DATES)} {' '.join(f'WHEN {i} THEN {c[1]}' for i, c in enumerate(_DATES))} END AS raw,
+  CASE n % {len(_DATES)} {' '.join(f'WHEN {i} THEN {c[2]}' for i, c in enumerate(_DATES))} END AS published_at FROM e)
+"""
+
+
+def _dated(t: Tables):
+    e = t.documents.select(F.col("doc_id").alias("n"), "source", F.timestamp_add("SECOND", F.col("doc_id") * 98765, F.lit("2021-03-04 05:06:07").cast("timestamp_ntz")).alias("d"))
+    raw = F.lit(None).cast("string")
+    for i, (text, _, _) in enumerate(_DATES):
+        raw = F.when(F.col("n") % len(_DATES) == i, F.expr(text)).otherwise(raw)
+    rows = e.select(F.col("n").alias("doc_id"), "source", raw.alias("raw"))
+    return rows.withColumn("published_at", coerce_date("raw", F.lit(AS_OF).cast("timestamp_ntz")))
+
+
+@register("free_dates", _DATES_SQL + "SELECT doc_id, raw, published_at FROM r")
+def q_free_dates(t: Tables):
+    """C17: dates by month name, number order, zone, clock of twelve hours and relative to a time."""
+    return _dated(t).select("doc_id", "raw", "published_at")
+
+
+@register("date_coverage", _DATES_SQL + """SELECT source, count_if(raw = '') AS empty, count_if(raw <> '' AND published_at IS NOT NULL) AS understood,
+  count_if(raw <> '' AND published_at IS NULL) AS refused FROM r GROUP BY source""")
+def q_date_coverage(t: Tables):
+    """C17: per source how many dates were empty, understood and refused."""
+    return date_coverage(_dated(t), ["source"], "raw", "published_at")
+
+
+# ------------------------------------------------------------------ status gate
+
+@register("status_gate", f"""WITH k AS (SELECT md5({D.normalize_url('url')}) AS h, min(page_id) AS page_id FROM pages GROUP BY 1),
+s AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 199 WHEN 2 THEN 299 WHEN 3 THEN 300 WHEN 4 THEN NULL ELSE 200 END AS status, html FROM pages)
+SELECT p.page_id AS queue_id, k.page_id, CASE WHEN NOT {D.is_safe_url(D.normalize_url('p.url'))} THEN 'unsafe URL' WHEN s.status < 200 OR s.status > 299 THEN 'HTTP status ' || CAST(s.status AS VARCHAR)
+  WHEN coalesce(s.html, '') = '' THEN 'page fetch failed' END AS fetch_error
+FROM pages p JOIN k ON md5({D.normalize_url('p.url')}) = k.h JOIN s ON s.page_id = k.page_id""")
+def q_status_gate(t: Tables):
+    """Pages with a response status; what is not 200 to 299 fails with its status."""
+    k = F.col("page_id") % 7
+    status = F.when(k == 0, 404).when(k == 1, 199).when(k == 2, 299).when(k == 3, 300).when(k == 4, F.lit(None)).otherwise(200)
+    items = t.pages.select(F.col("page_id").alias("queue_id"), normalize_url(F.col("url")).alias("url"))
+    return page_scan(items, t.pages.withColumn("status", status)).select("queue_id", "page_id", "fetch_error")

@@ -40,6 +40,7 @@ from pagemill.sources.key_index import KeyIndex
 
 # Failure and log messages.
 MSG_FETCH = "page fetch failed"
+MSG_STATUS = "HTTP status "
 MSG_EXTRACT = "title or content extraction failed"
 MSG_SUCCESS = "collected"
 MSG_PART = "page read in part"
@@ -76,24 +77,28 @@ def cut_bytes(text, most: int):
 
 def page_scan(items: DataFrame, pages: DataFrame, page_bytes: int | None = None) -> DataFrame:
     """S1+S2: attach page HTML by normalised-URL hash; ``fetch_error`` when the page is
-    missing, empty, or the URL is not a safe public URL. HTML is whole unless ``page_bytes``
+    missing, empty, or the URL is not a safe public URL, or when the corpus has a ``status`` column
+    that is not 200 to 299 for it (null: not recorded, taken as read). HTML is whole unless ``page_bytes``
     is given. Unsafe items are set aside first; keys decide which page an item reads, and
     HTML joins only to items that read one, so few due items never move the corpus."""
     gated = items.withColumn("_safe", is_safe_public_url(F.col("url"))) \
         .withColumn("_ph", F.when(F.col("_safe"), F.md5(normalize_url(F.col("url")))))
     asked = gated.where("_safe").select("_ph").distinct()
     # one page per normalised URL: the smallest page id
-    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_ph"), "page_id",
+    status = F.col("status").cast("int") if "status" in pages.columns else F.lit(None).cast("int")
+    refused = F.when(~status.between(200, 299), F.concat(F.lit(MSG_STATUS), status.cast("string")))
+    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_ph"), "page_id", refused.alias("_status"),
                         (F.coalesce(F.col("html"), F.lit("")) != "").alias("_has")) \
         .join(small(asked), "_ph", "left_semi") \
-        .groupBy("_ph").agg(F.min(F.struct("page_id", "_has")).alias("_p"))
+        .groupBy("_ph").agg(F.min(F.struct("page_id", "_has", "_status")).alias("_p"))
     keyed = gated.join(keys, "_ph", "left").drop("_ph") \
-        .withColumn("page_id", F.col("_p.page_id")).withColumn("_has", F.coalesce(F.col("_p._has"), F.lit(False))).drop("_p")
+        .withColumn("page_id", F.col("_p.page_id")).withColumn("_status", F.col("_p._status")) \
+        .withColumn("_has", F.coalesce(F.col("_p._has"), F.lit(False)) & F.col("_status").isNull()).drop("_p")
     found = keyed.where(F.col("_safe") & F.col("_has"))
     html = pages.select("page_id", F.col("html") if page_bytes is None else cut_bytes(F.col("html"), page_bytes).alias("html"))
     cols = ["page_id", *items.columns]
     ok = html.join(small(found), "page_id").select(*cols, "html", F.lit(None).cast("string").alias("fetch_error"))
-    err = F.when(~F.col("_safe"), F.lit("unsafe URL")).otherwise(F.lit(MSG_FETCH))
+    err = F.when(~F.col("_safe"), F.lit("unsafe URL")).otherwise(F.coalesce(F.col("_status"), F.lit(MSG_FETCH)))
     bad = keyed.where(~(F.col("_safe") & F.col("_has"))).select(*cols, F.lit(None).cast("string").alias("html"), err.alias("fetch_error"))
     return ok.unionByName(bad)
 
@@ -123,7 +128,7 @@ def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
         strip_tags(F.col("x_title")).alias("title"), allow_html(content).alias("content"),
         F.when(F.col("r_auto_excerpt"), exc).alias("excerpt"),
         article_status(st0, scheduled).alias("status"),
-        F.coalesce(scheduled, F.when(F.col("x_date") != "", coerce_date(F.col("x_date")))).alias("published_at"),
+        F.coalesce(scheduled, F.when(F.col("x_date") != "", coerce_date(F.col("x_date"), ts))).alias("published_at"),
         F.nullif(F.col("r_author_id"), F.lit(0)).alias("author_id"),
         F.when(cat.isNotNull(), F.array(cat)).otherwise(F.array().cast("array<bigint>")).alias("category_ids"),
         tags.alias("tags"), F.col("url").alias("source_url"), seo_map.alias("seo"),

@@ -25,6 +25,7 @@ from pagemill.operators.reports import rules_to_discover
 from pagemill.operators.shred import NODE_TYPE, shred
 from pagemill.plans.corpus import compile_rule_selectors, host_rule_id
 from pagemill.session import cut_lineage
+from pagemill.sources.rules_io import manual_urls
 
 
 @dataclass
@@ -49,10 +50,11 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
     """S1 + X3 + X11: (rule_id, pos, url) links of every fetched list page. ``pos`` is the list
     page's position and that within the page, however many links a page has."""
     rules_c = compile_rule_selectors(rules).select("rule_id", "link", "json_source")
+    read = F.coalesce(F.col("status").cast("int").between(200, 299), F.lit(True)) if "status" in pages.columns else F.lit(True)
     # one page per normalised URL (smallest id): keys and rules first, HTML last, once, to
     # the rows that need it; only pages that are listed leave the scan if those are few
-    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_h"), "page_id") \
-        .groupBy("_h").agg(F.min("page_id").alias("page_id"))
+    keys = pages.select(F.md5(normalize_url(F.col("url"))).alias("_h"), "page_id", read.alias("_read")) \
+        .groupBy("_h").agg(F.min(F.struct("page_id", "_read")).alias("_p")).where("_p._read").select("_h", "_p.page_id")
     wanted = listed.withColumn("_h", F.md5(normalize_url(F.col("url")))).drop("url").join(keys, "_h").drop("_h") \
         .join(small(rules_c), "rule_id")
     fetched = pages.select("page_id", F.col("url").alias("page_url"), "html").join(wanted, "page_id").drop("page_id")
@@ -71,7 +73,9 @@ def links_of_pages(listed: DataFrame, pages: DataFrame, rules: DataFrame) -> Dat
 
 def discover(rules: DataFrame, pages: DataFrame, queue: DataFrame, articles: DataFrame, as_of,
              listed: DataFrame | None = None, max_rules: int | None = None) -> DiscoverResult:
-    """One discovery pass. ``listed`` (rule_id, list_pos, url) overrides U8 expansion."""
+    """One discovery pass. ``listed`` (rule_id, list_pos, url) overrides U8 expansion. Rules with a
+    ``manual_urls_text`` queue those URLs (S5) ahead of the links that they discover; list pages
+    whose ``status`` in the corpus is not 200 to 299 give no links."""
     chosen = rules_to_discover(rules, max_rules) if max_rules else rules.where(F.col("enabled"))
     if listed is None:
         listed = list_pages(chosen)
@@ -79,7 +83,12 @@ def discover(rules: DataFrame, pages: DataFrame, queue: DataFrame, articles: Dat
         listed = listed.join(chosen.select("rule_id"), "rule_id", "left_semi")
     # links feed several steps (dedupe, ranking, anti joins): extract them once and cut the
     # lineage in the shared checkpoint folder
-    links = cut_lineage(links_of_pages(listed, pages, chosen))
+    links = links_of_pages(listed, pages, chosen)
+    if "manual_urls_text" in rules.columns:
+        given = manual_urls(chosen).select("rule_id", F.struct(F.lit(-1).cast("long").alias("list_pos"), F.col("pos").cast("long").alias("link_pos"))
+                                           .alias("pos"), "url")
+        links = given.unionByName(links)
+    links = cut_lineage(links)
     new = Q.enqueue(links, queue, articles, chosen, as_of)
     ts = F.lit(as_of).cast("timestamp_ntz")
     logs = new.groupBy("rule_id").agg(F.count(F.lit(1)).alias("added")).select(
