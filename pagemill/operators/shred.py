@@ -17,9 +17,12 @@ Tree repair (fixed rule list; the corpus has unclosed ``<b>``/``<p>``):
   * void elements never have children; ``<x/>`` is empty;
   * a block start tag closes an open ``p`` (up to a table/button boundary);
     ``li`` closes an open ``li``, ``dt/dd`` close ``dt/dd``, ``td/th`` close ``td/th``,
-    ``tr`` closes ``tr``, ``option`` closes ``option``;
-  * an end tag closes every element above its nearest open match; an unmatched end tag
-    is ignored; elements still open at the end close at the end of the document.
+    ``tr`` closes ``tr``, ``option`` closes ``option``; a table section closes the section,
+    row and cell before it, a heading a heading, ``a`` an ``a`` and ``optgroup`` an
+    ``optgroup`` that is the innermost open element;
+  * an end tag closes every element above its nearest open match, but none of a higher rank
+    than its own: ``</b>`` ends no ``div``, ``</div>`` no table cell. An end tag without such
+    a match is ignored; elements still open at the end close at the end of the document.
 script/style bodies are raw text (never tokenised), as in the stdlib parser.
 """
 
@@ -44,10 +47,22 @@ SELF_CLOSING_GROUPS = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
+    "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
 }
 
+# Start tag -> tags that it closes while one of them is the innermost open element.
+TOP_CLOSES = {
+    **dict.fromkeys(["tbody", "thead", "tfoot"], {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}),
+    "tr": {"td", "th", "caption", "colgroup"}, "colgroup": {"caption", "colgroup"},
+    **dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], {"h1", "h2", "h3", "h4", "h5", "h6"}),
+    "a": {"a"}, "optgroup": {"optgroup", "option"}, "body": {"head"},
+}
+
+# An end tag closes no open element of a higher rank than its own; others have 100.
+END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+            "head": 200, "body": 200, "html": 220}
+
 # Elements nested deeper keep their text and are siblings of each other; the page says so
 # in ``page_error``. Paths hold all ancestors, so their size grows with the square.
 MAX_DEPTH = 1024
@@ -119,6 +134,9 @@ class _Shredder(HTMLParser):
         group = SELF_CLOSING_GROUPS.get(tag)
         if group:
             self._close_until(group[0], group[1], start)
+        closed = TOP_CLOSES.get(tag, ())
+        while self.stack and self.nodes[self.stack[-1]]["tag"] in closed:
+            self._close_top(start)
         if len(self.stack) >= MAX_DEPTH:
             empty = True
             self.error = f"elements nested deeper than {MAX_DEPTH}"
@@ -161,8 +179,12 @@ class _Shredder(HTMLParser):
         start = self._offset()
         gt = self.html.find(">", start)
         end = len(self.html) if gt < 0 else gt + 1
+        rank = END_RANK.get(tag, 100)
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.nodes[self.stack[k]]["tag"] == tag:
+            opened = self.nodes[self.stack[k]]["tag"]
+            if END_RANK.get(opened, 100) > rank:
+                return      # a misplaced end tag: a '</b>' ends no division, a '</div>' no table cell
+            if opened == tag:
                 while len(self.stack) > k + 1:
                     self._close_top(start)
                 self._close_top(end, inner_end=start)
