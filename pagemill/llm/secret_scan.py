@@ -129,6 +129,30 @@ def spans_text():
     return F.array_join(one, ",")
 
 
+def mask(text: str, spans: list[dict], mark: str) -> str:
+    """``text`` with ``mark`` for its spans (by start); overlapping ones are one hole. Linear in
+    the text and the spans."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at:s["start"]], mark]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def _masked(mark: str):
+    @F.arrow_udf("string")
+    def run(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array((None if t is None else mask(t, f, mark) for t, f in zip(iter_py(text), iter_py(spans))), pa.string())
+
+    return run
+
+
+def iter_py(column: pa.Array):
+    """The values of a column one by one: only one text at a time is a Python object."""
+    return (x.as_py() for x in column)
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mark``; other columns stay."""
     found = (secret_spans(docs, id_col, text_col).filter(F.size("found") > 0)
@@ -138,15 +162,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
                          F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_k"), F.col(id_col).isNull().alias("_n")) \
         .withColumn("_h", F.xxhash64("text"))
     joined = packed.join(found.hint("shuffle_hash"), ["_k", "_n", "_h"], "left")
-    # overlapping spans of several kinds are one hole
-    holes = F.aggregate(
-        "_f", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                                                    F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("_f").isNull(), F.col("text")).otherwise(holes)
+    spans = F.transform("_f", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    text = F.when(F.col("_f").isNull(), F.col("text")).otherwise(
+        _masked(mark)(F.when(F.col("_f").isNotNull(), F.col("text")), spans))
     return joined.select(*[(text if c == text_col else F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
