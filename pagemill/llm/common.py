@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def n_partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle: the session's setting, which the cluster sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

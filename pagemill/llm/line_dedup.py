@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import cut_lineage, pack, rows_to_batches, table, tidy
+from pagemill.llm.common import cut_lineage, named, pack, rows_to_batches, table, tidy
 from pagemill.llm.words import LOWER_BYTES, SPACES, U64, mix
 
 FILTER_BITS = 1 << 28       # 32 MB for each filter
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idc, textc = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     # documents meet their dropped keys by id, those without an id by text
     place = F.coalesce(idc, F.xxhash64(textc))
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), idc.alias("doc_id"), textc.alias("text"),
+    src = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("doc"), idc.alias("doc_id"), textc.alias("text"),
                       place.alias("place"), idc.isNull().alias("no_id"))
     filter_ = spark.sparkContext.broadcast(twice_seen(src, min_chars))
 

@@ -23,7 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import cut_lineage, table, tidy
+from pagemill.llm.common import cut_lineage, named, table, tidy
 from pagemill.llm.words import slices
 
 SCOPE = 400     # code points between the parts of one credential
@@ -158,7 +158,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     found = (secret_spans(docs, id_col, text_col).filter(F.size("found") > 0)
              .select(F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("doc_id").isNull().alias("_n"), F.col("h").alias("_h"), F.col("found").alias("_f"))
              .dropDuplicates(["_k", "_n", "_h"]))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).cast("string").alias("text"),
+    packed = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("_doc"), F.col(text_col).cast("string").alias("text"),
                          F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_k"), F.col(id_col).isNull().alias("_n")) \
         .withColumn("_h", F.xxhash64("text"))
     joined = packed.join(found.hint("shuffle_hash"), ["_k", "_n", "_h"], "left")

@@ -221,3 +221,32 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, sf)
     assert sorted(map(str, got.select("doc_id", "start", "length", "ids_crc32").collect())) == \
         sorted(map(str, seen["packing"][1].select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_masking_of_many_spans(spark):
+    """Work in proportion to the text: 16,000 spans, code points above the first plane between them."""
+    import time
+
+    text = "".join(f"é😀 token={i:06d}abc, " for i in range(16000))
+    df = make(spark, [(1, text), (2, "no secret"), (3, None)])
+    began = time.time()
+    got = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
+    assert got == {1: "é😀 [SECRET], " * 16000, 2: "no secret", 3: None} and time.time() - began < 15
+    spans = [{"start": a, "end": b} for a, b in [(0, 4), (2, 3), (3, 6), (6, 7), (9, 9)]]
+    assert secret_scan.mask("0123456789", spans, "#") == "##78#9"
+
+
+def test_pipeline_stages_on_odd_rows_and_names(spark, odd, empty):
+    names = ["a.b", "back`tick", "_doc", "_k", "found", "text2"]
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        for df in (odd, empty):
+            for extra in names:
+                df = df.withColumn(extra, F.lit(extra))
+            out = stage(spark, df, None)
+            assert out.columns == df.columns, name
+            rows = out.collect()
+            assert all(list(r)[-len(names):] == names for r in rows)
+            if df.limit(1).count() == 0:
+                assert rows == []
+            elif name in ("line_dedup", "secret_scan"):
+                assert len(rows) == len(ROWS)
