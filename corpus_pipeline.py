@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import checkpoint_dir
+from pagemill.llm.common import checkpoint_dir, named
 from pagemill.llm.line_dedup import dedup_lines
 from pagemill.llm.near_dup import near_duplicates
 from pagemill.llm.packing import pack_documents
@@ -37,12 +37,12 @@ def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets masked."""
-    masked = redacted(docs).select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    masked = redacted(docs).select(F.struct(*map(named, docs.columns)).alias("doc"))
     return masked.select(*_with_text("doc", docs.columns, F.col("doc.text")))
 
 
