@@ -203,12 +203,14 @@ STATE_OUT = T.StructType([
     T.StructField("timer", T.StringType())])
 STATE_SCHEMA = T.StructType([
     T.StructField("rule_id", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("status", T.StringType()),
-    T.StructField("event_ts", T.TimestampType()), T.StructField("attempts", T.IntegerType())])
+    T.StructField("event_us", T.LongType()), T.StructField("attempts", T.IntegerType()), T.StructField("due", T.LongType())])
 DONE = ("success", "skipped", "failed")
+BLOCK_BITS = 9          # 512 consecutive ids: the items that share a call, whatever the size of the queue
+NO_ID = -(1 << 60)      # block of items without an id
 
 
-def _ms(ts: pd.Timestamp) -> int:
-    return int(ts.timestamp() * 1000)
+def _times(us: list[int | None]) -> pd.Series:
+    return pd.to_datetime(pd.Series(us, dtype="Int64"), unit="us")
 
 
 class ItemState(StatefulProcessor):
@@ -220,7 +222,11 @@ class ItemState(StatefulProcessor):
     count attempts and, with ``retry_limit``, become ``pending`` again after Q5's back-off or
     ``failed``. A pending item with ``retry_after_seconds`` or a back-off reports 'retry_due' at its
     time. A finished item keeps its state for ``keep_minutes`` of event time, so that late events
-    find it finished, and is then forgotten; an item that is heard of after that counts as new."""
+    find it finished, and is then forgotten; an item that is heard of after that counts as new.
+
+    A call serves a block of consecutive items, each with an entry of its own in the state, since
+    a frame and a round trip for every single item cost far more than its events. A block's timers
+    are the times at which any of its items is due."""
 
     def __init__(self, stuck_minutes: int | None = None, retry_after_seconds: int | None = None,
                  retry_limit: int | None = None, keep_minutes: int | None = None):
@@ -229,63 +235,98 @@ class ItemState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("latest", STATE_SCHEMA)
+        self.items = handle.getMapState("latest", T.StructType([T.StructField("queue_id", T.LongType())]), STATE_SCHEMA)
+
+    def _held(self) -> dict:
+        """Queue id -> state of the block's items."""
+        return {k[0]: v for k, v in self.items.iterator()} if self.items.exists() else {}
 
-    def _set(self, best: tuple, due: int | None) -> None:
-        self.state.update(best)
+    def _set(self, held: dict, item: int | None, state: tuple | None) -> None:
+        if state is not None:
+            held[item] = state
+            self.items.updateValue((item,), state)
+        elif held.pop(item, None) is not None:
+            self.items.removeKey((item,))
+
+    def _set_timers(self, held: dict, fired: int | None = None) -> None:
+        """Timers at the times of the items; the one that has ``fired`` goes by itself."""
         if self.timers:
-            for t in list(self.handle.listTimers()):
+            wanted, given = {v[5] for v in held.values() if v[5] is not None}, set(self.handle.listTimers())
+            for t in given - wanted - {fired}:
                 self.handle.deleteTimer(t)
-            if due is not None:
-                self.handle.registerTimer(due)
+            for t in wanted - given:
+                self.handle.registerTimer(t)
 
-    def _due(self, status: str, ts: pd.Timestamp, attempts: int, backing_off: bool) -> int | None:
+    def _due(self, status: str, us: int | None, attempts: int, backing_off: bool) -> int | None:
+        """When an item in this state is due, in milliseconds."""
+        if us is None:
+            return None
         if status == "running" and self.stuck:
-            return _ms(ts + pd.Timedelta(minutes=max(5, self.stuck)))
+            return us // 1000 + 60_000 * max(5, self.stuck)
         if status == "pending" and backing_off:
-            return _ms(ts + pd.Timedelta(seconds=min(3600, max(60, 300 * attempts))))
+            return us // 1000 + 1000 * min(3600, max(60, 300 * attempts))
         if status == "pending" and self.retry_after:
-            return _ms(ts + pd.Timedelta(seconds=self.retry_after))
+            return us // 1000 + 1000 * self.retry_after
         if status in DONE and self.keep is not None:
-            return _ms(ts + pd.Timedelta(minutes=self.keep))
+            return us // 1000 + 60_000 * self.keep
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ev = pd.concat(list(rows), ignore_index=True).sort_values(["event_ts", "seq"], kind="stable")
-        old = self.state.get() if self.state.exists() else None
-        attempts = int(old[4] or 0) if old is not None else 0
-        best = (pd.Timestamp(old[3]), int(old[1]), old[2], int(old[0])) if old is not None else None
-        backing_off = False
-        for r in ev.itertuples(index=False):
-            if best is not None and (r.event_ts, r.seq) < best[:2]:
+        ev = pd.concat(list(rows), ignore_index=True)
+        known = lambda c: [None if x != x else int(x) for x in c.tolist()]
+        at = ev["event_ts"].astype("datetime64[us]")
+        at = [None if null else t for t, null in zip(at.astype("int64").tolist(), at.isna().tolist())]
+        events = sorted(zip(known(ev["queue_id"]), at, known(ev["seq"]), ev["status"].tolist(), known(ev["rule_id"])),
+                        key=lambda e: (e[1] is not None, e[1] or 0, e[2]))
+        held = self._held()
+        now: dict = {}      # queue id -> (event time, sequence, status, rule, attempts, backing off)
+        for item, us, seq, status, rule in events:
+            best = now.get(item)
+            if best is None:
+                if (old := held.get(item)) is not None:
+                    best = now[item] = (old[3], old[1], old[2], old[0], old[4] or 0, False)
+            if best is not None and (us is not None, us or 0, seq) < (best[0] is not None, best[0] or 0, best[1]):
                 continue
-            status, backing_off = r.status, False
+            attempts, backing_off = best[4] if best is not None else 0, False
             if status == "failed_try" or status == "failed" and self.retry_limit is not None:
                 attempts += 1
                 backing_off = attempts < (self.retry_limit or 0)
                 status = "pending" if backing_off else "failed"
             elif status in ("success", "skipped"):
                 attempts = 0
-            best = (r.event_ts, int(r.seq), status, int(r.rule_id))
-        ts, seq, status, rule_id = best
-        if status in DONE and not self.timers:
-            self.state.clear()      # nothing will ask for it
-        elif old is None or (ts, seq) != (pd.Timestamp(old[3]), int(old[1])):
-            self._set((rule_id, seq, status, ts.to_pydatetime(), attempts), self._due(status, ts, attempts, backing_off))
-        yield pd.DataFrame([{"queue_id": key[0], "rule_id": rule_id, "seq": seq, "status": status, "event_ts": ts, "timer": None}])
+            now[item] = (us, seq, status, rule, attempts, backing_off)
+        for item, (us, seq, status, rule, attempts, backing_off) in now.items():
+            old = held.get(item)
+            if status in DONE and not self.timers:
+                self._set(held, item, None)     # nothing will ask for it
+            elif old is None or (us, seq) != (old[3], old[1]):
+                self._set(held, item, (rule, seq, status, us, attempts, self._due(status, us, attempts, backing_off)))
+        self._set_timers(held)
+        yield self._rows([(item, b[3], b[1], b[2], b[0], None) for item, b in now.items()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        rule_id, seq, status, ts, attempts = self.state.get()
-        ts, at = pd.Timestamp(ts), pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        if status == "running":
-            self._set((rule_id, seq + 1, "pending", at.to_pydatetime(), attempts), self._due("pending", at, attempts, False))
-            yield pd.DataFrame([{"queue_id": key[0], "rule_id": rule_id, "seq": seq + 1, "status": "pending", "event_ts": at, "timer": "stuck_release"}])
-        elif status == "pending":
-            yield pd.DataFrame([{"queue_id": key[0], "rule_id": rule_id, "seq": seq, "status": "pending", "event_ts": ts, "timer": "retry_due"}])
-        else:
-            self.state.clear()
+        held, at, out = self._held(), expiredTimerInfo.getExpiryTimeInMs(), []
+        for item, (rule, seq, status, us, attempts, due) in list(held.items()):
+            if due is None or due > at:
+                continue
+            if status == "running":
+                us, seq = due * 1000, seq + 1
+                self._set(held, item, (rule, seq, "pending", us, attempts, self._due("pending", us, attempts, False)))
+                out.append((item, rule, seq, "pending", us, "stuck_release"))
+            elif status == "pending":
+                self._set(held, item, (rule, seq, status, us, attempts, None))
+                out.append((item, rule, seq, "pending", us, "retry_due"))
+            else:
+                self._set(held, item, None)
+        self._set_timers(held, at)
+        if out:
+            yield self._rows(out)
+
+    @staticmethod
+    def _rows(rows: list[tuple]) -> pd.DataFrame:
+        item, rule, seq, status, us, timer = zip(*rows)
+        return pd.DataFrame({"queue_id": pd.Series(item, dtype="Int64"), "rule_id": pd.Series(rule, dtype="Int64"), "seq": seq,
+                             "status": status, "event_ts": _times(list(us)), "timer": pd.Series(timer, dtype="object")})
 
     def close(self) -> None:
         pass
@@ -302,7 +343,8 @@ def queue_state_stream(events: DataFrame, stuck_minutes: int | None = None, retr
     if keep_minutes is None and any(x is not None for x in (stuck_minutes, retry_after_seconds, retry_limit)):
         keep_minutes = 60
     item = ItemState(stuck_minutes, retry_after_seconds, retry_limit, keep_minutes)
-    return events.withWatermark("event_ts", watermark).groupBy("queue_id").transformWithStateInPandas(
+    block = F.coalesce(F.shiftright("queue_id", BLOCK_BITS), F.lit(NO_ID).cast("long"))
+    return events.withWatermark("event_ts", watermark).withColumn("block", block).groupBy("block").transformWithStateInPandas(
         item, STATE_OUT, "Update", "EventTime" if item.timers else "None")
 
 

@@ -213,3 +213,70 @@ def test_finished_items_leave_the_state(spark):
                        stuck_minutes=600, keep_minutes=60, watermark="1 minute")
     rows = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
     assert max(rows) >= 50 and rows[-1] < 50
+
+
+class _Handle:
+    """State of one key and its timers, without a stream."""
+
+    def __init__(self):
+        self.entries, self.timers = {}, set()
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def exists(self):
+        return bool(self.entries)
+
+    def iterator(self):
+        return iter(list(self.entries.items()))
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        del self.entries[key]
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+def test_one_call_serves_the_items_of_a_block():
+    """Frames and round trips are shared by consecutive items; each keeps a state of its own."""
+    import datetime as dt
+    import pandas as pd
+    from pagemill.streaming.jobs import ItemState
+    t0 = pd.Timestamp(2024, 1, 1, 10)
+    m = lambda n: t0 + dt.timedelta(minutes=n)
+    frame = lambda rows: pd.DataFrame(rows, columns=["queue_id", "rule_id", "seq", "status", "event_ts"])
+    status = lambda i: "running" if i % 2 else "success"
+    item, handle = ItemState(), _Handle()
+    item.init(handle)
+    events = [(i, 1, 1, "pending", m(0)) for i in range(500)] + [(i, 1, 2, status(i), m(i)) for i in range(500)]
+    out, = item.handleInputRows((0,), iter([frame(events[500:]), frame(events[:500])]), None)
+    assert [tuple(r) for r in out.sort_values("queue_id").itertuples(index=False)] == [(i, 1, 2, status(i), m(i), None) for i in range(500)]
+    assert sorted(k[0] for k in handle.entries) == list(range(1, 500, 2))      # finished ones are forgotten
+    # a later call: a late event changes nothing, a new one ends the item
+    out, = item.handleInputRows((0,), iter([frame([(1, 1, 1, "pending", m(0)), (3, 1, 3, "skipped", m(9))])]), None)
+    assert {(r.queue_id, r.seq, r.status) for r in out.itertuples()} == {(1, 2, "running"), (3, 3, "skipped")}
+    assert (1,) in handle.entries and (3,) not in handle.entries
+    # timers: each time at which an item is due, until none is
+    item, handle = ItemState(stuck_minutes=30, keep_minutes=60), _Handle()
+    item.init(handle)
+    list(item.handleInputRows((0,), iter([frame([(1, 1, 1, "running", m(0)), (2, 1, 1, "running", m(0)), (3, 1, 1, "running", m(1))])]), None))
+    assert len(handle.timers) == 2
+    list(item.handleInputRows((0,), iter([frame([(3, 1, 2, "success", m(2))])]), None))
+    assert sorted(handle.timers) == [int(m(n).timestamp() * 1000) for n in (30, 62)]
+
+    class Fired:
+        def getExpiryTimeInMs(self):
+            return int(m(30).timestamp() * 1000)
+
+    out, = item.handleExpiredTimer((0,), None, Fired())
+    assert [tuple(r) for r in out.sort_values("queue_id").itertuples(index=False)] == [(i, 1, 2, "pending", m(30), "stuck_release") for i in (1, 2)]
+    assert {k[0]: v[2] for k, v in handle.entries.items()} == {1: "pending", 2: "pending", 3: "success"}
