@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import cut_lineage, named, pack, rows_to_batches, table, tidy
+from pagemill.llm.common import Filter, cut_lineage, named, pack, packed_bits, rows_to_batches, table, tidy
 from pagemill.llm.words import LOWER_BYTES, SPACES, U64, mix
 
 FILTER_BITS = 1 << 28       # 32 MB for each filter
@@ -98,18 +98,14 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
             once[o] = True
             twice[w] = True
     yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()),
-                                      "twice": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+                                      "twice": pa.array([packed_bits(twice)], pa.binary())})
 
 
-def twice_seen(src: DataFrame, min_chars: int) -> np.ndarray:
-    """The twice-seen filter of column ``text``: FILTER_BITS bits, packed."""
+def twice_seen(src: DataFrame, min_chars: int) -> Filter:
+    """The twice-seen filter of column ``text``: FILTER_BITS bits."""
     merged = (src.select("text").mapInArrow(_task_bits(min_chars), "segment int, once binary, twice binary")
               .groupBy("segment").applyInArrow(_merge, "segment int, twice binary"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    size = SEGMENT_BITS // 8
-    for row in merged.toLocalIterator():
-        out[row.segment * size:(row.segment + 1) * size] = np.frombuffer(row.twice, np.uint8)
-    return out
+    return Filter({row.segment: bytes(row.twice) for row in merged.toLocalIterator()}, FILTER_BITS, SEGMENT_BITS)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
@@ -126,7 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     @tidy
     def suspects(batches):
         schema = pa.schema([("key", pa.string()), ("h", pa.int64()), ("place", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64())])
-        twice = filter_.value
+        twice = filter_.value.bits
 
         def rows():
             for b in batches:
@@ -145,6 +141,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = cut_lineage(src.select("text", "place", "no_id", "doc_id").mapInArrow(
         suspects, "key string, h long, place long, no_id boolean, doc_id long"))
+    filter_.destroy()       # its readers are written
     # written, so that the join below has a shuffle of its own, whose hot keys Spark can split
     confirmed = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
                             .filter(F.col("n") >= min_docs).select("key", "last"))

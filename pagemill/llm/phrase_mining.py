@@ -23,10 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pagemill.llm.common import cut_lineage, groups, n_partitions, pack, table, tidy
+from pagemill.llm.common import Filter, cut_lineage, groups, n_partitions, pack, packed_bits, table, tidy
 from pagemill.llm.words import LOWER, U64, hash_spans, mix, multipliers, slices, text_bytes
 
 DEPTH, MIN_COUNT, TOP = 5, 100, 2000
@@ -113,21 +112,6 @@ def _bits(h):
     return np.concatenate([h, mix(h ^ U64(0x5DEECE66D))]) % U64(FILTER_BITS)
 
 
-class Filter:
-    """A filter's packed bits, compressed on their way to the workers: most are zero while it is
-    far from full, and each machine keeps a copy of what is sent on disk."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def __reduce__(self):
-        return _unpacked, (zstandard.ZstdCompressor(level=1).compress(self.bits.tobytes()),)
-
-
-def _unpacked(packed: bytes) -> Filter:
-    return Filter(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8))
-
-
 def holds(known: Filter, h: np.ndarray) -> np.ndarray:
     """Which hashes a filter lets through."""
     b = _bits(h)
@@ -150,13 +134,10 @@ def bloom(hashes: DataFrame) -> Filter:
             for x in b.column("bits"):
                 out[np.frombuffer(x.as_py(), np.uint32)] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
-                                          pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+                                          pa.array([packed_bits(out)], pa.binary())], names=["segment", "bits"])
 
     merged = hashes.select("h").mapInArrow(send, "segment int, bits binary").groupBy("segment").applyInArrow(merge, "segment int, bits binary")
-    out, size = np.zeros(FILTER_BITS // 8, np.uint8), SEGMENT_BITS // 8
-    for row in merged.toLocalIterator():
-        out[row.segment * size:(row.segment + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return Filter(out)
+    return Filter({row.segment: bytes(row.bits) for row in merged.toLocalIterator()}, FILTER_BITS, SEGMENT_BITS)
 
 
 def _frequent(counts: DataFrame, min_count: int) -> DataFrame:
@@ -355,9 +336,14 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, gro
     bins = max(2 * parts, 2 * total // budget, 1)
     nodes = _subtrees(_sent(docs, words, pairs, heavy, bins, depth), heavy, min_count, depth)
     counted = cut_lineage(nodes.unionByName(one.select(F.array("h").alias("words"), "n")))
+    for sent in (words, pairs, *heavy):     # their readers are written
+        sent.destroy()
     # only words of a phrase need their strings
     used = counted.filter(F.size("words") >= 2).select(F.explode("words").alias("h")).distinct()
-    return counted, cut_lineage(_names(docs, sc.broadcast(bloom(used))))
+    phrased = sc.broadcast(bloom(used))
+    names = cut_lineage(_names(docs, phrased))
+    phrased.destroy()
+    return counted, names
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, top: int | None = TOP,

@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -226,3 +227,27 @@ def test_spelling_chains_and_empty(spark):
     f = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(13)], "word string, form string")
     assert {r.root for r in spelling.roots(f).collect()} == {"w13"}
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_filters_pass_the_driver_unopened(spark, monkeypatch):
+    """The driver hands segments on as tasks packed them, and lets go of what is broadcast."""
+    from pagemill.llm import common, line_dedup, phrase_mining
+    opened, freed = [], []
+    monkeypatch.setattr(common.Filter, "bits", property(lambda f, get=common.Filter.bits.fget: opened.append(1) or get(f)))
+    sent = type(spark.sparkContext).broadcast
+
+    def broadcast(sc, value):
+        b = sent(sc, value)
+        gone = b.destroy
+        b.destroy = lambda *a, **k: freed.append(b) or gone(*a, **k)
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    line = "the same long line in every document"
+    docs = spark.createDataFrame([(i, f"{line}\nrow {i}", "en") for i in range(4)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: "row 0", 1: "row 1", 2: "row 2", 3: f"{line}\nrow 3"} and len(freed) == 1
+    assert phrase_mining.collocations(docs, min_count=4).filter("phrase = 'the same long line in'").first().a == 4
+    assert not opened and len(freed) >= 4
+    f = common.Filter({1: common.packed_bits(np.arange(16) == 3)}, 32, 16)
+    assert f.bits.tolist() == [0, 0, 8, 0]
