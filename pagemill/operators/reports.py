@@ -151,6 +151,20 @@ def table_totals(rules: DataFrame, queue: DataFrame, logs: DataFrame) -> DataFra
                  F.count_if(F.col("_s") == "l").alias("logs_total"))
 
 
+def _batch_cap(rule_limit_col: str) -> Column:
+    return F.greatest(F.coalesce(F.col(rule_limit_col), F.lit(5)), F.lit(1))
+
+
+def batch_numbers(due: DataFrame, rule_limit_col: str = "r_batch_limit", most: int = 50) -> DataFrame:
+    """(queue_id, turn): which of the per-rule batches that :func:`next_batch` takes one after the
+    other, from 0, each due item falls into. A hot rule is ranked in parts."""
+    from pagemill.operators.joins import rank_in_group
+
+    cap = F.least(_batch_cap(rule_limit_col), F.lit(most))
+    ranked = rank_in_group(due.select("queue_id", "rule_id", cap.alias("_cap")), ["rule_id"], ["queue_id"], "_rn")
+    return ranked.groupBy("queue_id").agg(F.min(F.floor((F.col("_rn") - 1) / F.col("_cap"))).cast("long").alias("turn"))
+
+
 def next_batch(due: DataFrame, limit: int | None = None, per_rule: bool = False,
                rule_limit_col: str = "r_batch_limit", most: int | None = 50) -> DataFrame:
     """O1: FIFO batch by queue id. Global form: first ``limit`` items. All-rules form: per rule
@@ -159,7 +173,7 @@ def next_batch(due: DataFrame, limit: int | None = None, per_rule: bool = False,
     if not per_rule:
         n = max(1, int(limit if limit is not None else 10))
         return due.orderBy("queue_id").limit(n if most is None else min(most, n))
-    cap = F.greatest(F.coalesce(F.col(rule_limit_col), F.lit(5)), F.lit(1))
+    cap = _batch_cap(rule_limit_col)
     if most is None:
         from pagemill.operators.joins import rank_in_group
 

@@ -67,6 +67,7 @@ class CollectResult:
     transitions: DataFrame  # new queue state of processed items
     logs: DataFrame         # log rows
     last_collected: DataFrame   # per rule with a success: last_collected_at (Q6)
+    turns: DataFrame | None = None  # with ``every_pass``: the pass of each item, from 0
 
 
 def cut_bytes(text, most: int):
@@ -135,21 +136,60 @@ def build_articles(df: DataFrame, as_of, site_name: str = "") -> DataFrame:
         F.when(F.col("r_set_featured"), F.col("featured_image")).alias("featured_image"))
 
 
+def skipped_in_turn(items: DataFrame) -> DataFrame:
+    """(queue_id, skip) of items (queue_id, turn, r_dedupe_title, _t, _source, _known) of several
+    passes, as if each ran after the one before: an item that compares titles is known if an earlier
+    pass publishes its source or title, and is skipped if it is known or an item of its own pass that
+    is not known has its title and a smaller id. What depends on an item that is still undecided
+    waits for the next round; a round decides at least one pass, and most of all of them."""
+    title = strip_tags(F.col("_t"))     # as published titles are compared
+    rows = cut_lineage(items.select("queue_id", "turn", "_t", title.alias("_k"), "_source", F.coalesce("r_dedupe_title", F.lit(False)).alias("_d"))
+                       .withColumn("_known", F.when(~F.col("_d"), False)).join(items.where("_known").select("queue_id", F.lit(True).alias("_old")), "queue_id", "left")
+                       .withColumn("_known", F.coalesce("_old", "_known")).drop("_old"))
+    fresh, open_ = ~F.col("_known"), F.col("_known").isNull()
+
+    def firsts(r: DataFrame) -> DataFrame:
+        own = r.groupBy("_k", "turn").agg(F.min(F.when(fresh, F.col("queue_id"))).alias("_first"), F.min(F.when(open_, F.col("queue_id"))).alias("_open"))
+        return r.join(own, ["_k", "turn"])
+
+    while not rows.where(open_).isEmpty():
+        leads = F.col("queue_id") == F.col("_first")
+        unsure = F.coalesce(F.col("_open") < F.col("queue_id"), F.lit(False))
+        flagged = firsts(rows).select("_k", "_source", "turn", (fresh & (~F.col("_d") | leads & ~unsure)).alias("_out"),
+                                      (open_ | fresh & F.col("_d") & leads & unsure).alias("_may"))
+        least = lambda key, a, b: flagged.groupBy(key).agg(
+            F.min(F.when(F.col("_out"), F.col("turn"))).alias(a), F.min(F.when(F.col("_may"), F.col("turn"))).alias(b))
+        before = lambda a, b: F.coalesce(F.least(a, b) < F.col("turn"), F.lit(False))
+        asked = rows.join(least("_source", "_so", "_sm"), "_source", "left") \
+            .join(least("_k", "_to", "_tm").withColumnRenamed("_k", "_t"), "_t", "left")
+        rows = cut_lineage(asked.withColumn("_known", F.when(F.col("_known").isNotNull(), F.col("_known")).when(before("_so", "_to"), True)
+                                            .when(~before("_sm", "_tm"), False)).select(*rows.columns))
+    return firsts(rows).select("queue_id", (F.col("_known") | F.col("_d") & (F.col("queue_id") > F.col("_first"))).alias("skip"))
+
+
 def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: DataFrame, as_of,
             assets: DataFrame | None = None, settings: Settings = Settings(), per_rule_batch: bool = False,
-            responses: DataFrame | None = None, seen: Seen | None = None) -> CollectResult:
+            responses: DataFrame | None = None, seen: Seen | None = None, every_pass: bool = False) -> CollectResult:
     """Run one collect pass over every due item (or each rule's FIFO batch). Items that hang
     in ``running`` are released first (Q4) and take part if they are due. Duplicates are tested
     against ``articles`` and against what ``seen`` knows of earlier passes. A page that could be
     read in part only fails its item. With ``responses``
     (queue_id, response) articles of rules with ``rewrite`` are replaced by their response if it
-    passes the gate (W2-W5); otherwise the rule's policy keeps the original or fails the item."""
+    passes the gate (W2-W5); otherwise the rule's policy keeps the original or fails the item.
+    ``every_pass`` takes the FIFO batches of all passes at once, with the outcomes that passes one
+    after the other have (not with ``responses``, which decide late what is published)."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     rules_c = compile_rule_selectors(rules)
     if "started_at" in queue.columns:
         queue = Q.release_stuck(queue, as_of, settings.running_timeout_minutes)
     due = Q.due_items(queue, rules_c, as_of)
-    if per_rule_batch:
+    turns = None
+    if per_rule_batch and every_pass:
+        if responses is not None:
+            raise ValueError("passes with rewrite responses run one by one")
+        from pagemill.operators.reports import batch_numbers
+        turns = cut_lineage(batch_numbers(due))
+    elif per_rule_batch:
         from pagemill.operators.reports import next_batch
         due = next_batch(due, per_rule=True)
     claimed = due.withColumn("attempts", F.col("attempts") + 1).withColumn("status", F.lit("running")) \
@@ -188,11 +228,14 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
     judged = names.join(fresh.select("queue_id", F.lit(True).alias("_new")), "queue_id", "left") \
         .join(repeat.withColumn("_dup", F.lit(True)), "queue_id", "left") \
         .withColumn("_known", F.col("r_dedupe_title") & (F.col("_new").isNull() | F.coalesce(F.col("_dup"), F.lit(False))))
-    judged = cut_lineage(judged.select("queue_id", "r_dedupe_title", "_t", "_known"))
-    later = Q.first_of_equal_titles(judged.where(~F.col("_known")), "_t", "queue_id") \
-        .where("batch_duplicate").select("queue_id", F.lit(True).alias("_later"))
-    skipped = judged.join(later, "queue_id", "left").select("queue_id", (
-        F.col("_known") | (F.col("r_dedupe_title") & F.coalesce(F.col("_later"), F.lit(False)))).alias("skip"))
+    judged = cut_lineage(judged.select("queue_id", "r_dedupe_title", "_t", "_known", source.alias("_source")))
+    if turns is not None:
+        skipped = skipped_in_turn(judged.join(turns, "queue_id"))
+    else:
+        later = Q.first_of_equal_titles(judged.where(~F.col("_known")), "_t", "queue_id") \
+            .where("batch_duplicate").select("queue_id", F.lit(True).alias("_later"))
+        skipped = judged.join(later, "queue_id", "left").select("queue_id", (
+            F.col("_known") | (F.col("r_dedupe_title") & F.coalesce(F.col("_later"), F.lit(False)))).alias("skip"))
     good = good.join(skipped, "queue_id")
     keep = good.where(~F.col("skip")).withColumn("clean", F.col("r_clean"))
     cleaned = cut_lineage(clean_content(keep, "x_content", "clean", "clean_content", base_col="url").drop("clean"))
@@ -245,4 +288,4 @@ def collect(queue: DataFrame, rules: DataFrame, pages: DataFrame, articles: Data
         .otherwise("error").alias("level"),
         F.coalesce(F.col("last_error"), F.lit(MSG_SUCCESS)).alias("message"), "url", ts.alias("created_at"))
     return CollectResult(items=transitions, articles=arts, transitions=transitions, logs=logs,
-                         last_collected=Q.last_collected(transitions))
+                         last_collected=Q.last_collected(transitions), turns=turns)

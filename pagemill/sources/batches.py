@@ -34,6 +34,15 @@ class BatchTable:
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{folder}")
         return folder
 
+    def write_each(self, rows: DataFrame, number: str) -> None:
+        """Write the batches that the column ``number`` names in one job; each gets a commit of its
+        own, which notes its row count. The numbers go through the driver."""
+        name = uuid.uuid4().hex
+        dealt = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], F.col(number).cast("long").alias("batch"))
+        dealt.repartition("batch").withColumn("try", F.lit(name)).write.mode("append").partitionBy("batch", "try").parquet(self.path)
+        for r in dealt.groupBy("batch").count().orderBy("batch").collect():
+            self.commit(r["batch"], f"batch={r['batch']}/try={name}", {"rows": r["count"]})
+
     def commit(self, batch: int, folder: str, note: dict | None = None) -> None:
         """Show a staged batch, instead of what an earlier try of it has shown. One commit file is
         written under a name of its own and renamed; where the target exists it goes first, so at

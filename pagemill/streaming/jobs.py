@@ -142,11 +142,13 @@ def stream_collect(spark: SparkSession, queue_src: str, out_path: str, rules: Da
                    max_files: int = 16, assets: DataFrame | None = None, responses: DataFrame | None = None):
     """T2+T6+T7: each micro-batch adds its queue rows to the queue table and runs collect
     passes until no item is due: a pass takes each rule's FIFO batch (``per_rule_batch``), the
-    others stay pending for the next pass. A pass reads the open items, so retried ones come back
-    once their time has come, and asks key indexes whether earlier passes published a source or
-    title; neither grows with what is finished. Articles, transitions, logs and the rules' stamps
-    are committed pass by pass, the queue's change last: a pass that is cut off leaves nothing
-    that a reader or its replay would see. Logs are then trimmed to the newest rows."""
+    others stay pending for the next pass. Items that are due now are all in one of these passes,
+    so these run together, in the same jobs however many they are, with the outcomes and pass
+    numbers of passes one after the other; only with ``responses`` is it one by one. The passes
+    read the open items, so retried ones come back once their time has come, and ask key indexes
+    whether earlier ones published a source or title; neither grows with what is finished. Articles,
+    transitions, logs (pass by pass) and the rules' stamps are committed, the queue's change last:
+    what is cut off leaves nothing that a replay would see. Logs are then trimmed to the newest rows."""
     from pagemill.plans.collect import Seen, collect
     from pagemill.schema import LOGS, QUEUE, conform
     from pagemill.sources.sinks import normalize_log_rows
@@ -170,24 +172,27 @@ def stream_collect(spark: SparkSession, queue_src: str, out_path: str, rules: Da
                 break
             seen = Seen(out.sources, out.titles, number)
             res = collect(state, rules, pages, given, as_of, assets=assets, per_rule_batch=per_rule_batch,
-                          responses=responses, seen=seen)
-            rows = cut_lineage(res.transitions)
-            if rows.isEmpty():
+                          responses=responses, seen=seen, every_pass=responses is None)
+            turn = lambda df: df.withColumn("pass_no", F.lit(number).cast("long")) if res.turns is None else \
+                df.join(res.turns.select("queue_id", (F.col("turn") + number).alias("pass_no")), "queue_id")
+            rows = cut_lineage(turn(res.transitions))
+            last = rows.agg(F.max("pass_no")).first()[0]
+            if last is None:
                 break
+            if last >= first + PASSES:
+                raise RuntimeError("a batch needs more passes than its numbers allow")
             folder = out.articles.stage(number, res.articles)
             written = spark.read.schema(out.articles.schema).parquet(f"{out.articles.path}/{folder}")
             seen.add(written)
-            out.transitions.write(number, rows.withColumn("pass_no", F.lit(number).cast("long")))
-            # one log row for each transition
-            out.logs.write(number, conform(normalize_log_rows(res.logs), LOGS), {"rows": rows.count()})
+            out.transitions.write(number, rows)
+            logs = normalize_log_rows(turn(res.logs))
+            out.logs.write_each(conform(logs, T.StructType([*LOGS.fields, T.StructField("pass_no", T.LongType())])), "pass_no")
             out.stamps.write(number, res.last_collected)
             out.articles.commit(number, folder)
             out.queue.append(number, rows)
-            number += 1
-            if number % COMPACT_EVERY == 0:
+            number = last + 1
+            if responses is not None and number % COMPACT_EVERY == 0:
                 out.queue.compact(number)
-            if number == first + PASSES:
-                raise RuntimeError("a batch needs more passes than its numbers allow")
         out.queue.compact(number)
         retain(out.logs, log_retention)
 

@@ -280,3 +280,55 @@ def test_one_call_serves_the_items_of_a_block():
     out, = item.handleExpiredTimer((0,), None, Fired())
     assert [tuple(r) for r in out.sort_values("queue_id").itertuples(index=False)] == [(i, 1, 2, "pending", m(30), "stuck_release") for i in (1, 2)]
     assert {k[0]: v[2] for k, v in handle.entries.items()} == {1: "pending", 2: "pending", 3: "success"}
+
+
+def test_passes_taken_together_skip_what_passes_in_turn_skip(spark):
+    """Random sources, titles and rules' settings against passes that run one after the other."""
+    import random
+    from pagemill.plans.collect import skipped_in_turn
+    rnd = random.Random(5)
+    for _ in range(3):
+        items = [(i, rnd.randrange(6), rnd.random() < 0.8, f"t{rnd.randrange(12)}", f"s{rnd.randrange(12)}", False) for i in range(60)]
+        items = [(*x[:5], x[2] and rnd.random() < 0.1) for x in items]
+        want, sources, titles = {}, set(), set()
+        for turn in range(6):
+            own = sorted(x for x in items if x[1] == turn)
+            known = {x[0]: x[5] or x[2] and (x[4] in sources or x[3] in titles) for x in own}
+            for x in own:
+                want[x[0]] = known[x[0]] or x[2] and any(y[0] < x[0] and y[3] == x[3] and not known[y[0]] for y in own)
+            out = [x for x in own if not want[x[0]]]
+            sources |= {x[4] for x in out}
+            titles |= {x[3] for x in out}
+        got = skipped_in_turn(spark.createDataFrame(items, "queue_id long, turn long, r_dedupe_title boolean, _t string, _source string, _known boolean"))
+        assert {r.queue_id: r.skip for r in got.collect()} == want
+
+
+def test_collect_stream_runs_its_passes_together(spark, monkeypatch):
+    """The jobs of a micro-batch do not grow with its passes, and nothing else depends on it:
+    rewrite responses, here none, make the passes run one by one."""
+    from pagemill.plans import collect as C
+    from pagemill.plans.corpus import corpus_rules, seed_queue
+    from pagemill.schema import QUEUE, conform
+    from pagemill.streaming.jobs import CollectTables, stream_collect
+    page = "<html><body><h1>Title {}</h1><article><p>Text of some length {}.</p></article></body></html>"
+    pages = spark.createDataFrame([(i, f"https://h{i % 2}.example.com/a/{i}", page.format(i % 5, i) if i != 7 else "") for i in range(1, 13)],
+                                  "page_id long, url string, html string")
+    base = tempfile.mkdtemp(prefix="pm-turns-")
+    qsrc = os.path.join(base, "queue")
+    conform(seed_queue(pages, AS_OF), QUEUE).coalesce(1).write.parquet(qsrc)
+    rules = corpus_rules(pages).withColumn("batch_limit", F.lit(2)).withColumn("dedupe_title", F.lit(True))
+    given = spark.createDataFrame([(1, "https://h0.example.com/a/4")], "article_id long, source_url string")
+    calls, whole = [], C.collect
+    monkeypatch.setattr(C, "collect", lambda *a, **k: calls.append(1) or whole(*a, **k))
+
+    def run(tag, responses=None):
+        del calls[:]
+        sink = os.path.join(base, tag)
+        stream_collect(spark, qsrc, sink, rules, pages, given, AS_OF, name=f"t-turns-{tag}-" + os.path.basename(base), responses=responses)
+        t = CollectTables(spark, sink)
+        return len(calls), [sorted(map(str, df.collect())) for df in (
+            t.transitions.read().drop("batch"), t.articles.read().drop("batch"), t.logs.read(), t.stamps.read().drop("batch").distinct(), t.queue.state())]
+
+    n, got = run("together")
+    turns, want = run("in-turn", spark.createDataFrame([], "queue_id long, response string"))
+    assert n == 1 and turns == 3 and got == want and len(got[0]) == 12
