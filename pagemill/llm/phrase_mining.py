@@ -2,15 +2,18 @@
 
 Vertical partitioning as in ERA: Spark counts word prefixes of growing length. Words, then pairs,
 that occur often enough pass a Bloom filter of fixed size to the workers (what a filter lets
-through by mistake is counted and dropped later), so a suffix is cut where its next pair is too
-rare for any phrase. Prefixes are grouped so that a group's suffixes fit a memory budget; a
-prefix with more suffixes than the budget is extended by its next word, as often as needed. A
-group then builds its subtree alone: its suffixes, sorted, with the counts that each task has
-already added up for equal ones, give every node's count as the total of the leaves below it.
-Nodes above an extended prefix get their totals from several groups, which Spark adds.
+through by mistake is counted and dropped later). Longer runs of such pairs are counted in hashed
+cells of a fixed number, as by Park, Chen and Yu: a cell that stays below the least count holds no
+phrase, so a suffix is cut where its next run falls into one. Pairs have their counts by then, so
+only suffixes of three words and more are sent. Prefixes are grouped so that a group's suffixes fit
+a memory budget; a prefix with more suffixes than the budget is extended by its next word, as often
+as needed. A group then builds its subtree alone: its suffixes, sorted, with the counts that each
+task has already added up for equal ones, give every node's count as the total of the leaves below
+it. Nodes above an extended prefix get their totals from several groups, which Spark adds.
 
 Words are 64-bit hashes of language and word (two differ in hash but for 2**-64); strings join
-in again at the end. Scores are exact: decimals of 38 digits.
+in again at the end. A pair is counted by a 64-bit key (two pairs of one first word differ in it but
+for 2**-48), which gives its words back by two joins with the frequent words. Scores are exact: decimals of 38 digits.
 
 Defined cases: a null language is ``und``, a null text is empty; null ids, repeated rows and extra
 columns change nothing but counts. An empty table gives an empty result.
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagemill.llm.common import Filter, cut_lineage, groups, n_partitions, pack, packed_bits, table, tidy
+from pagemill.llm.lm_score import squeeze, unsqueeze
 from pagemill.llm.words import LOWER, U64, hash_spans, mix, multipliers, slices, text_bytes
 
 DEPTH, MIN_COUNT, TOP = 5, 100, 2000
@@ -37,6 +41,8 @@ ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 APART = ENDS.copy()
 APART[[0x20, 0x09]] = True
 _MARK = U64(0xA5A5F00D)     # key of a language's word total
+FIRST = 48                  # a pair's key: above these bits those of the first word
+_LOW = (1 << FIRST) - 1
 
 
 def lang_hash(lang: str | None) -> int:
@@ -67,8 +73,12 @@ def scan(batches):
 
 
 def _joined(columns) -> np.ndarray:
-    """Hash of the words of each row, 40 bits wide, which shuffles narrower. It only steers: two
-    prefixes with one hash may pass a filter or be extended together; nodes are told apart by words."""
+    """Key of the words of each row. That of a pair gives its words back (see :func:`_pair_nodes`).
+    Others are hashes of 40 bits, which shuffle narrower and only steer: two prefixes with one hash
+    may pass a filter or be extended together; nodes are told apart by words."""
+    if len(columns) == 2:
+        a, b = columns
+        return (a & ~U64(_LOW)) | (((b >> U64(1)) ^ (a >> U64(5))) & U64(_LOW))
     acc = np.zeros(len(columns[0]), U64)
     with np.errstate(over="ignore"):
         for m, c in zip(multipliers(DEPTH, 77), columns):
@@ -96,7 +106,8 @@ class Held:
         self.n.append(n.astype(np.int64))
         self.size += len(h)
 
-    def send(self, least: int = 0):
+    def taken(self, least: int = 0):
+        """What is to be sent, in one piece and by ascending hash, if anything."""
         if self.size <= least:
             return
         h, n = _added(np.concatenate(self.h), np.concatenate(self.n))
@@ -104,6 +115,14 @@ class Held:
             self.h, self.n, self.size = [h], [n], len(h)
             return
         self.__init__()
+        yield h, n
+
+    def send(self, least: int = 0):
+        for h, n in self.taken(least):
+            yield from self._rows(h, n)
+
+    @staticmethod
+    def _rows(h, n):
         for a in range(0, len(h), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(h[a:a + (1 << 16)].view(np.int64)), pa.array(n[a:a + (1 << 16)])], names=["h", "n"])
 
@@ -112,10 +131,18 @@ def _bits(h):
     return np.concatenate([h, mix(h ^ U64(0x5DEECE66D))]) % U64(FILTER_BITS)
 
 
+def _on(known: Filter, b: np.ndarray) -> np.ndarray:
+    return (known.bits[(b >> U64(3)).astype(np.int64)] >> (b & U64(7)).astype(np.uint8)) & 1
+
+
 def holds(known: Filter, h: np.ndarray) -> np.ndarray:
     """Which hashes a filter lets through."""
-    b = _bits(h)
-    return ((known.bits[(b >> U64(3)).astype(np.int64)] >> (b & U64(7)).astype(np.uint8)) & 1).reshape(2, -1).all(axis=0)
+    return _on(known, _bits(h)).reshape(2, -1).all(axis=0)
+
+
+def crowded(known: Filter, h: np.ndarray) -> np.ndarray:
+    """Which hashes fall into a cell that reaches the least count."""
+    return _on(known, h % U64(FILTER_BITS)) > 0
 
 
 def bloom(hashes: DataFrame) -> Filter:
@@ -177,8 +204,9 @@ def _pair_counts(docs: DataFrame, words) -> DataFrame:
     return docs.mapInArrow(run, "h long, n long")
 
 
-def _suffixes(h, piece, words, pairs, depth: int) -> list[np.ndarray]:
-    """Columns of the suffixes that begin with a frequent pair, cut before the first rare pair."""
+def _suffixes(h, piece, words, pairs, runs, depth: int) -> list[np.ndarray]:
+    """Columns of the suffixes that begin with a frequent pair, cut before the first rare pair and,
+    if ``runs`` is given, before the first run of three words and more in a cell below the count."""
     ok = np.zeros(len(h) + depth, bool)
     i = _pairs_of(h, piece, words)
     i = i[holds(pairs, _joined([h[i], h[i + 1]]))] if len(i) else i
@@ -187,17 +215,67 @@ def _suffixes(h, piece, words, pairs, depth: int) -> list[np.ndarray]:
     columns, live = [h[i]], np.ones(len(i), bool)
     for d in range(1, depth):
         live = live & ok[i + d - 1]
+        if runs is not None and d >= 2:
+            at = np.flatnonzero(live)
+            live[at] = crowded(runs, _joined([*(c[at] for c in columns), longer[i[at] + d]]))
         columns.append(np.where(live, longer[i + d], U64(0)))
     return columns
 
 
-def _prefix_counts(docs: DataFrame, words, pairs, heavy: list, depth: int) -> DataFrame:
+def _crowded_cells(docs: DataFrame, words, pairs, min_count: int, depth: int) -> Filter:
+    """The cells of runs of 3 to ``depth`` words that reach the least count: FILTER_BITS of them.
+    Tasks send counts of the cells that they meet, a segment to a row; segments are added in Spark."""
+    @tidy
+    def run(batches):
+        held = Held()
+
+        def rows(least=0):
+            for cell, n in held.taken(least):
+                segment = cell // U64(SEGMENT_BITS)
+                for a, b in zip(*groups(segment)):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int(segment[a])], pa.int32()), pa.array([int(b - a)], pa.int32()),
+                        pa.array([squeeze(np.diff(cell[a:b], prepend=segment[a] * U64(SEGMENT_BITS)).astype(np.uint32))], pa.binary()),
+                        pa.array([squeeze(n[a:b].astype(np.uint32))], pa.binary())], names=["segment", "cells", "gaps", "counts"])
+
+        for _, _, _, h, _, piece, _, _ in scan(batches):
+            s = _suffixes(h, piece, words.value, pairs.value, None, depth)
+            for d in range(3, depth + 1):
+                s = [c[s[d - 1] != 0] for c in s]
+                held.add(_joined(s[:d]) % U64(FILTER_BITS))
+            yield from rows(HELD)
+        yield from rows()
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SEGMENT_BITS, np.int64)
+        for b in batches:
+            for cells, gaps, counts in zip(*(b.column(c).to_pylist() for c in ("cells", "gaps", "counts"))):
+                total[np.cumsum(unsqueeze(gaps, cells, np.uint32), dtype=np.int64)] += unsqueeze(counts, cells, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
+                                          pa.array([packed_bits(total >= min_count)], pa.binary())], names=["segment", "bits"])
+
+    merged = docs.mapInArrow(run, "segment int, cells int, gaps binary, counts binary").groupBy("segment") \
+        .applyInArrow(merge, "segment int, bits binary")
+    return Filter({row.segment: bytes(row.bits) for row in merged.toLocalIterator()}, FILTER_BITS, SEGMENT_BITS)
+
+
+def _pair_nodes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(words, n) of frequent pairs from their keys: words that share the key's upper bits may be the
+    first, and the right one leaves the bits of a frequent word."""
+    first = one.select(F.col("h").alias("a"), F.shiftrightunsigned("h", FIRST).alias("upper"))
+    second = one.select(F.col("h").alias("b"), F.shiftrightunsigned("h", 1).bitwiseAND(F.lit(_LOW)).alias("lower"))
+    return two.withColumn("upper", F.shiftrightunsigned("h", FIRST)).join(first, "upper") \
+        .withColumn("lower", F.col("h").bitwiseXOR(F.shiftrightunsigned("a", 5)).bitwiseAND(F.lit(_LOW))).join(second, "lower") \
+        .select(F.array("a", "b").alias("words"), "n")
+
+
+def _prefix_counts(docs: DataFrame, words, pairs, runs, heavy: list, depth: int) -> DataFrame:
     """(h, n) of the prefixes of ``depth + 1`` words below the heavy ones of ``depth`` words."""
     @tidy
     def run(batches):
         held = Held()
         for _, _, _, h, _, piece, _, _ in scan(batches):
-            s = _suffixes(h, piece, words.value, pairs.value, depth + 1)
+            s = _suffixes(h, piece, words.value, pairs.value, runs.value, depth + 1)
             live = s[depth] != 0
             s = [c[live] for c in s]
             below = np.isin(_joined(s[:depth]), heavy[-1].value)
@@ -220,8 +298,8 @@ def _distinct(columns, n):
     return [c[a] for c in columns], np.add.reduceat(n, a) if len(a) else n
 
 
-def _sent(docs: DataFrame, words, pairs, heavy: list, bins: int, depth: int) -> DataFrame:
-    """Suffix rows (bin, w1 to w``depth``, n), equal ones of a task added up."""
+def _sent(docs: DataFrame, words, pairs, runs, heavy: list, bins: int, depth: int) -> DataFrame:
+    """Rows (bin, w1 to w``depth``, n) of suffixes of three words and more, equal ones of a task added up."""
     names = ["bin", *(f"w{d + 1}" for d in range(depth)), "n"]
 
     def added(parts):
@@ -241,7 +319,8 @@ def _sent(docs: DataFrame, words, pairs, heavy: list, bins: int, depth: int) ->
     def run(batches):
         parts, held = [], 0
         for _, _, _, h, _, piece, _, _ in scan(batches):
-            s = _suffixes(h, piece, words.value, pairs.value, depth)
+            s = _suffixes(h, piece, words.value, pairs.value, runs.value, depth)
+            s = [c[s[2] != 0] for c in s]
             parts.append((s, np.ones(len(s[0]), np.int64)))
             held += len(s[0])
             if held >= HELD:
@@ -258,7 +337,7 @@ def _sent(docs: DataFrame, words, pairs, heavy: list, bins: int, depth: int) ->
 
 
 def _subtrees(sent: DataFrame, heavy: list, min_count: int, depth: int) -> DataFrame:
-    """(words, n) of the nodes of at least two words, from the leaves of each bin's subtree."""
+    """(words, n) of the nodes of at least three words, from the leaves of each bin's subtree."""
     schema = pa.schema([("words", pa.list_(pa.int64())), ("n", pa.int64())])
 
     def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +348,8 @@ def _subtrees(sent: DataFrame, heavy: list, min_count: int, depth: int) -> DataF
         s, n = _distinct([np.concatenate(c) for c in zip(*cols)], np.concatenate(counts))
         new = np.zeros(len(n), bool)
         new[0] = True
-        new[1:] = s[0][1:] != s[0][:-1]
-        for d in range(2, depth + 1):
+        new[1:] = (s[0][1:] != s[0][:-1]) | (s[1][1:] != s[1][:-1])
+        for d in range(3, depth + 1):
             new[1:] |= s[d - 1][1:] != s[d - 1][:-1]
             a = np.flatnonzero(new)
             total = np.add.reduceat(n, a)
@@ -321,6 +400,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, gro
     words = sc.broadcast(bloom(one))
     two = _frequent(_pair_counts(docs, words), min_count)
     pairs = sc.broadcast(bloom(two))
+    runs = sc.broadcast(_crowded_cells(docs, words, pairs, min_count, depth))
     parts = n_partitions(docs.sparkSession)
     total = two.agg(F.sum("n")).first()[0] or 0
     budget = min(group_suffixes, max(256, total // (4 * parts)))
@@ -332,11 +412,13 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, gro
             break
         heavy.append(sc.broadcast(found))
         if d + 1 < depth:
-            level = _frequent(_prefix_counts(docs, words, pairs, heavy, d), min_count)
+            level = _frequent(_prefix_counts(docs, words, pairs, runs, heavy, d), min_count)
     bins = max(2 * parts, 2 * total // budget, 1)
-    nodes = _subtrees(_sent(docs, words, pairs, heavy, bins, depth), heavy, min_count, depth)
-    counted = cut_lineage(nodes.unionByName(one.select(F.array("h").alias("words"), "n")))
-    for sent in (words, pairs, *heavy):     # their readers are written
+    nodes = one.select(F.array("h").alias("words"), "n").unionByName(_pair_nodes(one, two))
+    if depth > 2:
+        nodes = nodes.unionByName(_subtrees(_sent(docs, words, pairs, runs, heavy, bins, depth), heavy, min_count, depth))
+    counted = cut_lineage(nodes)
+    for sent in (words, pairs, runs, *heavy):     # their readers are written
         sent.destroy()
     # only words of a phrase need their strings
     used = counted.filter(F.size("words") >= 2).select(F.explode("words").alias("h")).distinct()

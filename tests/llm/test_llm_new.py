@@ -142,6 +142,34 @@ def test_phrases_extend_heavy_prefixes(spark):
     assert got == {x[:1] + x[2:] for x in brute_phrases(rows, 5)}
 
 
+def test_phrases_send_only_runs_that_may_be_frequent(spark, monkeypatch):
+    """Pairs occur often enough and longer runs do not: their suffixes are cut, and pairs counted before."""
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join("abcdef"[i] for i in rng.integers(0, 6, 500))) for _ in range(40)]
+    sent = []
+    monkeypatch.setattr(phrase_mining, "_subtrees", lambda s, *more, old=phrase_mining._subtrees: sent.append(s.count()) or old(s, *more))
+    d = spark.createDataFrame(rows, "lang string, text string")
+    got = {tuple(r) for r in phrase_mining.collocations(d, min_count=300).collect()}
+    assert got == brute_phrases(rows, 300) and len(got) == 36 and sent == [0]
+
+
+def test_pair_keys_give_words_back(spark):
+    """Also of words that share the bits which a key holds of its first word."""
+    words = np.array([(7 << 48) | 12345, (7 << 48) | 999, (9 << 60) | 12345, (15 << 60) | 1], np.uint64)
+    pairs = [(i, j) for i in range(4) for j in range(4)]
+    keys = phrase_mining._joined([words[[i for i, _ in pairs]], words[[j for _, j in pairs]]]).view(np.int64).tolist()
+    one = spark.createDataFrame([(w, 1) for w in words.view(np.int64).tolist()], "h long, n long")
+    two = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "h long, n long")
+    own = words.view(np.int64).tolist()
+    assert sorted((r.n, *r.words) for r in phrase_mining._pair_nodes(one, two).collect()) == [(n, own[i], own[j]) for n, (i, j) in enumerate(pairs)]
+
+
+def test_phrases_of_two_words_at_most(spark):
+    rows = [("en", "a b a b c")] * 5
+    got = {tuple(r) for r in phrase_mining.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=5, depth=2).collect()}
+    assert {(r[2], r[3]) for r in got} == {("a b", 10), ("b a", 5), ("b c", 5)}
+
+
 def test_phrases_empty(spark):
     assert phrase_mining.collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
     assert phrase_mining.collocations(spark.createDataFrame([(1, None, None)], "doc_id long, lang string, text string")).count() == 0
