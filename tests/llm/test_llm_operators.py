@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import llm_brute as brute
-from pagemill.llm import (hilbert_ann, line_dedup, lm_score, near_dup, packing, quality, queries, secret_scan, sentence_pieces,
+from pagemill.llm import (byte_model, hilbert_ann, line_dedup, lm_score, near_dup, packing, quality, queries, secret_scan, sentence_pieces,
                           substring_dedup, warc_store)
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +68,22 @@ def test_quality_bands_against_labels(spark):
     assert kept[0] < 0.35 and kept[1] > 0.98
 
 
+def test_quality_sees_the_order_of_words(spark):
+    """The same words in another order than all texts have are less likely."""
+    words = "red cat sits on new mat by old oak in big wood".split()
+    rows = [(i, " ".join(words * 6), "en") for i in range(20)] + [(20, " ".join(words[::-1] * 6), "en")]
+    got = {r.doc.doc_id: r.log_ppl for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len({got[i] for i in range(20)}) == 1 and got[20] > got[0] + 0.1
+
+
+def test_byte_ngrams_run_on_from_word_to_word():
+    buf = np.frombuffer(b"abc d ef", np.uint8)
+    _, key = byte_model.word_ngrams(buf, np.array([0, 4, 6]), np.array([3, 5, 8]), np.array([True, False, True]))
+    a, b, c, d, e, f = range(98, 104)
+    want = [(0, 0, a), (0, a, b), (a, b, c), (b, c, 257), (c, 257, d), (257, d, 257), (0, 0, e), (0, e, f), (e, f, 257)]
+    assert key.tolist() == [(x * 258 + y) * 258 + z for x, y, z in want]
+
+
 def test_quality_shuffled_models_give_the_same(spark, monkeypatch):
     want = {r.doc_id: r for r in quality.query(spark, SF).collect()}
     monkeypatch.setattr(quality, "MODEL_BYTES", 0)
