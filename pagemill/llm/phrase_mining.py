@@ -145,6 +145,12 @@ def crowded(known: Filter, h: np.ndarray) -> np.ndarray:
     return _on(known, h % U64(FILTER_BITS)) > 0
 
 
+def _gathered(merged: DataFrame) -> Filter:
+    """Filter of the merged segments. Their number and size are fixed, so they come in one job, whose
+    tasks merge side by side; an iterator would run a job for each partition, one after another."""
+    return Filter({row.segment: bytes(row.bits) for row in merged.collect()}, FILTER_BITS, SEGMENT_BITS)
+
+
 def bloom(hashes: DataFrame) -> Filter:
     """Filter of the column ``h``: FILTER_BITS bits; segments are merged in Spark."""
     @tidy
@@ -164,7 +170,7 @@ def bloom(hashes: DataFrame) -> Filter:
                                           pa.array([packed_bits(out)], pa.binary())], names=["segment", "bits"])
 
     merged = hashes.select("h").mapInArrow(send, "segment int, bits binary").groupBy("segment").applyInArrow(merge, "segment int, bits binary")
-    return Filter({row.segment: bytes(row.bits) for row in merged.toLocalIterator()}, FILTER_BITS, SEGMENT_BITS)
+    return _gathered(merged)
 
 
 def _frequent(counts: DataFrame, min_count: int) -> DataFrame:
@@ -256,7 +262,7 @@ def _crowded_cells(docs: DataFrame, words, pairs, min_count: int, depth: int) ->
 
     merged = docs.mapInArrow(run, "segment int, cells int, gaps binary, counts binary").groupBy("segment") \
         .applyInArrow(merge, "segment int, bits binary")
-    return Filter({row.segment: bytes(row.bits) for row in merged.toLocalIterator()}, FILTER_BITS, SEGMENT_BITS)
+    return _gathered(merged)
 
 
 def _pair_nodes(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -407,7 +413,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, gro
     heavy, level = [], two
     for d in range(2, depth):
         # at most total / budget of them: a fixed share of the suffixes, or a few for each task
-        found = np.sort(np.fromiter((r.h for r in level.filter(F.col("n") > budget).select("h").toLocalIterator()), np.int64).view(U64))
+        found = np.sort(np.array([r.h for r in level.filter(F.col("n") > budget).select("h").collect()], np.int64).view(U64))
         if not len(found):
             break
         heavy.append(sc.broadcast(found))

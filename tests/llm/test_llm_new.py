@@ -164,6 +164,28 @@ def test_pair_keys_give_words_back(spark):
     assert sorted((r.n, *r.words) for r in phrase_mining._pair_nodes(one, two).collect()) == [(n, own[i], own[j]) for n, (i, j) in enumerate(pairs)]
 
 
+def test_phrases_jobs_do_not_grow_with_partitions(spark):
+    """Filters and heavy prefixes come to the driver in a job each, not in one for each partition."""
+    rows = [("en", "a b " + f"c{i % 40} d{i % 9}") for i in range(4000)]
+    settings_ = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    sc = spark.sparkContext
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("phrases of many partitions", "")
+        counted, _ = phrase_mining.phrases(spark.createDataFrame(rows, "lang string, text string"), min_count=5, group_suffixes=300)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("phrases of many partitions"))
+        assert 0 < jobs < 150
+        f = Counter(" ".join(t.split()[i:i + m]) for _, t in rows for m in range(1, 5) for i in range(5 - m))
+        assert Counter(r.n for r in counted.collect()) == Counter([n for n in f.values() if n >= 5] + [16000])
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_phrases_of_two_words_at_most(spark):
     rows = [("en", "a b a b c")] * 5
     got = {tuple(r) for r in phrase_mining.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=5, depth=2).collect()}
