@@ -1,7 +1,7 @@
 """The operators over whole tables of the smallest scale, against plain Python or SQL."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -91,6 +91,52 @@ def test_quality_shuffled_models_give_the_same(spark, monkeypatch):
         assert r.kept == want[r.doc_id].kept and r.log_ppl == pytest.approx(want[r.doc_id].log_ppl, nan_ok=True)
 
 
+def test_quality_scores_all_words_of_a_text(spark):
+    """Perplexities of whole texts, words of high cost included, by hand from the n-gram counts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(rng.choice(list(a), rng.integers(1, 7))) for _ in range(60 + i)), x)
+            for i, (a, x) in enumerate([("abcde", "en"), ("cdefg\u00e9", "fr"), ("abxyz", None)] * 5)]
+    rows += [(20, rows[0][1] + " Qq#9 7@~Z\u6f22", "en"), (21, "a", "en"), (22, "", "en"), (23, None, "fr")]
+    grams = {i: [] for i, _, _ in rows}     # per word
+    for i, text, _ in rows:
+        before = [0, 0]
+        for word in (text or "").split():
+            symbols = [*(b + 1 for b in word.encode()), 257]
+            run = before + symbols
+            grams[i].append([(run[k] * 258 + run[k + 1]) * 258 + run[k + 2] for k in range(len(symbols))])
+            before = run[-2:]
+    counts = defaultdict(Counter)
+    for i, _, lang in rows:
+        counts[lang or ""].update(g for word in grams[i] for g in word)
+    models = [byte_model.estimate(np.array(sorted(c)), np.array([c[k] for k in sorted(c)])) for c in counts.values()]
+    got = {r.doc.doc_id: r.log_ppl for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, words in grams.items():
+        cost = -sum(max(byte_model.log_probs(m, np.array(word)).sum() for m in models) for word in words)
+        assert got[i] == pytest.approx(cost / sum(map(len, words))) if words else got[i] is None
+
+
+def test_quality_every_language_has_its_bands(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        letters = list("abcdefghijklmnopqrstuvwxyz"[k % 20:k % 20 + 2 + k // 8])
+        rows += [(5 * k + i, " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(60)), f"l{k}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc.doc_id: r for r in quality.quality(docs).collect()}
+    for k in range(40):
+        own = [got[5 * k + i] for i in range(5)]
+        assert not any(r.base_failed for r in own)
+        bins = sorted(np.floor(r.log_ppl / quality.BIN) for r in own)
+        spread = max((bins[3] - bins[1]) * quality.BIN, quality.LEAST_RANGE)
+        band = ((bins[1] + 0.5) * quality.BIN - quality.FENCE * spread, (bins[3] + 0.5) * quality.BIN + quality.FENCE * spread)
+        assert all((r.lower, r.upper) == pytest.approx(band) for r in own)
+    monkeypatch.setattr(quality, "MODEL_BYTES", 60_000)      # several models at a time, several times
+    monkeypatch.setattr(quality, "BAND_ROWS", 0)
+    for r in quality.quality(docs).collect():
+        want = got[r.doc.doc_id]
+        assert r.log_ppl == want.log_ppl and (r.kept, r.lower, r.upper) == (want.kept, want.lower, want.upper)
+
+
 def test_sentence_pieces_match_the_library(docs):
     import sentencepiece
 
